@@ -106,7 +106,8 @@ def _pca_cte() -> str:
 
     def tr(c):
         return f"CASE WHEN split = 'train' THEN {c} END"
-    return (f"s AS (SELECT *, {_split3(KEYS)} AS split, {_label()} AS label FROM lineitem), "
+    return (f"s AS (SELECT *, {_split3(KEYS)} AS split, {_label()} AS label, "
+            f"l_extendedprice * (1.0::DOUBLE - l_discount) AS disc_price FROM lineitem), "
             f"w AS (SELECT *, {a} / stddev_samp({tr(a)}) OVER () AS a, "
             f"{b} / stddev_samp({tr(b)}) OVER () AS b, corr({tr(a)}, {tr(b)}) OVER () AS r "
             f"FROM s), "

@@ -382,11 +382,15 @@ def q_feature_pipeline(spark, sf):
                                               keep=[*LI_KEYS, "split"]))
 
 
-PCA_COLS = ("l_quantity", "l_extendedprice")
+# Two strongly correlated measures (the raw lineitem measures are mutually
+# uncorrelated, which leaves a 2-column PCA ill-conditioned).
+PCA_COLS = ("l_extendedprice", "disc_price")
 
 
 def _pca_fitted(spark, sf):
-    s = split.three_way_split(lineitem(spark, sf), LI_KEYS, salt=SALT)
+    li = lineitem(spark, sf).withColumn(
+        "disc_price", F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount")))
+    s = split.three_way_split(li, LI_KEYS, salt=SALT)
     s = profile.encode_label(s, LI_LABEL, POSITIVE_CLASS, out="label")
     pm = features.fit_pipeline(s.filter(F.col("split") == "train"), PCA_COLS)
     scaled = pm.transform(s)
