@@ -207,9 +207,8 @@ def scale_by_class(df: DataFrame, label_col: str, cols: Sequence[str],
                 *[F.col(f"{c}_hi").alias(f"_hi_{c}") for c in cols]))
     r = bounded_broadcast(ranges)
     out = df.join(r, on=label_col, how="left")
-    for c in cols:
-        out = out.withColumn(c + suffix, min_max_scale(c, f"_lo_{c}", f"_hi_{c}"))
-    return out.drop(*[f"_lo_{c}" for c in cols], *[f"_hi_{c}" for c in cols])
+    return out.select(*df.columns, *[min_max_scale(c, f"_lo_{c}", f"_hi_{c}").alias(c + suffix)
+                                     for c in cols])
 
 
 def baseline_profile(stats: DataFrame, label_col: str, scale_by: str = "own_class",

@@ -46,8 +46,11 @@ def add_range(df: DataFrame, order_col: str, out: str = "_range",
         bounds = df.agg(F.percentile_approx(x, fr, 10_000).alias("b")).first()["b"] or []
     else:
         bounds = []
-    splits = [float("-inf")] + sorted({float(b) for b in bounds if b is not None
-                                       and b == b and abs(b) != float("inf")}) + [float("inf")]
+    inner = sorted({float(b) for b in bounds if b is not None
+                    and b == b and abs(b) != float("inf")})
+    if not inner:  # empty input or a single value: one range
+        return df.withColumn(out, F.lit(0.0))
+    splits = [float("-inf")] + inner + [float("inf")]
     tmp = f"{out}_x"
     b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
     return b.transform(df.withColumn(tmp, x)).drop(tmp)
