@@ -17,10 +17,15 @@ from cohortlab.session import ensure_checkpoint_dir
 DEFAULT_MAX_ROWS = 200_000
 
 
+def measured(small: DataFrame) -> tuple[DataFrame, int]:
+    """Checkpoint ``small`` into the shared folder and count its rows."""
+    ensure_checkpoint_dir(small.sparkSession)
+    small = small.checkpoint(eager=True)
+    return small, small.count()
+
+
 def bounded_broadcast(small: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
     if small.isStreaming:
         return small
-    ensure_checkpoint_dir(small.sparkSession)
-    small = small.checkpoint(eager=True)
-    n = small.count()
+    small, n = measured(small)
     return F.broadcast(small) if n <= max_rows else small

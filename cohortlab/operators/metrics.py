@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.functions.columns import all_of, match_flag
 from cohortlab.operators.ranges import exclusive_prefix
+from cohortlab.sources.cache import cut_lineage
 
 
 def prediction_match(df: DataFrame, pred_col: str = "prediction", label_col: str = "label",
@@ -95,19 +96,24 @@ def auroc_hard(df: DataFrame, pred_col: str = "prediction", label_col: str = "la
 
 def auroc_exact(df: DataFrame, score_col: str, label_col: str = "label",
                 group_cols: Sequence[str] = (), positive: float = 1.0,
-                ranges: int | None = None) -> DataFrame:
+                ranges: int | None = None, materialize: bool = True) -> DataFrame:
     """Exact area under ROC from (score, label) pairs (A9), ties counted half.
 
     AUC = sum over scores s of pos(s) * (neg(< s) + neg(s) / 2) / (P * N).
     Rows collapse to one row per (group, distinct score) first (partial
     aggregation, so a hot score costs nothing), then the running count of
     negatives is an exact distributed prefix sum. Null for a one-class group.
+    ``materialize`` checkpoints the per-score table once (the range bounds,
+    the offsets and the final sum all read it), so an expensive score column
+    (a model transform) is computed once.
     """
     y = F.col(label_col)
     g = (df.filter(F.col(score_col).isNotNull() & y.isNotNull())
          .groupBy(*group_cols, score_col)
          .agg(F.count_if(y == F.lit(positive)).alias("_p"),
               F.count_if(y != F.lit(positive)).alias("_n")))
+    if materialize and not df.isStreaming:
+        g = cut_lineage(g)
     g = exclusive_prefix(g, [score_col], "_n", "_neg_before", group_cols, ranges)
     return (g.groupBy(*group_cols)
             .agg(F.sum(F.col("_p") * (F.col("_neg_before") + F.col("_n") / F.lit(2.0)))

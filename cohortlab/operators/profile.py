@@ -17,7 +17,11 @@ from pyspark.sql import functions as F
 
 from cohortlab.functions.columns import (contains, encode_binary, min_max_scale,
                                          null_count, null_heavy)
-from cohortlab.operators.broadcast import bounded_broadcast
+from cohortlab.operators.broadcast import DEFAULT_MAX_ROWS, bounded_broadcast, measured
+
+# A key table up to this many rows is also pushed to the scan as IN lists
+# (row groups whose min/max miss every key are skipped).
+PUSHDOWN_MAX_KEYS = 1000
 
 # The attribute order of the reference's radar charts (one family
 # of the ten nucleus measurements), used by ``radar_table`` for that schema.
@@ -86,8 +90,14 @@ def point_lookup(df: DataFrame, id_cols, keys, cols: Sequence[str] | None = None
     """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     if isinstance(keys, DataFrame):
-        k = keys.select(*ids).distinct()
-        out = df.join(bounded_broadcast(k), on=ids, how="left_semi")
+        k, n = measured(keys.select(*ids).distinct())
+        src = df
+        if n <= PUSHDOWN_MAX_KEYS:
+            rows = k.collect()  # at most PUSHDOWN_MAX_KEYS rows
+            for i, c in enumerate(ids):
+                vals = sorted({r[i] for r in rows if r[i] is not None})
+                src = src.filter(F.col(c).isin(vals))
+        out = src.join(F.broadcast(k) if n <= DEFAULT_MAX_ROWS else k, on=ids, how="left_semi")
     else:
         if len(ids) != 1:
             raise ValueError("scalar keys need a one-column key; pass a DataFrame of keys")
