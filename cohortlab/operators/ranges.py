@@ -20,15 +20,21 @@ from pyspark.sql import functions as F
 from cohortlab.operators.broadcast import bounded_broadcast
 
 DEFAULT_RANGES = 64
+ROWS_PER_RANGE = 4_000_000   # one window task sorts about this many rows
+MAX_RANGES = 1_000_000       # bound on the bounds list and the offset table
 
 
 def _num_ranges(df: DataFrame, ranges: int | None) -> int:
+    """Explicit ``ranges``, else enough ranges for ~ROWS_PER_RANGE rows each
+    (at least the shuffle partition count), capped at MAX_RANGES."""
     if ranges:
-        return max(1, int(ranges))
+        return max(1, min(int(ranges), MAX_RANGES))
     try:
-        return max(DEFAULT_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     except Exception:  # noqa: BLE001 - conf missing in odd sessions
-        return DEFAULT_RANGES
+        base = DEFAULT_RANGES
+    n = df.count()
+    return max(1, min(MAX_RANGES, max(base, -(-n // ROWS_PER_RANGE))))
 
 
 def add_range(df: DataFrame, order_col: str, out: str = "_range",
@@ -43,17 +49,19 @@ def add_range(df: DataFrame, order_col: str, out: str = "_range",
     x = F.col(order_col).cast("double")
     if k > 1:
         fr = [i / k for i in range(1, k)]
-        bounds = df.agg(F.percentile_approx(x, fr, 10_000).alias("b")).first()["b"] or []
+        acc = max(10_000, 20 * k)
+        bounds = df.agg(F.percentile_approx(x, fr, acc).alias("b")).first()["b"] or []
     else:
         bounds = []
     inner = sorted({float(b) for b in bounds if b is not None
                     and b == b and abs(b) != float("inf")})
     if not inner:  # empty input or a single value: one range
-        return df.withColumn(out, F.lit(0.0))
+        return df.withColumn(out, F.lit(0))
     splits = [float("-inf")] + inner + [float("inf")]
     tmp = f"{out}_x"
     b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
-    return b.transform(df.withColumn(tmp, x)).drop(tmp)
+    return (b.transform(df.withColumn(tmp, x)).drop(tmp)
+            .withColumn(out, F.col(out).cast("int")))
 
 
 def exclusive_prefix(df: DataFrame, order_cols: Sequence[str], value_col: str | None,
