@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.functions.columns import (contains, encode_binary, min_max_scale,
                                          null_count, null_heavy)
-from cohortlab.operators.broadcast import DEFAULT_MAX_ROWS, bounded_broadcast, measured
+from cohortlab.operators.broadcast import bounded_broadcast, fits_broadcast, measured
 
 # A key table up to this many rows is also pushed to the scan as IN lists
 # (row groups whose min/max miss every key are skipped).
@@ -97,7 +97,7 @@ def point_lookup(df: DataFrame, id_cols, keys, cols: Sequence[str] | None = None
             for i, c in enumerate(ids):
                 vals = sorted({r[i] for r in rows if r[i] is not None})
                 src = src.filter(F.col(c).isin(vals))
-        out = src.join(F.broadcast(k) if n <= DEFAULT_MAX_ROWS else k, on=ids, how="left_semi")
+        out = src.join(F.broadcast(k) if fits_broadcast(k, n) else k, on=ids, how="left_semi")
     else:
         if len(ids) != 1:
             raise ValueError("scalar keys need a one-column key; pass a DataFrame of keys")

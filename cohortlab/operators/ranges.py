@@ -24,35 +24,44 @@ ROWS_PER_RANGE = 4_000_000   # one window task sorts about this many rows
 MAX_RANGES = 1_000_000       # bound on the bounds list and the offset table
 
 
-def _num_ranges(df: DataFrame, ranges: int | None) -> int:
-    """Explicit ``ranges``, else enough ranges for ~ROWS_PER_RANGE rows each
-    (at least the shuffle partition count), capped at MAX_RANGES."""
-    if ranges:
-        return max(1, min(int(ranges), MAX_RANGES))
+def _base_ranges(df: DataFrame) -> int:
     try:
-        base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     except Exception:  # noqa: BLE001 - conf missing in odd sessions
-        base = DEFAULT_RANGES
-    n = df.count()
-    return max(1, min(MAX_RANGES, max(base, -(-n // ROWS_PER_RANGE))))
+        return DEFAULT_RANGES
+
+
+def _bounds(df: DataFrame, x, k: int, with_count: bool = False):
+    fr = [i / k for i in range(1, k)]
+    acc = max(10_000, 20 * k)
+    aggs = [F.percentile_approx(x, fr, acc).alias("b")]
+    if with_count:
+        aggs.append(F.count(F.lit(1)).alias("n"))
+    row = df.agg(*aggs).first()
+    return (row["b"] or []), (row["n"] if with_count else None)
 
 
 def add_range(df: DataFrame, order_col: str, out: str = "_range",
               ranges: int | None = None) -> DataFrame:
-    """Add an order-preserving range id for ``order_col`` (numeric).
+    """Add an order-preserving int range id for ``order_col`` (numeric).
 
-    ``k`` quantile bounds come back to the driver (``k`` numbers, bounded by
-    the argument); ``Bucketizer`` assigns each row by binary search on the JVM.
-    If a < b then range(a) <= range(b).
+    The number of ranges is ``ranges``, else enough for about ROWS_PER_RANGE
+    rows each (at least the shuffle partition count, at most MAX_RANGES).
+    The bounds (that many numbers) come back to the driver; ``Bucketizer``
+    assigns each row by binary search on the JVM. If a < b then
+    range(a) <= range(b).
     """
-    k = _num_ranges(df, ranges)
     x = F.col(order_col).cast("double")
-    if k > 1:
-        fr = [i / k for i in range(1, k)]
-        acc = max(10_000, 20 * k)
-        bounds = df.agg(F.percentile_approx(x, fr, acc).alias("b")).first()["b"] or []
+    if ranges:
+        k = max(1, min(int(ranges), MAX_RANGES))
+        bounds = _bounds(df, x, k)[0] if k > 1 else []
     else:
-        bounds = []
+        k = _base_ranges(df)
+        # one job: the count and the bounds for the default number of ranges
+        bounds, n = _bounds(df, x, max(k, 2), with_count=True)
+        need = min(MAX_RANGES, -(-int(n) // ROWS_PER_RANGE))
+        if need > max(k, 2):
+            bounds = _bounds(df, x, need)[0]
     inner = sorted({float(b) for b in bounds if b is not None
                     and b == b and abs(b) != float("inf")})
     if not inner:  # empty input or a single value: one range

@@ -118,3 +118,15 @@ def test_scale_baseline_class(spark):
     base = {r.k: r.scaled_avg for r in
             profile.baseline_profile(st, "k", "baseline_class", "B").collect()}
     assert base == {"B": 0.5, "M": 2.5}
+
+
+def test_broadcast_size_check(spark):
+    from cohortlab.operators.broadcast import _parse_bytes, fits_broadcast, row_width
+    assert _parse_bytes("10485760b") == 10485760 and _parse_bytes("10MB") == 10485760
+    assert _parse_bytes("-1") == -1
+    narrow = spark.createDataFrame([(1, 2.0)], "k int, v double")
+    wide = spark.createDataFrame([tuple([1.0] * 400)], ", ".join(f"c{i} double" for i in range(400)))
+    assert row_width(wide) >= 3200
+    assert fits_broadcast(narrow, 1000)
+    assert not fits_broadcast(wide, 10_000)          # 10k rows x 3.2 KB > 10 MB
+    assert not fits_broadcast(narrow, 10_000_000)    # over the row cap

@@ -32,3 +32,23 @@ def test_queries_run_at_smallest_sf(spark):
     qs = contract.queries()
     for k in ("class_profile", "record_profile", "auroc_exact", "row_index", "split_train_val"):
         assert qs[k](spark, SF0001).count() >= 1
+
+
+FALLBACK_KEYS = ["min_max_scale", "record_profile", "point_lookup", "row_index", "auroc_exact",
+                 "positional_join"]
+
+
+@pytest.mark.parametrize("key", FALLBACK_KEYS)
+def test_shuffle_join_fallback_matches(spark, duck001, key):
+    """With broadcasting disabled, the size-checked joins take the shuffle path
+    and the results are unchanged."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = contract.queries()[key](spark, SF001)
+        from tests.test_plans import formatted
+        assert "BroadcastHashJoin" not in formatted(df)
+        res = compare(df, duck001, ORACLE[key])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert res["ok"], res
