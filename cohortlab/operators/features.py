@@ -85,12 +85,21 @@ def check_pca_width(d: int) -> None:
                          f"at most {MAX_PCA_WIDTH} columns")
 
 
+def vector_width(df: DataFrame, col: str) -> int:
+    """Vector size from the column's ML metadata, else from one row."""
+    meta = df.schema[col].metadata.get("ml_attr", {})
+    if "num_attrs" in meta:
+        return int(meta["num_attrs"])
+    if "attrs" in meta:
+        return sum(len(v) for v in meta["attrs"].values())
+    first = df.select(col).first()
+    return len(first[0]) if first is not None and first[0] is not None else 0
+
+
 def fit_pca(train: DataFrame, k: int = 2, input_col: str = "scaledFeatures",
             output_col: str = "pcaFeatures") -> PCAModel:
     """PCA (M4). Spark centres the covariance but projects x (not x - mean)."""
-    first = train.select(input_col).first()
-    if first is not None and first[0] is not None:
-        check_pca_width(len(first[0]))
+    check_pca_width(vector_width(train, input_col))
     return PCA(k=k, inputCol=input_col, outputCol=output_col).fit(train)
 
 

@@ -262,7 +262,10 @@ def radar_table(baseline: DataFrame, records: DataFrame, label_col: str,
            .agg(F.avg("scaled")))
     rec = rec.select("attribute", *[F.col(f"`{c}`").alias(f"record_{c}") for c in record_classes])
     order = baseline.sparkSession.range(1).select(F.inline(fam_rows))
-    return (order.join(base, on="attribute", how="left").join(rec, on="attribute", how="left")
+    # ``base`` and ``rec`` hold at most one row per attribute (a bound known
+    # here: the attribute lists), so both are broadcast without a shuffle.
+    return (order.join(F.broadcast(base), on="attribute", how="left")
+            .join(F.broadcast(rec), on="attribute", how="left")
             .select("family", "pos", "attribute", "baseline",
                     *[f"record_{c}" for c in record_classes]))
 

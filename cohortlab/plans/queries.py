@@ -387,7 +387,19 @@ def q_feature_pipeline(spark, sf):
 PCA_COLS = ("l_extendedprice", "disc_price")
 
 
+_PCA_FITS: dict[tuple, tuple] = {}
+
+
 def _pca_fitted(spark, sf):
+    """Scaled rows (lazy) and the PCA fitted on their training part; the fit
+    is kept per session and folder, so the PCA keys share it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _PCA_FITS:
+        _PCA_FITS[key] = _pca_fit(spark, sf)
+    return _PCA_FITS[key]
+
+
+def _pca_fit(spark, sf):
     li = lineitem(spark, sf).withColumn(
         "disc_price", F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount")))
     s = split.three_way_split(li, LI_KEYS, salt=SALT)
