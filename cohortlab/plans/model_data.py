@@ -5,7 +5,8 @@ still in the scan stage, so only the doc id and a few doubles reach the join
 (the text itself is never shuffled). Label = ``quality``. The split is the hash
 split on ``doc_id``; the assembler and scaler are fitted on the training part
 only, and the prepared rows are persisted because every model fit iterates
-over them.
+over them. Before that the feature rows are checkpointed and re-partitioned
+by row count: the text layout would leave many tiny partitions.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.operators import features, models, split
 from cohortlab.plans.catalog import table
+from cohortlab.sources.cache import rebalance
 
 TEXT_FEATURES = ("n_chars", "n_words", "n_distinct", "type_token_ratio", "digit_share",
                  "upper_share", "punct_share", "mean_word_len")
@@ -67,7 +69,7 @@ def prepared(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id, split, label, features, scaledFeatures (persisted)."""
     k = _key(spark, sf)
     if k not in _PREPARED:
-        d = split.three_way_split(labelled(spark, sf), ["doc_id"], salt=SALT)
+        d = split.three_way_split(rebalance(labelled(spark, sf)), ["doc_id"], salt=SALT)
         pm = features.fit_pipeline(d.filter(F.col("split") == "train"), TEXT_FEATURES)
         _PREPARED[k] = (pm.transform(d).select("doc_id", "split", "label", "scaledFeatures")
                         .persist(StorageLevel.MEMORY_AND_DISK))

@@ -27,3 +27,26 @@ def unpersist_parts(*frames: DataFrame) -> None:
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+ROWS_PER_PARTITION = 1_000_000
+
+
+def rebalance(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+    """Checkpoint ``df`` and size its partitions by row count.
+
+    For narrow rows made from wide ones (a few features computed from a long
+    text), the input layout leaves many tiny partitions; every iteration of a
+    model fit would pay one task per partition. The checkpoint keeps the small
+    rows (the wide input is not read again), then they are coalesced (or
+    spread, if too few) to about ``rows_per_partition`` rows each.
+    """
+    df = cut_lineage(df)
+    n = df.count()
+    want = max(1, -(-n // rows_per_partition))
+    have = df.rdd.getNumPartitions()
+    if want < have:
+        return df.coalesce(want)
+    if want > have:
+        return df.repartition(want)
+    return df
