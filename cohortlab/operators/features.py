@@ -46,8 +46,13 @@ def assembler(input_cols: Sequence[str], output_col: str = "features",
                            handleInvalid=handle_invalid)
 
 
-def assemble(df: DataFrame, input_cols: Sequence[str], output_col: str = "features",
-             handle_invalid: str = "error") -> DataFrame:
+def assemble(df: DataFrame, input_cols: Sequence[str] | None = None,
+             output_col: str = "features", handle_invalid: str = "error",
+             exclude: Sequence[str] = ()) -> DataFrame:
+    """Assemble ``input_cols``; by default every column not in ``exclude``, in
+    table order (P9: the feature list is the set difference of the names)."""
+    if input_cols is None:
+        input_cols = [c for c in df.columns if c not in set(exclude)]
     return assembler(input_cols, output_col, handle_invalid).transform(df)
 
 

@@ -85,19 +85,27 @@ def _positive_score(model, raw_col: str, prob_col: str | None):
     return vector_to_array(raw_col).getItem(1)
 
 
-def score_splits(models: dict, df: DataFrame, id_cols: Sequence[str], label_col: str = "label",
-                 split_col: str | None = "split") -> DataFrame:
+def score_splits(models: dict, df: DataFrame | dict, id_cols: Sequence[str],
+                 label_col: str = "label", split_col: str | None = "split") -> DataFrame:
     """Score ``df`` with every model; one row per (model, input row).
 
+    ``df`` is one frame with a ``split_col`` column, or a dict of split name
+    to frame (tagged and unioned, then scored in the same single pass).
     Output: ``model, [split], id..., label double, prediction double,
     score double, equal int``. ``score`` is the positive-class probability
     (raw margin for the SVC), for exact AUROC.
     """
+    if isinstance(df, dict):
+        split_col = split_col or "split"
+        frames = [f.withColumn(split_col, F.lit(name)) for name, f in df.items()]
+        df = frames[0]
+        for f in frames[1:]:
+            df = df.unionByName(f)
     cur = df
     outs = []
     for i, (name, m) in enumerate(models.items()):
         m = m.copy()
-        pred, raw = f"_pred{i}", f"_raw{i}"
+        pred, raw, score = f"_pred{i}", f"_raw{i}", f"_score{i}"
         m.setPredictionCol(pred)
         if m.hasParam("rawPredictionCol"):
             m.setRawPredictionCol(raw)
@@ -105,14 +113,11 @@ def score_splits(models: dict, df: DataFrame, id_cols: Sequence[str], label_col:
         if m.hasParam("probabilityCol"):
             prob = f"_prob{i}"
             m.setProbabilityCol(prob)
-        cur = m.transform(cur)
-        outs.append((name, pred, _positive_score(m, raw, prob).alias(f"_score{i}")))
-        cur = cur.withColumn(f"_score{i}", outs[-1][2])
-    keep = [*( [split_col] if split_col else []), *id_cols]
-    y = F.col(label_col).cast("double")
+        cur = m.transform(cur).withColumn(score, _positive_score(m, raw, prob))
+        outs.append((name, pred, score))
+    keep = ([split_col] if split_col else []) + list(id_cols)
     rows = F.array(*[F.struct(F.lit(n).alias("model"), F.col(p).alias("prediction"),
-                              F.col(f"_score{i}").alias("score"))
-                     for i, (n, p, _) in enumerate(outs)])
-    long = cur.select(*keep, y.alias("label"), F.inline(rows))
+                              F.col(sc).alias("score")) for n, p, sc in outs])
+    long = cur.select(*keep, F.col(label_col).cast("double").alias("label"), F.inline(rows))
     return long.select("model", *keep, "label", "prediction", "score",
                        match_flag("prediction", "label").alias("equal"))

@@ -136,3 +136,36 @@ def test_pca_sign_is_fixed(spark):
     for j, s in enumerate(signs):
         first = next(v for v in pc[:, j] if abs(v) > 1e-6)
         assert first * s > 0
+
+
+def test_two_auroc_forms_agree_on_hard_predictions(spark):
+    # the reference computes AUROC twice: evaluator on the 0/1 prediction, and
+    # pair metrics over (prediction, label); both must agree
+    s = Q.lineitem_scored(spark, SF001)
+    hard = {r.split: r.auroc for r in metrics.auroc_hard(s, group_cols=["split"]).collect()}
+    pairs = {r.split: r.auroc for r in
+             metrics.auroc_exact(s, "prediction", group_cols=["split"]).collect()}
+    assert hard.keys() == pairs.keys()
+    assert all(abs(hard[k] - pairs[k]) < 1e-12 for k in hard)
+
+
+def test_row_index_column_is_not_nullable(spark):
+    df = spark.createDataFrame([(3,), (1,)], "k long")
+    assert align.row_index(df, ["k"]).schema["index"].nullable is False
+
+
+def test_default_feature_list_is_name_difference(spark):
+    df = spark.createDataFrame([(1, "M", 1.0, 2.0, 1)], "id int, d string, a double, b double, y int")
+    out = features.assemble(df, exclude=["id", "d", "y"])
+    assert out.schema["features"].metadata["ml_attr"]["num_attrs"] == 2
+
+
+def test_score_split_frames_dict(spark):
+    from cohortlab.operators import models
+    from cohortlab.plans import model_data
+    p = model_data.prepared(spark, SF001)
+    m = {"logistic": model_data.fitted(spark, SF001, "logistic")}
+    parts = split.split_frames(p, "split")
+    a = models.score_splits(m, parts, ["doc_id"])
+    b = models.score_splits(m, p, ["doc_id"])
+    assert sorted(a.collect()) == sorted(b.select(*a.columns).collect())
