@@ -26,13 +26,13 @@ def duckdb_connection(sf_dir: str):
     return con
 
 
-def _norm(v, digits: int):
+def _norm(v, digits: int | None):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, digits) + 0.0
+        return v + 0.0 if digits is None else round(v, digits) + 0.0
     if hasattr(v, "item") and not isinstance(v, (str, bytes)):
         try:
             return _norm(v.item(), digits)
@@ -45,8 +45,10 @@ def _norm(v, digits: int):
     return v
 
 
-def compare(spark_df: DataFrame, con, sql: str, digits: int = 6) -> dict:
-    """Return {'ok', 'spark_rows', 'oracle_rows', 'columns', 'detail'}."""
+def compare(spark_df: DataFrame, con, sql: str, digits: int | None = 6) -> dict:
+    """Return {'ok', 'spark_rows', 'oracle_rows', 'columns', 'detail'}.
+
+    ``digits=None`` compares doubles bit for bit (after -0.0 -> 0.0)."""
     s_cols = sorted(spark_df.columns)
     s_rows = [tuple(_norm(r[c], digits) for c in s_cols) for r in spark_df.collect()]
     rel = con.sql(sql)
