@@ -71,7 +71,15 @@ def all_of(conds: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, conds)
 
 
-def split_bucket(key_cols: Sequence[str], salt: str, width: int = 8) -> Column:
-    """Hex prefix of md5(salt:key...) — a layout-independent uniform bucket."""
+def split_digest(key_cols: Sequence[str], salt: str) -> Column:
+    """md5 of ``salt:key...`` as 32 hex digits: a layout-independent hash that
+    SQL engines reproduce (a null key part is skipped, as concat_ws does)."""
     parts = [F.lit(str(salt))] + [F.col(c).cast("string") for c in key_cols]
-    return F.substring(F.md5(F.concat_ws(":", *parts)), 1, width)
+    return F.md5(F.concat_ws(":", *parts))
+
+
+def split_bucket(key_cols: Sequence[str], salt: str, width: int = 8,
+                 segment: int = 0) -> Column:
+    """``width`` hex digits of the digest, from segment ``segment``: a uniform
+    bucket; different segments of one digest are independent buckets."""
+    return F.substring(split_digest(key_cols, salt), 1 + segment * width, width)

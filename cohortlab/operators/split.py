@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.functions.columns import split_bucket
+from cohortlab.functions.columns import split_bucket, split_digest
 
 HEX_WIDTH = 8
 
@@ -30,31 +30,38 @@ def thresholds(weights: Sequence[float], width: int = HEX_WIDTH) -> list[str]:
     return out
 
 
+def _assign(bucket: Column, weights: Sequence[float], names: Sequence[str]) -> Column:
+    e = None
+    for t, n in zip(thresholds(weights), names[:-1]):
+        e = F.when(bucket < F.lit(t), F.lit(n)) if e is None else e.when(bucket < F.lit(t), F.lit(n))
+    return F.lit(names[-1]) if e is None else e.otherwise(F.lit(names[-1]))
+
+
 def hash_split(df: DataFrame, key_cols: Sequence[str], weights: Sequence[float] = (0.8, 0.2),
                salt: str = "12345", names: Sequence[str] = ("train", "test"),
                out: str = "split") -> DataFrame:
-    """Add ``out`` naming the part of each row."""
+    """Add ``out`` naming the part of each row (R1): the first 8 hex digits of
+    md5(salt:key) against the cumulative weights."""
     if len(names) != len(weights):
         raise ValueError("one name per weight")
-    b = split_bucket(key_cols, salt, HEX_WIDTH)
-    e = None
-    for t, n in zip(thresholds(weights), names[:-1]):
-        e = F.when(b < F.lit(t), F.lit(n)) if e is None else e.when(b < F.lit(t), F.lit(n))
-    e = F.lit(names[-1]) if e is None else e.otherwise(F.lit(names[-1]))
-    return df.withColumn(out, e)
+    return df.withColumn(out, _assign(split_bucket(key_cols, salt, HEX_WIDTH), weights, names))
 
 
 def three_way_split(df: DataFrame, key_cols: Sequence[str],
                     weights: Sequence[float] = (0.8, 0.2), salt: str = "12345",
-                    val_salt: str | None = None, out: str = "split") -> DataFrame:
+                    out: str = "split") -> DataFrame:
     """train / val / test as the reference does it: split off test, then split
-    the training part again with the same weights (R1 + R2; 64 / 16 / 20 %)."""
-    val_salt = val_salt if val_salt is not None else f"{salt}v"
-    first = hash_split(df, key_cols, weights, salt, ("train", "test"), out="_s1")
-    second = hash_split(first, key_cols, weights, val_salt, ("train", "val"), out="_s2")
-    return (second.withColumn(out, F.when(F.col("_s1") == "test", F.lit("test"))
-                              .otherwise(F.col("_s2")))
-            .drop("_s1", "_s2"))
+    the training part again with the same weights (R1 + R2; 64 / 16 / 20 %).
+
+    One md5 per row: digits 1-8 decide test vs the rest (the same rows as
+    ``hash_split`` with this salt), digits 9-16 decide val vs train.
+    """
+    h = "_split_md5"
+    d = df.withColumn(h, split_digest(key_cols, salt))
+    first = _assign(F.substring(F.col(h), 1, HEX_WIDTH), weights, ("rest", "test"))
+    second = _assign(F.substring(F.col(h), 1 + HEX_WIDTH, HEX_WIDTH), weights, ("train", "val"))
+    return (d.withColumn(out, F.when(first == F.lit("test"), F.lit("test")).otherwise(second))
+            .drop(h))
 
 
 def split_frames(df: DataFrame, col: str = "split", names: Sequence[str] | None = None,

@@ -37,8 +37,9 @@ def _split2(keys: str, salt: str = SALT) -> str:
 
 
 def _split3(keys: str, salt: str = SALT) -> str:
-    return (f"CASE WHEN {_bucket(keys, salt)} >= 'cccccccc' THEN 'test' "
-            f"WHEN {_bucket(keys, salt + 'v')} < 'cccccccc' THEN 'train' ELSE 'val' END")
+    digest = f"md5(concat_ws(':', '{salt}', {keys}))"
+    return (f"CASE WHEN substr({digest}, 1, 8) >= 'cccccccc' THEN 'test' "
+            f"WHEN substr({digest}, 9, 8) < 'cccccccc' THEN 'train' ELSE 'val' END")
 
 
 def _label() -> str:
