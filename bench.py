@@ -46,6 +46,14 @@ def reference_style_profile(spark, sf: str) -> int:
     return n
 
 
+def _sf_number(sf_dir: str):
+    name = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    try:
+        return float(name)
+    except ValueError:
+        return name
+
+
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -74,7 +82,7 @@ def main() -> None:
         "value": round(sum(times.values()), 3),
         "unit": "sec",
         "queries": times,
-        "sf": os.path.basename(sf.rstrip("/")).replace("sf", ""),
+        "sf": _sf_number(sf),
         "cpus": int(cpus),
         "structural_baseline": {
             "class_profile_one_action_per_value_sec": ref_style,

@@ -21,7 +21,8 @@ from cohortlab.operators.broadcast import bounded_broadcast
 
 DEFAULT_RANGES = 64
 ROWS_PER_RANGE = 4_000_000   # one window task sorts about this many rows
-MAX_RANGES = 1_000_000       # bound on the bounds list and the offset table
+MAX_RANGES = 100_000         # bound on the bounds list and the offset table
+MAX_ACCURACY = 400_000       # quantile sketch size per task stays in the 10 MB range
 
 
 def _base_ranges(df: DataFrame) -> int:
@@ -33,7 +34,8 @@ def _base_ranges(df: DataFrame) -> int:
 
 def _bounds(df: DataFrame, x, k: int, with_count: bool = False):
     fr = [i / k for i in range(1, k)]
-    acc = max(10_000, 20 * k)
+    # rank error of a bound is about n / acc, i.e. a quarter of a range or less
+    acc = min(max(10_000, 4 * k), MAX_ACCURACY)
     aggs = [F.percentile_approx(x, fr, acc).alias("b")]
     if with_count:
         aggs.append(F.count(F.lit(1)).alias("n"))
