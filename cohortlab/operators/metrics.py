@@ -126,10 +126,13 @@ def auroc_exact(df: DataFrame, score_col: str, label_col: str = "label",
 
 def leaderboard(scored: DataFrame, model_col: str = "model", pred_col: str = "prediction",
                 label_col: str = "label", split_col: str | None = "split",
-                split: str = "test") -> DataFrame:
+                split: str = "test", order: Sequence[str] | None = None) -> DataFrame:
     """One row per model on one split: auroc (hard), accuracy, rank (A10).
 
-    The rank window runs over the aggregated table (one row per model).
+    ``rank`` orders by auroc (ties by name). ``order`` adds ``pos``, the
+    model's place in a fixed list (the reference lists its five scores in a
+    fixed order). The rank window runs over the aggregated table (one row per
+    model).
     """
     d = scored if split_col is None else scored.filter(F.col(split_col) == F.lit(split))
     cm = precision_recall(confusion_matrix(d, pred_col, label_col, [model_col]))
@@ -137,4 +140,9 @@ def leaderboard(scored: DataFrame, model_col: str = "model", pred_col: str = "pr
                       _hard_auc(F.col("tp"), F.col("tn"), F.col("fp"), F.col("fn")).alias("auroc"),
                       "accuracy")
     w = Window.orderBy(F.desc_nulls_last("auroc"), F.col(model_col))
-    return board.withColumn("rank", F.row_number().over(w))
+    board = board.withColumn("rank", F.row_number().over(w))
+    if order is not None:
+        board = board.withColumn(
+            "pos", F.array_position(F.array(*[F.lit(m) for m in order]), F.col(model_col))
+            .cast("int"))
+    return board

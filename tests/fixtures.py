@@ -19,10 +19,9 @@ FEATURES = tuple(f"{m}_{f}" for f in FAMILIES for m in MEASURES)
 
 
 def cancer_like(spark, n_benign: int = 357, n_malignant: int = 212):
-    n = n_benign + n_malignant
-    base = spark.range(n).select(
+    base = spark.range(n_benign + n_malignant).select(
         (F.lit(84_000_000) + F.col("id") * F.lit(7919)).cast("int").alias("id"),
-        F.when(F.col("id") % F.lit(n) < F.lit(n_malignant), F.lit("M"))
+        F.when(F.col("id") < F.lit(n_malignant), F.lit("M"))
         .otherwise(F.lit("B")).alias("diagnosis"))
     cols = [F.col("id"), F.col("diagnosis")]
     for f in FAMILIES:

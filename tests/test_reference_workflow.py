@@ -82,7 +82,9 @@ def test_prepare_train_score(spark, table):
     assert pt.columns == ["Int_Diagnostics", "PCA_1", "PCA_2"]
     ms = models.fit_models(prepared.filter("split = 'train'"), label_col="Int_Diagnostics")
     scored = models.score_splits(ms, prepared, ["id"], label_col="Int_Diagnostics")
-    board = {r.model: r for r in metrics.leaderboard(scored).collect()}
+    board = {r.model: r for r in
+             metrics.leaderboard(scored, order=models.MODEL_NAMES).collect()}
+    assert sorted(r.pos for r in board.values()) == [1, 2, 3, 4, 5]
     assert set(board) == set(models.MODEL_NAMES)
     assert all(r.auroc > 0.9 for r in board.values()), board
     cm = metrics.confusion_matrix(scored, group_cols=["model", "split"]).collect()
