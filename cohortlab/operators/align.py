@@ -4,8 +4,9 @@ The reference numbers rows by ``rdd.zipWithIndex`` and joins two projections on
 that number. In PySpark a trip through ``df.rdd`` pickles every row into Python,
 so the index here is built from DataFrame operations instead: an explicit order
 (``order_cols`` must be a total order, or the numbering among ties is
-arbitrary), range buckets on the first order column, a row number inside each
-range, and a small per-range offset table.
+arbitrary), range buckets on the first order column (numeric, date,
+timestamp or string), a row number inside each range, and a small per-range
+offset table. Without an order, rows are numbered in their current order.
 """
 
 from __future__ import annotations
@@ -16,11 +17,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.operators.ranges import exclusive_prefix
+from cohortlab.sources.cache import cut_lineage
 
 
-def row_index(df: DataFrame, order_cols: Sequence[str], out: str = "index",
+def row_index(df: DataFrame, order_cols: Sequence[str] | None, out: str = "index",
               ranges: int | None = None) -> DataFrame:
-    """Add a dense 0-based ``out`` (long, not null) following ``order_cols``."""
+    """Add a dense 0-based ``out`` (long, not null) following ``order_cols``.
+
+    ``order_cols=None`` numbers the rows in their current order, as the
+    reference's ``zipWithIndex`` does: each row is tagged with
+    ``monotonically_increasing_id`` (increasing within and across partitions)
+    and the tagged rows are checkpointed, so every job below sees the same tags.
+    """
+    if order_cols is None:
+        tag = "_row_order"
+        tagged = cut_lineage(df.withColumn(tag, F.monotonically_increasing_id()))
+        return row_index(tagged, [tag], out, ranges).drop(tag)
     if isinstance(order_cols, str):
         order_cols = [order_cols]
     res = exclusive_prefix(df, list(order_cols), None, out, ranges=ranges)

@@ -43,6 +43,31 @@ def _bounds(df: DataFrame, x, k: int, with_count: bool = False):
     return (row["b"] or []), (row["n"] if with_count else None)
 
 
+def order_value(df: DataFrame, col: str):
+    """A double that never decreases when ``col`` increases (its range key).
+
+    Numbers and booleans cast; dates and timestamps count days / microseconds;
+    strings read their first 7 bytes as a big-endian number (Spark orders
+    strings by their UTF-8 bytes), which ties longer common prefixes but keeps
+    the order. Other types are rejected.
+    """
+    t = df.schema[col].dataType.typeName()
+    c = F.col(col)
+    if t in ("byte", "short", "integer", "long", "float", "double", "boolean") \
+            or t.startswith("decimal"):
+        return c.cast("double")
+    if t == "date":
+        return F.unix_date(c).cast("double")
+    if t == "timestamp":
+        return F.unix_micros(c).cast("double")
+    if t == "timestamp_ntz":
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if t == "string":
+        head = F.substring(F.rpad(F.hex(F.substring(c, 1, 7)), 14, "0"), 1, 14)
+        return F.conv(head, 16, 10).cast("double")
+    raise TypeError(f"range key {col!r} of type {t} has no numeric order")
+
+
 def add_range(df: DataFrame, order_col: str, out: str = "_range",
               ranges: int | None = None) -> DataFrame:
     """Add an order-preserving int range id for ``order_col`` (numeric).
@@ -53,7 +78,7 @@ def add_range(df: DataFrame, order_col: str, out: str = "_range",
     assigns each row by binary search on the JVM. If a < b then
     range(a) <= range(b).
     """
-    x = F.col(order_col).cast("double")
+    x = order_value(df, order_col)
     if ranges:
         k = max(1, min(int(ranges), MAX_RANGES))
         bounds = _bounds(df, x, k)[0] if k > 1 else []

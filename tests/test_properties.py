@@ -169,3 +169,27 @@ def test_score_split_frames_dict(spark):
     a = models.score_splits(m, parts, ["doc_id"])
     b = models.score_splits(m, p, ["doc_id"])
     assert sorted(a.collect()) == sorted(b.select(*a.columns).collect())
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.text(alphabet="abcé€z0 ", max_size=12), min_size=0, max_size=60, unique=True),
+       st.integers(1, 6))
+def test_row_index_string_keys(spark, keys, ranges):
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    got = {r.k: r["index"] for r in align.row_index(df, ["k"], ranges=ranges).collect()}
+    want = {k: i for i, k in enumerate(sorted(keys, key=lambda s: s.encode("utf-8")))}
+    assert got == want
+
+
+def test_row_index_dates_and_current_order(spark):
+    import datetime as dt
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=d) for d in (40, 3, 17, 400, 0)]
+    df = spark.createDataFrame([(d,) for d in days], "d date")
+    got = {r.d: r["index"] for r in align.row_index(df, ["d"], ranges=3).collect()}
+    assert got == {d: i for i, d in enumerate(sorted(days))}
+    o = spark.read.parquet(f"{SF001}/orders.parquet").select("o_orderkey")
+    idx = align.row_index(o, None).orderBy("index")
+    rows = idx.collect()
+    assert [r["index"] for r in rows] == list(range(o.count()))
+    # current (file) order is kept: the scan order of the keys
+    assert [r.o_orderkey for r in rows] == [r.o_orderkey for r in o.collect()]
