@@ -27,8 +27,7 @@ def test_no_leak_on_random_label(spark):
     parts = split.three_way_split(li, Q.LI_KEYS)
     pm = features.fit_pipeline(parts.filter("split = 'train'"), Q.LI_FEATURES)
     prepared = pm.transform(parts).select(*Q.LI_KEYS, "split", "label", "scaledFeatures").persist()
-    names = ["boosted_one_round", "random_forest", "linear_svc", "logistic"]
-    ms = models.fit_models(prepared.filter("split = 'train'"), names)
+    ms = models.fit_models(prepared.filter("split = 'train'"), models.MODEL_NAMES)
     scored = models.score_splits(ms, prepared, list(Q.LI_KEYS))
     exact = metrics.auroc_exact(scored.filter("split = 'test'"), "score", group_cols=["model"])
     for r in exact.collect():
