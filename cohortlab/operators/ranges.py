@@ -25,11 +25,15 @@ MAX_RANGES = 100_000         # bound on the bounds list and the offset table
 MAX_ACCURACY = 400_000       # quantile sketch size per task stays in the 10 MB range
 
 
+RANGES_PER_PARTITION = 16     # ranges hash onto partitions; several per partition even out
+
+
 def _base_ranges(df: DataFrame) -> int:
     try:
-        return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     except Exception:  # noqa: BLE001 - conf missing in odd sessions
         return DEFAULT_RANGES
+    return max(1, min(MAX_RANGES, RANGES_PER_PARTITION * parts))
 
 
 def _bounds(df: DataFrame, x, k: int, with_count: bool = False):
@@ -73,7 +77,8 @@ def add_range(df: DataFrame, order_col: str, out: str = "_range",
     """Add an order-preserving int range id for ``order_col`` (numeric).
 
     The number of ranges is ``ranges``, else enough for about ROWS_PER_RANGE
-    rows each (at least the shuffle partition count, at most MAX_RANGES).
+    rows each (at least RANGES_PER_PARTITION per shuffle partition, at most
+    MAX_RANGES).
     The bounds (that many numbers) come back to the driver; ``Bucketizer``
     assigns each row by binary search on the JVM. If a < b then
     range(a) <= range(b).
