@@ -17,6 +17,26 @@ from pyspark.sql import SparkSession
 _OWN_DIRS: dict[int, str] = {}
 
 
+def cluster_settings(input_bytes: int, total_cores: int,
+                     partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
+    """Partition sizing for a cluster run over ``input_bytes`` of input.
+
+    Scan splits and shuffle partitions target ``partition_bytes`` each (so a
+    task's working set fits an executor core's memory share and spills
+    little), with at least two tasks per core; AQE then merges small shuffle
+    partitions and splits skewed join partitions at run time.
+    """
+    parts = max(2 * total_cores, -(-int(input_bytes) // partition_bytes))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+    }
+
+
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
                   app: str = "cohortlab", extra: dict | None = None) -> SparkSession:
     """Local session for tests and the bench; on a cluster use the cluster's session."""

@@ -1,10 +1,10 @@
 """The scoring and confusion-count operators over a streaming source.
 
-The reference has no stream. Its score tables (C6) and confusion counts (A6)
-are plain projections and one aggregate, so the same functions run unchanged
-on a streaming DataFrame: fitted models ``transform`` micro-batches, and the
-counts are a stateful streaming aggregation (``complete`` or ``update``
-mode). Query state and progress go to a checkpoint location under the
+The reference has no stream. Its score tables (C6), confusion counts (A6) and
+class profile (A2-A4, F3) are plain projections and one aggregate, so the same
+functions run unchanged on a streaming DataFrame: fitted models ``transform``
+micro-batches, and the counts and class statistics are stateful streaming
+aggregations (``complete`` mode; ``update`` for the counts). Query state and progress go to a checkpoint location under the
 cluster's shared folder, so a restarted query resumes instead of recounting.
 
 Not available on a stream: ``auroc_exact`` and ``row_index`` (they need an

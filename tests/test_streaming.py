@@ -28,3 +28,22 @@ def test_streaming_confusion_equals_batch(spark):
     want = {r.split: tuple(r[1:]) for r in
             metrics.confusion_matrix(_prepare(batch), group_cols=["split"]).collect()}
     assert got == want
+
+
+def test_streaming_class_profile_equals_batch(spark):
+    from cohortlab.operators import profile
+    batch = spark.read.parquet(f"{SF001}/lineitem.parquet")
+    stream = read_parquet_stream(spark, SF001, batch.schema, glob="lineitem.parquet")
+    prof = profile.class_profile(stream, "l_returnflag", Q.LI_FEATURES)
+    q = start(prof, "cohort_profile", output_mode="complete")
+    try:
+        q.processAllAvailable()
+        got = sorted(tuple(r) for r in spark.sql("SELECT * FROM cohort_profile").collect())
+    finally:
+        q.stop()
+    want = sorted(tuple(r) for r in
+                  profile.class_profile(batch, "l_returnflag", Q.LI_FEATURES).collect())
+    assert len(got) == len(want) == 12
+    for g, w in zip(got, want):
+        assert g[:3] == w[:3]
+        assert all(abs(a - b) < 1e-9 * max(1.0, abs(b)) for a, b in zip(g[3:], w[3:]))
