@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from cohortlab.functions.columns import contains, encode_binary, negate
 from cohortlab.operators import align, features, metrics, models, profile, split
+from cohortlab.plans import model_data
 from cohortlab.plans.catalog import (LI_CLASSES, LI_FEATURES, LI_KEYS, LI_LABEL, table)
 from cohortlab.sources import csv as csv_src
 from cohortlab.sources import views
@@ -431,9 +432,6 @@ def q_pca_explained(spark, sf):
 
 # ------------------------------------------------------------------ models
 
-from cohortlab.plans import model_data  # noqa: E402
-
-
 def _clf(name):
     def q(spark, sf):
         m = model_data.fitted(spark, sf, name)
@@ -447,13 +445,17 @@ for _n in models.MODEL_NAMES:
     query(f"clf_{_n}")(_clf(_n))
 
 
+def _all_scores(spark, sf) -> DataFrame:
+    ms = {n: model_data.fitted(spark, sf, n) for n in models.MODEL_NAMES}
+    return models.score_splits(ms, model_data.prepared(spark, sf), ["doc_id"])
+
+
 @query("score_splits")
 def q_score_splits(spark, sf):
-    ms = {n: model_data.fitted(spark, sf, n) for n in models.MODEL_NAMES}
-    return rounded(models.score_splits(ms, model_data.prepared(spark, sf), ["doc_id"]))
+    return rounded(_all_scores(spark, sf))
 
 
 @query("clf_leaderboard")
 def q_clf_leaderboard(spark, sf):
-    scored = q_score_splits(spark, sf)
-    return rounded(metrics.leaderboard(scored, "model", "prediction", "label", "split", "test"))
+    return rounded(metrics.leaderboard(_all_scores(spark, sf), "model", "prediction", "label",
+                                       "split", "test", order=models.MODEL_NAMES))
