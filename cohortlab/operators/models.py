@@ -26,11 +26,18 @@ from cohortlab.operators.features import vector_to_array
 MODEL_NAMES = ("boosted_one_round", "random_forest", "boosted_many_rounds",
                "linear_svc", "logistic")
 
+# The reference's settings for its boosted models. One round:
+# eta 0.3, max depth 6, gamma 0, all columns per level. Many rounds: the
+# library defaults of 100 rounds at rate 0.1 (31 leaves; depth 5 allows 32).
+ONE_ROUND = {"rounds": 1, "step": 0.3, "depth": 6, "min_gain": 0.0}
+MANY_ROUNDS = {"rounds": 100, "step": 0.1, "depth": 5}
+SEED = 12345  # the reference's seed, reused for the tree models
+
 
 def _boosted_one_round(label, features, seed, **kw):
-    # eta 0.3, depth 6, gamma 0, all columns per level, one round.
-    return GBTClassifier(labelCol=label, featuresCol=features, maxIter=1, stepSize=0.3,
-                         maxDepth=6, minInfoGain=0.0, featureSubsetStrategy="all",
+    return GBTClassifier(labelCol=label, featuresCol=features, maxIter=ONE_ROUND["rounds"],
+                         stepSize=ONE_ROUND["step"], maxDepth=ONE_ROUND["depth"],
+                         minInfoGain=ONE_ROUND["min_gain"], featureSubsetStrategy="all",
                          seed=seed, **kw)
 
 
@@ -38,10 +45,10 @@ def _random_forest(label, features, seed, **kw):
     return RandomForestClassifier(labelCol=label, featuresCol=features, seed=seed, **kw)
 
 
-def _boosted_many_rounds(label, features, seed, rounds: int = 100, **kw):
-    # 100 rounds, rate 0.1; depth 5 gives at most 32 leaves (31 by default there).
-    return GBTClassifier(labelCol=label, featuresCol=features, maxIter=rounds, stepSize=0.1,
-                         maxDepth=5, seed=seed, **kw)
+def _boosted_many_rounds(label, features, seed, **kw):
+    return GBTClassifier(labelCol=label, featuresCol=features, maxIter=MANY_ROUNDS["rounds"],
+                         stepSize=MANY_ROUNDS["step"], maxDepth=MANY_ROUNDS["depth"],
+                         seed=seed, **kw)
 
 
 def _linear_svc(label, features, seed, **kw):
@@ -62,14 +69,14 @@ ESTIMATORS: dict[str, Callable] = {
 
 
 def estimator(name: str, label_col: str = "label", features_col: str = "scaledFeatures",
-              seed: int = 12345, **kw):
+              seed: int = SEED, **kw):
     if name not in ESTIMATORS:
         raise KeyError(f"unknown model {name!r}; one of {sorted(ESTIMATORS)}")
     return ESTIMATORS[name](label_col, features_col, seed, **kw)
 
 
 def fit_models(train: DataFrame, names: Sequence[str] = MODEL_NAMES, label_col: str = "label",
-               features_col: str = "scaledFeatures", seed: int = 12345,
+               features_col: str = "scaledFeatures", seed: int = SEED,
                params: dict[str, dict] | None = None) -> dict:
     """Fit each named model on ``train`` (the caller persists ``train``:
     the fits iterate over it)."""

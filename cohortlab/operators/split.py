@@ -18,6 +18,11 @@ from cohortlab.functions.columns import split_bucket, split_digest
 
 HEX_WIDTH = 8
 
+# The reference's split weights and seed (the seed is used as
+# the hash salt here, and as the seed of ``random_split``).
+WEIGHTS = (0.8, 0.2)
+SEED = "12345"
+
 
 def thresholds(weights: Sequence[float], width: int = HEX_WIDTH) -> list[str]:
     """Upper bounds (hex strings) of every part but the last."""
@@ -37,8 +42,8 @@ def _assign(bucket: Column, weights: Sequence[float], names: Sequence[str]) -> C
     return F.lit(names[-1]) if e is None else e.otherwise(F.lit(names[-1]))
 
 
-def hash_split(df: DataFrame, key_cols: Sequence[str], weights: Sequence[float] = (0.8, 0.2),
-               salt: str = "12345", names: Sequence[str] = ("train", "test"),
+def hash_split(df: DataFrame, key_cols: Sequence[str], weights: Sequence[float] = WEIGHTS,
+               salt: str = SEED, names: Sequence[str] = ("train", "test"),
                out: str = "split") -> DataFrame:
     """Add ``out`` naming the part of each row (R1): the first 8 hex digits of
     md5(salt:key) against the cumulative weights."""
@@ -48,7 +53,7 @@ def hash_split(df: DataFrame, key_cols: Sequence[str], weights: Sequence[float]
 
 
 def three_way_split(df: DataFrame, key_cols: Sequence[str],
-                    weights: Sequence[float] = (0.8, 0.2), salt: str = "12345",
+                    weights: Sequence[float] = WEIGHTS, salt: str = SEED,
                     out: str = "split") -> DataFrame:
     """train / val / test as the reference does it: split off test, then split
     the training part again with the same weights (R1 + R2; 64 / 16 / 20 %).
@@ -72,7 +77,7 @@ def split_frames(df: DataFrame, col: str = "split", names: Sequence[str] | None
             for n in names}
 
 
-def random_split(df: DataFrame, weights: Sequence[float] = (0.8, 0.2),
-                 seed: int = 12345) -> list[DataFrame]:
+def random_split(df: DataFrame, weights: Sequence[float] = WEIGHTS,
+                 seed: int = int(SEED)) -> list[DataFrame]:
     """The reference's ``randomSplit`` (layout-dependent; kept as an option)."""
     return df.randomSplit(list(weights), seed=seed)

@@ -21,7 +21,7 @@ from cohortlab.sources.cache import rebalance
 
 TEXT_FEATURES = ("n_chars", "n_words", "n_distinct", "type_token_ratio", "digit_share",
                  "upper_share", "punct_share", "mean_word_len")
-SALT = "12345"
+SALT = split.SEED
 
 _PREPARED: dict[tuple, DataFrame] = {}
 _FITTED: dict[tuple, object] = {}

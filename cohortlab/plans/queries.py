@@ -25,14 +25,16 @@ Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 DIGITS = 6
 
-# Fixed values of the plans (not of the reference): rule predictions on lineitem.
+SALT = split.SEED  # the reference's split seed, used as the hash salt
+
+# Plan choices for the lineitem stand-in (not from the reference): the
+# positive and baseline classes, the radar order, and rule "models".
+POSITIVE_CLASS = "R"
+BASELINE_CLASS = "N"
+LI_RADAR = ("l_discount", "l_quantity", "l_tax", "l_extendedprice")
 PRICE_RULE = 30000.0
 RULES = {"price_rule": ("l_extendedprice", 30000.0), "qty_rule": ("l_quantity", 25.0),
          "discount_rule": ("l_discount", 0.05), "tax_rule": ("l_tax", 0.04)}
-LI_RADAR = ("l_discount", "l_quantity", "l_tax", "l_extendedprice")
-BASELINE_CLASS = "N"
-POSITIVE_CLASS = "R"
-SALT = "12345"
 
 
 def query(name: str):
