@@ -79,9 +79,10 @@ def fit_models(train: DataFrame, names: Sequence[str] = MODEL_NAMES, label_col:
                features_col: str = "scaledFeatures", seed: int = SEED,
                params: dict[str, dict] | None = None) -> dict:
     """Fit each named model on ``train`` (the caller persists ``train``:
-    the fits iterate over it)."""
+    the fits iterate over it). Rows without a label are left out of the fit."""
     params = params or {}
-    train = train.withColumn(label_col, F.col(label_col).cast("double"))
+    train = (train.filter(F.col(label_col).isNotNull())
+             .withColumn(label_col, F.col(label_col).cast("double")))
     return {n: estimator(n, label_col, features_col, seed, **params.get(n, {})).fit(train)
             for n in names}
 

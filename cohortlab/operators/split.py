@@ -5,6 +5,10 @@ after a repartition or a different file layout. The default here is a hash
 split: a row's part depends only on ``md5(salt:key...)``, so every executor,
 every layout, and any SQL engine with ``md5`` puts it in the same part. It is
 a narrow, per-row expression — no shuffle, no sampling job.
+
+Rows that share a key always land in the same part (no leakage of one key
+across parts); a null key part is skipped by ``concat_ws``, so rows whose key
+is entirely null share one part.
 """
 
 from __future__ import annotations

@@ -138,3 +138,21 @@ def test_cluster_settings_sizes_partitions():
     assert int(c["spark.sql.shuffle.partitions"]) == -(-100 * 10 ** 12 // (256 * 1024 * 1024))
     small = cluster_settings(10 ** 6, 8)
     assert small["spark.sql.shuffle.partitions"] == "16"
+
+
+def test_fit_skips_null_labels(spark):
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    from cohortlab.operators import models
+    rows = [(Vectors.dense([float(i), float(i % 3)]), float(i % 2)) for i in range(40)]
+    rows += [(Vectors.dense([1.0, 2.0]), None)]
+    schema = StructType([StructField("scaledFeatures", VectorUDT()),
+                         StructField("label", DoubleType())])
+    df = spark.createDataFrame(rows, schema)
+    ms = models.fit_models(df, ["logistic", "random_forest"])
+    scored = models.score_splits(ms, df.withColumn("id", F.monotonically_increasing_id()),
+                                 ["id"], split_col=None)
+    assert scored.count() == 82
+    cm = {r.model: r for r in metrics.confusion_matrix(scored, group_cols=["model"]).collect()}
+    assert all(r.n == 41 and r.wrong >= 1 for r in cm.values())
