@@ -25,7 +25,10 @@ def null_count(cols: Sequence[str]) -> Column:
 
 
 def null_heavy(cols: Sequence[str], frac: float = 0.9) -> Column:
-    """True when at least ``frac`` of ``cols`` are null in the row (P1's test)."""
+    """True when at least ``frac`` of ``cols`` are null in the row (P1's test);
+    false when ``cols`` is empty."""
+    if not cols:
+        return F.lit(False)
     return null_count(cols) >= F.lit(float(frac) * len(cols))
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from cohortlab.functions.columns import (contains, encode_binary, min_max_scale,
                                          null_count, null_heavy)
 from cohortlab.operators.broadcast import bounded_broadcast, fits_broadcast, measured
+from cohortlab.operators.keys import join_null_safe
 
 # A key table up to this many rows is also pushed to the scan as IN lists
 # (row groups whose min/max miss every key are skipped).
@@ -194,7 +195,7 @@ def record_profile(df: DataFrame, id_cols, label_col: str, cols: Sequence[str],
     recs = point_lookup(df, look, keys, cols=[label_col, *cols])
     long = _unpivot_values(recs, [*ids, label_col], cols)
     st = bounded_broadcast(stats.select(label_col, "attribute", "min_value", "max_value"))
-    return (long.join(st, on=[label_col, "attribute"], how="left")
+    return (join_null_safe(long, st, [label_col, "attribute"], how="left")
             .withColumn("scaled", min_max_scale("value", "min_value", "max_value")))
 
 
@@ -216,7 +217,7 @@ def scale_by_class(df: DataFrame, label_col: str, cols: Sequence[str],
         .select(label_col, *[F.col(f"{c}_lo").alias(f"_lo_{c}") for c in cols],
                 *[F.col(f"{c}_hi").alias(f"_hi_{c}") for c in cols]))
     r = bounded_broadcast(ranges)
-    out = df.join(r, on=label_col, how="left")
+    out = join_null_safe(df, r, [label_col], how="left")
     return out.select(*df.columns, *[min_max_scale(c, f"_lo_{c}", f"_hi_{c}").alias(c + suffix)
                                      for c in cols])
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.operators.broadcast import bounded_broadcast
+from cohortlab.operators.keys import join_null_safe
 
 DEFAULT_RANGES = 64
 ROWS_PER_RANGE = 4_000_000   # one window task sorts about this many rows
@@ -65,7 +66,11 @@ def order_value(df: DataFrame, col: str):
     if t == "timestamp":
         return F.unix_micros(c).cast("double")
     if t == "timestamp_ntz":
-        return F.unix_micros(c.cast("timestamp")).cast("double")
+        # wall-clock fields, independent of the session time zone (seconds;
+        # ties within a second are ordered by the window sort itself)
+        secs = (F.unix_date(F.to_date(c)).cast("double") * F.lit(86400.0)
+                + F.hour(c) * F.lit(3600.0) + F.minute(c) * F.lit(60.0) + F.second(c))
+        return secs
     if t == "string":
         head = F.substring(F.rpad(F.hex(F.substring(c, 1, 7)), 14, "0"), 1, 14)
         return F.conv(head, 16, 10).cast("double")
@@ -101,8 +106,10 @@ def add_range(df: DataFrame, order_col: str, out: str = "_range",
     splits = [float("-inf")] + inner + [float("inf")]
     tmp = f"{out}_x"
     b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
+    # a null key sorts first (Spark's ascending order), so it gets range -1;
+    # NaN sorts last and Bucketizer already puts it after the last range
     return (b.transform(df.withColumn(tmp, x)).drop(tmp)
-            .withColumn(out, F.col(out).cast("int")))
+            .withColumn(out, F.coalesce(F.col(out).cast("int"), F.lit(-1))))
 
 
 def exclusive_prefix(df: DataFrame, order_cols: Sequence[str], value_col: str | None,
@@ -112,7 +119,8 @@ def exclusive_prefix(df: DataFrame, order_cols: Sequence[str], value_col: str |
     ``order_cols`` order (within ``group_cols``). ``value_col=None`` counts rows,
     which gives a dense 0-based row number when ``order_cols`` is a total order.
 
-    The first order column must be numeric (it is the range key).
+    The first order column is the range key (see ``order_value``). Rows
+    with a null group key form their own group, as in ``groupBy``.
     """
     rng = "_range"
     d = add_range(df, order_cols[0], rng, ranges)
@@ -126,6 +134,6 @@ def exclusive_prefix(df: DataFrame, order_cols: Sequence[str], value_col: str |
     offsets = totals.select(*group_cols, rng,
                             F.coalesce(F.sum("_tot").over(w_off), F.lit(0)).alias("_off"))
     offsets = bounded_broadcast(offsets)
-    out_df = d.join(offsets, on=[*group_cols, rng], how="left")
+    out_df = join_null_safe(d, offsets, [*group_cols, rng], how="left")
     return (out_df.withColumn(out, F.col("_in_range") + F.col("_off"))
             .drop("_in_range", "_off", rng))

@@ -156,3 +156,46 @@ def test_fit_skips_null_labels(spark):
     assert scored.count() == 82
     cm = {r.model: r for r in metrics.confusion_matrix(scored, group_cols=["model"]).collect()}
     assert all(r.n == 41 and r.wrong >= 1 for r in cm.values())
+
+
+def test_row_index_with_null_keys(spark):
+    df = spark.createDataFrame([(None,), (None,), (1,), (2,), (3,)], "k int")
+    got = align.row_index(df, ["k"], ranges=3).collect()
+    assert sorted(r["index"] for r in got) == [0, 1, 2, 3, 4]
+    assert {r.k: r["index"] for r in got if r.k is not None} == {1: 2, 2: 3, 3: 4}
+    # nulls sort first, as in Spark's ascending order
+    assert sorted(r["index"] for r in align.row_index(df, ["k"], ranges=3).collect()
+                  if r.k is None) == [0, 1]
+
+
+def test_auroc_exact_null_group(spark):
+    df = spark.createDataFrame([(None, 0.1, 1), (None, 0.3, 1), (None, 0.2, 0),
+                                ("a", 0.1, 0), ("a", 0.9, 1)], "g string, s double, y int")
+    got = {r.g: r.auroc for r in metrics.auroc_exact(df, "s", "y", ["g"], ranges=2).collect()}
+    assert got == {None: 0.5, "a": 1.0}
+
+
+def test_null_class_scaled_by_its_group(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0), ("a", 7.0)],
+                               "k string, x double")
+    got = sorted((r.k or "", r.x_scaled) for r in profile.scale_by_class(df, "k", ["x"]).collect())
+    assert got == [("", 0.0), ("", 1.0), ("a", 0.0), ("a", 1.0)]
+
+
+def test_null_heavy_without_columns(spark):
+    df = spark.createDataFrame([(1,), (None,)], "a int")
+    assert profile.drop_null_heavy_rows(df, cols=[]).count() == 2
+
+
+def test_timestamp_ntz_order_independent_of_zone(spark):
+    import datetime as dt
+    ts = [dt.datetime(2024, 3, 10, 2, 30), dt.datetime(2024, 3, 10, 3, 10),
+          dt.datetime(2024, 3, 10, 1, 59), dt.datetime(2023, 11, 5, 1, 30)]
+    df = spark.createDataFrame([(t,) for t in ts], "t timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = {r.t: r["index"] for r in align.row_index(df, ["t"], ranges=3).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == {t: i for i, t in enumerate(sorted(ts))}
