@@ -139,10 +139,11 @@ def pca_table(df: DataFrame, model: PCAModel, names: Sequence[str] | None = None
                                for i, (n, s) in enumerate(zip(names, signs))])
 
 
-def pca_explained(model: PCAModel) -> DataFrame:
+def pca_explained(model: PCAModel, spark=None) -> DataFrame:
     """Explained-variance ratio per component (M6), from the fitted model."""
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
+    if spark is None:
+        from pyspark.sql import SparkSession
+        spark = SparkSession.getActiveSession()
     ev = [float(v) for v in model.explainedVariance.toArray()]
     rows, acc = [], 0.0
     for i, v in enumerate(ev):

@@ -19,6 +19,8 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
                    how: str = "left") -> DataFrame:
     """``left`` joined with ``right`` on ``keys`` (null matches null); the
     output has ``left``'s columns, then ``right``'s non-key columns."""
+    if how not in ("left", "left_outer", "inner", "left_semi", "left_anti"):
+        raise ValueError("join_null_safe keeps the left keys; use a left, inner or semi join")
     ren = {k: f"_rk_{i}" for i, k in enumerate(keys)}
     rest = [c for c in right.columns if c not in ren]
     lq = left.alias("_jl")
@@ -26,5 +28,8 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
                       *[F.col(f"`{c}`") for c in rest]).alias("_jr")
     cond = reduce(lambda a, b: a & b,
                   [F.col(f"_jl.`{k}`").eqNullSafe(F.col(f"_jr.`{ren[k]}`")) for k in keys])
-    return lq.join(rq, cond, how).select(*[F.col(f"_jl.`{c}`") for c in left.columns],
-                                         *[F.col(f"_jr.`{c}`") for c in rest])
+    joined = lq.join(rq, cond, how)
+    if how in ("left_semi", "left_anti"):
+        return joined
+    return joined.select(*[F.col(f"_jl.`{c}`") for c in left.columns],
+                         *[F.col(f"_jr.`{c}`") for c in rest])

@@ -85,8 +85,9 @@ def point_lookup(df: DataFrame, id_cols, keys, cols: Sequence[str] | None = None
 
     ``id_cols`` is one column name or a list (composite key). ``keys`` is a
     scalar or list of scalars for a one-column key (pushed to the scan as an
-    ``IN`` filter), or a DataFrame holding the key columns (left-semi join; the
-    key table is broadcast only after its size is checked). Returns 0..n rows
+    ``IN`` filter), or a DataFrame holding the key columns (left-semi join,
+    null-safe as in the per-class lookups of ``record_profile``; the key table
+    is broadcast only after its size is checked). Returns 0..n rows
     per key; ``expect_one=True`` raises unless every key matches exactly one row.
     """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
@@ -96,9 +97,11 @@ def point_lookup(df: DataFrame, id_cols, keys, cols: Sequence[str] | None = None
         if n <= PUSHDOWN_MAX_KEYS:
             rows = k.collect()  # at most PUSHDOWN_MAX_KEYS rows
             for i, c in enumerate(ids):
-                vals = sorted({r[i] for r in rows if r[i] is not None})
-                src = src.filter(F.col(c).isin(vals))
-        out = src.join(F.broadcast(k) if fits_broadcast(k, n) else k, on=ids, how="left_semi")
+                vals = {r[i] for r in rows}
+                if None not in vals:  # a null key part matches null rows: no IN list
+                    src = src.filter(F.col(c).isin(sorted(vals)))
+        out = join_null_safe(src, F.broadcast(k) if fits_broadcast(k, n) else k, ids,
+                             how="left_semi")
     else:
         if len(ids) != 1:
             raise ValueError("scalar keys need a one-column key; pass a DataFrame of keys")

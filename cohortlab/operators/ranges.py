@@ -48,68 +48,116 @@ def _bounds(df: DataFrame, x, k: int, with_count: bool = False):
     return (row["b"] or []), (row["n"] if with_count else None)
 
 
-def order_value(df: DataFrame, col: str):
-    """A double that never decreases when ``col`` increases (its range key).
+EXACT_LIMIT = 2.0 ** 53         # doubles hold integers exactly below this
+MAX_HOT = 64                     # hot first-column values split by the second column
+
+
+def _common_prefix(a: str, b: str) -> int:
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
 
-    Numbers and booleans cast; dates and timestamps count days / microseconds;
-    strings read their first 7 bytes as a big-endian number (Spark orders
-    strings by their UTF-8 bytes), which ties longer common prefixes but keeps
-    the order. Other types are rejected.
+
+def order_value(df: DataFrame, col: str):
+    """(value, exact): a double that never decreases when ``col`` increases
+    (the range key), and whether equal values mean equal ``col`` values.
+
+    Numbers and booleans cast (exact below 2**53); dates count days;
+    timestamps and wall-clock timestamps count microseconds (the latter from
+    their fields, independent of the session time zone). Strings read 7 bytes
+    as a big-endian number (Spark orders strings by their UTF-8 bytes),
+    starting after the prefix shared by the column's min and max — every value
+    in between shares it — so keys like ``Customer#000…`` still spread out;
+    such values are not exact. Other types are rejected.
     """
     t = df.schema[col].dataType.typeName()
     c = F.col(col)
     if t in ("byte", "short", "integer", "long", "float", "double", "boolean") \
             or t.startswith("decimal"):
-        return c.cast("double")
+        return c.cast("double"), True
     if t == "date":
-        return F.unix_date(c).cast("double")
+        return F.unix_date(c).cast("double"), True
     if t == "timestamp":
-        return F.unix_micros(c).cast("double")
+        return F.unix_micros(c).cast("double"), True
     if t == "timestamp_ntz":
-        # wall-clock fields, independent of the session time zone (seconds;
-        # ties within a second are ordered by the window sort itself)
         secs = (F.unix_date(F.to_date(c)).cast("double") * F.lit(86400.0)
-                + F.hour(c) * F.lit(3600.0) + F.minute(c) * F.lit(60.0) + F.second(c))
-        return secs
+                + F.hour(c) * F.lit(3600.0) + F.minute(c) * F.lit(60.0))
+        micros = secs * F.lit(1e6) + F.extract(F.lit("SECOND"), c).cast("double") * F.lit(1e6)
+        return F.round(micros, 0), True
     if t == "string":
-        head = F.substring(F.rpad(F.hex(F.substring(c, 1, 7)), 14, "0"), 1, 14)
-        return F.conv(head, 16, 10).cast("double")
+        lo, hi = df.agg(F.min(c), F.max(c)).first()
+        skip = _common_prefix(lo, hi) if lo is not None and hi is not None else 0
+        head = F.substring(F.rpad(F.hex(F.substring(c, skip + 1, 7)), 14, "0"), 1, 14)
+        return F.conv(head, 16, 10).cast("double"), False
     raise TypeError(f"range key {col!r} of type {t} has no numeric order")
 
 
-def add_range(df: DataFrame, order_col: str, out: str = "_range",
+def _bucketize(df: DataFrame, x, bounds, out: str) -> DataFrame:
+    """Range of ``x`` among ``bounds``: int, -1 for null (nulls sort first),
+    NaN after the last range (NaN sorts last)."""
+    inner = sorted({float(b) for b in bounds if b is not None
+                    and b == b and abs(b) != float("inf")})
+    if not inner:
+        return df.withColumn(out, F.when(x.isNull(), F.lit(-1)).otherwise(F.lit(0)))
+    tmp = f"{out}_x"
+    b = Bucketizer(splits=[float("-inf")] + inner + [float("inf")], inputCol=tmp,
+                   outputCol=out, handleInvalid="keep")
+    return (b.transform(df.withColumn(tmp, x)).drop(tmp)
+            .withColumn(out, F.coalesce(F.col(out).cast("int"), F.lit(-1))))
+
+
+def add_range(df: DataFrame, order_cols, out: str = "_range",
               ranges: int | None = None) -> DataFrame:
-    """Add an order-preserving int range id for ``order_col`` (numeric).
-
-    The number of ranges is ``ranges``, else enough for about ROWS_PER_RANGE
-    rows each (at least RANGES_PER_PARTITION per shuffle partition, at most
-    MAX_RANGES).
-    The bounds (that many numbers) come back to the driver; ``Bucketizer``
-    assigns each row by binary search on the JVM. If a < b then
-    range(a) <= range(b).
+    """Add an order-preserving range id (long) for ``order_cols``.
+
+    The first column is cut at approximate quantiles: ``ranges`` of them, else
+    enough for about ROWS_PER_RANGE rows each (at least RANGES_PER_PARTITION
+    per shuffle partition, at most MAX_RANGES). The bounds (that many numbers)
+    come back to the driver; ``Bucketizer`` assigns rows by binary search on
+    the JVM. A first-column value that repeats across bounds holds at least
+    2/k of the rows; when it is exact and there is a second order column, its
+    rows are cut again by quantiles of the second column, so one hot value
+    does not make one huge range. If row a precedes row b in the order of
+    ``order_cols``, range(a) <= range(b).
     """
-    x = order_value(df, order_col)
+    cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+    x, exact = order_value(df, cols[0])
     if ranges:
         k = max(1, min(int(ranges), MAX_RANGES))
         bounds = _bounds(df, x, k)[0] if k > 1 else []
     else:
-        k = _base_ranges(df)
+        k = max(_base_ranges(df), 2)
         # one job: the count and the bounds for the default number of ranges
-        bounds, n = _bounds(df, x, max(k, 2), with_count=True)
+        bounds, n = _bounds(df, x, k, with_count=True)
         need = min(MAX_RANGES, -(-int(n) // ROWS_PER_RANGE))
-        if need > max(k, 2):
-            bounds = _bounds(df, x, need)[0]
-    inner = sorted({float(b) for b in bounds if b is not None
-                    and b == b and abs(b) != float("inf")})
-    if not inner:  # empty input or a single value: one range
-        return df.withColumn(out, F.lit(0))
-    splits = [float("-inf")] + inner + [float("inf")]
-    tmp = f"{out}_x"
-    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
-    # a null key sorts first (Spark's ascending order), so it gets range -1;
-    # NaN sorts last and Bucketizer already puts it after the last range
-    return (b.transform(df.withColumn(tmp, x)).drop(tmp)
-            .withColumn(out, F.coalesce(F.col(out).cast("int"), F.lit(-1))))
+        if need > k:
+            k = need
+            bounds = _bounds(df, x, k)[0]
+    base = f"{out}_base"
+    d = _bucketize(df, x, bounds, base)
+    counts: dict[float, int] = {}
+    for b in bounds:
+        if b is not None and b == b and abs(b) < EXACT_LIMIT:
+            counts[float(b)] = counts.get(float(b), 0) + 1
+    hot = sorted(sorted(counts, key=lambda v: -counts[v])[:MAX_HOT]) \
+        if exact and len(cols) > 1 else []
+    hot = [v for v in hot if counts[v] >= 2]
+    if not hot:
+        return d.withColumn(out, F.col(base).cast("long")).drop(base)
+    x2, _ = order_value(df, cols[1])
+    sub_k = max(counts[v] for v in hot) + 1
+    fr = [i / sub_k for i in range(1, sub_k)]
+    acc = min(max(10_000, 4 * sub_k), MAX_ACCURACY)
+    rows = (df.filter(x.isin(hot)).groupBy(x.alias("_hot"))
+            .agg(F.percentile_approx(x2, fr, acc).alias("_b")).collect())  # <= MAX_HOT rows
+    width = sub_k + 2   # sub-range 0: x == v with a null second key; last: x > v
+    sub = F.lit(width - 1)
+    for i, r in enumerate(rows):
+        d = _bucketize(d, x2, r["_b"] or [], f"{out}_s{i}")
+        sub = F.when(x == F.lit(r["_hot"]), F.col(f"{out}_s{i}") + F.lit(1)).otherwise(sub)
+    d = d.withColumn(out, F.col(base).cast("long") * F.lit(width) + sub.cast("long"))
+    return d.drop(base, *[f"{out}_s{i}" for i in range(len(rows))])
 
 
 def exclusive_prefix(df: DataFrame, order_cols: Sequence[str], value_col: str | None,
@@ -123,7 +171,7 @@ def exclusive_prefix(df: DataFrame, order_cols: Sequence[str], value_col: str |
     with a null group key form their own group, as in ``groupBy``.
     """
     rng = "_range"
-    d = add_range(df, order_cols[0], rng, ranges)
+    d = add_range(df, list(order_cols), rng, ranges)
     v = F.lit(1).cast("long") if value_col is None else F.col(value_col)
     w_in = (Window.partitionBy(*group_cols, rng).orderBy(*order_cols)
             .rowsBetween(Window.unboundedPreceding, -1))

@@ -48,7 +48,7 @@ def _label() -> str:
 
 def _scored_cte() -> str:
     return (f"s AS (SELECT *, {_label()} AS label, "
-            f"CASE WHEN l_extendedprice > {PRICE_RULE}::DOUBLE THEN 1.0 ELSE 0.0 END::DOUBLE "
+            f"(l_extendedprice > {PRICE_RULE}::DOUBLE)::DOUBLE "
             f"AS prediction, l_extendedprice AS score, {_split3(KEYS)} AS split FROM lineitem)")
 
 
@@ -78,6 +78,7 @@ def _scaled(v: str, lo: str, hi: str) -> str:
 
 def _records_cte() -> str:
     order = ", ".join(LI_KEYS)
+    order = ", ".join(f"{k} NULLS FIRST" for k in LI_KEYS)
     rec = (f"rec AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY l_returnflag "
            f"ORDER BY {order}) AS rk FROM lineitem) WHERE rk = 1)")
     long = "lng AS (" + " UNION ALL ".join(
@@ -85,10 +86,16 @@ def _records_cte() -> str:
         for c in LI_FEATURES) + ")"
     prof = (f"prof AS (SELECT lng.*, st.min_value, st.max_value, "
             f"{_scaled('value', 'st.min_value', 'st.max_value')} AS scaled FROM lng "
-            f"LEFT JOIN st ON lng.l_returnflag = st.l_returnflag AND lng.attribute = st.attribute)")
+            f"LEFT JOIN st ON lng.l_returnflag IS NOT DISTINCT FROM st.l_returnflag "
+            f"AND lng.attribute = st.attribute)")
     return f"{rec}, {long}, {prof}"
 
 
+def _std_scaled(x: str, sd: str) -> str:
+    """x / sd as the scaler does it: 0 where the deviation is 0 or undefined."""
+    return f"CASE WHEN coalesce({sd}, 0) = 0 THEN 0.0 ELSE {x} / ({sd}) END"
+
+
 def _cm_cols(pred: str = "prediction", label: str = "label") -> str:
     return (f"count(*)::BIGINT AS n, count_if({pred} = {label})::BIGINT AS correct, "
             f"count_if(NOT coalesce({pred} = {label}, false))::BIGINT AS wrong, "
@@ -109,9 +116,9 @@ def _pca_cte() -> str:
         return f"CASE WHEN split = 'train' THEN {c} END"
     return (f"s AS (SELECT *, {_split3(KEYS)} AS split, {_label()} AS label, "
             f"l_extendedprice * (1.0::DOUBLE - l_discount) AS disc_price FROM lineitem), "
-            f"w AS (SELECT *, {a} / stddev_samp({tr(a)}) OVER () AS a, "
-            f"{b} / stddev_samp({tr(b)}) OVER () AS b, corr({tr(a)}, {tr(b)}) OVER () AS r "
-            f"FROM s), "
+            f"w AS (SELECT *, {_std_scaled(a, f'stddev_samp({tr(a)}) OVER ()')} AS a, "
+            f"{_std_scaled(b, f'stddev_samp({tr(b)}) OVER ()')} AS b, "
+            f"corr({tr(a)}, {tr(b)}) OVER () AS r FROM s), "
             f"p AS (SELECT *, CASE WHEN r >= 0 THEN a + b ELSE a - b END / sqrt(2) AS pc1, "
             f"CASE WHEN r >= 0 THEN a - b ELSE a + b END / sqrt(2) AS pc2 FROM w)")
 
@@ -170,7 +177,8 @@ def build() -> dict[str, str]:
     q["min_max_scale"] = (f"WITH r AS (SELECT l_returnflag, {rng} FROM lineitem "
                           f"GROUP BY l_returnflag) SELECT "
                           f"{', '.join('li.' + k for k in LI_KEYS)}, li.l_returnflag, {sc} "
-                          "FROM lineitem li LEFT JOIN r ON li.l_returnflag = r.l_returnflag")
+                          "FROM lineitem li LEFT JOIN r "
+                          "ON li.l_returnflag IS NOT DISTINCT FROM r.l_returnflag")
     q["baseline_profile"] = (
         f"WITH {st}, b AS (SELECT attribute, min_value AS bmin, max_value AS bmax FROM st "
         f"WHERE l_returnflag = '{BASELINE_CLASS}') "
@@ -198,7 +206,8 @@ def build() -> dict[str, str]:
         "LEFT JOIN rp ON ord.attribute = rp.attribute")
 
     q["row_index"] = (f"SELECT o_orderkey, {_r('o_totalprice', 'o_totalprice')}, "
-                      "(row_number() OVER (ORDER BY o_orderkey) - 1)::BIGINT AS index FROM orders")
+                      "(row_number() OVER (ORDER BY o_orderkey NULLS FIRST) - 1)::BIGINT AS index "
+                      "FROM orders")
     q["positional_join"] = (f"SELECT o_orderkey, o_custkey, {_r('o_totalprice', 'o_totalprice')}, "
                             "o_orderpriority FROM orders")
     q["split_train_test"] = f"SELECT o_orderkey, {_split2('o_orderkey')} AS split FROM orders"
@@ -228,8 +237,8 @@ def build() -> dict[str, str]:
              "nullif(sum(p)::DOUBLE * sum(n)::DOUBLE, 0)", "auroc")
         + " FROM c GROUP BY split")
     rules = " UNION ALL ".join(
-        f"SELECT split, label, '{n}' AS model, CASE WHEN {c} > {t}::DOUBLE THEN 1.0 ELSE 0.0 END"
-        f"::DOUBLE AS prediction FROM s" for n, (c, t) in RULES.items())
+        f"SELECT split, label, '{n}' AS model, ({c} > {t}::DOUBLE)::DOUBLE AS prediction FROM s"
+        for n, (c, t) in RULES.items())
     q["model_leaderboard"] = (
         f"WITH {s}, m AS ({rules}), cm AS (SELECT model, {_cm_cols()} FROM m "
         "WHERE split = 'test' GROUP BY model), "
@@ -246,12 +255,14 @@ def build() -> dict[str, str]:
                              + ", ".join(_r(c, f"x_{i}") for i, c in enumerate(LI_FEATURES))
                              + " FROM lineitem")
     q["standard_scale"] = (f"SELECT {KEYS}, "
-                           + ", ".join(_r(f"{c} / stddev_samp({c}) OVER ()", f"{c}_scaled")
-                                       for c in LI_FEATURES) + " FROM lineitem")
+                           + ", ".join(_r(_std_scaled(c, f"stddev_samp({c}) OVER ()"),
+                                          f"{c}_scaled") for c in LI_FEATURES)
+                           + " FROM lineitem")
     q["feature_pipeline"] = (
         f"WITH s AS (SELECT *, {_split3(KEYS)} AS split FROM lineitem) SELECT {KEYS}, split, "
-        + ", ".join(_r(f"{c} / stddev_samp(CASE WHEN split = 'train' THEN {c} END) OVER ()",
-                       f"{c}_scaled") for c in LI_FEATURES) + " FROM s")
+        + ", ".join(_r(_std_scaled(c, f"stddev_samp(CASE WHEN split = 'train' THEN {c} END) "
+                                      "OVER ()"), f"{c}_scaled") for c in LI_FEATURES)
+        + " FROM s")
     pca = _pca_cte()
     q["pca_project"] = (f"WITH {pca} SELECT {KEYS}, split, {_r('pc1', 'PCA_1')}, "
                         f"{_r('pc2', 'PCA_2')} FROM p")

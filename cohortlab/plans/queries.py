@@ -429,7 +429,7 @@ def q_pca_table(spark, sf):
 @query("pca_explained")
 def q_pca_explained(spark, sf):
     _, pca = _pca_fitted(spark, sf)
-    return rounded(features.pca_explained(pca))
+    return rounded(features.pca_explained(pca, spark))
 
 
 # ------------------------------------------------------------------ models

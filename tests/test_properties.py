@@ -193,3 +193,29 @@ def test_row_index_dates_and_current_order(spark):
     assert [r["index"] for r in rows] == list(range(o.count()))
     # current (file) order is kept: the scan order of the keys
     assert [r.o_orderkey for r in rows] == [r.o_orderkey for r in o.collect()]
+
+
+def test_hot_first_key_is_split_by_second(spark):
+    from cohortlab.operators.ranges import add_range
+    # a third of the rows share d = 5; the order is (d, id)
+    rows = [(5, i) for i in range(300)] + [(i % 97, 1000 + i) for i in range(600)]
+    df = spark.createDataFrame(rows, "d int, id int")
+    r = add_range(df, ["d", "id"], "_r", ranges=8)
+    hot = r.filter("d = 5").groupBy("_r").count().collect()
+    assert len(hot) >= 3 and max(x["count"] for x in hot) <= 200
+    # ranges follow the full order (d, id)
+    ordered = [x["_r"] for x in r.orderBy("d", "id").collect()]
+    assert ordered == sorted(ordered)
+    got = {(x.d, x.id): x["index"] for x in align.row_index(df, ["d", "id"], ranges=8).collect()}
+    assert got == {k: i for i, k in enumerate(sorted(rows))}
+
+
+def test_prefixed_string_keys_spread(spark):
+    from cohortlab.operators.ranges import add_range
+    keys = [f"Customer#{i:09d}" for i in range(2000)]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    r = add_range(df, ["k"], "_r", ranges=16)
+    sizes = [x["count"] for x in r.groupBy("_r").count().collect()]
+    assert len(sizes) >= 12 and max(sizes) <= 400
+    got = {x.k: x["index"] for x in align.row_index(df, ["k"], ranges=16).collect()}
+    assert got == {k: i for i, k in enumerate(sorted(keys))}
