@@ -14,6 +14,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from cohortlab.functions.columns import (contains, encode_binary, min_max_scale,
                                          null_count, null_heavy)
@@ -106,16 +107,20 @@ def point_lookup(df: DataFrame, id_cols, keys, cols: Sequence[str] | None = None
         if len(ids) != 1:
             raise ValueError("scalar keys need a one-column key; pass a DataFrame of keys")
         vals = list(keys) if isinstance(keys, (list, tuple, set)) else [keys]
-        out = df.filter(F.col(ids[0]).isin(vals))
+        known = [v for v in vals if v is not None]
+        cond = F.col(ids[0]).isin(known)
+        if len(known) < len(vals):  # a null key matches null, as with a key table
+            cond = cond | F.col(ids[0]).isNull()
+        out = df.filter(cond)
         k = None
     if cols is not None:
         out = out.select(*ids, *[c for c in cols if c not in ids])
     if expect_one:
         per_key = out.groupBy(*ids).count()
         if k is None:
-            k = (df.sparkSession.createDataFrame([(v,) for v in vals], ids)
-                 .select(F.col(ids[0]).cast(df.schema[ids[0]].dataType).alias(ids[0])))
-        bad = (k.join(per_key, on=ids, how="left")
+            schema = StructType([StructField(ids[0], df.schema[ids[0]].dataType)])
+            k = df.sparkSession.createDataFrame([(v,) for v in vals], schema)
+        bad = (join_null_safe(k, per_key, ids, how="left")
                .filter(F.coalesce(F.col("count"), F.lit(0)) != 1).limit(1).count())
         if bad:
             raise ValueError(f"point_lookup: a key of {ids} does not match exactly one row")

@@ -71,11 +71,16 @@ def order_value(df: DataFrame, col: str):
     in between shares it — so keys like ``Customer#000…`` still spread out;
     such values are not exact. Other types are rejected.
     """
-    t = df.schema[col].dataType.typeName()
+    dtype = df.schema[col].dataType
+    t = dtype.typeName()
     c = F.col(col)
-    if t in ("byte", "short", "integer", "long", "float", "double", "boolean") \
-            or t.startswith("decimal"):
-        return c.cast("double"), True
+    if t in ("byte", "short", "integer", "long", "float", "double", "boolean"):
+        # + 0.0 turns -0.0 into 0.0: Spark orders them as equal
+        return c.cast("double") + F.lit(0.0), True
+    if t.startswith("decimal"):
+        # exact only when every value is an integer a double holds exactly
+        exact = dtype.scale == 0 and dtype.precision <= 15
+        return c.cast("double") + F.lit(0.0), exact
     if t == "date":
         return F.unix_date(c).cast("double"), True
     if t == "timestamp":
@@ -123,7 +128,7 @@ def add_range(df: DataFrame, order_cols, out: str = "_range",
     """
     cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     x, exact = order_value(df, cols[0])
-    if ranges:
+    if ranges is not None:
         k = max(1, min(int(ranges), MAX_RANGES))
         bounds = _bounds(df, x, k)[0] if k > 1 else []
     else:
@@ -143,21 +148,29 @@ def add_range(df: DataFrame, order_cols, out: str = "_range",
     hot = sorted(sorted(counts, key=lambda v: -counts[v])[:MAX_HOT]) \
         if exact and len(cols) > 1 else []
     hot = [v for v in hot if counts[v] >= 2]
-    if not hot:
+    x2 = None
+    if hot:
+        try:
+            x2, _ = order_value(df, cols[1])
+        except TypeError:  # no numeric order for the second column: no re-cut
+            x2 = None
+    if x2 is None:
         return d.withColumn(out, F.col(base).cast("long")).drop(base)
-    x2, _ = order_value(df, cols[1])
-    sub_k = max(counts[v] for v in hot) + 1
-    fr = [i / sub_k for i in range(1, sub_k)]
-    acc = min(max(10_000, 4 * sub_k), MAX_ACCURACY)
-    rows = (df.filter(x.isin(hot)).groupBy(x.alias("_hot"))
-            .agg(F.percentile_approx(x2, fr, acc).alias("_b")).collect())  # <= MAX_HOT rows
-    width = sub_k + 2   # sub-range 0: x == v with a null second key; last: x > v
+    # value v repeats counts[v] times among the bounds: about counts[v] ranges of rows
+    width = max(counts[v] for v in hot) + 3   # 0: null second key; last: x > v
+    bounds2 = {}
+    for v in hot:
+        sub_k = counts[v] + 1
+        fr = [i / sub_k for i in range(1, sub_k)]
+        acc = min(max(10_000, 4 * sub_k), MAX_ACCURACY)
+        bounds2[v] = (df.filter(x == F.lit(v))
+                      .agg(F.percentile_approx(x2, fr, acc).alias("_b")).first()["_b"] or [])
     sub = F.lit(width - 1)
-    for i, r in enumerate(rows):
-        d = _bucketize(d, x2, r["_b"] or [], f"{out}_s{i}")
-        sub = F.when(x == F.lit(r["_hot"]), F.col(f"{out}_s{i}") + F.lit(1)).otherwise(sub)
+    for i, v in enumerate(hot):
+        d = _bucketize(d, x2, bounds2[v], f"{out}_s{i}")
+        sub = F.when(x == F.lit(v), F.col(f"{out}_s{i}") + F.lit(1)).otherwise(sub)
     d = d.withColumn(out, F.col(base).cast("long") * F.lit(width) + sub.cast("long"))
-    return d.drop(base, *[f"{out}_s{i}" for i in range(len(rows))])
+    return d.drop(base, *[f"{out}_s{i}" for i in range(len(hot))])
 
 
 def exclusive_prefix(df: DataFrame, order_cols: Sequence[str], value_col: str | None,

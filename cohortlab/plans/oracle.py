@@ -77,7 +77,6 @@ def _scaled(v: str, lo: str, hi: str) -> str:
 
 
 def _records_cte() -> str:
-    order = ", ".join(LI_KEYS)
     order = ", ".join(f"{k} NULLS FIRST" for k in LI_KEYS)
     rec = (f"rec AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY l_returnflag "
            f"ORDER BY {order}) AS rk FROM lineitem) WHERE rk = 1)")

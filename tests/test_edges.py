@@ -199,3 +199,35 @@ def test_timestamp_ntz_order_independent_of_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got == {t: i for i, t in enumerate(sorted(ts))}
+
+
+def test_range_order_invariants(spark):
+    from decimal import Decimal
+
+    from cohortlab.operators.ranges import add_range
+    # decimals that collapse onto one double are not treated as one hot value
+    rows = [(Decimal("1.00000000000000000001"), 10000)] + \
+        [(Decimal("1.00000000000000000002"), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "d decimal(38,20), id int")
+    got = [x["index"] for x in align.row_index(df, ["d", "id"], ranges=4).orderBy("d", "id").collect()]
+    assert got == list(range(len(rows)))
+    # -0.0 and 0.0 are equal keys
+    z = spark.createDataFrame([(-0.0, 5), (0.0, 1), (1.0, 0), (-1.0, 0)] + [(0.0, i) for i in range(10, 40)],
+                              "d double, id int")
+    r = add_range(z, ["d", "id"], "_r", ranges=3)
+    ids = [x["_r"] for x in r.orderBy("d", "id").collect()]
+    assert ids == sorted(ids)
+    # a second column with no numeric order: no re-cut, still correct
+    b = spark.createDataFrame([(5, bytearray([i % 256])) for i in range(60)] + [(i, bytearray([0])) for i in range(30)],
+                              "d int, b binary")
+    assert align.row_index(b, ["d", "b"], ranges=4).count() == 90
+    # ranges=0 means one range
+    assert add_range(z, ["d"], "_r", ranges=0).select("_r").distinct().count() <= 2
+
+
+def test_lookup_null_key_consistent(spark):
+    df = spark.createDataFrame([(None, 1), (2, 2)], "k int, v int")
+    keys = spark.createDataFrame([(None,)], "k int")
+    assert profile.point_lookup(df, "k", keys, expect_one=True).count() == 1
+    assert profile.point_lookup(df, "k", None, expect_one=True).count() == 1
+    assert profile.point_lookup(df, "k", [None, 2]).count() == 2
