@@ -15,13 +15,20 @@ from cohortlab.session import shared_dir
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None,
-             header: bool = True, infer_schema: bool = True, **options) -> DataFrame:
+             header: bool = True, infer_schema: bool = True,
+             sampling_ratio: float | None = None, **options) -> DataFrame:
+    """CSV with a header. With ``schema`` no inference pass runs; otherwise
+    types are inferred, from a ``sampling_ratio`` share of the rows if given
+    (inference is a full extra pass over the files)."""
     r = spark.read.option("header", str(header).lower())
     for k, v in options.items():
         r = r.option(k, v)
     if schema is not None:
         return r.schema(schema).csv(path)
-    return r.option("inferSchema", str(infer_schema).lower()).csv(path)
+    r = r.option("inferSchema", str(infer_schema).lower())
+    if sampling_ratio is not None:
+        r = r.option("samplingRatio", str(sampling_ratio))
+    return r.csv(path)
 
 
 def write_csv(df: DataFrame, path: str | None = None, header: bool = True,
