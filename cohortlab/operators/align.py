@@ -28,6 +28,8 @@ def row_index(df: DataFrame, order_cols: Sequence[str] | None, out: str = "index
     reference's ``zipWithIndex`` does: each row is tagged with
     ``monotonically_increasing_id`` (increasing within and across partitions)
     and the tagged rows are checkpointed, so every job below sees the same tags.
+    That checkpoint is a full write of the frame; with a key order none is
+    needed (the order columns are read again instead).
     """
     if order_cols is None:
         tag = "_row_order"

@@ -231,3 +231,14 @@ def test_lookup_null_key_consistent(spark):
     assert profile.point_lookup(df, "k", keys, expect_one=True).count() == 1
     assert profile.point_lookup(df, "k", None, expect_one=True).count() == 1
     assert profile.point_lookup(df, "k", [None, 2]).count() == 2
+
+
+def test_scale_by_class_with_given_stats(spark):
+    from cohortlab.plans import queries as Q
+    from tests.conftest import SF001
+    li = Q.lineitem(spark, SF001)
+    st = profile.class_stats(li, Q.LI_LABEL, Q.LI_FEATURES)
+    a = profile.scale_by_class(li, Q.LI_LABEL, Q.LI_FEATURES)
+    b = profile.scale_by_class(li, Q.LI_LABEL, Q.LI_FEATURES, stats=st)
+    assert a.columns == b.columns
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
