@@ -4,9 +4,10 @@ Each query's DataFrame is built (model fits and other eager steps count in
 its time) and then executed in full with the ``noop`` sink, so nothing is
 collected to the driver. ``value`` is the sum over the headline queries.
 
-Also timed, as a structural baseline: the reference's way of building the
-class profile — one single-value SQL action per class, statistic and column —
-against the one-scan ``class_profile`` plan.
+Also timed, as structural baselines: the reference's way of building the
+class profile (one single-value SQL action per class, statistic and column)
+against the one-scan ``class_profile`` plan, and its confusion counting (seven
+filtered counts per scored set) against the one-aggregate ``confusion_matrix``.
 
 env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
      BENCH_KEYS (comma list, default all), BENCH_SKIP_MODELS=1 to leave out fits.
@@ -46,6 +47,27 @@ def reference_style_profile(spark, sf: str) -> int:
     return n
 
 
+def reference_style_confusion(spark, sf: str) -> int:
+    """The reference's confusion counting: seven filtered counts per scored set."""
+    from pyspark.sql import functions as F
+
+    from cohortlab.plans.queries import lineitem_scored
+    s = lineitem_scored(spark, sf)
+    p, y = F.col("prediction"), F.col("label")
+    n = 0
+    for part in ("train", "val", "test"):
+        d = s.filter(F.col("split") == part).select("prediction", "label")
+        d.count()
+        d.filter(y == p).count()
+        d.filter(~(y == p)).count()
+        d.filter(p == 1.0).filter(y == p).count()
+        d.filter(p == 0.0).filter(y == p).count()
+        d.filter(p == 0.0).filter(~(y == p)).count()
+        d.filter(p == 1.0).filter(~(y == p)).count()
+        n += 7
+    return n
+
+
 def _sf_number(sf_dir: str):
     name = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     try:
@@ -76,6 +98,12 @@ def main() -> None:
     t = time.perf_counter()
     run(REGISTRY["class_profile"](spark, sf))
     one_pass = round(time.perf_counter() - t, 3)
+    t = time.perf_counter()
+    n_cm_actions = reference_style_confusion(spark, sf)
+    cm_ref_style = round(time.perf_counter() - t, 3)
+    t = time.perf_counter()
+    run(REGISTRY["confusion_matrix"](spark, sf))
+    cm_one_pass = round(time.perf_counter() - t, 3)
 
     print(json.dumps({
         "metric": "total_query_seconds",
@@ -88,6 +116,9 @@ def main() -> None:
             "class_profile_one_action_per_value_sec": ref_style,
             "class_profile_actions": n_actions,
             "class_profile_one_pass_sec": one_pass,
+            "confusion_one_action_per_cell_sec": cm_ref_style,
+            "confusion_actions": n_cm_actions,
+            "confusion_one_pass_sec": cm_one_pass,
         },
     }))
 
