@@ -92,3 +92,18 @@ def test_prepare_train_score(spark, table):
     exact = metrics.auroc_exact(scored, "score", group_cols=["model", "split"]).collect()
     assert all(r.auroc > 0.9 for r in exact if r.split == "test")
     prepared.unpersist()
+
+
+def test_notebook_flow_one_call(spark, table):
+    from cohortlab.workflow import notebook_flow
+    b_id = table.filter("diagnosis = 'B'").agg(F.min("id")).first()[0]
+    m_id = table.filter("diagnosis = 'M'").agg(F.max("id")).first()[0]
+    out = notebook_flow(table, record_ids={"B": b_id, "M": m_id})
+    assert out["summary"].count() == 5
+    assert out["radar"].count() == 20
+    assert {r.id for r in out["record_profile"].collect()} == {b_id, m_id}
+    assert out["pca_table"].columns == ["Int_Diagnostics", "PCA_1", "PCA_2"]
+    board = out["leaderboard"].collect()
+    assert len(board) == 5 and all(r.auroc > 0.9 for r in board)
+    assert out["metrics"].count() == 15 and out["auroc_exact"].count() == 15
+    out["prepared"].unpersist()
