@@ -14,7 +14,6 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from cohortlab.functions.columns import (contains, encode_binary, min_max_scale,
                                          null_count, null_heavy)
@@ -118,8 +117,9 @@ def point_lookup(df: DataFrame, id_cols, keys, cols: Sequence[str] | None = None
     if expect_one:
         per_key = out.groupBy(*ids).count()
         if k is None:
-            schema = StructType([StructField(ids[0], df.schema[ids[0]].dataType)])
-            k = df.sparkSession.createDataFrame([(v,) for v in vals], schema)
+            dtype = df.schema[ids[0]].dataType
+            k = df.sparkSession.range(1).select(
+                F.explode(F.array(*[F.lit(v).cast(dtype) for v in vals])).alias(ids[0]))
         bad = (join_null_safe(k, per_key, ids, how="left")
                .filter(F.coalesce(F.col("count"), F.lit(0)) != 1).limit(1).count())
         if bad:

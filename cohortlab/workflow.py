@@ -26,18 +26,23 @@ def notebook_flow(df: DataFrame, id_col: str = "id", label_col: str = "diagnosis
                   positive="M", negative="B", label_out: str = "Int_Diagnostics",
                   record_ids: dict | None = None, families: Sequence[str] = ("worst", "mean"),
                   measures: Sequence[str] = RADAR_ORDER, model_names: Sequence[str] =
-                  models.MODEL_NAMES, salt: str = split.SEED, pca_k: int = 2) -> dict:
+                  models.MODEL_NAMES, salt: str = split.SEED, pca_k: int = 2,
+                  handle_invalid: str = "error") -> dict:
     """Run the flow; return a dict of DataFrames (and the fitted models).
 
     ``record_ids`` maps a class value to the id of the record to profile
     (default: the lowest id of each class). ``families`` x ``measures`` name
     the radar attributes as ``<measure>_<family>``; missing ones are skipped.
+    Features are the numeric columns other than the id and the labels. A null
+    feature fails the assembler as in the reference (``handle_invalid="error"``);
+    ``"skip"`` leaves such rows out of training and scoring, ``"keep"`` makes
+    them NaN.
     """
     out: dict = {}
     out["summary"] = profile.describe_table(profile.drop_null_heavy_rows(df))
     enc = profile.encode_label(df, label_col, positive, out=label_out)
     out["encoded"] = enc
-    feats = profile.feature_columns(enc, [id_col, label_col, label_out])
+    feats = profile.numeric_columns(enc, exclude=[id_col, label_col, label_out])
 
     fam = {f: [f"{m}_{f}" for m in measures if f"{m}_{f}" in enc.columns] for f in families}
     fam = {f: a for f, a in fam.items() if a}
@@ -60,7 +65,8 @@ def notebook_flow(df: DataFrame, id_col: str = "id", label_col: str = "diagnosis
 
     parts = split.three_way_split(enc, [id_col], salt=salt)
     train_rows = parts.filter(F.col("split") == "train")
-    pm = features.fit_pipeline(train_rows, feats, features_col="Resultfeatures")
+    pm = features.fit_pipeline(train_rows, feats, features_col="Resultfeatures",
+                               handle_invalid=handle_invalid)
     prepared = (pm.transform(parts).select(id_col, "split", label_out, "scaledFeatures")
                 .persist(StorageLevel.MEMORY_AND_DISK))
     train = prepared.filter(F.col("split") == "train")

@@ -242,3 +242,8 @@ def test_scale_by_class_with_given_stats(spark):
     b = profile.scale_by_class(li, Q.LI_LABEL, Q.LI_FEATURES, stats=st)
     assert a.columns == b.columns
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_expect_one_casts_scalar_keys(spark):
+    df = spark.createDataFrame([(5.0, 1), (6.0, 2)], "price double, v int")
+    assert profile.point_lookup(df, "price", 5, expect_one=True).count() == 1
