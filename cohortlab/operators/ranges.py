@@ -12,6 +12,7 @@ the ranges is approximate.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
@@ -37,15 +38,30 @@ def _base_ranges(df: DataFrame) -> int:
     return max(1, min(MAX_RANGES, RANGES_PER_PARTITION * parts))
 
 
-def _bounds(df: DataFrame, x, k: int, with_count: bool = False):
+SAMPLE_PER_RANGE = 50          # sampled rows per range (Spark's range partitioner uses 20)
+MAX_SAMPLE = 5_000_000          # bound on the rows that feed the quantile sketches
+SAMPLE_SEED = 17
+
+
+def _sampled(df: DataFrame, n: int, target: int) -> DataFrame:
+    """About ``target`` rows of ``df`` (all of them when it is small). Bounds
+    come from a bounded sample so the final sketch merge (one task for a
+    global aggregate) handles a bounded number of entries."""
+    if n <= target:
+        return df
+    return df.sample(fraction=min(1.0, 1.5 * target / n), seed=SAMPLE_SEED)
+
+
+def _bounds(df: DataFrame, x, k: int, n: int):
+    """k - 1 quantile bounds of ``x`` from a bounded sample of ``df``."""
+    if k <= 1 or n == 0:
+        return []
+    target = min(MAX_SAMPLE, max(100_000, SAMPLE_PER_RANGE * k))
     fr = [i / k for i in range(1, k)]
-    # rank error of a bound is about n / acc, i.e. a quarter of a range or less
     acc = min(max(10_000, 4 * k), MAX_ACCURACY)
-    aggs = [F.percentile_approx(x, fr, acc).alias("b")]
-    if with_count:
-        aggs.append(F.count(F.lit(1)).alias("n"))
-    row = df.agg(*aggs).first()
-    return (row["b"] or []), (row["n"] if with_count else None)
+    row = _sampled(df.select(x.alias("_x")), n, target).agg(
+        F.percentile_approx("_x", fr, acc).alias("b")).first()
+    return row["b"] or []
 
 
 EXACT_LIMIT = 2.0 ** 53         # doubles hold integers exactly below this
@@ -59,7 +75,7 @@ def _common_prefix(a: str, b: str) -> int:
     return n
 
 
-def order_value(df: DataFrame, col: str):
+def order_value(df: DataFrame, col: str, lo_hi: tuple | None = None):
     """(value, exact): a double that never decreases when ``col`` increases
     (the range key), and whether equal values mean equal ``col`` values.
 
@@ -91,7 +107,7 @@ def order_value(df: DataFrame, col: str):
         micros = secs * F.lit(1e6) + F.extract(F.lit("SECOND"), c).cast("double") * F.lit(1e6)
         return F.round(micros, 0), True
     if t == "string":
-        lo, hi = df.agg(F.min(c), F.max(c)).first()
+        lo, hi = lo_hi if lo_hi is not None else df.agg(F.min(c), F.max(c)).first()
         skip = _common_prefix(lo, hi) if lo is not None and hi is not None else 0
         head = F.substring(F.rpad(F.hex(F.substring(c, skip + 1, 7)), 14, "0"), 1, 14)
         return F.conv(head, 16, 10).cast("double"), False
@@ -116,65 +132,83 @@ def add_range(df: DataFrame, order_cols, out: str = "_range",
               ranges: int | None = None) -> DataFrame:
     """Add an order-preserving range id (long) for ``order_cols``.
 
-    The first column is cut at approximate quantiles: ``ranges`` of them, else
+    One job counts the rows (and the first column's nulls, min and max); one
+    more computes the bounds from a bounded sample: ``ranges`` ranges, else
     enough for about ROWS_PER_RANGE rows each (at least RANGES_PER_PARTITION
-    per shuffle partition, at most MAX_RANGES). The bounds (that many numbers)
-    come back to the driver; ``Bucketizer`` assigns rows by binary search on
-    the JVM. A first-column value that repeats across bounds holds at least
-    2/k of the rows; when it is exact and there is a second order column, its
-    rows are cut again by quantiles of the second column, so one hot value
-    does not make one huge range. If row a precedes row b in the order of
-    ``order_cols``, range(a) <= range(b).
+    per shuffle partition, at most MAX_RANGES). ``Bucketizer`` assigns rows by
+    binary search on the JVM.
+
+    Hot keys: a first-column value that repeats across the bounds holds at
+    least 2/k of the rows, and so may a large null group. When the value is
+    exact (equal order values mean equal keys) its rows are cut again: by
+    quantiles of the second order column, or, with a single order column, by
+    a hash of the whole row (ties may be numbered in any order; the hash is
+    deterministic, so every job sees the same ranges). If row a precedes
+    row b in the order of ``order_cols``, range(a) <= range(b).
     """
     cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
-    x, exact = order_value(df, cols[0])
+    c0 = F.col(cols[0])
+    is_str = df.schema[cols[0]].dataType.typeName() == "string"
+    aggs = [F.count(F.lit(1)).alias("n"), F.count(c0).alias("nn")]
+    if is_str:
+        aggs += [F.min(c0).alias("lo"), F.max(c0).alias("hi")]
+    st = df.agg(*aggs).first()
+    n, nulls = int(st["n"]), int(st["n"]) - int(st["nn"])
+    x, exact = order_value(df, cols[0], (st["lo"], st["hi"]) if is_str else None)
     if ranges is not None:
         k = max(1, min(int(ranges), MAX_RANGES))
-        bounds = _bounds(df, x, k)[0] if k > 1 else []
     else:
-        k = max(_base_ranges(df), 2)
-        # one job: the count and the bounds for the default number of ranges
-        bounds, n = _bounds(df, x, k, with_count=True)
-        need = min(MAX_RANGES, -(-int(n) // ROWS_PER_RANGE))
-        if need > k:
-            k = need
-            bounds = _bounds(df, x, k)[0]
+        k = max(_base_ranges(df), min(MAX_RANGES, -(-n // ROWS_PER_RANGE)), 2)
+    bounds = _bounds(df.filter(c0.isNotNull()), x, k, n - nulls)
     base = f"{out}_base"
     d = _bucketize(df, x, bounds, base)
-    counts: dict[float, int] = {}
-    for b in bounds:
-        if b is not None and b == b and abs(b) < EXACT_LIMIT:
-            counts[float(b)] = counts.get(float(b), 0) + 1
-    hot = sorted(sorted(counts, key=lambda v: -counts[v])[:MAX_HOT]) \
-        if exact and len(cols) > 1 else []
-    hot = [v for v in hot if counts[v] >= 2]
+
+    counts: dict = {}
+    if exact:
+        for b in bounds:
+            if b is not None and b == b and abs(b) < EXACT_LIMIT:
+                counts[float(b)] = counts.get(float(b), 0) + 1
+    if k > 1 and nulls * k >= 2 * n:          # nulls fill two ranges or more
+        counts[None] = max(2, (nulls * k) // max(n, 1))
+    hot = sorted((v for v in counts if counts[v] >= 2), key=lambda v: -counts[v])[:MAX_HOT]
+    if not hot:
+        return d.withColumn(out, F.col(base).cast("long")).drop(base)
+
     x2 = None
-    if hot:
+    if len(cols) > 1:
         try:
             x2, _ = order_value(df, cols[1])
-        except TypeError:  # no numeric order for the second column: no re-cut
+        except TypeError:  # no numeric order for the second column
             x2 = None
     if x2 is None:
-        return d.withColumn(out, F.col(base).cast("long")).drop(base)
-    # value v repeats counts[v] times among the bounds: about counts[v] ranges of
-    # rows. One grouped aggregate gets the bounds of every hot value at the
-    # finest cut; each value keeps every step-th bound, about counts[v] + 1 ranges.
+        if len(cols) > 1:   # cannot re-cut without breaking the second key's order
+            return d.withColumn(out, F.col(base).cast("long")).drop(base)
+        x2 = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("double")
+
+    def is_v(v):
+        return x.isNull() if v is None else (x == F.lit(v))
+
+    # value v repeats counts[v] times among the bounds: about counts[v] ranges
+    # of rows. One grouped aggregate over a bounded sample of the hot rows gets
+    # every hot value's bounds at the finest cut; each value keeps every
+    # step-th bound, about counts[v] + 1 ranges.
     top = max(counts[v] for v in hot) + 1
-    width = top + 2   # 0: null second key; last: x > v
+    width = top + 2   # 0: null second key; last: rows after the hot value
     fr = [i / top for i in range(1, top)]
     acc = min(max(10_000, 4 * top), MAX_ACCURACY)
-    found = {float(r["_hot"]): (r["_b"] or []) for r in
-             df.filter(x.isin(hot)).groupBy(x.alias("_hot"))
+    hot_rows = sum(counts[v] for v in hot) * n // max(k, 1) + 1
+    target = min(MAX_SAMPLE, max(100_000, SAMPLE_PER_RANGE * top * len(hot)))
+    sel = reduce(lambda a, b: a | b, [is_v(v) for v in hot])
+    found = {(None if r["_hn"] else float(r["_hv"])): (r["_b"] or []) for r in
+             _sampled(df.filter(sel), hot_rows, target)
+             .groupBy(x.isNull().alias("_hn"), x.alias("_hv"))
              .agg(F.percentile_approx(x2, fr, acc).alias("_b")).collect()}  # <= MAX_HOT rows
-    bounds2 = {}
-    for v in hot:
-        step = max(1, top // (counts[v] + 1))
-        b = found.get(v, [])
-        bounds2[v] = b[step - 1::step] if step > 1 else b
     sub = F.lit(width - 1)
     for i, v in enumerate(hot):
-        d = _bucketize(d, x2, bounds2[v], f"{out}_s{i}")
-        sub = F.when(x == F.lit(v), F.col(f"{out}_s{i}") + F.lit(1)).otherwise(sub)
+        step = max(1, top // (counts[v] + 1))
+        b = found.get(v, [])
+        d = _bucketize(d, x2, b[step - 1::step] if step > 1 else b, f"{out}_s{i}")
+        sub = F.when(is_v(v), F.col(f"{out}_s{i}") + F.lit(1)).otherwise(sub)
     d = d.withColumn(out, F.col(base).cast("long") * F.lit(width) + sub.cast("long"))
     return d.drop(base, *[f"{out}_s{i}" for i in range(len(hot))])
 

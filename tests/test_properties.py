@@ -219,3 +219,42 @@ def test_prefixed_string_keys_spread(spark):
     assert len(sizes) >= 12 and max(sizes) <= 400
     got = {x.k: x["index"] for x in align.row_index(df, ["k"], ranges=16).collect()}
     assert got == {k: i for i, k in enumerate(sorted(keys))}
+
+
+def test_hot_nulls_and_single_column_ties_are_split(spark):
+    from cohortlab.operators.ranges import add_range
+    # a third of the rows have a null first key, ordered by (d, id)
+    rows = [(None, i) for i in range(300)] + [(i % 50, 1000 + i) for i in range(600)]
+    df = spark.createDataFrame(rows, "d int, id int")
+    r = add_range(df, ["d", "id"], "_r", ranges=8)
+    null_ranges = r.filter("d is null").groupBy("_r").count().collect()
+    assert len(null_ranges) >= 3
+    ordered = [x["_r"] for x in r.orderBy(F.col("d").asc_nulls_first(), "id").collect()]
+    assert ordered == sorted(ordered)
+    idx = {(x.d, x.id): x["index"] for x in align.row_index(df, ["d", "id"], ranges=8).collect()}
+    want = sorted(rows, key=lambda t: (t[0] is not None, t[0] or 0, t[1]))
+    assert idx == {k: i for i, k in enumerate(want)}
+    # one order column, a third of the rows tied: ties spread by a row hash
+    ties = spark.createDataFrame([(7, i) for i in range(300)] + [(i, -i) for i in range(600)],
+                                 "d int, payload int")
+    rt = add_range(ties, ["d"], "_r", ranges=8)
+    assert rt.filter("d = 7").select("_r").distinct().count() >= 3
+    got = sorted(x["index"] for x in align.row_index(ties, ["d"], ranges=8).collect())
+    assert got == list(range(900))
+
+
+def test_sampled_bounds_keep_the_index_exact(spark):
+    from cohortlab.operators import ranges as R
+    old = R.MAX_SAMPLE
+    R.MAX_SAMPLE = 500
+    try:
+        df = spark.range(0, 20000).withColumn("k", (F.col("id") * 7919) % 20011)
+        idx = align.row_index(df.select("k"), ["k"], ranges=16)
+        got = sorted((x.k, x["index"]) for x in idx.collect())
+        assert [i for _, i in got] == list(range(20000))
+        assert [k for k, _ in got] == sorted(k for k, _ in got)
+        sizes = [x["count"] for x in R.add_range(df, ["k"], "_r", ranges=16)
+                 .groupBy("_r").count().collect()]
+        assert len(sizes) >= 12 and max(sizes) < 3 * 20000 / 16
+    finally:
+        R.MAX_SAMPLE = old
