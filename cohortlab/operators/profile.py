@@ -19,6 +19,7 @@ from cohortlab.functions.columns import (contains, encode_binary, min_max_scale,
                                          null_count, null_heavy)
 from cohortlab.operators.broadcast import bounded_broadcast, fits_broadcast, measured
 from cohortlab.operators.keys import join_null_safe
+from cohortlab.sources.cache import cut_lineage
 
 # A key table up to this many rows is also pushed to the scan as IN lists
 # (row groups whose min/max miss every key are skipped).
@@ -92,7 +93,7 @@ def point_lookup(df: DataFrame, id_cols, keys, cols: Sequence[str] | None = None
     """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     if isinstance(keys, DataFrame):
-        k, n = measured(keys.select(*ids).distinct())
+        k, n, size = measured(keys.select(*ids).distinct(), with_bytes=True)
         src = df
         if n <= PUSHDOWN_MAX_KEYS:
             rows = k.collect()  # at most PUSHDOWN_MAX_KEYS rows
@@ -100,8 +101,8 @@ def point_lookup(df: DataFrame, id_cols, keys, cols: Sequence[str] | None = None
                 vals = {r[i] for r in rows}
                 if None not in vals:  # a null key part matches null rows: no IN list
                     src = src.filter(F.col(c).isin(sorted(vals)))
-        out = join_null_safe(src, F.broadcast(k) if fits_broadcast(k, n) else k, ids,
-                             how="left_semi")
+        out = join_null_safe(src, F.broadcast(k) if fits_broadcast(k, n, n_bytes=size) else k,
+                             ids, how="left_semi")
     else:
         if len(ids) != 1:
             raise ValueError("scalar keys need a one-column key; pass a DataFrame of keys")
@@ -115,6 +116,7 @@ def point_lookup(df: DataFrame, id_cols, keys, cols: Sequence[str] | None = None
     if cols is not None:
         out = out.select(*ids, *[c for c in cols if c not in ids])
     if expect_one:
+        out = cut_lineage(out)   # checked and returned rows are the same rows, read once
         per_key = out.groupBy(*ids).count()
         if k is None:
             dtype = df.schema[ids[0]].dataType

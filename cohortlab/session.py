@@ -21,18 +21,22 @@ def cluster_settings(input_bytes: int, total_cores: int,
                      partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
     """Partition sizing for a cluster run over ``input_bytes`` of input.
 
-    Scan splits and shuffle partitions target ``partition_bytes`` each (so a
-    task's working set fits an executor core's memory share and spills
-    little), with at least two tasks per core; AQE then merges small shuffle
-    partitions and splits skewed join partitions at run time.
+    Scan splits target ``partition_bytes`` each, so a task's working set fits
+    an executor core's memory share and spills little. Shuffles start with at
+    least two partitions per core and at most ``shuffle_bytes`` of input per
+    partition (a full-data shuffle then stays within about that per task);
+    AQE merges the small partitions of light shuffles (aggregates of a few
+    groups) and splits skewed join partitions at run time.
     """
-    parts = max(2 * total_cores, -(-int(input_bytes) // partition_bytes))
+    shuffle_bytes = 2 * 1024 ** 3
+    parts = max(2 * total_cores, -(-int(input_bytes) // shuffle_bytes))
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
         "spark.sql.files.maxPartitionBytes": str(partition_bytes),
     }
 
@@ -71,6 +75,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: on a cluster, set it to a folder "
+                           "all executors share (the library never falls back to a local one)")
     own = _OWN_DIRS.get(id(sc))
     if own is None:
         own = tempfile.mkdtemp(prefix="cohortlab-ckpt-")

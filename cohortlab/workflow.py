@@ -77,7 +77,9 @@ def notebook_flow(df: DataFrame, id_col: str = "id", label_col: str = "diagnosis
 
     fitted = models.fit_models(train, model_names, label_col=label_out)
     out["models"] = fitted
-    scored = models.score_splits(fitted, prepared, [id_col], label_col=label_out)
+    # four metrics read the scores: score every row with every model once
+    scored = (models.score_splits(fitted, prepared, [id_col], label_col=label_out)
+              .persist(StorageLevel.MEMORY_AND_DISK))
     out["scored"] = scored
     out["leaderboard"] = metrics.leaderboard(scored, order=model_names)
     out["metrics"] = metrics.precision_recall(

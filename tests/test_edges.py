@@ -130,12 +130,17 @@ def test_broadcast_size_check(spark):
     assert fits_broadcast(narrow, 1000)
     assert not fits_broadcast(wide, 10_000)          # 10k rows x 3.2 KB > 10 MB
     assert not fits_broadcast(narrow, 10_000_000)    # over the row cap
+    from cohortlab.operators.broadcast import measured
+    urls = spark.createDataFrame([("x" * 1000,)] * 2000, "u string")
+    _, n, size = measured(urls, with_bytes=True)
+    assert n == 2000 and size >= 2_000_000          # actual string bytes, not 20 per string
 
 
 def test_cluster_settings_sizes_partitions():
     from cohortlab.session import cluster_settings
     c = cluster_settings(100 * 10 ** 12, 8000)
-    assert int(c["spark.sql.shuffle.partitions"]) == -(-100 * 10 ** 12 // (256 * 1024 * 1024))
+    assert int(c["spark.sql.shuffle.partitions"]) == -(-100 * 10 ** 12 // (2 * 1024 ** 3))
+    assert c["spark.sql.files.maxPartitionBytes"] == str(256 * 1024 * 1024)
     small = cluster_settings(10 ** 6, 8)
     assert small["spark.sql.shuffle.partitions"] == "16"
 
