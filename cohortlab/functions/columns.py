@@ -17,6 +17,16 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def quoted(name: str) -> str:
+    """A column name as a quoted identifier (dots and backticks kept literal)."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def qcol(name: str) -> Column:
+    """Column by its exact name, whatever characters it holds."""
+    return F.col(quoted(name))
+
+
 def null_count(cols: Sequence[str]) -> Column:
     """Number of nulls among ``cols`` in the row (P2). Works for any column types."""
     if not cols:

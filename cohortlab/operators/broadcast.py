@@ -3,8 +3,8 @@
 A side is broadcast only after its size has been measured: the frame is
 checkpointed to the shared folder (so the count and the join read the same
 materialised rows, and an executor loss does not recompute it), its rows are
-counted, and its bytes are estimated from the schema's fixed widths plus the
-actual lengths of its strings, binaries, arrays and maps.
+counted, and its bytes are measured as the length of each row written as JSON
+(nested strings, arrays and maps at their real lengths).
 Only a frame within both ``max_rows`` and the session's broadcast threshold
 (``spark.sql.autoBroadcastJoinThreshold``; -1 disables broadcasting) gets the
 hint. A larger one is returned plain, so Spark plans a shuffle join.
@@ -17,6 +17,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlab.functions.columns import qcol
 from cohortlab.session import ensure_checkpoint_dir
 
 DEFAULT_MAX_ROWS = 200_000
@@ -50,36 +51,18 @@ def row_width(df: DataFrame) -> int:
         return 8 + 16 * len(df.schema.fields)
 
 
-def _var_bytes(df: DataFrame):
-    """Bytes of the variable-width columns of a row (strings, binaries,
-    arrays and maps by element count), beyond the default-size estimate."""
-    parts = []
-    for f in df.schema.fields:
-        t = f.dataType.typeName()
-        c = F.col(f"`{f.name}`")
-        if t in ("string", "binary"):
-            parts.append(F.coalesce(F.octet_length(c), F.lit(0)))
-        elif t in ("array", "map"):
-            parts.append(F.coalesce(F.size(c), F.lit(0)) * F.lit(16))
-    if not parts:
-        return F.lit(0)
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return total.cast("long")
-
-
-def measured(small: DataFrame, with_bytes: bool = False):
-    """Checkpoint ``small`` into the shared folder and count its rows (and,
-    with ``with_bytes``, estimate its bytes from the actual lengths of its
-    variable-width columns), in one pass over the checkpoint."""
+def measured(small: DataFrame) -> tuple[DataFrame, int, int]:
+    """Checkpoint ``small`` into the shared folder; return it, its row count
+    and its size in bytes, from one pass over the checkpoint. The size is the
+    length of each row written as JSON, which counts nested strings, arrays
+    and maps at their real lengths."""
     ensure_checkpoint_dir(small.sparkSession)
     small = small.checkpoint(eager=True)
-    row = small.agg(F.count(F.lit(1)).alias("n"), F.sum(_var_bytes(small)).alias("v")).first()
-    n = int(row["n"])
-    if not with_bytes:
-        return small, n
-    return small, n, n * row_width(small) + int(row["v"] or 0)
+    row_json = F.to_json(F.struct(*[qcol(c) for c in small.columns])) if small.columns \
+        else F.lit("")
+    r = small.agg(F.count(F.lit(1)).alias("n"),
+                  F.sum(F.octet_length(row_json)).alias("b")).first()
+    return small, int(r["n"]), int(r["b"] or 0)
 
 
 def fits_broadcast(df: DataFrame, n_rows: int, max_rows: int = DEFAULT_MAX_ROWS,
@@ -92,5 +75,5 @@ def fits_broadcast(df: DataFrame, n_rows: int, max_rows: int = DEFAULT_MAX_ROWS,
 def bounded_broadcast(small: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
     if small.isStreaming:
         return small
-    small, n, size = measured(small, with_bytes=True)
+    small, n, size = measured(small)
     return F.broadcast(small) if fits_broadcast(small, n, max_rows, size) else small

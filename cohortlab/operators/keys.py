@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlab.functions.columns import qcol, quoted
+
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
                    how: str = "left") -> DataFrame:
@@ -24,12 +26,12 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
     ren = {k: f"_rk_{i}" for i, k in enumerate(keys)}
     rest = [c for c in right.columns if c not in ren]
     lq = left.alias("_jl")
-    rq = right.select(*[F.col(f"`{k}`").alias(ren[k]) for k in keys],
-                      *[F.col(f"`{c}`") for c in rest]).alias("_jr")
+    rq = right.select(*[qcol(k).alias(ren[k]) for k in keys],
+                      *[qcol(c) for c in rest]).alias("_jr")
     cond = reduce(lambda a, b: a & b,
-                  [F.col(f"_jl.`{k}`").eqNullSafe(F.col(f"_jr.`{ren[k]}`")) for k in keys])
+                  [F.col(f"_jl.{quoted(k)}").eqNullSafe(F.col(f"_jr.{ren[k]}")) for k in keys])
     joined = lq.join(rq, cond, how)
     if how in ("left_semi", "left_anti"):
         return joined
-    return joined.select(*[F.col(f"_jl.`{c}`") for c in left.columns],
-                         *[F.col(f"_jr.`{c}`") for c in rest])
+    return joined.select(*[F.col(f"_jl.{quoted(c)}") for c in left.columns],
+                         *[F.col(f"_jr.{quoted(c)}") for c in rest])

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.functions.columns import (contains, encode_binary, min_max_scale,
-                                         null_count, null_heavy)
+                                         null_count, null_heavy, qcol)
 from cohortlab.operators.broadcast import bounded_broadcast, fits_broadcast, measured
 from cohortlab.operators.keys import join_null_safe
 from cohortlab.sources.cache import cut_lineage
@@ -93,7 +93,7 @@ def point_lookup(df: DataFrame, id_cols, keys, cols: Sequence[str] | None = None
     """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     if isinstance(keys, DataFrame):
-        k, n, size = measured(keys.select(*ids).distinct(), with_bytes=True)
+        k, n, size = measured(keys.select(*ids).distinct())
         src = df
         if n <= PUSHDOWN_MAX_KEYS:
             rows = k.collect()  # at most PUSHDOWN_MAX_KEYS rows
@@ -228,8 +228,9 @@ def scale_by_class(df: DataFrame, label_col: str, cols: Sequence[str],
                 *[F.col(f"{c}_hi").alias(f"_hi_{c}") for c in cols]))
     r = bounded_broadcast(ranges)
     out = join_null_safe(df, r, [label_col], how="left")
-    return out.select(*df.columns, *[min_max_scale(c, f"_lo_{c}", f"_hi_{c}").alias(c + suffix)
-                                     for c in cols])
+    return out.select(*[qcol(c) for c in df.columns],
+                      *[min_max_scale(c, f"_lo_{c}", f"_hi_{c}").alias(c + suffix)
+                        for c in cols])
 
 
 def baseline_profile(stats: DataFrame, label_col: str, scale_by: str = "own_class",
@@ -271,7 +272,7 @@ def radar_table(baseline: DataFrame, records: DataFrame, label_col: str,
             .select("attribute", F.col("scaled_avg").alias("baseline")))
     rec = (records.groupBy("attribute").pivot(label_col, list(record_classes))
            .agg(F.avg("scaled")))
-    rec = rec.select("attribute", *[F.col(f"`{c}`").alias(f"record_{c}") for c in record_classes])
+    rec = rec.select("attribute", *[qcol(str(c)).alias(f"record_{c}") for c in record_classes])
     order = baseline.sparkSession.range(1).select(F.inline(fam_rows))
     # ``base`` and ``rec`` hold at most one row per attribute (a bound known
     # here: the attribute lists), so both are broadcast without a shuffle.

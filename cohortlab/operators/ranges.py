@@ -18,8 +18,10 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlab.functions.columns import qcol
 from cohortlab.operators.broadcast import bounded_broadcast
 from cohortlab.operators.keys import join_null_safe
+from cohortlab.sources.cache import cut_lineage
 
 DEFAULT_RANGES = 64
 ROWS_PER_RANGE = 4_000_000   # one window task sorts about this many rows
@@ -89,7 +91,7 @@ def order_value(df: DataFrame, col: str, lo_hi: tuple | None = None):
     """
     dtype = df.schema[col].dataType
     t = dtype.typeName()
-    c = F.col(col)
+    c = qcol(col)
     if t in ("byte", "short", "integer", "long", "float", "double", "boolean"):
         # + 0.0 turns -0.0 into 0.0: Spark orders them as equal
         return c.cast("double") + F.lit(0.0), True
@@ -142,12 +144,13 @@ def add_range(df: DataFrame, order_cols, out: str = "_range",
     least 2/k of the rows, and so may a large null group. When the value is
     exact (equal order values mean equal keys) its rows are cut again: by
     quantiles of the second order column, or, with a single order column, by
-    a hash of the whole row (ties may be numbered in any order; the hash is
-    deterministic, so every job sees the same ranges). If row a precedes
-    row b in the order of ``order_cols``, range(a) <= range(b).
+    row position (ties may be numbered in any order); in that last case the
+    ranges are checkpointed once, so every later read sees the same
+    assignment. If row a precedes row b in the order of ``order_cols``,
+    range(a) <= range(b).
     """
     cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
-    c0 = F.col(cols[0])
+    c0 = qcol(cols[0])
     is_str = df.schema[cols[0]].dataType.typeName() == "string"
     aggs = [F.count(F.lit(1)).alias("n"), F.count(c0).alias("nn")]
     if is_str:
@@ -163,27 +166,34 @@ def add_range(df: DataFrame, order_cols, out: str = "_range",
     base = f"{out}_base"
     d = _bucketize(df, x, bounds, base)
 
+    # one bound repeat stands for about (n - nulls) / k rows; nulls in the same unit
+    unit = max(n - nulls, 1) / max(k, 1)
     counts: dict = {}
     if exact:
         for b in bounds:
             if b is not None and b == b and abs(b) < EXACT_LIMIT:
                 counts[float(b)] = counts.get(float(b), 0) + 1
-    if k > 1 and nulls * k >= 2 * n:          # nulls fill two ranges or more
-        counts[None] = max(2, (nulls * k) // max(n, 1))
+    if k > 1 and nulls >= 2 * unit:           # nulls fill two ranges or more
+        counts[None] = int(nulls // unit)
     hot = sorted((v for v in counts if counts[v] >= 2), key=lambda v: -counts[v])[:MAX_HOT]
     if not hot:
         return d.withColumn(out, F.col(base).cast("long")).drop(base)
 
-    x2 = None
+    positional = False
     if len(cols) > 1:
         try:
             x2, _ = order_value(df, cols[1])
-        except TypeError:  # no numeric order for the second column
-            x2 = None
-    if x2 is None:
-        if len(cols) > 1:   # cannot re-cut without breaking the second key's order
+        except TypeError:  # no numeric order for the second column: cannot re-cut
             return d.withColumn(out, F.col(base).cast("long")).drop(base)
-        x2 = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("double")
+    else:
+        # one order column: ties may be numbered in any order, so they are cut
+        # by position; the ranges are then materialised once (below) so that
+        # every later read sees the same assignment
+        tag = f"{out}_pos"
+        df = df.withColumn(tag, F.monotonically_increasing_id())
+        d = d.withColumn(tag, F.monotonically_increasing_id())
+        x2 = F.col(tag).cast("double")
+        positional = True
 
     def is_v(v):
         return x.isNull() if v is None else (x == F.lit(v))
@@ -196,7 +206,7 @@ def add_range(df: DataFrame, order_cols, out: str = "_range",
     width = top + 2   # 0: null second key; last: rows after the hot value
     fr = [i / top for i in range(1, top)]
     acc = min(max(10_000, 4 * top), MAX_ACCURACY)
-    hot_rows = sum(counts[v] for v in hot) * n // max(k, 1) + 1
+    hot_rows = int(sum(counts[v] for v in hot) * unit) + 1
     target = min(MAX_SAMPLE, max(100_000, SAMPLE_PER_RANGE * top * len(hot)))
     sel = reduce(lambda a, b: a | b, [is_v(v) for v in hot])
     found = {(None if r["_hn"] else float(r["_hv"])): (r["_b"] or []) for r in
@@ -207,10 +217,15 @@ def add_range(df: DataFrame, order_cols, out: str = "_range",
     for i, v in enumerate(hot):
         step = max(1, top // (counts[v] + 1))
         b = found.get(v, [])
-        d = _bucketize(d, x2, b[step - 1::step] if step > 1 else b, f"{out}_s{i}")
+        # only the rows of this hot value need its sub-range
+        d = _bucketize(d, F.when(is_v(v), x2), b[step - 1::step] if step > 1 else b,
+                       f"{out}_s{i}")
         sub = F.when(is_v(v), F.col(f"{out}_s{i}") + F.lit(1)).otherwise(sub)
     d = d.withColumn(out, F.col(base).cast("long") * F.lit(width) + sub.cast("long"))
-    return d.drop(base, *[f"{out}_s{i}" for i in range(len(hot))])
+    d = d.drop(base, *[f"{out}_s{i}" for i in range(len(hot))])
+    if positional:
+        d = cut_lineage(d).drop(f"{out}_pos")
+    return d
 
 
 def exclusive_prefix(df: DataFrame, order_cols: Sequence[str], value_col: str | None,

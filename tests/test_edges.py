@@ -132,7 +132,7 @@ def test_broadcast_size_check(spark):
     assert not fits_broadcast(narrow, 10_000_000)    # over the row cap
     from cohortlab.operators.broadcast import measured
     urls = spark.createDataFrame([("x" * 1000,)] * 2000, "u string")
-    _, n, size = measured(urls, with_bytes=True)
+    _, n, size = measured(urls)
     assert n == 2000 and size >= 2_000_000          # actual string bytes, not 20 per string
 
 
@@ -252,3 +252,11 @@ def test_scale_by_class_with_given_stats(spark):
 def test_expect_one_casts_scalar_keys(spark):
     df = spark.createDataFrame([(5.0, 1), (6.0, 2)], "price double, v int")
     assert profile.point_lookup(df, "price", 5, expect_one=True).count() == 1
+
+
+def test_measured_counts_nested_lengths(spark):
+    from cohortlab.operators.broadcast import measured
+    nested = spark.createDataFrame([(("x" * 1000,), ["y" * 1000])] * 500,
+                                   "s struct<u:string>, a array<string>")
+    _, n, size = measured(nested)
+    assert n == 500 and size >= 1_000_000

@@ -258,3 +258,17 @@ def test_sampled_bounds_keep_the_index_exact(spark):
         assert len(sizes) >= 12 and max(sizes) < 3 * 20000 / 16
     finally:
         R.MAX_SAMPLE = old
+
+
+def test_identical_hot_rows_and_odd_columns(spark):
+    from cohortlab.operators.ranges import add_range
+    # duplicates of the only column, a map column and a backtick in a name
+    df = spark.createDataFrame([(7, {"a": 1}, 1)] * 3000 + [(i, {"b": 2}, 2) for i in range(6000)],
+                               "d int, m map<string,int>, `x``y` int")
+    r = add_range(df, ["d"], "_r", ranges=8)
+    assert r.filter("d = 7").select("_r").distinct().count() >= 3
+    got = sorted(x["index"] for x in align.row_index(df, ["d"], ranges=8).collect())
+    assert got == list(range(9000))
+    nul = spark.createDataFrame([(None,)] * 3000 + [(i,) for i in range(6000)], "d int")
+    assert add_range(nul, ["d"], "_r", ranges=8).filter("d is null") \
+        .select("_r").distinct().count() >= 3
