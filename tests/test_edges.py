@@ -260,3 +260,24 @@ def test_measured_counts_nested_lengths(spark):
                                    "s struct<u:string>, a array<string>")
     _, n, size = measured(nested)
     assert n == 500 and size >= 1_000_000
+
+
+def test_no_local_checkpoint_fallback_on_a_cluster():
+    from cohortlab.session import ensure_checkpoint_dir
+
+    class Ctx:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext = Ctx()
+        conf = Conf()
+
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Session())
