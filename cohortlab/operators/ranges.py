@@ -111,11 +111,18 @@ def order_value(df: DataFrame, col: str, lo_hi: tuple | None = None):
     if t == "string":
         lo, hi = lo_hi if lo_hi is not None else df.agg(F.min(c), F.max(c)).first()
         skip = _common_prefix(lo, hi) if lo is not None and hi is not None else 0
-        head = F.substring(F.rpad(F.hex(F.substring(c, skip + 1, 7)), 14, "0"), 1, 14)
-        return F.conv(head, 16, 10).cast("double"), False
+        return _string_key(c, skip), False
     raise TypeError(f"range key {col!r} of type {t} has no numeric order")
 
 
+def _string_key(c, skip: int):
+    """7 UTF-8 bytes of a string after its first ``skip`` characters, as a
+    big-endian number (0-padded): never decreases as the string increases,
+    among strings that share those first ``skip`` characters."""
+    head = F.substring(F.rpad(F.hex(F.substring(c, skip + 1, 7)), 14, "0"), 1, 14)
+    return F.conv(head, 16, 10).cast("double")
+
+
 def _bucketize(df: DataFrame, x, bounds, out: str) -> DataFrame:
     """Range of ``x`` among ``bounds``: int, -1 for null (nulls sort first),
     NaN after the last range (NaN sorts last)."""
@@ -141,13 +148,14 @@ def add_range(df: DataFrame, order_cols, out: str = "_range",
     binary search on the JVM.
 
     Hot keys: a first-column value that repeats across the bounds holds at
-    least 2/k of the rows, and so may a large null group. When the value is
-    exact (equal order values mean equal keys) its rows are cut again: by
-    quantiles of the second order column, or, with a single order column, by
-    row position (ties may be numbered in any order); in that last case the
-    ranges are checkpointed once, so every later read sees the same
-    assignment. If row a precedes row b in the order of ``order_cols``,
-    range(a) <= range(b).
+    least 2/k of the rows, and so may a large null group. Their rows are cut
+    again. Strings sharing a 7-byte key are cut by the bytes after the prefix
+    their own min and max share (URLs under one host spread out). Exact values,
+    a repeated string and the null group are cut by quantiles of the second
+    order column, or, with a single order column, by row position (ties may be
+    numbered in any order); in that last case the ranges are checkpointed
+    once, so every later read sees the same assignment. If row a precedes
+    row b in the order of ``order_cols``, range(a) <= range(b).
     """
     cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     c0 = qcol(cols[0])
@@ -169,9 +177,9 @@ def add_range(df: DataFrame, order_cols, out: str = "_range",
     # one bound repeat stands for about (n - nulls) / k rows; nulls in the same unit
     unit = max(n - nulls, 1) / max(k, 1)
     counts: dict = {}
-    if exact:
+    if exact or is_str:
         for b in bounds:
-            if b is not None and b == b and abs(b) < EXACT_LIMIT:
+            if b is not None and b == b and (is_str or abs(b) < EXACT_LIMIT):
                 counts[float(b)] = counts.get(float(b), 0) + 1
     if k > 1 and nulls >= 2 * unit:           # nulls fill two ranges or more
         counts[None] = int(nulls // unit)
@@ -179,25 +187,43 @@ def add_range(df: DataFrame, order_cols, out: str = "_range",
     if not hot:
         return d.withColumn(out, F.col(base).cast("long")).drop(base)
 
-    positional = False
-    if len(cols) > 1:
-        try:
-            x2, _ = order_value(df, cols[1])
-        except TypeError:  # no numeric order for the second column: cannot re-cut
-            return d.withColumn(out, F.col(base).cast("long")).drop(base)
-    else:
-        # one order column: ties may be numbered in any order, so they are cut
-        # by position; the ranges are then materialised once (below) so that
-        # every later read sees the same assignment
-        tag = f"{out}_pos"
-        df = df.withColumn(tag, F.monotonically_increasing_id())
-        d = d.withColumn(tag, F.monotonically_increasing_id())
-        x2 = F.col(tag).cast("double")
-        positional = True
-
     def is_v(v):
         return x.isNull() if v is None else (x == F.lit(v))
 
+    # Second key per hot group. A string group (a shared 7-byte key) is cut by
+    # the bytes after the prefix its own min and max share, which keeps the
+    # string order; a group of one repeated string, an exact value or the null
+    # group is cut by the second order column, or by position when there is
+    # only one order column (ties may be numbered in any order).
+    own_key = {}
+    if is_str:
+        str_hot = [v for v in hot if v is not None]
+        if str_hot:
+            for r in (df.filter(x.isin(str_hot)).groupBy(x.alias("_hv"))
+                      .agg(F.min(c0).alias("lo"), F.max(c0).alias("hi")).collect()):
+                if r["lo"] is not None and r["lo"] != r["hi"]:
+                    own_key[float(r["_hv"])] = _string_key(c0, _common_prefix(r["lo"], r["hi"]))
+    other = [v for v in hot if v not in own_key]
+    x2_other, positional = None, False
+    if other:
+        if len(cols) > 1:
+            try:
+                x2_other, _ = order_value(df, cols[1])
+            except TypeError:  # no numeric order for the second column: no re-cut
+                other = []
+        else:
+            tag = f"{out}_pos"
+            df = df.withColumn(tag, F.monotonically_increasing_id())
+            d = d.withColumn(tag, F.monotonically_increasing_id())
+            x2_other = F.col(tag).cast("double")
+            positional = True
+    hot = [v for v in hot if v in own_key or v in other]
+    if not hot:
+        return d.withColumn(out, F.col(base).cast("long")).drop(base)
+    x2 = x2_other if x2_other is not None else F.lit(None).cast("double")
+    for v, key in own_key.items():
+        x2 = F.when(x == F.lit(v), key).otherwise(x2)
+
     # value v repeats counts[v] times among the bounds: about counts[v] ranges
     # of rows. One grouped aggregate over a bounded sample of the hot rows gets
     # every hot value's bounds at the finest cut; each value keeps every

@@ -272,3 +272,24 @@ def test_identical_hot_rows_and_odd_columns(spark):
     nul = spark.createDataFrame([(None,)] * 3000 + [(i,) for i in range(6000)], "d int")
     assert add_range(nul, ["d"], "_r", ranges=8).filter("d is null") \
         .select("_r").distinct().count() >= 3
+
+
+def test_hot_string_prefix_groups_are_split(spark):
+    from cohortlab.operators.ranges import add_range
+    urls = [f"https://www.example.com/item/{i:06d}" for i in range(3000)]
+    other = [f"a{i:04d}" for i in range(300)] + [f"z{i:04d}" for i in range(300)]
+    df = spark.createDataFrame([(u, i) for i, u in enumerate(urls + other)], "u string, id int")
+    r = add_range(df, ["u", "id"], "_r", ranges=8)
+    assert r.filter(F.col("u").startswith("https")).select("_r").distinct().count() >= 3
+    ordered = [x["_r"] for x in r.orderBy("u", "id").collect()]
+    assert ordered == sorted(ordered)
+    got = {x.u: x["index"] for x in align.row_index(df, ["u", "id"], ranges=8).collect()}
+    assert got == {u: i for i, u in enumerate(sorted(urls + other, key=lambda s: s.encode()))}
+    # one repeated string holding a third of the rows: cut by the second column
+    rep = spark.createDataFrame([("same", i) for i in range(300)] + [(f"k{i:04d}", i) for i in range(600)],
+                                "s string, id int")
+    rr = add_range(rep, ["s", "id"], "_r", ranges=8)
+    assert rr.filter("s = 'same'").select("_r").distinct().count() >= 3
+    idx = {(x.s, x.id): x["index"] for x in align.row_index(rep, ["s", "id"], ranges=8).collect()}
+    want = sorted([("same", i) for i in range(300)] + [(f"k{i:04d}", i) for i in range(600)])
+    assert idx == {k: i for i, k in enumerate(want)}
