@@ -200,7 +200,7 @@ def add_range(df: DataFrame, order_cols, out: str = "_range",
         str_hot = [v for v in hot if v is not None]
         if str_hot:
             for r in (df.filter(x.isin(str_hot)).groupBy(x.alias("_hv"))
-                      .agg(F.min(c0).alias("lo"), F.max(c0).alias("hi")).collect()):
+                      .agg(F.min(c0).alias("lo"), F.max(c0).alias("hi")).collect()):  # <= MAX_HOT
                 if r["lo"] is not None and r["lo"] != r["hi"]:
                     own_key[float(r["_hv"])] = _string_key(c0, _common_prefix(r["lo"], r["hi"]))
     other = [v for v in hot if v not in own_key]
