@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from cohortlab.functions.columns import qcol
 from cohortlab.operators.broadcast import bounded_broadcast
-from cohortlab.operators.keys import join_null_safe
 from cohortlab.sources.cache import cut_lineage
 
 DEFAULT_RANGES = 64
@@ -264,18 +263,25 @@ def exclusive_prefix(df: DataFrame, order_cols: Sequence[str], value_col: str |
     The first order column is the range key (see ``order_value``). Rows
     with a null group key form their own group, as in ``groupBy``.
     """
-    rng = "_range"
+    rng, gk = "_range", "_group_key"
     d = add_range(df, list(order_cols), rng, ranges)
     v = F.lit(1).cast("long") if value_col is None else F.col(value_col)
-    w_in = (Window.partitionBy(*group_cols, rng).orderBy(*order_cols)
+    # The groups travel as one struct column: it is never null, and structs
+    # with equal fields (nulls included) group and join as equal, so the
+    # window, the totals and the offset join all key on the same plain
+    # columns. If the offsets are too large to broadcast, the join then keeps
+    # the window's partitioning and only the offset table moves.
+    keys = [gk, rng] if group_cols else [rng]
+    if group_cols:
+        d = d.withColumn(gk, F.struct(*[qcol(c) for c in group_cols]))
+    w_in = (Window.partitionBy(*keys).orderBy(*[qcol(c) for c in order_cols])
             .rowsBetween(Window.unboundedPreceding, -1))
     d = d.withColumn("_in_range", F.coalesce(F.sum(v).over(w_in), F.lit(0)))
-    totals = d.groupBy(*group_cols, rng).agg(F.sum(v).alias("_tot"))
-    w_off = (Window.partitionBy(*group_cols).orderBy(rng)
+    totals = d.groupBy(*keys).agg(F.sum(v).alias("_tot"))
+    w_off = (Window.partitionBy(*keys[:-1]).orderBy(rng)
              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*group_cols, rng,
-                            F.coalesce(F.sum("_tot").over(w_off), F.lit(0)).alias("_off"))
+    offsets = totals.select(*keys, F.coalesce(F.sum("_tot").over(w_off), F.lit(0)).alias("_off"))
     offsets = bounded_broadcast(offsets)
-    out_df = join_null_safe(d, offsets, [*group_cols, rng], how="left")
+    out_df = d.join(offsets, on=keys, how="left")
     return (out_df.withColumn(out, F.col("_in_range") + F.col("_off"))
-            .drop("_in_range", "_off", rng))
+            .drop("_in_range", "_off", *keys))
