@@ -2,7 +2,9 @@
 
 Each query's DataFrame is built (model fits and other eager steps count in
 its time) and then executed in full with the ``noop`` sink, so nothing is
-collected to the driver. ``value`` is the sum over the headline queries.
+collected to the driver. A key's time is the best of two runs, except for the
+keys with a fit (classifiers, PCA: one run, since fits are kept per session). ``value`` is the
+sum over all keys.
 
 Also timed, as structural baselines: the reference's way of building the
 class profile (one single-value SQL action per class, statistic and column)
@@ -68,6 +70,11 @@ def reference_style_confusion(spark, sf: str) -> int:
     return n
 
 
+def _is_model(key: str) -> bool:
+    """Keys whose fitted state is kept per session (classifiers, PCA)."""
+    return key.startswith(("clf_", "pca_")) or key == "score_splits"
+
+
 def _sf_number(sf_dir: str):
     name = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     try:
@@ -88,9 +95,15 @@ def main() -> None:
 
     times: dict[str, float] = {}
     for k in keys:
-        t = time.perf_counter()
-        run(REGISTRY[k](spark, sf))
-        times[k] = round(time.perf_counter() - t, 3)
+        best = None
+        # best of two, except for keys with a fit: fits are kept per session,
+        # so a second run would leave the fit out
+        for _ in range(1 if _is_model(k) else 2):
+            t = time.perf_counter()
+            run(REGISTRY[k](spark, sf))
+            el = time.perf_counter() - t
+            best = el if best is None else min(best, el)
+        times[k] = round(best, 3)
 
     t = time.perf_counter()
     n_actions = reference_style_profile(spark, sf)
