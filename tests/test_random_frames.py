@@ -75,3 +75,21 @@ def test_null_heavy_brute_force(spark, rows, frac):
     df = spark.createDataFrame([tuple(r) for r in rows], "a int, b int, c int, d int")
     kept = profile.drop_null_heavy_rows(df, frac=frac).count()
     assert kept == sum(1 for r in rows if not (sum(v is None for v in r) >= frac * 4))
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.tuples(st.sampled_from(["g1", "g2", None]), st.integers(-50, 50),
+                          st.integers(0, 9)), min_size=0, max_size=60, unique_by=lambda t: (t[0], t[1])),
+       st.integers(1, 6))
+def test_exclusive_prefix_brute_force(spark, rows, ranges):
+    from cohortlab.operators.ranges import exclusive_prefix
+    df = spark.createDataFrame(rows, "g string, k int, v int")
+    got = {(r.g, r.k): r.before for r in
+           exclusive_prefix(df, ["k"], "v", "before", ["g"], ranges=ranges).collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        acc = 0
+        for _, k, v in sorted((r for r in rows if r[0] == g), key=lambda r: r[1]):
+            want[(g, k)] = acc
+            acc += v
+    assert got == want
