@@ -93,3 +93,25 @@ def test_exclusive_prefix_brute_force(spark, rows, ranges):
             want[(g, k)] = acc
             acc += v
     assert got == want
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(-100, 100)), min_size=0, max_size=80,
+                unique=True), st.integers(1, 8))
+def test_row_index_two_keys_brute_force(spark, rows, ranges):
+    from cohortlab.operators import align
+    df = spark.createDataFrame(rows, "a int, b int")
+    got = {(r.a, r.b): r["index"] for r in align.row_index(df, ["a", "b"], ranges=ranges).collect()}
+    assert got == {k: i for i, k in enumerate(sorted(rows))}
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.one_of(st.none(), st.integers(0, 6)), min_size=0, max_size=30),
+       st.lists(st.one_of(st.none(), st.integers(0, 8)), min_size=1, max_size=6))
+def test_point_lookup_brute_force(spark, ids, keys):
+    df = spark.createDataFrame([(i, n) for n, i in enumerate(ids)], "id int, n int")
+    kdf = spark.createDataFrame([(k,) for k in keys], "id int")
+    got = sorted(r.n for r in profile.point_lookup(df, "id", kdf).collect())
+    assert got == sorted(n for n, i in enumerate(ids) if i in set(keys))
+    got2 = sorted(r.n for r in profile.point_lookup(df, "id", keys).collect())
+    assert got2 == got
