@@ -24,6 +24,7 @@ TEXT_FEATURES = ("n_chars", "n_words", "n_distinct", "type_token_ratio", "digit_
 SALT = split.SEED
 
 _PREPARED: dict[tuple, DataFrame] = {}
+_PIPELINES: dict[tuple, object] = {}
 _FITTED: dict[tuple, object] = {}
 
 
@@ -71,11 +72,18 @@ def prepared(spark: SparkSession, sf: str) -> DataFrame:
     if k not in _PREPARED:
         d = split.three_way_split(rebalance(labelled(spark, sf)), ["doc_id"], salt=SALT)
         pm = features.fit_pipeline(d.filter(F.col("split") == "train"), TEXT_FEATURES)
+        _PIPELINES[k] = pm
         _PREPARED[k] = (pm.transform(d).select("doc_id", "split", "label", "scaledFeatures")
                         .persist(StorageLevel.MEMORY_AND_DISK))
     return _PREPARED[k]
 
 
+def feature_model(spark: SparkSession, sf: str):
+    """The assembler + scaler fitted on the training rows (for new rows or a stream)."""
+    prepared(spark, sf)
+    return _PIPELINES[_key(spark, sf)]
+
+
 def fitted(spark: SparkSession, sf: str, name: str):
     k = (*_key(spark, sf), name)
     if k not in _FITTED:

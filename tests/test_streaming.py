@@ -47,3 +47,31 @@ def test_streaming_class_profile_equals_batch(spark):
     for g, w in zip(got, want):
         assert g[:3] == w[:3]
         assert all(abs(a - b) < 1e-9 * max(1.0, abs(b)) for a, b in zip(g[3:], w[3:]))
+
+
+def test_score_stream_equals_batch_scores(spark):
+    from cohortlab.operators import split as split_ops
+    from cohortlab.plans import model_data
+    from cohortlab.streaming import score_stream
+    from tests.conftest import SF0001
+    fitted = {"logistic": model_data.fitted(spark, SF0001, "logistic")}
+    pm = model_data.feature_model(spark, SF0001)
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet")
+    labels = spark.read.parquet(f"{SF0001}/labels.parquet").select(
+        "doc_id", F.col("quality").alias("label"))
+    stream = read_parquet_stream(spark, SF0001, docs.schema, glob="documents.parquet")
+    feats = model_data.text_features(stream).join(labels, "doc_id")   # stream-static join
+    prepared = pm.transform(split_ops.three_way_split(feats, ["doc_id"], salt=model_data.SALT))
+    scored = score_stream(fitted, prepared, ["doc_id"], split_col="split")
+    q = start(scored.select("model", "split", "doc_id", "prediction", "equal"), "cohort_scores",
+              output_mode="append")
+    try:
+        q.processAllAvailable()
+        got = sorted(tuple(r) for r in spark.sql("SELECT * FROM cohort_scores").collect())
+    finally:
+        q.stop()
+    from cohortlab.operators import models
+    batch = models.score_splits(fitted, model_data.prepared(spark, SF0001), ["doc_id"])
+    want = sorted(tuple(r) for r in batch.select("model", "split", "doc_id", "prediction",
+                                                 "equal").collect())
+    assert got == want and len(got) > 0
