@@ -69,3 +69,16 @@ def compare(spark_df: DataFrame, con, sql: str, digits: int | None = 6) -> dict:
         only_o = list((co - cs).elements())[:3]
         res.update(ok=False, detail=f"spark-only {only_s} oracle-only {only_o}")
     return res
+
+
+SPARK_WIDTH = {"tinyint": "i8", "smallint": "i16", "int": "i32", "bigint": "i64",
+               "float": "f32", "double": "f64", "string": "str", "boolean": "bool"}
+DUCK_WIDTH = {"TINYINT": "i8", "SMALLINT": "i16", "INTEGER": "i32", "BIGINT": "i64",
+              "FLOAT": "f32", "DOUBLE": "f64", "VARCHAR": "str", "BOOLEAN": "bool"}
+
+
+def type_diffs(df: DataFrame, con, sql: str) -> list:
+    """Columns whose Spark type and DuckDB type differ in kind or width."""
+    rel = con.sql(sql)
+    duck = {c: DUCK_WIDTH.get(str(t).split("(")[0], str(t)) for c, t in zip(rel.columns, rel.types)}
+    return [(c, t, duck.get(c)) for c, t in df.dtypes if SPARK_WIDTH.get(t, t) != duck.get(c)]

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as contract
-from cohortlab.plans.verify import compare
+from cohortlab.plans.verify import compare, type_diffs
 from tests.conftest import SF001, SF0001
 
 ORACLE = contract.oracle_sql()
@@ -16,8 +16,9 @@ def test_every_oracle_key_is_registered():
 @pytest.mark.parametrize("key", sorted(ORACLE))
 def test_query_matches_oracle(spark, duck001, key):
     df = contract.queries()[key](spark, SF001)
-    res = compare(df, duck001, ORACLE[key])
+    res = compare(df, duck001, ORACLE[key], digits=None)
     assert res["ok"], res
+    assert type_diffs(df, duck001, ORACLE[key]) == []
 
 
 def test_entry_smoke(spark):
