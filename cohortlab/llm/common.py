@@ -53,3 +53,12 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str, n_small: int,
     """Join with ``small`` broadcast when its counted rows fit, shuffled otherwise."""
     fits = n_small * row_bytes <= BROADCAST_BYTES
     return big.join(F.broadcast(small) if fits else small, on, how)
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not among ``dropped`` (doc_id); all columns stay.
+
+    The ids to drop are counted first: they are broadcast while they fit, and
+    shuffled with the documents beyond that."""
+    ids = dropped.select("doc_id").distinct()
+    return join_small(docs, ids, "doc_id", "left_anti", ids.count(), 16)

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortlab.llm import (decontaminate, html_text, license_scan, packing, quality, secret_scan,
+                            token_orc, url_filter)
 from cohortlab.llm.common import table
 from cohortlab.llm.exact_dedup import exact_duplicates
 from cohortlab.llm.near_dup import near_duplicates
@@ -14,16 +16,49 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_orc.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-REGISTRY["op2_near_dup"] = op2_near_dup
-REGISTRY["op10_exact_dedup"] = op10_exact_dedup
+for _f in (op1_quality, op2_near_dup, op3_url_filter, op4_html_text, op5_token_orc, op6_secret_scan,
+           op7_decontaminate, op8_packing, op9_license_scan, op10_exact_dedup):
+    REGISTRY[_f.__name__] = _f
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -61,3 +96,6 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id,
        count(*) OVER (PARTITION BY norm) AS group_size,
        doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
 FROM t"""
+
+ORACLE["op3_url_filter"] = url_filter.oracle_sql()
+ORACLE["op9_license_scan"] = license_scan.oracle_sql()
