@@ -23,8 +23,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = r"[\x20\x09-\x0D]"
 #: Texts without one of these hold no known sentence.
-SCREEN = ("licen|copyright|permission|redistribut|warrant|as is|liab|public domain|spdx|conditions|"
-          "unlimited|without restriction|above")
+SCREEN = "licen|permission|redistribution|warranty|reserved|cc0|unencumbered"
 
 # Known sentences (normalised) by identifier.
 SENTENCES = {
