@@ -4,9 +4,9 @@ The reference numbers rows by ``rdd.zipWithIndex`` and joins two projections on
 that number. In PySpark a trip through ``df.rdd`` pickles every row into Python,
 so the index here is built from DataFrame operations instead: an explicit order
 (``order_cols`` must be a total order, or the numbering among ties is
-arbitrary), range buckets on the first order column (numeric, date,
-timestamp or string), a row number inside each range, and a small per-range
-offset table. Without an order, rows are numbered in their current order.
+arbitrary; any orderable types), sorted range partitions, each row's place in
+its partition, and an offset table of one row per partition. Without an order,
+rows are numbered in their current order.
 """
 
 from __future__ import annotations
@@ -28,8 +28,7 @@ def row_index(df: DataFrame, order_cols: Sequence[str] | None, out: str = "index
     reference's ``zipWithIndex`` does: each row is tagged with
     ``monotonically_increasing_id`` (increasing within and across partitions)
     and the tagged rows are checkpointed, so every job below sees the same tags.
-    That checkpoint is a full write of the frame; with a key order none is
-    needed (the order columns are read again instead).
+    The sorted partitions are checkpointed as well (one write of the frame).
     """
     if order_cols is None:
         tag = "_row_order"

@@ -94,6 +94,16 @@ def auroc_hard(df: DataFrame, pred_col: str = "prediction", label_col: str = "la
                                             F.col("fn")).alias("auroc"))
 
 
+def score_counts(df: DataFrame, score_col: str, label_col: str, group_cols: Sequence[str] = (),
+                 positive: float = 1.0) -> DataFrame:
+    """Positive (``_p``) and other (``_n``) rows per group and distinct score."""
+    y = F.col(label_col)
+    return (df.filter(F.col(score_col).isNotNull() & y.isNotNull())
+            .groupBy(*group_cols, score_col)
+            .agg(F.count_if(y == F.lit(positive)).alias("_p"),
+                 F.count_if(y != F.lit(positive)).alias("_n")))
+
+
 def auroc_exact(df: DataFrame, score_col: str, label_col: str = "label",
                 group_cols: Sequence[str] = (), positive: float = 1.0,
                 ranges: int | None = None, materialize: bool = True) -> DataFrame:
@@ -107,11 +117,7 @@ def auroc_exact(df: DataFrame, score_col: str, label_col: str = "label",
     the offsets and the final sum all read it), so an expensive score column
     (a model transform) is computed once.
     """
-    y = F.col(label_col)
-    g = (df.filter(F.col(score_col).isNotNull() & y.isNotNull())
-         .groupBy(*group_cols, score_col)
-         .agg(F.count_if(y == F.lit(positive)).alias("_p"),
-              F.count_if(y != F.lit(positive)).alias("_n")))
+    g = score_counts(df, score_col, label_col, group_cols, positive)
     if materialize and not df.isStreaming:
         g = cut_lineage(g)
     g = exclusive_prefix(g, [score_col], "_n", "_neg_before", group_cols, ranges)

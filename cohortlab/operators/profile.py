@@ -21,10 +21,6 @@ from cohortlab.operators.broadcast import bounded_broadcast, fits_broadcast, mea
 from cohortlab.operators.keys import join_null_safe
 from cohortlab.sources.cache import cut_lineage
 
-# A key table up to this many rows is also pushed to the scan as IN lists
-# (row groups whose min/max miss every key are skipped).
-PUSHDOWN_MAX_KEYS = 1000
-
 # The attribute order of the reference's radar charts (one family
 # of the ten nucleus measurements), used by ``radar_table`` for that schema.
 RADAR_ORDER = ("fractal_dimension", "texture", "perimeter", "area", "smoothness",
@@ -80,28 +76,46 @@ def class_subset(df: DataFrame, col: str, value: str) -> DataFrame:
     return df.filter(contains(col, value))
 
 
+_RANGE_TYPES = ("tinyint", "smallint", "int", "bigint", "date", "string")
+
+
+def _within_keys(df: DataFrame, keys: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """``df`` filtered to the span of the keys, which the scan uses to skip row
+    groups. Only for types whose string form casts back to the same value, and
+    only where no key part is null (a null key matches null rows)."""
+    same = [c for c in ids if dict(df.dtypes)[c] in _RANGE_TYPES
+            and dict(keys.dtypes)[c] == dict(df.dtypes)[c]]
+    if not same:
+        return df
+    aggs = []
+    for i, c in enumerate(same):
+        x = qcol(c)
+        aggs += [F.min(x).cast("string").alias(f"lo{i}"), F.max(x).cast("string").alias(f"hi{i}"),
+                 F.count_if(x.isNull()).alias(f"null{i}")]
+    r = keys.agg(*aggs).first()
+    for i, c in enumerate(same):
+        if r[f"lo{i}"] is not None and not r[f"null{i}"]:
+            t = dict(df.dtypes)[c]
+            df = df.filter((qcol(c) >= F.lit(r[f"lo{i}"]).cast(t)) & (qcol(c) <= F.lit(r[f"hi{i}"]).cast(t)))
+    return df
+
+
 def point_lookup(df: DataFrame, id_cols, keys, cols: Sequence[str] | None = None,
                  expect_one: bool = False) -> DataFrame:
     """Rows whose key is one of ``keys``.
 
     ``id_cols`` is one column name or a list (composite key). ``keys`` is a
     scalar or list of scalars for a one-column key (pushed to the scan as an
-    ``IN`` filter), or a DataFrame holding the key columns (left-semi join,
-    null-safe as in the per-class lookups of ``record_profile``; the key table
-    is broadcast only after its size is checked). Returns 0..n rows
+    ``IN`` filter), or a DataFrame holding the key columns (left-semi join at
+    every size, null-safe as in the per-class lookups of ``record_profile``; the
+    key table is broadcast only after its size is checked, and the span of
+    integer, date and string keys is pushed to the scan). Returns 0..n rows
     per key; ``expect_one=True`` raises unless every key matches exactly one row.
     """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     if isinstance(keys, DataFrame):
         k, n, size = measured(keys.select(*ids).distinct())
-        src = df
-        if n <= PUSHDOWN_MAX_KEYS:
-            rows = k.collect()  # at most PUSHDOWN_MAX_KEYS rows
-            for i, c in enumerate(ids):
-                vals = {r[i] for r in rows}
-                if None not in vals:  # a null key part matches null rows: no IN list
-                    src = src.filter(F.col(c).isin(sorted(vals)))
-        out = join_null_safe(src, F.broadcast(k) if fits_broadcast(k, n, n_bytes=size) else k,
+        out = join_null_safe(_within_keys(df, k, ids), F.broadcast(k) if fits_broadcast(k, n, n_bytes=size) else k,
                              ids, how="left_semi")
     else:
         if len(ids) != 1:
@@ -131,6 +145,36 @@ def point_lookup(df: DataFrame, id_cols, keys, cols: Sequence[str] | None = None
 
 # ---------------------------------------------------------------- A1
 
+def describe_columns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """count, mean, sample stddev, min and max of every column, one scan (A1).
+
+    As in the reference's summary, strings have a count, a least and a greatest
+    value and no mean or deviation. Output: ``attribute string, n long, mean,
+    stddev, min_value, max_value double, min_text, max_text string``; the text
+    forms hold the bounds of columns that are not numbers.
+    """
+    cols = list(cols) if cols is not None else list(df.columns)
+    number = set(numeric_columns(df))
+    aggs, rows = [], []
+    none, nothing = F.lit(None).cast("double"), F.lit(None).cast("string")
+    for i, c in enumerate(cols):
+        x = qcol(c)
+        aggs += [F.count(x).alias(f"_n{i}"), F.min(x).alias(f"_lo{i}"), F.max(x).alias(f"_hi{i}")]
+        is_number = c in number
+        if is_number:
+            aggs += [F.avg(x.cast("double")).alias(f"_a{i}"), F.stddev_samp(x.cast("double")).alias(f"_s{i}")]
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        rows.append(F.struct(
+            F.lit(c).alias("attribute"), F.col(f"_n{i}").alias("n"),
+            (F.col(f"_a{i}") if is_number else none).alias("mean"),
+            (F.col(f"_s{i}") if is_number else none).alias("stddev"),
+            (lo.cast("double") if is_number else none).alias("min_value"),
+            (hi.cast("double") if is_number else none).alias("max_value"),
+            (nothing if is_number else lo.cast("string")).alias("min_text"),
+            (nothing if is_number else hi.cast("string")).alias("max_text")))
+    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+
+
 def describe_long(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """count, mean, sample stddev, min and max per numeric column, one scan (A1).
 
@@ -274,10 +318,8 @@ def radar_table(baseline: DataFrame, records: DataFrame, label_col: str,
            .agg(F.avg("scaled")))
     rec = rec.select("attribute", *[qcol(str(c)).alias(f"record_{c}") for c in record_classes])
     order = baseline.sparkSession.range(1).select(F.inline(fam_rows))
-    # ``base`` and ``rec`` hold at most one row per attribute (a bound known
-    # here: the attribute lists), so both are broadcast without a shuffle.
-    return (order.join(F.broadcast(base), on="attribute", how="left")
-            .join(F.broadcast(rec), on="attribute", how="left")
+    return (order.join(bounded_broadcast(base), on="attribute", how="left")
+            .join(bounded_broadcast(rec), on="attribute", how="left")
             .select("family", "pos", "attribute", "baseline",
                     *[f"record_{c}" for c in record_classes]))
 

@@ -1,20 +1,18 @@
 """Ordered prefix sums without a single-partition window.
 
 A global running sum (``sum(x) over (order by k)``) puts every row into one
-task. Here the order key is cut into ranges by approximate quantiles (a fixed
-number of bounds, computed by one aggregate), each range is summed by a window
-partitioned by range, and the ranges are stitched together with a per-range
-offset table whose size is bounded by the number of ranges times the number of
-groups. The result equals the global running sum exactly; only the balance of
-the ranges is approximate.
+task. Here Spark's own range partitioner deals the rows out by all order
+columns, with the row position as a last tie-breaker, so a hot value is spread
+whatever its type or place in the order. The sorted partitions are checkpointed
+once; what lies before a partition comes from a table of one row per partition
+(and group). The result equals the global running sum exactly; only the balance
+of the partitions is approximate.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,235 +20,26 @@ from cohortlab.functions.columns import qcol
 from cohortlab.operators.broadcast import bounded_broadcast
 from cohortlab.sources.cache import cut_lineage
 
-DEFAULT_RANGES = 64
-ROWS_PER_RANGE = 4_000_000   # one window task sorts about this many rows
-MAX_RANGES = 100_000         # bound on the bounds list and the offset table
-MAX_ACCURACY = 400_000       # quantile sketch size per task stays in the 10 MB range
+PART, AT = "_part", "_at"
+_ROW_BITS = 33               # monotonically_increasing_id: partition number, then row number
 
 
-RANGES_PER_PARTITION = 16     # ranges hash onto partitions; several per partition even out
+def range_parts(df: DataFrame, order_cols: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """``df`` in sorted range partitions, with the partition number ``_part`` and
+    the row's place in it ``_at``. If row a precedes row b in the order of
+    ``order_cols``, a's partition is not after b's; equal rows may be cut apart.
 
-
-def _base_ranges(df: DataFrame) -> int:
-    try:
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    except Exception:  # noqa: BLE001 - conf missing in odd sessions
-        return DEFAULT_RANGES
-    return max(1, min(MAX_RANGES, RANGES_PER_PARTITION * parts))
-
-
-SAMPLE_PER_RANGE = 50          # sampled rows per range (Spark's range partitioner uses 20)
-MAX_SAMPLE = 5_000_000          # bound on the rows that feed the quantile sketches
-SAMPLE_SEED = 17
-
-
-def _sampled(df: DataFrame, n: int, target: int) -> DataFrame:
-    """About ``target`` rows of ``df`` (all of them when it is small). Bounds
-    come from a bounded sample so the final sketch merge (one task for a
-    global aggregate) handles a bounded number of entries."""
-    if n <= target:
-        return df
-    return df.sample(fraction=min(1.0, 1.5 * target / n), seed=SAMPLE_SEED)
-
-
-def _bounds(df: DataFrame, x, k: int, n: int):
-    """k - 1 quantile bounds of ``x`` from a bounded sample of ``df``."""
-    if k <= 1 or n == 0:
-        return []
-    target = min(MAX_SAMPLE, max(100_000, SAMPLE_PER_RANGE * k))
-    fr = [i / k for i in range(1, k)]
-    acc = min(max(10_000, 4 * k), MAX_ACCURACY)
-    row = _sampled(df.select(x.alias("_x")), n, target).agg(
-        F.percentile_approx("_x", fr, acc).alias("b")).first()
-    return row["b"] or []
-
-
-EXACT_LIMIT = 2.0 ** 53         # doubles hold integers exactly below this
-MAX_HOT = 64                     # hot first-column values split by the second column
-
-
-def _common_prefix(a: str, b: str) -> int:
-    n = 0
-    while n < min(len(a), len(b)) and a[n] == b[n]:
-        n += 1
-    return n
-
-
-def order_value(df: DataFrame, col: str, lo_hi: tuple | None = None):
-    """(value, exact): a double that never decreases when ``col`` increases
-    (the range key), and whether equal values mean equal ``col`` values.
-
-    Numbers and booleans cast (exact below 2**53); dates count days;
-    timestamps and wall-clock timestamps count microseconds (the latter from
-    their fields, independent of the session time zone). Strings read 7 bytes
-    as a big-endian number (Spark orders strings by their UTF-8 bytes),
-    starting after the prefix shared by the column's min and max — every value
-    in between shares it — so keys like ``Customer#000…`` still spread out;
-    such values are not exact. Other types are rejected.
+    ``ranges`` partitions (default: the session's shuffle partitions). The input
+    is read twice: for the partitioner's sample and for the shuffle.
     """
-    dtype = df.schema[col].dataType
-    t = dtype.typeName()
-    c = qcol(col)
-    if t in ("byte", "short", "integer", "long", "float", "double", "boolean"):
-        # + 0.0 turns -0.0 into 0.0: Spark orders them as equal
-        return c.cast("double") + F.lit(0.0), True
-    if t.startswith("decimal"):
-        # exact only when every value is an integer a double holds exactly
-        exact = dtype.scale == 0 and dtype.precision <= 15
-        return c.cast("double") + F.lit(0.0), exact
-    if t == "date":
-        return F.unix_date(c).cast("double"), True
-    if t == "timestamp":
-        return F.unix_micros(c).cast("double"), True
-    if t == "timestamp_ntz":
-        secs = (F.unix_date(F.to_date(c)).cast("double") * F.lit(86400.0)
-                + F.hour(c) * F.lit(3600.0) + F.minute(c) * F.lit(60.0))
-        micros = secs * F.lit(1e6) + F.extract(F.lit("SECOND"), c).cast("double") * F.lit(1e6)
-        return F.round(micros, 0), True
-    if t == "string":
-        lo, hi = lo_hi if lo_hi is not None else df.agg(F.min(c), F.max(c)).first()
-        skip = _common_prefix(lo, hi) if lo is not None and hi is not None else 0
-        return _string_key(c, skip), False
-    raise TypeError(f"range key {col!r} of type {t} has no numeric order")
-
-
-def _string_key(c, skip: int):
-    """7 UTF-8 bytes of a string after its first ``skip`` characters, as a
-    big-endian number (0-padded): never decreases as the string increases,
-    among strings that share those first ``skip`` characters."""
-    head = F.substring(F.rpad(F.hex(F.substring(c, skip + 1, 7)), 14, "0"), 1, 14)
-    return F.conv(head, 16, 10).cast("double")
-
-
-def _bucketize(df: DataFrame, x, bounds, out: str) -> DataFrame:
-    """Range of ``x`` among ``bounds``: int, -1 for null (nulls sort first),
-    NaN after the last range (NaN sorts last)."""
-    inner = sorted({float(b) for b in bounds if b is not None
-                    and b == b and abs(b) != float("inf")})
-    if not inner:
-        return df.withColumn(out, F.when(x.isNull(), F.lit(-1)).otherwise(F.lit(0)))
-    tmp = f"{out}_x"
-    b = Bucketizer(splits=[float("-inf")] + inner + [float("inf")], inputCol=tmp,
-                   outputCol=out, handleInvalid="keep")
-    return (b.transform(df.withColumn(tmp, x)).drop(tmp)
-            .withColumn(out, F.coalesce(F.col(out).cast("int"), F.lit(-1))))
-
-
-def add_range(df: DataFrame, order_cols, out: str = "_range",
-              ranges: int | None = None) -> DataFrame:
-    """Add an order-preserving range id (long) for ``order_cols``.
-
-    One job counts the rows (and the first column's nulls, min and max); one
-    more computes the bounds from a bounded sample: ``ranges`` ranges, else
-    enough for about ROWS_PER_RANGE rows each (at least RANGES_PER_PARTITION
-    per shuffle partition, at most MAX_RANGES). ``Bucketizer`` assigns rows by
-    binary search on the JVM.
-
-    Hot keys: a first-column value that repeats across the bounds holds at
-    least 2/k of the rows, and so may a large null group. Their rows are cut
-    again. Strings sharing a 7-byte key are cut by the bytes after the prefix
-    their own min and max share (URLs under one host spread out). Exact values,
-    a repeated string and the null group are cut by quantiles of the second
-    order column, or, with a single order column, by row position (ties may be
-    numbered in any order); in that last case the ranges are checkpointed
-    once, so every later read sees the same assignment. If row a precedes
-    row b in the order of ``order_cols``, range(a) <= range(b).
-    """
-    cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
-    c0 = qcol(cols[0])
-    is_str = df.schema[cols[0]].dataType.typeName() == "string"
-    aggs = [F.count(F.lit(1)).alias("n"), F.count(c0).alias("nn")]
-    if is_str:
-        aggs += [F.min(c0).alias("lo"), F.max(c0).alias("hi")]
-    st = df.agg(*aggs).first()
-    n, nulls = int(st["n"]), int(st["n"]) - int(st["nn"])
-    x, exact = order_value(df, cols[0], (st["lo"], st["hi"]) if is_str else None)
-    if ranges is not None:
-        k = max(1, min(int(ranges), MAX_RANGES))
-    else:
-        k = max(_base_ranges(df), min(MAX_RANGES, -(-n // ROWS_PER_RANGE)), 2)
-    bounds = _bounds(df.filter(c0.isNotNull()), x, k, n - nulls)
-    base = f"{out}_base"
-    d = _bucketize(df, x, bounds, base)
-
-    # one bound repeat stands for about (n - nulls) / k rows; nulls in the same unit
-    unit = max(n - nulls, 1) / max(k, 1)
-    counts: dict = {}
-    if exact or is_str:
-        for b in bounds:
-            if b is not None and b == b and (is_str or abs(b) < EXACT_LIMIT):
-                counts[float(b)] = counts.get(float(b), 0) + 1
-    if k > 1 and nulls >= 2 * unit:           # nulls fill two ranges or more
-        counts[None] = int(nulls // unit)
-    hot = sorted((v for v in counts if counts[v] >= 2), key=lambda v: -counts[v])[:MAX_HOT]
-    if not hot:
-        return d.withColumn(out, F.col(base).cast("long")).drop(base)
-
-    def is_v(v):
-        return x.isNull() if v is None else (x == F.lit(v))
-
-    # Second key per hot group. A string group (a shared 7-byte key) is cut by
-    # the bytes after the prefix its own min and max share, which keeps the
-    # string order; a group of one repeated string, an exact value or the null
-    # group is cut by the second order column, or by position when there is
-    # only one order column (ties may be numbered in any order).
-    own_key = {}
-    if is_str:
-        str_hot = [v for v in hot if v is not None]
-        if str_hot:
-            for r in (df.filter(x.isin(str_hot)).groupBy(x.alias("_hv"))
-                      .agg(F.min(c0).alias("lo"), F.max(c0).alias("hi")).collect()):  # <= MAX_HOT
-                if r["lo"] is not None and r["lo"] != r["hi"]:
-                    own_key[float(r["_hv"])] = _string_key(c0, _common_prefix(r["lo"], r["hi"]))
-    other = [v for v in hot if v not in own_key]
-    x2_other, positional = None, False
-    if other:
-        if len(cols) > 1:
-            try:
-                x2_other, _ = order_value(df, cols[1])
-            except TypeError:  # no numeric order for the second column: no re-cut
-                other = []
-        else:
-            tag = f"{out}_pos"
-            df = df.withColumn(tag, F.monotonically_increasing_id())
-            d = d.withColumn(tag, F.monotonically_increasing_id())
-            x2_other = F.col(tag).cast("double")
-            positional = True
-    hot = [v for v in hot if v in own_key or v in other]
-    if not hot:
-        return d.withColumn(out, F.col(base).cast("long")).drop(base)
-    x2 = x2_other if x2_other is not None else F.lit(None).cast("double")
-    for v, key in own_key.items():
-        x2 = F.when(x == F.lit(v), key).otherwise(x2)
-
-    # value v repeats counts[v] times among the bounds: about counts[v] ranges
-    # of rows. One grouped aggregate over a bounded sample of the hot rows gets
-    # every hot value's bounds at the finest cut; each value keeps every
-    # step-th bound, about counts[v] + 1 ranges.
-    top = max(counts[v] for v in hot) + 1
-    width = top + 2   # 0: null second key; last: rows after the hot value
-    fr = [i / top for i in range(1, top)]
-    acc = min(max(10_000, 4 * top), MAX_ACCURACY)
-    hot_rows = int(sum(counts[v] for v in hot) * unit) + 1
-    target = min(MAX_SAMPLE, max(100_000, SAMPLE_PER_RANGE * top * len(hot)))
-    sel = reduce(lambda a, b: a | b, [is_v(v) for v in hot])
-    found = {(None if r["_hn"] else float(r["_hv"])): (r["_b"] or []) for r in
-             _sampled(df.filter(sel), hot_rows, target)
-             .groupBy(x.isNull().alias("_hn"), x.alias("_hv"))
-             .agg(F.percentile_approx(x2, fr, acc).alias("_b")).collect()}  # <= MAX_HOT rows
-    sub = F.lit(width - 1)
-    for i, v in enumerate(hot):
-        step = max(1, top // (counts[v] + 1))
-        b = found.get(v, [])
-        # only the rows of this hot value need its sub-range
-        d = _bucketize(d, F.when(is_v(v), x2), b[step - 1::step] if step > 1 else b,
-                       f"{out}_s{i}")
-        sub = F.when(is_v(v), F.col(f"{out}_s{i}") + F.lit(1)).otherwise(sub)
-    d = d.withColumn(out, F.col(base).cast("long") * F.lit(width) + sub.cast("long"))
-    d = d.drop(base, *[f"{out}_s{i}" for i in range(len(hot))])
-    if positional:
-        d = cut_lineage(d).drop(f"{out}_pos")
-    return d
+    spark = df.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions") if ranges is None else ranges))
+    cols, tie = [qcol(c) for c in order_cols], "_tie"
+    d = df.withColumn(tie, F.monotonically_increasing_id())
+    d = d.repartitionByRange(n, *cols, tie).sortWithinPartitions(*cols, tie).drop(tie)
+    row = F.monotonically_increasing_id()
+    return cut_lineage(d).select("*", F.shiftright(row, _ROW_BITS).cast("int").alias(PART),
+                                 row.bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias(AT))
 
 
 def exclusive_prefix(df: DataFrame, order_cols: Sequence[str], value_col: str | None,
@@ -258,30 +47,30 @@ def exclusive_prefix(df: DataFrame, order_cols: Sequence[str], value_col: str |
                      ranges: int | None = None) -> DataFrame:
     """Add ``out`` = sum of ``value_col`` over rows strictly before this one in
     ``order_cols`` order (within ``group_cols``). ``value_col=None`` counts rows,
-    which gives a dense 0-based row number when ``order_cols`` is a total order.
+    which gives a dense 0-based row number.
 
-    The first order column is the range key (see ``order_value``). Rows
-    with a null group key form their own group, as in ``groupBy``.
+    Rows with a null group key form their own group, as in ``groupBy``.
     """
-    rng, gk = "_range", "_group_key"
-    d = add_range(df, list(order_cols), rng, ranges)
+    gk = "_group_key"
+    d = range_parts(df, list(order_cols), ranges)
     v = F.lit(1).cast("long") if value_col is None else F.col(value_col)
     # The groups travel as one struct column: it is never null, and structs
     # with equal fields (nulls included) group and join as equal, so the
     # window, the totals and the offset join all key on the same plain
-    # columns. If the offsets are too large to broadcast, the join then keeps
-    # the window's partitioning and only the offset table moves.
-    keys = [gk, rng] if group_cols else [rng]
+    # columns.
+    keys = [gk, PART] if group_cols else [PART]
     if group_cols:
         d = d.withColumn(gk, F.struct(*[qcol(c) for c in group_cols]))
-    w_in = (Window.partitionBy(*keys).orderBy(*[qcol(c) for c in order_cols])
-            .rowsBetween(Window.unboundedPreceding, -1))
-    d = d.withColumn("_in_range", F.coalesce(F.sum(v).over(w_in), F.lit(0)))
+    if value_col is None and not group_cols:
+        d = d.withColumn("_in_part", F.col(AT))       # its place is the count: no window
+    else:
+        w_in = Window.partitionBy(*keys).orderBy(AT).rowsBetween(Window.unboundedPreceding, -1)
+        d = d.withColumn("_in_part", F.coalesce(F.sum(v).over(w_in), F.lit(0)))
     totals = d.groupBy(*keys).agg(F.sum(v).alias("_tot"))
-    w_off = (Window.partitionBy(*keys[:-1]).orderBy(rng)
+    w_off = (Window.partitionBy(*keys[:-1]).orderBy(PART)
              .rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select(*keys, F.coalesce(F.sum("_tot").over(w_off), F.lit(0)).alias("_off"))
     offsets = bounded_broadcast(offsets)
-    out_df = d.join(offsets, on=keys, how="left")
-    return (out_df.withColumn(out, F.col("_in_range") + F.col("_off"))
-            .drop("_in_range", "_off", *keys))
+    return (d.join(offsets, on=keys, how="left")
+            .withColumn(out, F.col("_in_part") + F.col("_off"))
+            .drop("_in_part", "_off", AT, *keys))

@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.operators import features, models, split
+from cohortlab.operators.broadcast import bounded_broadcast, fits_broadcast
 from cohortlab.plans.catalog import table
-from cohortlab.sources.cache import rebalance
+from cohortlab.sources.cache import ROWS_PER_PARTITION, rebalance
 
 TEXT_FEATURES = ("n_chars", "n_words", "n_distinct", "type_token_ratio", "digit_share",
                  "upper_share", "punct_share", "mean_word_len")
@@ -57,23 +58,46 @@ def text_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    feats = text_features(table(spark, sf, "documents"))
+    docs = table(spark, sf, "documents")
     lab = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
-    return feats.join(lab, on="doc_id", how="inner")
+    ids = bounded_broadcast(lab.select("doc_id").distinct())
+    # only labelled documents reach the text work while their ids fit a broadcast;
+    # beyond that the text work runs in the scan and the narrow rows are joined
+    if fits_broadcast(ids, ids.count()):
+        docs = docs.join(ids, "doc_id", "left_semi")
+    return text_features(docs).join(lab, on="doc_id", how="inner")
 
 
 def _key(spark: SparkSession, sf: str):
-    return (spark.sparkContext.applicationId, sf)
-
-
-def prepared(spark: SparkSession, sf: str) -> DataFrame:
-    """doc_id, split, label, features, scaledFeatures (persisted)."""
+    """The session, the folder and the state of its two tables: rewritten tables
+    are prepared and fitted anew."""
+    state = []
+    for t in ("documents", "labels"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/{t}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        state += [fs.getFileStatus(path).getModificationTime(), fs.getContentSummary(path).getLength()]
+    return (spark.sparkContext.applicationId, sf, *state)
+
+
+def clear() -> None:
+    """Release the prepared rows and forget the fits."""
+    for df in _PREPARED.values():
+        try:
+            df.unpersist()
+        except Exception:  # noqa: BLE001 - its session has ended
+            pass
+    for memo in (_PREPARED, _PIPELINES, _FITTED):
+        memo.clear()
+
+
+def prepared(spark: SparkSession, sf: str, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+    """doc_id, split, label, features, scaledFeatures (persisted until ``clear``)."""
     k = _key(spark, sf)
     if k not in _PREPARED:
-        d = split.three_way_split(rebalance(labelled(spark, sf)), ["doc_id"], salt=SALT)
+        d = split.three_way_split(rebalance(labelled(spark, sf), rows_per_partition), ["doc_id"], salt=SALT)
         pm = features.fit_pipeline(d.filter(F.col("split") == "train"), TEXT_FEATURES)
         _PIPELINES[k] = pm
-        _PREPARED[k] = (pm.transform(d).select("doc_id", "split", "label", "scaledFeatures")
+        _PREPARED[k] = (pm.transform(d).select("doc_id", "split", "label", *TEXT_FEATURES, "scaledFeatures")
                         .persist(StorageLevel.MEMORY_AND_DISK))
     return _PREPARED[k]
 

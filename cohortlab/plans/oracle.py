@@ -8,6 +8,7 @@ aggregates cast to BIGINT; no division by a possibly zero divisor
 
 from __future__ import annotations
 
+from cohortlab.operators.models import MODEL_NAMES
 from cohortlab.plans.catalog import LI_FEATURES, LI_KEYS
 from cohortlab.plans.queries import (BASELINE_CLASS, LI_RADAR, PCA_COLS, POSITIVE_CLASS,
                                      PRICE_RULE, RULES, SALT)
@@ -122,9 +123,19 @@ def _pca_cte() -> str:
             f"CASE WHEN r >= 0 THEN a - b ELSE a + b END / sqrt(2) AS pc2 FROM w)")
 
 
+_WS = r"[\x20\x09-\x0D]"
+
+
+def _share(pattern: str) -> str:
+    return f"coalesce((length(t) - length(regexp_replace(t, '{pattern}', '', 'g')))::DOUBLE / nullif(length(t), 0), 0)"
+
+
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
     q["csv_scan"] = "SELECT * FROM customer"
+    q["csv_text"] = ("SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN '' "
+                     "WHEN 2 THEN '\"' || text || ' \"\", ' || chr(13) || chr(10) || ' x' || chr(92) "
+                     "ELSE text END AS text, lang FROM documents")
     q["view_sql"] = ("SELECT l_returnflag, count(*)::BIGINT AS n, "
                      f"{_r('avg(l_quantity)', 'avg_qty')}, {_r('max(l_extendedprice)', 'max_price')} "
                      "FROM lineitem WHERE l_discount >= 0.05::DOUBLE GROUP BY l_returnflag")
@@ -139,7 +150,7 @@ def build() -> dict[str, str]:
     q["project_mean"] = "SELECT l_returnflag, l_orderkey, l_partkey, l_suppkey FROM lineitem"
     q["project_se"] = f"SELECT {_r('l_extendedprice', 'l_extendedprice')} FROM lineitem"
     q["project_worst"] = "SELECT l_linestatus FROM lineitem"
-    q["class_subset"] = (f"SELECT {_li_select()} FROM lineitem "
+    q["class_subset"] = (f"SELECT {_li_select()}, l_shipdate::VARCHAR AS l_shipdate FROM lineitem "
                          f"WHERE contains(l_returnflag, '{POSITIVE_CLASS}')")
     q["str_contains"] = ("SELECT o_orderkey, o_orderpriority, "
                          "contains(o_orderpriority, 'URGENT') AS is_urgent FROM orders")
@@ -149,6 +160,8 @@ def build() -> dict[str, str]:
                          f"{_r('o_totalprice', 'o_totalprice')}, o_orderpriority FROM orders "
                          "WHERE o_orderkey IN (SELECT min(o_orderkey) FROM orders "
                          "GROUP BY o_orderpriority)")
+    q["point_lookup_ntz"] = ("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderdate IN "
+                             "(SELECT min(o_orderdate) FROM orders GROUP BY o_orderpriority)")
     q["select_columns"] = (f"SELECT l_orderkey, {_r('l_quantity', 'l_quantity')}, l_returnflag "
                            "FROM lineitem")
     q["drop_column"] = (f"SELECT {_li_select([c for c in LI_COLS if c != 'l_linestatus'])} "
@@ -163,8 +176,12 @@ def build() -> dict[str, str]:
     q["describe_table"] = " UNION ALL ".join(
         f"SELECT '{c}' AS attribute, count({c})::BIGINT AS n, "
         f"{_r(f'avg({c}::DOUBLE)', 'mean')}, {_r(f'stddev_samp({c}::DOUBLE)', 'stddev')}, "
-        f"{_r(f'min({c})::DOUBLE', 'min_value')}, {_r(f'max({c})::DOUBLE', 'max_value')} "
-        "FROM lineitem" for c in LI_NUMERIC)
+        f"{_r(f'min({c})::DOUBLE', 'min_value')}, {_r(f'max({c})::DOUBLE', 'max_value')}, "
+        "NULL::VARCHAR AS min_text, NULL::VARCHAR AS max_text "
+        "FROM lineitem" for c in LI_NUMERIC) + "".join(
+        f" UNION ALL SELECT '{c}', count({c})::BIGINT, NULL, NULL, NULL, NULL, "
+        f"min({c})::VARCHAR, max({c})::VARCHAR FROM lineitem"
+        for c in ("l_returnflag", "l_linestatus", "l_shipdate"))
     for key, col in (("class_avg", "avg_value"), ("class_min", "min_value"),
                      ("class_max", "max_value")):
         q[key] = f"WITH {st} SELECT l_returnflag, attribute, {_r(col, col)} FROM st"
@@ -249,7 +266,9 @@ def build() -> dict[str, str]:
                               f"{_r('c_nationkey::DOUBLE', 'x_0')}, {_r('c_acctbal', 'x_1')} FROM c "
                               "WHERE c_nationkey IS NOT NULL AND c_acctbal IS NOT NULL")
     q["vector_to_array"] = (f"SELECT {KEYS}, {len(LI_FEATURES)} AS n_dims, "
-                            + _r(" + ".join(LI_FEATURES), "x_sum") + " FROM lineitem")
+                            + _r(" + ".join(LI_FEATURES), "x_sum") + ", concat_ws(',', "
+                            + ", ".join(f"round({c} * 100)::BIGINT" for c in LI_FEATURES)
+                            + ") AS x_hundredths FROM lineitem")
     q["array_to_columns"] = (f"SELECT {KEYS}, "
                              + ", ".join(_r(c, f"x_{i}") for i, c in enumerate(LI_FEATURES))
                              + " FROM lineitem")
@@ -273,6 +292,36 @@ def build() -> dict[str, str]:
         f"{_r('(1 + abs(r)) / 2', 'cumulative')} FROM rr UNION ALL "
         f"SELECT 2 AS component, {_r('(1 - abs(r)) / 2', 'explained_variance')}, "
         f"{_r('1.0::DOUBLE', 'cumulative')} FROM rr")
+    feats = {
+        "n_chars": "length(t)::DOUBLE",
+        "n_words": "len(ws)::DOUBLE",
+        "n_distinct": "len(list_distinct(lw))::DOUBLE",
+        "type_token_ratio": "coalesce(len(list_distinct(lw))::DOUBLE / nullif(len(ws), 0), 0)",
+        "digit_share": _share("[0-9]"), "upper_share": _share(r"\p{Lu}"), "punct_share": _share(r"\p{P}"),
+        "mean_word_len": (f"coalesce(length(regexp_replace(t, '{_WS}+', '', 'g'))::DOUBLE "
+                          "/ nullif(len(ws), 0), 0)"),
+    }
+    docs = ("d AS (SELECT doc_id, coalesce(text, '') AS t, trim(coalesce(text, ''), ' ') AS u FROM documents "
+            "WHERE doc_id IN (SELECT doc_id FROM labels)), "
+            f"w AS (SELECT doc_id, t, CASE WHEN u = '' THEN [] ELSE string_split_regex(u, '{_WS}+') END AS ws, "
+            f"CASE WHEN u = '' THEN [] ELSE string_split_regex(lower(u), '{_WS}+') END AS lw FROM d), "
+            "f AS (SELECT w.doc_id, quality AS label, " + _split3("w.doc_id") + " AS split, "
+            + ", ".join(f"{e} AS {n}" for n, e in feats.items())
+            + " FROM w JOIN labels ON labels.doc_id = w.doc_id)")
+    sd = "sd AS (SELECT " + ", ".join(f"stddev_samp({n}) AS {n}" for n in feats) + " FROM f WHERE split = 'train')"
+    q["model_features"] = (f"WITH {docs}, {sd} SELECT doc_id, split, label, "
+                           + ", ".join(_r(f"f.{n}", n) for n in feats) + ", "
+                           + ", ".join(_r(_std_scaled(f"f.{n}", f"sd.{n}"), f"{n}_scaled") for n in feats)
+                           + " FROM f CROSS JOIN sd")
+    names = ", ".join(f"('{m}')" for m in MODEL_NAMES)
+    scored = (f"m(model) AS (VALUES {names}), l AS (SELECT labels.doc_id, quality AS label, "
+              f"{_split3('labels.doc_id')} AS split FROM labels JOIN documents USING (doc_id))")
+    q["score_rows"] = f"WITH {scored} SELECT model, split, doc_id, label FROM l CROSS JOIN m"
+    zero = ", ".join(f"0::BIGINT AS {c}" for c in ("bad_score", "bad_prediction", "bad_equal"))
+    q["score_consistency"] = (f"WITH {scored} SELECT model, split, count(*)::BIGINT AS n, "
+                              f"sum(label)::BIGINT AS n_positive, {zero} FROM l CROSS JOIN m GROUP BY model, split")
+    terms = ", ".join(f"('{t}', 0.0::DOUBLE)" for t in ("intercept", *LI_FEATURES))
+    q["logistic_optimum"] = f"SELECT * FROM (VALUES {terms}) AS v(term, mean_gradient)"
     return q
 
 

@@ -88,9 +88,23 @@ def lineitem_records(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("csv_scan")
 def q_csv_scan(spark, sf):
-    src = table(spark, sf, "customer")
-    path = csv_src.write_csv(src)
-    return csv_src.read_csv(spark, path, schema=src.schema)
+    """Header and inferred types, as the reference reads its table."""
+    path = csv_src.write_csv(table(spark, sf, "customer"), text_safe=False)
+    got = csv_src.read_csv(spark, path)
+    # inference has no 64-bit integers where 32 bits hold every value
+    return got.select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "c_name",
+                      F.col("c_nationkey").cast("int").alias("c_nationkey"), "c_mktsegment", "c_acctbal")
+
+
+@query("csv_text")
+def q_csv_text(spark, sf):
+    """Texts with line ends, quotes, nulls and empty strings through a CSV file."""
+    d = table(spark, sf, "documents").select(
+        "doc_id", F.when(F.col("doc_id") % 7 == 0, F.lit(None)).when(F.col("doc_id") % 7 == 1, "")
+        .when(F.col("doc_id") % 7 == 2, F.concat(F.lit('"'), F.col("text"), F.lit(' "", \r\n x\\')))
+        .otherwise(F.col("text")).alias("text"), "lang")
+    path = csv_src.write_csv(d)
+    return csv_src.read_csv(spark, path, schema=d.schema, text_safe=True)
 
 
 @query("view_sql")
@@ -144,7 +158,8 @@ def q_project_worst(spark, sf):
 
 @query("class_subset")
 def q_class_subset(spark, sf):
-    return rounded(profile.class_subset(lineitem(spark, sf), LI_LABEL, POSITIVE_CLASS))
+    out = profile.class_subset(table(spark, sf, "lineitem"), LI_LABEL, POSITIVE_CLASS)
+    return rounded(out.withColumn("l_shipdate", F.col("l_shipdate").cast("string")))
 
 
 @query("str_contains")
@@ -170,6 +185,15 @@ def q_point_lookup(spark, sf):
                                      "o_orderpriority"]))
 
 
+@query("point_lookup_ntz")
+def q_point_lookup_ntz(spark, sf):
+    """Lookup by a wall-clock timestamp (no time zone)."""
+    o = table(spark, sf, "orders")
+    keys = o.groupBy("o_orderpriority").agg(F.min("o_orderdate").alias("o_orderdate"))
+    out = profile.point_lookup(o, "o_orderdate", keys, cols=["o_orderkey", "o_orderpriority"])
+    return out.select("o_orderkey", "o_orderpriority")
+
+
 @query("select_columns")
 def q_select_columns(spark, sf):
     return rounded(align.select_columns(lineitem(spark, sf), "l_orderkey", "l_quantity",
@@ -190,8 +214,7 @@ def q_class_profile(spark, sf):
 
 @query("describe_table")
 def q_describe_table(spark, sf):
-    li = lineitem(spark, sf)
-    return rounded(profile.describe_long(li, profile.numeric_columns(li)))
+    return rounded(profile.describe_columns(table(spark, sf, "lineitem")))
 
 
 @query("class_avg")
@@ -353,8 +376,11 @@ def q_assemble_features(spark, sf):
 def q_vector_to_array(spark, sf):
     v = features.assemble(lineitem(spark, sf), LI_FEATURES, "features")
     arr = features.vector_to_array("features")
+    # every item, as whole hundredths (the measures have two decimals)
+    items = F.array_join(F.transform(arr, lambda x: F.round(x * 100).cast("bigint").cast("string")), ",")
     return rounded(v.select(*LI_KEYS, F.size(arr).alias("n_dims"),
-                            F.aggregate(arr, F.lit(0.0), lambda a, x: a + x).alias("x_sum")))
+                            F.aggregate(arr, F.lit(0.0), lambda a, x: a + x).alias("x_sum"),
+                            items.alias("x_hundredths")))
 
 
 @query("array_to_columns")
@@ -457,6 +483,58 @@ def q_score_splits(spark, sf):
     return rounded(_all_scores(spark, sf))
 
 
+@query("model_features")
+def q_model_features(spark, sf):
+    """What every model is fitted on: the text features, raw and scaled."""
+    names = model_data.TEXT_FEATURES
+    scaled = features.vector_to_array("scaledFeatures")
+    return rounded(model_data.prepared(spark, sf).select(
+        "doc_id", "split", "label", *names, *[scaled.getItem(i).alias(f"{n}_scaled") for i, n in enumerate(names)]))
+
+
+@query("score_rows")
+def q_score_rows(spark, sf):
+    return _all_scores(spark, sf).select("model", "split", "doc_id", F.col("label").cast("int").alias("label"))
+
+
+@query("score_consistency")
+def q_score_consistency(spark, sf):
+    """Per model and split: rows, positive labels, and broken rules (a score out of
+    its range, a prediction that does not follow from the score, a wrong ``equal``)."""
+    s, svc = _all_scores(spark, sf), F.col("model") == "linear_svc"
+    cut = F.when(svc, F.lit(0.0)).otherwise(F.lit(0.5))
+    in_range = F.when(svc, ~F.isnan("score")).otherwise((F.col("score") >= 0) & (F.col("score") <= 1))
+    # a score on the cut may go either way
+    follows = (F.abs(F.col("score") - cut) < 1e-12) | ((F.col("score") > cut) == (F.col("prediction") == 1.0))
+    equal = (F.col("prediction") == F.col("label")).cast("int") == F.col("equal")
+    broken = {"bad_score": in_range, "bad_prediction": follows, "bad_equal": equal}
+    return s.groupBy("model", "split").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("bigint")).alias("n_positive"),
+        *[F.count_if(~F.coalesce(c, F.lit(False))).alias(k) for k, c in broken.items()])
+
+
+@query("logistic_optimum")
+def q_logistic_optimum(spark, sf):
+    """The mean gradient (p - y) x of the fitted logistic regression over its training
+    rows, per scaled measure and intercept: zero at the optimum."""
+    s = profile.encode_label(split.three_way_split(lineitem(spark, sf), LI_KEYS, salt=SALT),
+                             LI_LABEL, POSITIVE_CLASS, out="label")
+    train = s.filter(F.col("split") == "train")
+    rows = features.fit_pipeline(train, LI_FEATURES).transform(train).select("label", "scaledFeatures") \
+        .persist()
+    try:
+        m = models.fit_models(rows, ["logistic"])["logistic"]
+        x, p = features.vector_to_array("scaledFeatures"), features.vector_to_array("probability").getItem(1)
+        off = p - F.col("label")
+        terms = [F.lit(1.0), *[x.getItem(i) for i in range(len(LI_FEATURES))]]
+        got = m.transform(rows).agg(*[F.avg(off * t).alias(f"g{i}") for i, t in enumerate(terms)]).first()
+    finally:
+        rows.unpersist()
+    return spark.createDataFrame(
+        [(n, round(got[i], 4) + 0.0) for i, n in enumerate(("intercept", *LI_FEATURES))],
+        "term string, mean_gradient double")
+
+
 @query("clf_leaderboard")
 def q_clf_leaderboard(spark, sf):
     return rounded(metrics.leaderboard(_all_scores(spark, sf), "model", "prediction", "label",

@@ -39,12 +39,14 @@ def rebalance(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> Da
     text), the input layout leaves many tiny partitions; every iteration of a
     model fit would pay one task per partition. The checkpoint keeps the small
     rows (the wide input is not read again), then they are coalesced (or
-    spread, if too few) to about ``rows_per_partition`` rows each.
+    spread, if too few) to about ``rows_per_partition`` rows each, but not below
+    the session's parallelism, so that a fit always runs on several partitions.
     """
     df = cut_lineage(df)
     n = df.count()
     want = max(1, -(-n // rows_per_partition))
     have = df.rdd.getNumPartitions()
+    want = max(want, min(have, df.sparkSession.sparkContext.defaultParallelism))
     if want < have:
         return df.coalesce(want)
     if want > have:

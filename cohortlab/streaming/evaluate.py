@@ -44,10 +44,13 @@ def running_confusion(scored: DataFrame, pred_col: str = "prediction", label_col
     return metrics.confusion_matrix(scored, pred_col, label_col, group_cols)
 
 
-def start(df: DataFrame, name: str, output_mode: str = "complete", sink: str = "memory",
+def start(df: DataFrame, name: str, sink: str, output_mode: str = "complete",
           path: str | None = None, checkpoint: str | None = None,
           trigger_once: bool = False) -> StreamingQuery:
-    """Start a streaming query with its checkpoint under the shared folder."""
+    """Start a streaming query with its checkpoint under the shared folder.
+
+    ``sink`` has no default: ``memory`` keeps every row on the driver and suits
+    the few rows of a complete-mode aggregate only."""
     spark = df.sparkSession
     checkpoint = checkpoint or shared_dir(spark, "stream", name)
     w = (df.writeStream.queryName(name).outputMode(output_mode).format(sink)

@@ -14,35 +14,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.operators import features, metrics, models, profile, split
 from cohortlab.operators.profile import RADAR_ORDER
+from cohortlab.sources.cache import persist_parts, unpersist_parts
 
 
 def notebook_flow(df: DataFrame, id_col: str = "id", label_col: str = "diagnosis",
-                  positive="M", negative="B", label_out: str = "Int_Diagnostics",
+                  positive="M", negative="B", label_out: str = "label",
                   record_ids: dict | None = None, families: Sequence[str] = ("worst", "mean"),
                   measures: Sequence[str] = RADAR_ORDER, model_names: Sequence[str] =
                   models.MODEL_NAMES, salt: str = split.SEED, pca_k: int = 2,
-                  handle_invalid: str = "error") -> dict:
+                  handle_invalid: str = "error", feature_cols: Sequence[str] | None = None) -> dict:
     """Run the flow; return a dict of DataFrames (and the fitted models).
 
     ``record_ids`` maps a class value to the id of the record to profile
     (default: the lowest id of each class). ``families`` x ``measures`` name
     the radar attributes as ``<measure>_<family>``; missing ones are skipped.
-    Features are the numeric columns other than the id and the labels. A null
+    Features are ``feature_cols``, by default every column other than the id and
+    the labels (P9), so a column that is no number fails the assembler. A null
     feature fails the assembler as in the reference (``handle_invalid="error"``);
     ``"skip"`` leaves such rows out of training and scoring, ``"keep"`` makes
-    them NaN.
+    them NaN. The prepared rows and the scores are persisted (every fit and four
+    metrics read them): pass the result to ``release`` when done.
     """
     out: dict = {}
     out["summary"] = profile.describe_table(profile.drop_null_heavy_rows(df))
     enc = profile.encode_label(df, label_col, positive, out=label_out)
     out["encoded"] = enc
-    feats = profile.numeric_columns(enc, exclude=[id_col, label_col, label_out])
+    feats = list(feature_cols) if feature_cols is not None else profile.feature_columns(
+        enc, [id_col, label_col, label_out])
 
     fam = {f: [f"{m}_{f}" for m in measures if f"{m}_{f}" in enc.columns] for f in families}
     fam = {f: a for f, a in fam.items() if a}
@@ -65,10 +68,9 @@ def notebook_flow(df: DataFrame, id_col: str = "id", label_col: str = "diagnosis
 
     parts = split.three_way_split(enc, [id_col], salt=salt)
     train_rows = parts.filter(F.col("split") == "train")
-    pm = features.fit_pipeline(train_rows, feats, features_col="Resultfeatures",
+    pm = features.fit_pipeline(train_rows, feats, features_col="features",
                                handle_invalid=handle_invalid)
-    prepared = (pm.transform(parts).select(id_col, "split", label_out, "scaledFeatures")
-                .persist(StorageLevel.MEMORY_AND_DISK))
+    [prepared] = persist_parts(pm.transform(parts).select(id_col, "split", label_out, "scaledFeatures"))
     train = prepared.filter(F.col("split") == "train")
     out["prepared"] = prepared
     pca = features.fit_pca(train, pca_k)
@@ -78,8 +80,7 @@ def notebook_flow(df: DataFrame, id_col: str = "id", label_col: str = "diagnosis
     fitted = models.fit_models(train, model_names, label_col=label_out)
     out["models"] = fitted
     # four metrics read the scores: score every row with every model once
-    scored = (models.score_splits(fitted, prepared, [id_col], label_col=label_out)
-              .persist(StorageLevel.MEMORY_AND_DISK))
+    [scored] = persist_parts(models.score_splits(fitted, prepared, [id_col], label_col=label_out))
     out["scored"] = scored
     out["leaderboard"] = metrics.leaderboard(scored, order=model_names)
     out["metrics"] = metrics.precision_recall(
@@ -87,3 +88,8 @@ def notebook_flow(df: DataFrame, id_col: str = "id", label_col: str = "diagnosis
     out["auroc_hard"] = metrics.auroc_hard(scored, group_cols=["model", "split"])
     out["auroc_exact"] = metrics.auroc_exact(scored, "score", group_cols=["model", "split"])
     return out
+
+
+def release(out: dict) -> None:
+    """Unpersist what ``notebook_flow`` kept."""
+    unpersist_parts(out["scored"], out["prepared"])

@@ -209,7 +209,7 @@ def test_timestamp_ntz_order_independent_of_zone(spark):
 def test_range_order_invariants(spark):
     from decimal import Decimal
 
-    from cohortlab.operators.ranges import add_range
+    from cohortlab.operators.ranges import range_parts
     # decimals that collapse onto one double are not treated as one hot value
     rows = [(Decimal("1.00000000000000000001"), 10000)] + \
         [(Decimal("1.00000000000000000002"), i) for i in range(300)]
@@ -219,15 +219,15 @@ def test_range_order_invariants(spark):
     # -0.0 and 0.0 are equal keys
     z = spark.createDataFrame([(-0.0, 5), (0.0, 1), (1.0, 0), (-1.0, 0)] + [(0.0, i) for i in range(10, 40)],
                               "d double, id int")
-    r = add_range(z, ["d", "id"], "_r", ranges=3)
-    ids = [x["_r"] for x in r.orderBy("d", "id").collect()]
+    r = range_parts(z, ["d", "id"], 3)
+    ids = [x["_part"] for x in r.orderBy("d", "id").collect()]
     assert ids == sorted(ids)
-    # a second column with no numeric order: no re-cut, still correct
+    # a second column without numbers
     b = spark.createDataFrame([(5, bytearray([i % 256])) for i in range(60)] + [(i, bytearray([0])) for i in range(30)],
                               "d int, b binary")
     assert align.row_index(b, ["d", "b"], ranges=4).count() == 90
     # ranges=0 means one range
-    assert add_range(z, ["d"], "_r", ranges=0).select("_r").distinct().count() <= 2
+    assert range_parts(z, ["d"], 0).select("_part").distinct().count() == 1
 
 
 def test_lookup_null_key_consistent(spark):
@@ -281,3 +281,37 @@ def test_no_local_checkpoint_fallback_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(Session())
+
+
+def test_lookup_equals_semi_join_for_every_key_type_and_size(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        # hourly wall-clock times across both changes of daylight saving time
+        base = spark.range(12_000).select("id", F.expr(
+            "timestamp_ntz'2023-11-01 00:30:00' + make_dt_interval(0, cast(id as int))").alias("ntz"))
+        t = base.select("id", "ntz", F.expr("timestamp_micros(id * 3600000000)").alias("ts"),
+                        F.expr("date_from_unix_date(cast(id as int))").alias("date"),
+                        (F.col("id") / 4).cast("decimal(12,2)").alias("dec"),
+                        F.hex("id").cast("binary").alias("bin"), F.array("id").alias("arr"),
+                        F.format_string("k%d", "id").alias("str"))
+        for n in (1, 900, 1000, 1001, 1100):
+            keys = t.filter(F.col("id") % 7 == 3).limit(n)
+            for c in ("id", "ntz", "ts", "date", "dec", "bin", "arr", "str"):
+                got = profile.point_lookup(t, c, keys.select(c), cols=["id"])
+                want = t.join(keys.select(c), c, "left_semi")
+                assert got.count() == want.count() == n, (c, n)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_one_round_score_uses_its_step(spark):
+    from cohortlab.plans import model_data
+    from tests.conftest import SF001
+    m = model_data.fitted(spark, SF001, "boosted_one_round")
+    assert list(m.treeWeights) == [1.0]
+    rows = model_data.prepared(spark, SF001).limit(50)
+    raw = {r.doc_id: r.rawPrediction[1] for r in m.transform(rows).collect()}
+    got = models.score_splits({"boosted_one_round": m}, rows, ["doc_id"]).collect()
+    import math
+    assert all(math.isclose(r.score, 1 / (1 + math.exp(-0.6 * raw[r.doc_id])), abs_tol=1e-12) for r in got)

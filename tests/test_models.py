@@ -33,3 +33,16 @@ def test_no_leak_on_random_label(spark):
     for r in exact.collect():
         assert abs(r.auroc - 0.5) < 0.03, (r.model, r.auroc)
     prepared.unpersist()
+
+
+def test_fits_run_on_several_partitions(spark):
+    from cohortlab.plans import model_data
+    model_data.clear()
+    train = model_data.prepared(spark, SF001, rows_per_partition=50).filter("split = 'train'")
+    sizes = [r["count"] for r in train.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 4
+    fitted = models.fit_models(train, models.MODEL_NAMES)
+    assert set(fitted) == set(models.MODEL_NAMES)
+    model_data.clear()
+    assert not model_data._PREPARED and not model_data._FITTED
+

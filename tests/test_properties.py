@@ -195,101 +195,61 @@ def test_row_index_dates_and_current_order(spark):
     assert [r.o_orderkey for r in rows] == [r.o_orderkey for r in o.collect()]
 
 
-def test_hot_first_key_is_split_by_second(spark):
-    from cohortlab.operators.ranges import add_range
-    # a third of the rows share d = 5; the order is (d, id)
-    rows = [(5, i) for i in range(300)] + [(i % 97, 1000 + i) for i in range(600)]
-    df = spark.createDataFrame(rows, "d int, id int")
-    r = add_range(df, ["d", "id"], "_r", ranges=8)
-    hot = r.filter("d = 5").groupBy("_r").count().collect()
-    assert len(hot) >= 3 and max(x["count"] for x in hot) <= 200
-    # ranges follow the full order (d, id)
-    ordered = [x["_r"] for x in r.orderBy("d", "id").collect()]
-    assert ordered == sorted(ordered)
-    got = {(x.d, x.id): x["index"] for x in align.row_index(df, ["d", "id"], ranges=8).collect()}
-    assert got == {k: i for i, k in enumerate(sorted(rows))}
-
-
-def test_prefixed_string_keys_spread(spark):
-    from cohortlab.operators.ranges import add_range
-    keys = [f"Customer#{i:09d}" for i in range(2000)]
-    df = spark.createDataFrame([(k,) for k in keys], "k string")
-    r = add_range(df, ["k"], "_r", ranges=16)
-    sizes = [x["count"] for x in r.groupBy("_r").count().collect()]
-    assert len(sizes) >= 12 and max(sizes) <= 400
-    got = {x.k: x["index"] for x in align.row_index(df, ["k"], ranges=16).collect()}
-    assert got == {k: i for i, k in enumerate(sorted(keys))}
+def _largest(df, cols, n=64):
+    from cohortlab.operators.ranges import range_parts
+    rows = range_parts(df, cols, n).groupBy("_part").count().collect()
+    return max(r["count"] for r in rows), sum(r["count"] for r in rows) / n
+
+
+def test_hot_order_values_are_spread(spark):
+    # a third of the rows share the first value, whatever its type, or a prefix of the order
+    n = 60_000
+    base = spark.range(n).withColumn("hot", F.col("id") % 3 == 0)
+    pick = lambda hot, other: F.when(F.col("hot"), hot).otherwise(other)
+    i = F.col("id")
+    cases = {
+        "decimal": (base.select(pick(F.lit("7.25"), i.cast("string")).cast("decimal(12,2)").alias("a"),
+                                i.alias("b")), ["a", "b"]),
+        "large bigint": (base.select(pick(F.lit(1 << 60), i + (1 << 60)).alias("a"), i.alias("b")), ["a", "b"]),
+        "hot pair": (base.select(pick(F.lit(1), i % 1000).alias("a"), pick(F.lit("x"), F.hex(i)).alias("b"),
+                                 i.alias("c")), ["a", "b", "c"]),
+        "binary second": (base.select(pick(F.lit(1), i).alias("a"), F.hex(i).cast("binary").alias("b")), ["a", "b"]),
+        "odd string": (base.select(pick(F.lit("Customer#1"), F.lit("!")).alias("a"),
+                                   F.format_string("Customer#%09d", i).alias("b")), ["a", "b"]),
+        "urls": (base.select(pick(F.concat(F.lit("https://hot.example/same/path/"), i.cast("string")),
+                                  F.concat(F.lit("https://x"), i.cast("string"))).alias("a")), ["a"]),
+        "100 values": (base.select((i % 100).alias("a")), ["a"]),
+        "nulls": (base.select(pick(F.lit(None).cast("int"), i.cast("int")).alias("a")), ["a"]),
+    }
+    for name, (df, cols) in cases.items():
+        most, ideal = _largest(df, cols)
+        assert most < 3 * ideal, (name, most, ideal)
+
+
+def test_row_index_follows_all_order_columns(spark):
+    df = spark.createDataFrame([(i % 3, f"s{i % 7}", i) for i in range(210)], "a int, b string, c int")
+    got = {(r.a, r.b, r.c): r["index"] for r in align.row_index(df, ["a", "b", "c"], ranges=8).collect()}
+    want = sorted(got, key=lambda k: (k[0], k[1].encode(), k[2]))
+    assert got == {k: i for i, k in enumerate(want)}
+
+
+def test_row_index_of_ties_and_nulls_is_dense(spark):
+    df = spark.createDataFrame([(None,)] * 40 + [(5,)] * 40 + [(1,)] * 3, "d int")
+    got = align.row_index(df, ["d"], ranges=8).collect()
+    assert sorted(r["index"] for r in got) == list(range(83))
+    assert {r["index"] for r in got if r.d is None} == set(range(40))
+    assert {r["index"] for r in got if r.d == 1} == {40, 41, 42}
+
+
+def test_row_index_reads_its_input_twice(spark):
+    from cohortlab.operators import ranges as R
+    seen = spark.sparkContext.accumulator(0)
 
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
 
-def test_hot_nulls_and_single_column_ties_are_split(spark):
-    from cohortlab.operators.ranges import add_range
-    # a third of the rows have a null first key, ordered by (d, id)
-    rows = [(None, i) for i in range(300)] + [(i % 50, 1000 + i) for i in range(600)]
-    df = spark.createDataFrame(rows, "d int, id int")
-    r = add_range(df, ["d", "id"], "_r", ranges=8)
-    null_ranges = r.filter("d is null").groupBy("_r").count().collect()
-    assert len(null_ranges) >= 3
-    ordered = [x["_r"] for x in r.orderBy(F.col("d").asc_nulls_first(), "id").collect()]
-    assert ordered == sorted(ordered)
-    idx = {(x.d, x.id): x["index"] for x in align.row_index(df, ["d", "id"], ranges=8).collect()}
-    want = sorted(rows, key=lambda t: (t[0] is not None, t[0] or 0, t[1]))
-    assert idx == {k: i for i, k in enumerate(want)}
-    # one order column, a third of the rows tied: ties spread by a row hash
-    ties = spark.createDataFrame([(7, i) for i in range(300)] + [(i, -i) for i in range(600)],
-                                 "d int, payload int")
-    rt = add_range(ties, ["d"], "_r", ranges=8)
-    assert rt.filter("d = 7").select("_r").distinct().count() >= 3
-    got = sorted(x["index"] for x in align.row_index(ties, ["d"], ranges=8).collect())
-    assert got == list(range(900))
-
-
-def test_sampled_bounds_keep_the_index_exact(spark):
-    from cohortlab.operators import ranges as R
-    old = R.MAX_SAMPLE
-    R.MAX_SAMPLE = 500
-    try:
-        df = spark.range(0, 20000).withColumn("k", (F.col("id") * 7919) % 20011)
-        idx = align.row_index(df.select("k"), ["k"], ranges=16)
-        got = sorted((x.k, x["index"]) for x in idx.collect())
-        assert [i for _, i in got] == list(range(20000))
-        assert [k for k, _ in got] == sorted(k for k, _ in got)
-        sizes = [x["count"] for x in R.add_range(df, ["k"], "_r", ranges=16)
-                 .groupBy("_r").count().collect()]
-        assert len(sizes) >= 12 and max(sizes) < 3 * 20000 / 16
-    finally:
-        R.MAX_SAMPLE = old
-
-
-def test_identical_hot_rows_and_odd_columns(spark):
-    from cohortlab.operators.ranges import add_range
-    # duplicates of the only column, a map column and a backtick in a name
-    df = spark.createDataFrame([(7, {"a": 1}, 1)] * 3000 + [(i, {"b": 2}, 2) for i in range(6000)],
-                               "d int, m map<string,int>, `x``y` int")
-    r = add_range(df, ["d"], "_r", ranges=8)
-    assert r.filter("d = 7").select("_r").distinct().count() >= 3
-    got = sorted(x["index"] for x in align.row_index(df, ["d"], ranges=8).collect())
-    assert got == list(range(9000))
-    nul = spark.createDataFrame([(None,)] * 3000 + [(i,) for i in range(6000)], "d int")
-    assert add_range(nul, ["d"], "_r", ranges=8).filter("d is null") \
-        .select("_r").distinct().count() >= 3
-
-
-def test_hot_string_prefix_groups_are_split(spark):
-    from cohortlab.operators.ranges import add_range
-    urls = [f"https://www.example.com/item/{i:06d}" for i in range(3000)]
-    other = [f"a{i:04d}" for i in range(300)] + [f"z{i:04d}" for i in range(300)]
-    df = spark.createDataFrame([(u, i) for i, u in enumerate(urls + other)], "u string, id int")
-    r = add_range(df, ["u", "id"], "_r", ranges=8)
-    assert r.filter(F.col("u").startswith("https")).select("_r").distinct().count() >= 3
-    ordered = [x["_r"] for x in r.orderBy("u", "id").collect()]
-    assert ordered == sorted(ordered)
-    got = {x.u: x["index"] for x in align.row_index(df, ["u", "id"], ranges=8).collect()}
-    assert got == {u: i for i, u in enumerate(sorted(urls + other, key=lambda s: s.encode()))}
-    # one repeated string holding a third of the rows: cut by the second column
-    rep = spark.createDataFrame([("same", i) for i in range(300)] + [(f"k{i:04d}", i) for i in range(600)],
-                                "s string, id int")
-    rr = add_range(rep, ["s", "id"], "_r", ranges=8)
-    assert rr.filter("s = 'same'").select("_r").distinct().count() >= 3
-    idx = {(x.s, x.id): x["index"] for x in align.row_index(rep, ["s", "id"], ranges=8).collect()}
-    want = sorted([("same", i) for i in range(300)] + [(f"k{i:04d}", i) for i in range(600)])
-    assert idx == {k: i for i, k in enumerate(want)}
+    df = spark.range(1000).select(F.col("id").alias("k")).mapInPandas(count, "k bigint")
+    assert R.range_parts(df, ["k"], 4).count() == 1000
+    assert seen.value <= 2 * 1000

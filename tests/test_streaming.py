@@ -19,7 +19,7 @@ def test_streaming_confusion_equals_batch(spark):
     batch = spark.read.parquet(f"{SF001}/lineitem.parquet")
     stream = read_parquet_stream(spark, SF001, batch.schema, glob="lineitem.parquet")
     counts = running_confusion(_prepare(stream), group_cols=["split"])
-    q = start(counts, "cohort_confusion", output_mode="complete")
+    q = start(counts, "cohort_confusion", "memory", output_mode="complete")
     try:
         q.processAllAvailable()
         got = {r.split: tuple(r[1:]) for r in spark.sql("SELECT * FROM cohort_confusion").collect()}
@@ -35,7 +35,7 @@ def test_streaming_class_profile_equals_batch(spark):
     batch = spark.read.parquet(f"{SF001}/lineitem.parquet")
     stream = read_parquet_stream(spark, SF001, batch.schema, glob="lineitem.parquet")
     prof = profile.class_profile(stream, "l_returnflag", Q.LI_FEATURES)
-    q = start(prof, "cohort_profile", output_mode="complete")
+    q = start(prof, "cohort_profile", "memory", output_mode="complete")
     try:
         q.processAllAvailable()
         got = sorted(tuple(r) for r in spark.sql("SELECT * FROM cohort_profile").collect())
