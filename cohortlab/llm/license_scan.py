@@ -120,7 +120,7 @@ def _chain(ids: Column) -> Column:
 def sequence(text: Column, cut: str) -> Column:
     """Known identifiers of a text in order, as ``<id><id>...``."""
     known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
-    ended = F.regexp_replace(text, rf"([.!?;:]){SPACE}+", "$1\n\n")
+    ended = F.regexp_replace(text, rf"([.!?;]){SPACE}+", "$1\n\n")
     plain = F.transform(F.split(ended, CUTS[cut], -1), lambda s: F.trim(F.regexp_replace(
         F.translate(s, UPPER, LOWER), "[^a-z0-9]+", " ")))
     return _chain(F.filter(F.transform(plain, lambda s: known[s]), lambda x: x.isNotNull()))
@@ -172,7 +172,7 @@ def oracle_sql() -> str:
     names = ", ".join(f"CASE WHEN {best[x]} > 0 THEN '{x}' END" for x in sorted(LICENSES))
     return f"""
 WITH e AS (
-  SELECT doc_id, regexp_replace(coalesce(text, ''), '([.!?;:]){SPACE}+', '\\1' || chr(10) || chr(10), 'g') AS ended
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '([.!?;]){SPACE}+', '\\1' || chr(10) || chr(10), 'g') AS ended
   FROM documents),
 known(s, id) AS (VALUES {values}),
 seg AS (

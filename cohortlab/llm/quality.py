@@ -36,12 +36,12 @@ from pyspark.sql import functions as F
 
 from cohortlab.llm.common import Scratch
 
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 20_000
 MAX_FEATURES = 1 << 15
-MIN_DOCS = 4
-MIN_Z = 3.0
+MIN_DOCS = 6
+MIN_Z = 4.5
 BUCKETS = 1 << 24
-L2 = 0.5
+L2 = 2.0
 FIT_PARTS = 6
 _CACHE = 300_000
 
@@ -135,7 +135,7 @@ def _gradient(batches: Iterator[pd.DataFrame], w: np.ndarray, cuts: np.ndarray)
     yield pd.DataFrame({"loss": [loss], "g": [np.concatenate([gw, gc]).tobytes()]})
 
 
-def minimise(f, x: np.ndarray, rounds: int = 40, memory: int = 8, tol: float = 1e-4) -> np.ndarray:
+def minimise(f, x: np.ndarray, rounds: int = 100, memory: int = 8, tol: float = 1e-5) -> np.ndarray:
     """L-BFGS with step halving; ``f`` returns value and gradient."""
     fx, g = f(x)
     steps: list[tuple[np.ndarray, np.ndarray]] = []
@@ -169,9 +169,10 @@ def minimise(f, x: np.ndarray, rounds: int = 40, memory: int = 8, tol: float = 1
     return x
 
 
-def _active(rows: DataFrame, grades: list[int], share: np.ndarray, max_features: int) -> list[int]:
+def _active(rows: DataFrame, grades: list[int], share: np.ndarray, max_features: int) -> dict[int, float]:
     """Buckets whose presence differs across a cut between grades by ``MIN_Z``
-    standard errors or more; at most ``max_features``, the clearest first."""
+    standard errors or more, with their share of documents; at most
+    ``max_features``, the clearest first."""
     cuts = range(1, len(grades))
     seen = rows.select("grade", F.explode("idx").alias("b")).groupBy("b").agg(
         F.count(F.lit(1)).alias("n"),
@@ -183,8 +184,9 @@ def _active(rows: DataFrame, grades: list[int], share: np.ndarray, max_features:
         z.append(F.abs(F.col(f"n{k}") / up - (F.col("n") - F.col(f"n{k}")) / low)
                  / F.sqrt(p * (1 - p + 1e-9) * (1 / up + 1 / low)))
     best = F.greatest(*z) if len(z) > 1 else z[0]
-    return [r["b"] for r in seen.filter(F.col("n") >= MIN_DOCS).withColumn("z", F.round(best, 6))
-            .filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "b").limit(max_features).select("b").collect()]
+    top = (seen.filter(F.col("n") >= MIN_DOCS).withColumn("z", F.round(best, 6))
+           .filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "b").limit(max_features))
+    return {r["b"]: r["n"] / share.sum() for r in top.select("b", "n").collect()}
 
 
 def fit(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS,
@@ -209,7 +211,12 @@ def fit(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS,
         return None
     share = {r["grade"]: r["count"] for r in rows.groupBy("grade").count().collect()}
     share = np.array([share[g] for g in grades], dtype=float)
-    col = {b: i for i, b in enumerate(_active(rows, grades, share, max_features))}
+    active_share = _active(rows, grades, share, max_features)
+    col = {b: i for i, b in enumerate(active_share)}
+    # weights are penalised per standard deviation of their token, so a rare telling
+    # word is held back no more than a common one
+    p = np.array(list(active_share.values()))
+    std = np.sqrt(np.maximum(p * (1 - p), 1e-3))
 
     def active(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = {g: i for i, g in enumerate(grades)}
@@ -225,20 +232,21 @@ def fit(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS,
     start = np.concatenate([np.zeros(f_n), cuts0[:1], np.log(np.maximum(np.diff(cuts0), 1e-3))])
 
     def value(x: np.ndarray) -> tuple[float, np.ndarray]:
-        w, gaps = x[:f_n], np.exp(x[f_n + 1:])
+        w, gaps = x[:f_n] / std, np.exp(x[f_n + 1:])
         cuts = x[f_n] + np.concatenate([[0.0], np.cumsum(gaps)])
         got = block.mapInPandas(lambda it: _gradient(it, w, cuts), "loss double, g binary").collect()
-        loss = sum(r["loss"] for r in got) + 0.5 * l2 * (w @ w)
+        loss = sum(r["loss"] for r in got) + 0.5 * l2 * (x[:f_n] @ x[:f_n])
         g = np.sum([np.frombuffer(r["g"]) for r in got], axis=0)
         gc = g[f_n:]
         tail = np.cumsum(gc[::-1])[::-1]                            # by first cut, then by each gap
-        grad = np.concatenate([g[:f_n] + l2 * w, tail[:1], tail[1:] * gaps])
+        grad = np.concatenate([g[:f_n] / std + l2 * x[:f_n], tail[:1], tail[1:] * gaps])
         return loss / m, grad / m
 
     x = minimise(value, start)
     sc.drop("sample", "block")
     cuts = x[f_n] + np.concatenate([[0.0], np.cumsum(np.exp(x[f_n + 1:]))])
-    return OrdinalModel({b: float(x[i]) for b, i in col.items()}, cuts[:k].tolist(), grades)
+    w = x[:f_n] / std
+    return OrdinalModel({b: float(w[i]) for b, i in col.items()}, cuts[:k].tolist(), grades)
 
 
 def score(docs: DataFrame, model: OrdinalModel | None, min_tail: float = 0.5) -> DataFrame:
