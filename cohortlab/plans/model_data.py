@@ -68,17 +68,21 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
     return text_features(docs).join(lab, on="doc_id", how="inner")
 
 
-def _key(spark: SparkSession, sf: str):
-    """The session, the folder and the state of its two tables: rewritten tables
-    are prepared and fitted anew."""
+def table_state(spark: SparkSession, sf: str, names) -> tuple:
+    """The session, the folder and the state of some of its tables: what is kept
+    for a table is made anew once the table is rewritten."""
     state = []
-    for t in ("documents", "labels"):
+    for t in names:
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/{t}.parquet")
         fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         state += [fs.getFileStatus(path).getModificationTime(), fs.getContentSummary(path).getLength()]
     return (spark.sparkContext.applicationId, sf, *state)
 
 
+def _key(spark: SparkSession, sf: str) -> tuple:
+    return table_state(spark, sf, ("documents", "labels"))
+
+
 def clear() -> None:
     """Release the prepared rows and forget the fits."""
     for df in _PREPARED.values():

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from cohortlab.operators.models import MODEL_NAMES
 from cohortlab.plans.catalog import LI_FEATURES, LI_KEYS
-from cohortlab.plans.queries import (BASELINE_CLASS, LI_RADAR, PCA_COLS, POSITIVE_CLASS,
+from cohortlab.plans.queries import (BASELINE_CLASS, LI_FAMILIES, PCA_COLS, POSITIVE_CLASS,
                                      PRICE_RULE, RULES, SALT)
 
 D = 6
@@ -209,8 +209,8 @@ def build() -> dict[str, str]:
     classes = ("A", "N", "R")
     piv = ", ".join(f"avg(CASE WHEN l_returnflag = '{c}' THEN scaled END) AS record_{c}"
                     for c in classes)
-    order = " UNION ALL ".join(f"SELECT 'all' AS family, {i + 1} AS pos, '{a}' AS attribute"
-                               for i, a in enumerate(LI_RADAR))
+    order = " UNION ALL ".join(f"SELECT '{f}' AS family, {i + 1} AS pos, '{a}' AS attribute"
+                               for f, attrs in LI_FAMILIES.items() for i, a in enumerate(attrs))
     q["radar_table"] = (
         f"WITH {st}, {_records_cte()}, "
         f"base AS (SELECT attribute, {_scaled('avg_value', 'min_value', 'max_value')} "

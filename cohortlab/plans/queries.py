@@ -20,6 +20,7 @@ from cohortlab.plans import model_data
 from cohortlab.plans.catalog import (LI_CLASSES, LI_FEATURES, LI_KEYS, LI_LABEL, table)
 from cohortlab.sources import csv as csv_src
 from cohortlab.sources import views
+from cohortlab.sources.cache import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -32,6 +33,7 @@ SALT = split.SEED  # the reference's split seed, used as the hash salt
 POSITIVE_CLASS = "R"
 BASELINE_CLASS = "N"
 LI_RADAR = ("l_discount", "l_quantity", "l_tax", "l_extendedprice")
+LI_FAMILIES = {"all": LI_RADAR, "price": ("l_extendedprice", "l_discount")}
 PRICE_RULE = 30000.0
 RULES = {"price_rule": ("l_extendedprice", 30000.0), "qty_rule": ("l_quantity", 25.0),
          "discount_rule": ("l_discount", 0.05), "tax_rule": ("l_tax", 0.04)}
@@ -248,14 +250,15 @@ def q_min_max_scale(spark, sf):
 
 @query("baseline_profile")
 def q_baseline_profile(spark, sf):
-    st = profile.class_stats(lineitem(spark, sf), LI_LABEL, LI_FEATURES)
+    # one row per class and measure, read twice below
+    st = cut_lineage(profile.class_stats(lineitem(spark, sf), LI_LABEL, LI_FEATURES))
     return rounded(profile.baseline_profile(st, LI_LABEL, scale_by="baseline_class",
                                             baseline_class=BASELINE_CLASS))
 
 
 def _records(spark, sf):
     li = lineitem(spark, sf)
-    st = profile.class_stats(li, LI_LABEL, LI_FEATURES)
+    st = cut_lineage(profile.class_stats(li, LI_LABEL, LI_FEATURES))
     return profile.record_profile(li, list(LI_KEYS), LI_LABEL, LI_FEATURES,
                                   keys=lineitem_records(spark, sf), stats=st), st
 
@@ -270,7 +273,7 @@ def q_record_profile(spark, sf):
 def q_radar_table(spark, sf):
     rec, st = _records(spark, sf)
     base = profile.baseline_profile(st, LI_LABEL)
-    return rounded(profile.radar_table(base, rec, LI_LABEL, {"all": LI_RADAR},
+    return rounded(profile.radar_table(base, rec, LI_LABEL, LI_FAMILIES,
                                        BASELINE_CLASS, LI_CLASSES))
 
 
@@ -397,7 +400,9 @@ def _scaled_names():
 
 @query("standard_scale")
 def q_standard_scale(spark, sf):
-    v = features.assemble(lineitem(spark, sf), LI_FEATURES, "features")
+    # the default feature list: every column but those named
+    others = [c for c in lineitem(spark, sf).columns if c not in LI_FEATURES]
+    v = features.assemble(lineitem(spark, sf), output_col="features", exclude=others)
     m = features.fit_standard_scaler(v, "features", "scaledFeatures")
     return rounded(features.vector_to_columns(m.transform(v), "scaledFeatures", _scaled_names(),
                                               keep=list(LI_KEYS)))
@@ -421,8 +426,8 @@ _PCA_FITS: dict[tuple, tuple] = {}
 
 def _pca_fitted(spark, sf):
     """Scaled rows (lazy) and the PCA fitted on their training part; the fit
-    is kept per session and folder, so the PCA keys share it."""
-    key = (spark.sparkContext.applicationId, sf)
+    is kept per session and state of the table, so the PCA keys share it."""
+    key = model_data.table_state(spark, sf, ("lineitem",))
     if key not in _PCA_FITS:
         _PCA_FITS[key] = _pca_fit(spark, sf)
     return _PCA_FITS[key]
@@ -435,7 +440,10 @@ def _pca_fit(spark, sf):
     s = profile.encode_label(s, LI_LABEL, POSITIVE_CLASS, out="label")
     pm = features.fit_pipeline(s.filter(F.col("split") == "train"), PCA_COLS)
     scaled = pm.transform(s)
-    pca = features.fit_pca(scaled.filter(F.col("split") == "train"), 2)
+    # the fit passes over the training vectors more than once
+    train = scaled.filter(F.col("split") == "train").select("scaledFeatures").persist()
+    pca = features.fit_pca(train, 2)
+    train.unpersist()
     return scaled, pca
 
 
