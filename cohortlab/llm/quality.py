@@ -11,7 +11,8 @@ buckets. The fit runs on a bounded sample of the rated documents
 (``sample_rows``, chosen by a hash of the doc_id); its active buckets are those
 in at least ``MIN_DOCS`` sampled documents whose presence differs between grades by
 ``MIN_Z`` standard errors, at most ``max_features``.
-Loss and gradient are summed in Spark tasks; the driver holds one vector.
+The sample is tokenised by all tasks; one task then fits its active buckets
+(memory: ``sample_rows`` documents), and the driver receives the weights.
 
 Null and empty texts are scored on their shape marks. Without ratings of two
 grades nothing can be learnt: score, grade and probability are null and every
@@ -121,21 +122,7 @@ def ordinal_loss(score: np.ndarray, y: np.ndarray, cuts: np.ndarray):
     return -np.log(p).sum(), g_score, g_cut
 
 
-def _gradient(batches: Iterator[pd.DataFrame], w: np.ndarray, cuts: np.ndarray) -> Iterator[pd.DataFrame]:
-    loss, gw, gc = 0.0, np.zeros(len(w)), np.zeros(len(cuts))
-    for pdf in batches:
-        n = pdf["idx"].map(len).to_numpy()
-        flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in pdf["idx"]])
-        row = np.repeat(np.arange(len(n)), n)
-        score = np.bincount(row, w[flat], minlength=len(n))
-        one, gs, g = ordinal_loss(score, pdf["y"].to_numpy(dtype=np.int64), cuts)
-        loss += one
-        gw += np.bincount(flat, gs[row], minlength=len(w))
-        gc += g
-    yield pd.DataFrame({"loss": [loss], "g": [np.concatenate([gw, gc]).tobytes()]})
-
-
-def minimise(f, x: np.ndarray, rounds: int = 100, memory: int = 8, tol: float = 1e-5) -> np.ndarray:
+def minimise(f, x: np.ndarray, rounds: int = 300, memory: int = 8, tol: float = 1e-6) -> np.ndarray:
     """L-BFGS with step halving; ``f`` returns value and gradient."""
     fx, g = f(x)
     steps: list[tuple[np.ndarray, np.ndarray]] = []
@@ -169,6 +156,26 @@ def minimise(f, x: np.ndarray, rounds: int = 100, memory: int = 8, tol: float =
     return x
 
 
+def _solve(y: np.ndarray, row: np.ndarray, flat: np.ndarray, std: np.ndarray, cuts0: np.ndarray,
+           l2: float) -> np.ndarray:
+    """Weights (per standard deviation), first cut and logs of the gaps between cuts.
+
+    ``flat`` holds the active buckets of all documents, ``row`` whose they are."""
+    m, f_n = len(y), len(std)
+    start = np.concatenate([np.zeros(f_n), cuts0[:1], np.log(np.maximum(np.diff(cuts0), 1e-3))])
+
+    def value(x: np.ndarray) -> tuple[float, np.ndarray]:
+        w, gaps = x[:f_n] / std, np.exp(x[f_n + 1:])
+        cuts = x[f_n] + np.concatenate([[0.0], np.cumsum(gaps)])
+        loss, gs, gc = ordinal_loss(np.bincount(row, w[flat], minlength=m), y, cuts)
+        tail = np.cumsum(gc[::-1])[::-1]                            # by first cut, then by each gap
+        gw = np.bincount(flat, gs[row], minlength=f_n) / std + l2 * x[:f_n]
+        return ((loss + 0.5 * l2 * (x[:f_n] @ x[:f_n])) / m,
+                np.concatenate([gw, tail[:1], tail[1:] * gaps]) / m)
+
+    return minimise(value, start)
+
+
 def _active(rows: DataFrame, grades: list[int], share: np.ndarray, max_features: int) -> dict[int, float]:
     """Buckets whose presence differs across a cut between grades by ``MIN_Z``
     standard errors or more, with their share of documents; at most
@@ -218,35 +225,28 @@ def fit(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS,
     p = np.array(list(active_share.values()))
     std = np.sqrt(np.maximum(p * (1 - p), 1e-3))
 
-    def active(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = {g: i for i, g in enumerate(grades)}
-        for pdf in batches:
-            yield pd.DataFrame({"y": pdf["grade"].map(number),
-                                "idx": [[col[b] for b in x if b in col] for x in pdf["idx"]]})
-
-    block = sc.put("block", rows.mapInPandas(active, "y int, idx array<int>").coalesce(FIT_PARTS))
     above = np.cumsum(share[::-1])[::-1][1:] / share.sum()          # P(grade >= k)
-    cuts0 = -np.log(above / (1 - above))
-    k, f_n, m = len(cuts0), len(col), share.sum()
-    # free parameters: weights, first cut, logs of the gaps
-    start = np.concatenate([np.zeros(f_n), cuts0[:1], np.log(np.maximum(np.diff(cuts0), 1e-3))])
-
-    def value(x: np.ndarray) -> tuple[float, np.ndarray]:
-        w, gaps = x[:f_n] / std, np.exp(x[f_n + 1:])
-        cuts = x[f_n] + np.concatenate([[0.0], np.cumsum(gaps)])
-        got = block.mapInPandas(lambda it: _gradient(it, w, cuts), "loss double, g binary").collect()
-        loss = sum(r["loss"] for r in got) + 0.5 * l2 * (x[:f_n] @ x[:f_n])
-        g = np.sum([np.frombuffer(r["g"]) for r in got], axis=0)
-        gc = g[f_n:]
-        tail = np.cumsum(gc[::-1])[::-1]                            # by first cut, then by each gap
-        grad = np.concatenate([g[:f_n] / std + l2 * x[:f_n], tail[:1], tail[1:] * gaps])
-        return loss / m, grad / m
-
-    x = minimise(value, start)
-    sc.drop("sample", "block")
+    cuts0, f_n = -np.log(above / (1 - above)), len(col)
+    number = {g: i for i, g in enumerate(grades)}
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        y, rows_of, flat, n = [], [], [], 0
+        for pdf in batches:                       # the bounded sample, active buckets only
+            for g, idx in zip(pdf["grade"], pdf["idx"], strict=True):
+                at = [col[b] for b in idx if b in col]
+                y.append(number[g])
+                rows_of.append(np.full(len(at), n))
+                flat.append(np.array(at, dtype=np.int64))
+                n += 1
+        if n:
+            yield pd.DataFrame({"x": [_solve(np.array(y), np.concatenate(rows_of), np.concatenate(flat),
+                                             std, cuts0, l2)]})
+
+    x = np.array(rows.coalesce(1).mapInPandas(solve, "x array<double>").first()["x"])
+    sc.drop("sample")
     cuts = x[f_n] + np.concatenate([[0.0], np.cumsum(np.exp(x[f_n + 1:]))])
     w = x[:f_n] / std
-    return OrdinalModel({b: float(w[i]) for b, i in col.items()}, cuts[:k].tolist(), grades)
+    return OrdinalModel({b: float(w[i]) for b, i in col.items()}, cuts.tolist(), grades)
 
 
 def score(docs: DataFrame, model: OrdinalModel | None, min_tail: float = 0.5) -> DataFrame:
