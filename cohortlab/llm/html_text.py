@@ -48,7 +48,10 @@ BOILER_WORDS = frozenset(
     "sidebar sidebars side rail widget widgets related recommended recommendations "
     "comment comments commentlist disqus replies reply respond discussion "
     "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toc "
-    "header masthead topbar footer copyright share sharing social login search skip".split())
+    "header masthead topbar footer copyright share sharing social login search skip "
+    "complementary contentinfo".split())
+#: A name such as ``with-sidebar`` tells what lies beside a container, not what it is.
+BESIDE = frozenset("with without has no non not".split())
 _SAME_LEVEL = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"},
                "th": {"tr", "table"}}
 
@@ -63,7 +66,10 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 def _name_words(attrs: str) -> set[str]:
     out: set[str] = set()
     for m in _CLASS.finditer(attrs):
-        out.update(w.lower() for w in _WORDS.findall(m[1] or m[2] or m[3] or ""))
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = [w.lower() for w in _WORDS.findall(name)]
+            if words and words[0] not in BESIDE:
+                out.update(words)
     return out
 
 

@@ -60,13 +60,18 @@ def _found(kind: int, text: Column, pattern: str, screen: str, value: int, min_v
     return F.when(text.rlike(screen), F.filter(rows, lambda x: x["len"].isNotNull())).otherwise(none)
 
 
-def matches(rows: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
-    """``row, kind, start, end, value`` of ``rows`` (row, text): base matches and candidate runs."""
-    t = F.col("text")
-    every = F.concat(
+def raw_matches(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
+    """``row, doc_id, m``: a number for each row of ``docs`` and its matches of all
+    kinds. Row numbers hold for one evaluation only: write this before use."""
+    t = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.concat(
         _found(0, t, ASSIGN, NAMES, 2, 12), _found(1, t, ACCESS, ACCESS, 0, 0),
-        _found(2, t, HEX, HEX, 0, 0), _found(3, t, RUN, "[0-9]", 0, min_length))
-    flat = rows.select("row", F.explode(every).alias("m")).select("row", "m.*")
+        _found(2, t, HEX, HEX, 0, 0), _found(3, t, RUN, "[0-9]", 0, min_length)).alias("m"))
+
+
+def placed(raw: DataFrame) -> DataFrame:
+    """``row, kind, start, end, value`` of raw matches: base spans and candidate runs."""
+    flat = raw.select("row", F.explode("m").alias("m")).select("row", "m.*")
     end = F.sum(F.col("gap") + F.col("len")).over(
         Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     return (flat.withColumn("end", end).filter("value IS NOT NULL")
@@ -106,10 +111,8 @@ def scan(docs: DataFrame, train_docs: int = TRAIN_DOCS, min_ratio: float = MIN_R
          min_mean: float = MIN_MEAN) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov`` per row of ``docs``."""
     sc = Scratch(docs.sparkSession, "secret-scan")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id",
-                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = sc.put("found", matches(rows))
-    ids = sc.put("ids", rows.select("row", "doc_id"))
+    raw = sc.put("raw", raw_matches(docs))
+    found, ids = sc.put("found", placed(raw)), raw.select("row", "doc_id")
     n = ids.count()
     u = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit("secret")), 11) / F.lit(float(1 << 53))
     chosen = ids.filter(u < F.lit(train_docs / max(n, 1))).select("row")
@@ -121,10 +124,10 @@ def scan(docs: DataFrame, train_docs: int = TRAIN_DOCS, min_ratio: float = MIN_R
     base_end = F.when(F.col("kind") < 3, F.col("end"))
     base_start = F.when(F.col("kind") < 3, F.col("start"))
     at = Window.partitionBy("row").orderBy("start")
-    placed = found.withColumns({
+    near = found.withColumns({
         "before": F.max(base_end).over(at.rangeBetween(Window.unboundedPreceding, 0)),
         "after": F.min(base_start).over(at.rangeBetween(0, Window.unboundedFollowing))})
-    runs = placed.filter("kind = 3 AND coalesce(before <= start, true) AND coalesce(after >= end, true)")
+    runs = near.filter("kind = 3 AND coalesce(before <= start, true) AND coalesce(after >= end, true)")
     scored = (runs.select("row", "start", "end", F.explode(_pairs(F.col("value"))).alias("pair"))
               .join(F.broadcast(model), "pair")          # len(ALPHABET)**2 rows at most
               .groupBy("row", "start", "end").agg(F.sum("ratio").alias("s"), F.avg("ratio").alias("m"))

@@ -154,7 +154,8 @@ TEXT = "A & B\nFirst paragraph with bold and a link.\nSecond <one> éé\U0001f60
 
 
 @pytest.mark.parametrize("wrap", ["<article>{}</article>", '<div id="c7"><div class="post-body x9">{}</div></div>',
-                                  '<main><div class="entry">{}</div></main>', "<article><section>{}</section></article>"])
+                                  '<main><div class="entry">{}</div></main>',
+                                  '<div class="page with-sidebar no-ads"><div class="hasComments text">{}</div></div>', "<article><section>{}</section></article>"])
 def test_article_of_a_template(spark, wrap):
     page = f"<html><head><title>T</title></head><body>{NOISE}{wrap.format(STORY)}{END}</body></html>"
     short = f"<html><body>{NOISE}{wrap.format('<p>Hi.</p>')}{END}</body></html>"
