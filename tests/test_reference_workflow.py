@@ -96,10 +96,10 @@ def test_prepare_train_score(spark, table):
 
 
 def test_notebook_flow_one_call(spark, table):
-    from cohortlab.workflow import notebook_flow
+    from cohortlab.workflow import notebook_flow, release
     b_id = table.filter("diagnosis = 'B'").agg(F.min("id")).first()[0]
     m_id = table.filter("diagnosis = 'M'").agg(F.max("id")).first()[0]
-    out = notebook_flow(table, record_ids={"B": b_id, "M": m_id})
+    out = notebook_flow(table, record_ids={"B": b_id, "M": m_id}, label_out="Int_Diagnostics")
     assert out["summary"].count() == 5
     assert out["radar"].count() == 20
     assert {r.id for r in out["record_profile"].collect()} == {b_id, m_id}
@@ -107,4 +107,5 @@ def test_notebook_flow_one_call(spark, table):
     board = out["leaderboard"].collect()
     assert len(board) == 5 and all(r.auroc > 0.9 for r in board)
     assert out["metrics"].count() == 15 and out["auroc_exact"].count() == 15
-    out["prepared"].unpersist()
+    release(out)
+    assert not out["prepared"].storageLevel.useMemory and not out["scored"].storageLevel.useMemory

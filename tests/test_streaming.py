@@ -63,7 +63,7 @@ def test_score_stream_equals_batch_scores(spark):
     feats = model_data.text_features(stream).join(labels, "doc_id")   # stream-static join
     prepared = pm.transform(split_ops.three_way_split(feats, ["doc_id"], salt=model_data.SALT))
     scored = score_stream(fitted, prepared, ["doc_id"], split_col="split")
-    q = start(scored.select("model", "split", "doc_id", "prediction", "equal"), "cohort_scores",
+    q = start(scored.select("model", "split", "doc_id", "prediction", "equal"), "cohort_scores", "memory",
               output_mode="append")
     try:
         q.processAllAvailable()
