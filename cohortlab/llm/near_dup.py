@@ -139,16 +139,20 @@ def _prefix_pairs(residual: DataFrame, percent: int) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("df", "s"))).alias("o"))
     per = per.join(rare, "rep")
     need = F.ceil(F.col("n") * F.lit(percent) / F.lit(100)).cast("int")
-    keep = (F.col("n").cast("int") - need + 1) - (F.col("n_all").cast("int") - F.size("o"))
-    heads = (per.withColumn("keep", keep).filter("keep > 0")
-             .select("rep", "comp", "n", F.explode(F.slice("o", F.lit(1), F.col("keep"))).alias("e"))
-             .select("rep", "comp", "n", F.col("e.s").alias("s")))
-    x = heads.select("s", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-    y = heads.select("s", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    return (x.join(y, "s").filter(
-        (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-        & (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")))
-        .select("a", "b").distinct())
+    # shingles of one document only stand first in its order: positions 0 .. own - 1
+    own = F.col("n_all").cast("int") - F.size("o")
+    keep = (F.col("n").cast("int") - need + 1) - own
+    heads = (per.withColumns({"keep": keep, "own": own}).filter("keep > 0")
+             .select("rep", "comp", "n", "own", F.posexplode(F.slice("o", F.lit(1), F.col("keep"))))
+             .select("rep", "comp", "n", (F.col("own") + F.col("pos")).alias("p"), F.col("col.s").alias("s")))
+    x = heads.select("s", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("p").alias("pa"))
+    y = heads.select("s", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("p").alias("pb"))
+    # the first shingle that two sets share, at places pa and pb, bounds what they share
+    # by what is left from there; the row of that shingle stays for every true pair
+    left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    reach = (F.lit(100 + percent) * left >= F.lit(percent) * (F.col("na") + F.col("nb")))
+    return (x.join(y, (x["s"] == y["s"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & reach)
+            .select("a", "b").distinct())
 
 
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS,
