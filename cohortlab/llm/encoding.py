@@ -4,7 +4,8 @@
 chunk and keeps the ids in a bounded cache. This gives the ids of the whole
 text: the vocabulary's splitting rule starts a new piece at a space, except
 where white space stands on both sides of the cut; such texts are passed to the
-library whole, and so are texts with a special token's string.
+library whole, and so are texts with a special token's string. Chunks of plain
+letters are one piece and go to the library's model directly.
 """
 
 from __future__ import annotations
@@ -16,13 +17,21 @@ import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Chunks in the cache before a new generation begins (two generations are held).
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 700_000
 
-_DOUBLE = re.compile(r"[^\S ] |  ")
-# plain Latin letters, then a run of symbols: two pieces under the splitting rule
+# plain Latin letters, and such letters with a run of symbols behind them
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:#$%&*|]+)").fullmatch
 
 
+def byte_letters() -> list[str]:
+    """The letter by which a byte-level vocabulary writes each byte: printable
+    bytes stand for themselves, the others follow from code point 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
 def tokenizer_path(vocabulary: str) -> str:
     """A vocabulary file: a path, or the name of one of the public files."""
     if os.path.exists(vocabulary):
@@ -38,84 +47,88 @@ class BatchEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(tokenizer_path(vocabulary))
-        vocab = self.tok.get_vocab(with_added_tokens=True)
-        size = max(vocab.values()) + 1
+        size = max(self.tok.get_vocab(with_added_tokens=True).values()) + 1
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.id_bytes = [i.to_bytes(self.dtype.itemsize, "little") for i in range(size)]
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        # in a byte-level vocabulary a token has as many characters as it covers bytes
-        self.n_bytes = np.zeros(size, dtype=np.int64)
-        for t, i in vocab.items():
-            self.n_bytes[i] = len(t)
+        letters = byte_letters()
+        self.space, self.letters = letters[32], dict(enumerate(letters))
+        # the splitting rule that the chunks rest on; texts of other vocabularies go whole
+        self.chunked = (type(self.tok.pre_tokenizer).__name__ == "ByteLevel" and self.tok.normalizer is None
+                        and not self.tok.pre_tokenizer.add_prefix_space)
         self.cap = cache_chunks
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.cache = _Cache(self.chunk)
         self.marks: dict[str, bytes] = {}
+        self.open_end: set[str] = set()      # chunks that end in white space
 
     def whole(self, text: str) -> bytes:
         ids = self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return np.array(ids, dtype=self.dtype).tobytes()
 
-    def _many(self, chunks: list[str], into: dict[str, bytes]) -> None:
-        """Ids of ' ' + chunk for chunks that begin with no white space."""
-        width = self.dtype.itemsize
-        for i in range(0, len(chunks), 2048):
-            part = chunks[i:i + 2048]
-            raw = self.whole(" " + " ".join(part))
-            end = np.cumsum(self.n_bytes[np.frombuffer(raw, dtype=self.dtype)])
-            stop = np.cumsum([len(c.encode()) + 1 for c in part])
-            cuts = ((np.searchsorted(end, stop) + 1) * width).tolist()
-            at = 0
-            for c, cut in zip(part, cuts, strict=True):
-                into[c] = raw[at:cut]
-                at = cut
-
-    def _learn(self, needed: set[str]) -> None:
-        new, old = self.new, self.old
-        missing = []
-        for c in needed.difference(new):
-            got = old.get(c)
-            if got is None:
-                missing.append(c)
-            else:
-                new[c] = got
-        plain, split, odd = set(), [], []
-        for c in missing:
-            m = _WORD(c)
-            if m:
-                split.append((c, m[1], m[2]))
-                if m[1] not in new:
-                    plain.add(m[1])
-            elif not c or c[0].isspace() or any(s in c for s in self.special):
-                odd.append(c)
-            else:
-                plain.add(c)
-        self._many(list(plain), new)
-        for c, word, mark in split:
-            if mark not in self.marks:
-                self.marks[mark] = self.whole(mark)
-            new[c] = new[word] + self.marks[mark]
-        for c in odd:
-            new[c] = self.whole(" " + c)
-        if len(self.marks) > self.cap:
-            self.marks = {}
+    def _word(self, letters: str) -> bytes:
+        """Ids of a space and letters: one piece, so the model alone decides."""
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(self.letters)
+        b = self.id_bytes
+        return b"".join([b[t.id] for t in self.tok.model.tokenize(self.space + letters)])
+
+    def chunk(self, c: str) -> bytes:
+        """Ids of a space and a chunk that is not in the cache."""
+        if _LETTERS(c):
+            return self._word(c)
+        m = _WORD(c)
+        if m:
+            mark = self.marks.get(m[2])
+            if mark is None:
+                mark = self.marks[m[2]] = self.whole(m[2])
+            return self.cache[m[1]] + mark
+        if c[-1:].isspace():
+            self.open_end.add(c)
+        return self.whole(" " + c)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: empty), equal to the library's on the whole text."""
-        chunks = [None if not t else t.split(" ") for t in texts]
-        if len(self.new) > self.cap:
-            self.old, self.new = self.new, {}
-        self._learn(set().union(*[c[1:] for c in chunks if c]))
-        get, out = self.new.__getitem__, []
-        for t, c in zip(texts, chunks, strict=True):
-            if not c:
+        out = []
+        for t in texts:
+            if not t:
                 out.append(b"")
-            elif _DOUBLE.search(t) or t[-1].isspace() or any(s in t for s in self.special):
+                continue
+            if not self.chunked or "  " in t or t[-1].isspace() or any(s in t for s in self.special):
                 out.append(self.whole(t))
-            else:
-                out.append((self.whole(c[0]) if c[0] else b"") + b"".join(map(get, c[1:])))
+                continue
+            first, *rest = t.split(" ")
+            ids = b"".join(map(self.cache.__getitem__, rest))
+            if first[-1:].isspace() or (self.open_end and not self.open_end.isdisjoint(rest)):
+                ids = self.whole(t)
+            elif first:
+                ids = self.whole(first) + ids
+            out.append(ids)
+            if len(self.cache) > self.cap:
+                self.cache.rotate()
+                self.marks, self.open_end = {}, set()
         return out
 
 
+class _Cache(dict):
+    """chunk -> ids in two generations: what is not asked for again falls out."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn, self.old = learn, {}
+
+    def __missing__(self, c: str) -> bytes:
+        got = self.old.get(c)
+        # a chunk with an open end is learnt anew, which notes it again
+        if got is None or c[-1:].isspace():
+            got = self.learn(c)
+        self[c] = got
+        return got
+
+    def rotate(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
+
 _ENCODERS: dict[str, BatchEncoder] = {}
 
 
@@ -126,7 +139,7 @@ def encoder(vocabulary: str = VOCABULARY) -> BatchEncoder:
     return _ENCODERS[vocabulary]
 
 
-def slices(pdf, rows: int = 256, chars: int = 4_000_000):
+def slices(pdf, rows: int = 2048, chars: int = 8_000_000):
     """Cut a pandas batch so that no part holds much more than ``chars`` of text."""
     size = pdf["text"].map(lambda t: len(t) if t else 0).to_numpy()
     at, held = 0, 0
