@@ -8,7 +8,10 @@ of the item stands for one value in the document and the other way round.
 
 *   number: a token that starts with a digit; unit: a unit word right after a
     number; name: a word with a capital first letter and small letters after it.
-    All other tokens are literal, lower-cased; punctuation is left out.
+    All other tokens are literal, case-folded; punctuation is left out.
+*   Every text has two templates, matched side by side: one with name slots, and
+    one whose words are all literal, so that the case of a copy plays no part.
+    Each counts its own windows; a hit of either is a hit.
 *   Items with fewer tokens than a window count as one window of their length.
     Windows with fewer than ``MIN_LITERALS`` literal tokens carry no template
     and are left out on both sides.
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.llm.common import BROADCAST_BYTES, Scratch
+from cohortlab.llm.encoding import slices
 from cohortlab.llm.shingles import mix64
 
 WINDOW = 8
@@ -57,60 +62,76 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Codes(dict):
-    """token -> (template code, kind): kind 0 literal, 1 number, 2 unit word, 3 name."""
+    """token -> number of the token; ``code`` and ``kind`` by number: kind 0 literal,
+    1 number, 2 unit word, 3 name."""
 
-    def __missing__(self, t: str) -> tuple[int, int]:
-        if len(self) >= _CACHE:
-            self.clear()
-        low = t.lower()
-        code = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"))
+    def __init__(self) -> None:
+        self.code, self.kind = np.zeros(1024, np.uint64), np.zeros(1024, np.int8)
+
+    def __missing__(self, t: str) -> int:
+        k, low = len(self), t.casefold()
+        if k == len(self.code):
+            self.code, self.kind = (np.concatenate([x, np.zeros_like(x)]) for x in (self.code, self.kind))
         if t[0].isdigit():
-            v = (_NUMBER, 1)
-        elif low in UNITS:
-            v = (code, 2)
-        elif len(t) > 1 and t[0].isupper() and t[1:].islower():
-            v = (_NAME, 3)
+            self.code[k], self.kind[k] = _NUMBER, 1
         else:
-            v = (code, 0)
-        self[t] = v
-        return v
-
-
-def template(text: str | None, codes: _Codes) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Tokens, template codes and slot flags of a text."""
-    t = _TOKEN.findall(text) if text else []
-    if not t:
-        return t, np.empty(0, np.uint64), np.empty(0, bool)
-    pairs = [codes[x] for x in t]
-    code = np.fromiter((c for c, _ in pairs), dtype=np.uint64, count=len(t))
-    kind = np.fromiter((k for _, k in pairs), dtype=np.int8, count=len(t))
-    unit = np.flatnonzero(kind == 2)
-    unit = unit[(unit > 0) & (kind[unit - 1] == 1)]
-    slot = (kind == 1) | (kind == 3)
-    slot[unit] = True
-    code[unit] = np.uint64(_UNIT)
-    return t, code, slot
-
-
-def window_hashes(code: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the windows of ``size`` with enough literals."""
-    n = len(code) - size + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    h = np.full(n, size, dtype=np.uint64)
-    for i in range(size):
-        h = h * _MUL + code[i:i + n]
-    filled = np.concatenate([[0], np.cumsum(slot)])
-    ok = size - (filled[size:] - filled[:n]) >= MIN_LITERALS
-    return np.flatnonzero(ok), mix64(h)[ok]
-
-
-_WINDOW = "id bigint, pos int, size int, h bigint, slots array<struct<at:int,v:string>>"
-
-
-def _rows(i: int, t: list[str], slot: np.ndarray, pos: np.ndarray, h: np.ndarray, size: int) -> list[tuple]:
-    return [(i, int(p), size, int(x), [(int(p + j), t[p + j].lower()) for j in np.flatnonzero(slot[p:p + size])])
-            for p, x in zip(pos, h.view(np.int64), strict=True)]
+            self.code[k] = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"))
+            self.kind[k] = 2 if low in UNITS else 3 if len(t) > 1 and t[0].isupper() and t[1:].islower() else 0
+        self[t] = k
+        return k
+
+
+class Template:
+    """One template of a run of texts laid end to end: per token the text it is of
+    (``owner``), its code and whether it is a slot."""
+
+    def __init__(self, tokens: list[str], code: np.ndarray, kind: np.ndarray, owner: np.ndarray, names: bool):
+        self.tokens, self.owner, self.salt = tokens, owner, np.uint64(0 if names else 1 << 32)
+        same = np.zeros(len(code), bool)                 # as the token before, of one text
+        same[1:] = owner[1:] == owner[:-1]
+        unit = kind == 2
+        unit[1:] &= kind[:-1] == 1
+        unit &= same
+        name = (kind == 3) & names
+        self.slot = (kind == 1) | unit | name
+        self.code = np.where(unit, np.uint64(_UNIT), np.where(name, np.uint64(_NAME), code))
+        self.first = np.searchsorted(owner, np.arange(owner[-1] + 1 if len(owner) else 0))
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the windows of ``size``, within one text, with enough literals."""
+        n = len(self.code) - size + 1
+        if n <= 0:
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        h = np.full(n, np.uint64(size) + self.salt, dtype=np.uint64)
+        for i in range(size):
+            h = h * _MUL + self.code[i:i + n]
+        filled = np.concatenate([[0], np.cumsum(self.slot)])
+        ok = (size - (filled[size:] - filled[:n]) >= MIN_LITERALS) & (self.owner[:n] == self.owner[size - 1:])
+        return np.flatnonzero(ok), mix64(h[ok])
+
+    def rows(self, ids: list[int], at: np.ndarray, h: np.ndarray, size: int) -> list[tuple]:
+        out, plain = [], self.salt > 0
+        for p, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
+            k = self.owner[p]
+            start = int(self.first[k])
+            out.append((ids[k], plain, p - start, size, x, [
+                (int(p + j) - start, self.tokens[p + j].casefold()) for j in np.flatnonzero(self.slot[p:p + size])]))
+        return out
+
+
+def templates(texts: list[str | None], codes: _Codes) -> list[Template]:
+    """The two templates of texts: with name slots, and with all words literal."""
+    if len(codes) >= _CACHE:
+        codes.clear()
+    per = [_TOKEN.findall(x) if x else [] for x in texts]
+    tokens = list(chain.from_iterable(per))
+    k = np.fromiter(map(codes.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+    owner = np.repeat(np.arange(len(per)), [len(x) for x in per])
+    return [Template(tokens, codes.code[k], codes.kind[k], owner, names) for names in (True, False)]
+
+
+_WINDOW = "id bigint, plain boolean, pos int, size int, h bigint, slots array<struct<at:int,v:string>>"
+_COLUMNS = ["id", "plain", "pos", "size", "h", "slots"]
 
 
 def _benchmark(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
@@ -118,28 +139,27 @@ def _benchmark(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.Data
     for pdf in batches:
         rows = []
         for i, x in zip(pdf["id"], pdf["text"], strict=True):
-            t, code, slot = template(x, codes)
-            size = min(window, len(t))
-            if size:
-                rows += _rows(i, t, slot, *window_hashes(code, slot, size), size)
-        yield pd.DataFrame(rows, columns=["id", "pos", "size", "h", "slots"])
+            for t in templates([x], codes):
+                size = min(window, len(t.code))
+                if size:
+                    rows += t.rows([i], *t.windows(size), size)
+        yield pd.DataFrame(rows, columns=_COLUMNS)
 
 
 def _documents(batches: Iterator[pd.DataFrame], sizes: list[int],
                known: np.ndarray | None) -> Iterator[pd.DataFrame]:
     codes = _Codes()
-    for pdf in batches:
-        rows = []
-        for i, x in zip(pdf["id"], pdf["text"], strict=True):
-            t, code, slot = template(x, codes)
-            for size in sizes:
-                pos, h = window_hashes(code, slot, size)
-                if known is not None and len(h):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    hit = known[at] == h
-                    pos, h = pos[hit], h[hit]
-                rows += _rows(i, t, slot, pos, h, size)
-        yield pd.DataFrame(rows, columns=["id", "pos", "size", "h", "slots"])
+    for batch in batches:
+        for pdf in slices(batch, chars=1_000_000):
+            ids, rows = pdf["id"].tolist(), []
+            for t in templates(pdf["text"].tolist(), codes):
+                for size in sizes:
+                    at, h = t.windows(size)
+                    if known is not None and len(h):
+                        hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+                        at, h = at[hit], h[hit]
+                    rows += t.rows(ids, at, h, size)
+            yield pd.DataFrame(rows, columns=_COLUMNS)
 
 
 def _texts(df: DataFrame, id_col: str) -> DataFrame:
@@ -166,18 +186,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         found = _texts(docs, "doc_id").mapInPandas(lambda it: _documents(it, sizes, known), _WINDOW)
     b = bench.select("h", F.col("id").alias("item_id"), F.col("pos").alias("ipos"),
                      F.col("slots").alias("islots"))
+    # the hash tells the two templates apart
     pairs = found.join(F.broadcast(b) if n_hashes * 400 <= BROADCAST_BYTES else b, "h")
     # slots of a window pair stand side by side: the templates are equal
     both = F.transform(F.arrays_zip("islots", "slots"),
                        lambda x: F.struct(x["islots"]["v"].alias("i"), x["slots"]["v"].alias("d")))
-    line = pairs.groupBy(F.col("id").alias("doc_id"), "item_id",
+    line = pairs.groupBy(F.col("id").alias("doc_id"), "item_id", "plain",
                          (F.col("pos") - F.col("ipos")).alias("shift")).agg(
         F.countDistinct("ipos").alias("matched"),
         F.array_distinct(F.flatten(F.collect_set(both))).alias("m"))
     consistent = ((F.size(F.array_distinct(F.transform("m", lambda x: x["i"]))) == F.size("m"))
                   & (F.size(F.array_distinct(F.transform("m", lambda x: x["d"]))) == F.size("m")))
-    total = bench.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("pos").alias("of"))
-    return (line.filter(consistent).join(total, "item_id")
+    total = bench.groupBy(F.col("id").alias("item_id"), "plain").agg(F.countDistinct("pos").alias("of"))
+    return (line.filter(consistent).join(total, ["item_id", "plain"])
             .filter(F.col("matched") >= F.lit(coverage) * F.col("of"))
             .groupBy("doc_id", "item_id").agg(F.max("matched").alias("windows"),
                                               F.max(F.col("matched") / F.col("of")).alias("covered")))

@@ -226,6 +226,13 @@ def test_templates_and_slot_consistency(spark):
     assert _hits(spark, docs, items) == {(1, 1), (2, 1), (9, 1), (10, 4), (12, 1)}
 
 
+def test_whole_items_in_another_case(spark):
+    pad, item = prose(3, 40), "Then Anna met Bob. They Saw 3 dogs. Later Carl came home. Dora left Rome after 5 days. Emil Slept."
+    docs = [(1, f"{pad} {item.upper()} {pad}"), (2, f"{pad} {item.lower()} {pad}"), (3, f"{pad} {item.title()} {pad}"),
+            (4, item.upper().replace(" ", "!! ").replace("3", "8")), (5, pad.upper())]
+    assert _hits(spark, docs, [(1, item)]) == {(1, 1), (2, 1), (3, 1), (4, 1)}
+
+
 def test_benchmark_passages_of_the_table(spark):
     docs, bench = (spark.read.parquet(f"{SF001}/{t}.parquet") for t in ("documents", "benchmark"))
     words = lambda t: " " + " ".join(re.findall(r"\w+", t.lower())) + " "
