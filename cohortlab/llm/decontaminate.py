@@ -2,13 +2,19 @@
 
 Numbers, names and units become typed placeholders, so a question with other
 numbers or names has the template of the original. Windows of template tokens
-are hashed and joined with the benchmark's windows. Along one alignment of a
-document with an item, the values in the slots must be consistent: every value
-of the item stands for one value in the document and the other way round.
+are hashed and joined with the benchmark's windows. An alignment of a document
+with an item is a chain of matched windows that ascend in both; from one to the
+next the shift between the two may change by ``GAP`` tokens. Along it the values
+in the slots must be consistent: every value of the item stands for one value in
+the document and the other way round. Where two slots disagree, the pair of values
+seen at more places of the item holds (at a tie neither), and the windows over a
+slot that does not hold are not counted.
 
 *   number: a token that starts with a digit; unit: a unit word right after a
     number; name: a word with a capital first letter and small letters after it.
-    All other tokens are literal, case-folded; punctuation is left out.
+    All other tokens are literal, case-folded; punctuation is left out. A run of
+    numbers or of names is one slot, however many tokens it has (Paris, New York;
+    1000, 1 000).
 *   Every text has two templates, matched side by side: one with name slots, and
     one whose words are all literal, so that the case of a copy plays no part.
     Each counts its own windows; a hit of either is a hit.
@@ -29,6 +35,8 @@ not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain
 
@@ -45,6 +53,7 @@ from cohortlab.llm.shingles import mix64
 WINDOW = 8
 MIN_LITERALS = 3
 COVERAGE = 0.5
+GAP = 8
 _CACHE = 300_000
 
 # Unit words.
@@ -82,20 +91,28 @@ class _Codes(dict):
 
 
 class Template:
-    """One template of a run of texts laid end to end: per token the text it is of
-    (``owner``), its code and whether it is a slot."""
+    """One template of a run of texts laid end to end: per token of the template the text
+    it is of (``owner``), its code, whether it is a slot and its first token of the text."""
 
     def __init__(self, tokens: list[str], code: np.ndarray, kind: np.ndarray, owner: np.ndarray, names: bool):
-        self.tokens, self.owner, self.salt = tokens, owner, np.uint64(0 if names else 1 << 32)
+        self.tokens, self.salt = tokens, np.uint64(0 if names else 1 << 32)
         same = np.zeros(len(code), bool)                 # as the token before, of one text
         same[1:] = owner[1:] == owner[:-1]
         unit = kind == 2
         unit[1:] &= kind[:-1] == 1
         unit &= same
         name = (kind == 3) & names
-        self.slot = (kind == 1) | unit | name
-        self.code = np.where(unit, np.uint64(_UNIT), np.where(name, np.uint64(_NAME), code))
-        self.first = np.searchsorted(owner, np.arange(owner[-1] + 1 if len(owner) else 0))
+        slot = (kind == 1) | unit | name
+        more = np.zeros(len(code), bool)                 # goes on with the slot of the token before
+        more[1:] = slot[1:] & ~unit[1:] & same[1:] & slot[:-1] & (kind[1:] == kind[:-1])
+        self.at = np.append(np.flatnonzero(~more), len(code))
+        at = self.at[:-1]
+        self.slot, self.owner = slot[at], owner[at]
+        self.code = np.where(unit, np.uint64(_UNIT), np.where(name, np.uint64(_NAME), code))[at]
+        self.first = np.searchsorted(self.owner, np.arange(owner[-1] + 1 if len(owner) else 0))
+
+    def value(self, p: int) -> str:
+        return "".join(self.tokens[self.at[p]:self.at[p + 1]]).casefold()
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and hashes of the windows of ``size``, within one text, with enough literals."""
@@ -115,7 +132,7 @@ class Template:
             k = self.owner[p]
             start = int(self.first[k])
             out.append((ids[k], plain, p - start, size, x, [
-                (int(p + j) - start, self.tokens[p + j].casefold()) for j in np.flatnonzero(self.slot[p:p + size])]))
+                (int(p + j) - start, self.value(p + j)) for j in np.flatnonzero(self.slot[p:p + size])]))
         return out
 
 
@@ -162,6 +179,61 @@ def _documents(batches: Iterator[pd.DataFrame], sizes: list[int],
             yield pd.DataFrame(rows, columns=_COLUMNS)
 
 
+def chains(pairs: list[tuple[int, int]], need: float) -> list[list[int]]:
+    """Numbers of the (pos, ipos) of every longest chain that no other goes on with, and of every
+    line of one shift, of at least ``need`` windows. ``pairs`` are sorted and distinct."""
+    lines: dict[int, list[int]] = {}                     # shift -> numbers, ascending in pos
+    count, back, last = [1] * len(pairs), [-1] * len(pairs), [True] * len(pairs)
+    ends: dict[int, tuple[list[int], list[int]]] = {}    # shift -> pos, number of the longest chain up to it
+    for k, (pos, ipos) in enumerate(pairs):
+        shift = pos - ipos
+        for s in sorted(range(shift - GAP, shift + GAP + 1), key=lambda s: abs(s - shift)):
+            if s in ends:
+                at, best = ends[s]
+                j = bisect_left(at, min(pos, ipos + s)) - 1
+                if j >= 0 and count[best[j]] + 1 > count[k]:
+                    count[k], back[k] = count[best[j]] + 1, best[j]
+        if back[k] >= 0:
+            last[back[k]] = False
+        lines.setdefault(shift, []).append(k)
+        at, best = ends.setdefault(shift, ([], []))
+        at.append(pos)
+        best.append(k if not best or count[k] >= count[best[-1]] else best[-1])
+    out = [x for x in lines.values() if len(x) >= need]
+    for k in range(len(pairs)):
+        if last[k] and count[k] >= need:
+            one = []
+            while k >= 0:
+                one.append(k)
+                k = back[k]
+            out.append(one)
+    return out
+
+
+def holding(windows: list[list[tuple[int, str, str]]]) -> int:
+    """How many windows of slots (place in the item, its value, the document's value) are consistent."""
+    seen = Counter((i, d) for _, i, d in {x for w in windows for x in w})
+    of_i, of_d = defaultdict(list), defaultdict(list)
+    for (i, d), n in seen.items():
+        of_i[i].append(n)
+        of_d[d].append(n)
+    top = lambda n, all_: n == max(all_) and all_.count(n) == 1
+    holds = {x for x, n in seen.items() if top(n, of_i[x[0]]) and top(n, of_d[x[1]])}
+    return sum(all((i, d) in holds for _, i, d in w) for w in windows)
+
+
+def _aligned(batches: Iterator[pd.DataFrame], coverage: float) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for doc, item, of, found in zip(pdf["doc_id"], pdf["item_id"], pdf["of"], pdf["w"], strict=True):
+            slots = {(w["pos"], w["ipos"]): [(x["at"], x["i"], x["d"]) for x in w["m"]] for w in found}
+            pairs, need = sorted(slots), coverage * of
+            matched = max((holding([slots[pairs[k]] for k in c]) for c in chains(pairs, need)), default=0)
+            if matched and matched >= need:
+                rows.append((doc, item, matched, of))
+        yield pd.DataFrame(rows, columns=["doc_id", "item_id", "matched", "of"])
+
+
 def _texts(df: DataFrame, id_col: str) -> DataFrame:
     return df.filter(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
@@ -188,20 +260,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                      F.col("slots").alias("islots"))
     # the hash tells the two templates apart
     pairs = found.join(F.broadcast(b) if n_hashes * 400 <= BROADCAST_BYTES else b, "h")
+    total = bench.groupBy(F.col("id").alias("item_id"), "plain").agg(F.countDistinct("pos").alias("of"))
     # slots of a window pair stand side by side: the templates are equal
-    both = F.transform(F.arrays_zip("islots", "slots"),
-                       lambda x: F.struct(x["islots"]["v"].alias("i"), x["slots"]["v"].alias("d")))
-    line = pairs.groupBy(F.col("id").alias("doc_id"), "item_id", "plain",
-                         (F.col("pos") - F.col("ipos")).alias("shift")).agg(
+    both = F.transform(F.arrays_zip("islots", "slots"), lambda x: F.struct(
+        x["islots"]["at"].alias("at"), x["islots"]["v"].alias("i"), x["slots"]["v"].alias("d")))
+    lines = (pairs.groupBy(F.col("id").alias("doc_id"), "item_id", "plain").agg(
         F.countDistinct("ipos").alias("matched"),
-        F.array_distinct(F.flatten(F.collect_set(both))).alias("m"))
-    consistent = ((F.size(F.array_distinct(F.transform("m", lambda x: x["i"]))) == F.size("m"))
-                  & (F.size(F.array_distinct(F.transform("m", lambda x: x["d"]))) == F.size("m")))
-    total = bench.groupBy(F.col("id").alias("item_id"), "plain").agg(F.countDistinct("pos").alias("of"))
-    return (line.filter(consistent).join(total, ["item_id", "plain"])
-            .filter(F.col("matched") >= F.lit(coverage) * F.col("of"))
-            .groupBy("doc_id", "item_id").agg(F.max("matched").alias("windows"),
-                                              F.max(F.col("matched") / F.col("of")).alias("covered")))
+        F.collect_set(F.struct("pos", "ipos", both.alias("m"))).alias("w"))
+        .join(total, ["item_id", "plain"]).filter(F.col("matched") >= F.lit(coverage) * F.col("of"))
+        .select("doc_id", "item_id", "of", "w"))
+    best = lines.mapInPandas(lambda it: _aligned(it, coverage), "doc_id bigint, item_id bigint, matched bigint, of bigint")
+    return best.groupBy("doc_id", "item_id").agg(F.max("matched").alias("windows"),
+                                                 F.max(F.col("matched") / F.col("of")).alias("covered"))
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

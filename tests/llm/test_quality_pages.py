@@ -226,6 +226,29 @@ def test_templates_and_slot_consistency(spark):
     assert _hits(spark, docs, items) == {(1, 1), (2, 1), (9, 1), (10, 4), (12, 1)}
 
 
+def test_slots_of_another_width(spark):
+    pad, item = prose(3, 40), ("the train from Paris takes 1000 people to the coast and " + prose(5, 30)
+                               + " with 20 of 70 seats left for " + prose(6, 40))
+    docs = [(1, f"{pad} {item.replace('Paris', 'New York City')} {pad}"), (2, item.replace("1000", "1 000 000")),
+            (3, item.replace("Paris", "New York").replace("1000", "2 500")),
+            (4, item.replace("with 20", "with about 20")),             # one token more in the middle
+            (5, item.replace("with 20", "20")),                        # and one fewer
+            (6, item.replace("70", "20")),                             # slots that disagree cost their windows only
+            (7, " ".join(reversed(item.split()))), (8, pad)]
+    assert _hits(spark, docs, [(1, item)]) == {(i, 1) for i in range(1, 7)}
+
+
+def test_chains_ascend_and_slots_hold():
+    line = [(10 + k, k) for k in range(5)] + [(17 + k, 5 + k) for k in range(5)]     # the shift grows by 2
+    assert max(map(len, decontaminate.chains(line, 6))) == 10
+    far = [(10 + k, k) for k in range(5)] + [(17 + decontaminate.GAP + k, 5 + k) for k in range(5)]
+    assert decontaminate.chains(far, 6) == []
+    back = sorted([(20 + k, k) for k in range(5)] + [(13 + k, 5 + k) for k in range(5)])
+    assert decontaminate.chains(back, 8) == []
+    assert decontaminate.holding([[(0, "a", "x")], [(1, "a", "x")], [(2, "a", "y")], [], [(3, "b", "x")]]) == 3
+    assert decontaminate.holding([[(0, "a", "x")], [(1, "b", "x")], []]) == 1
+
+
 def test_whole_items_in_another_case(spark):
     pad, item = prose(3, 40), "Then Anna met Bob. They Saw 3 dogs. Later Carl came home. Dora left Rome after 5 days. Emil Slept."
     docs = [(1, f"{pad} {item.upper()} {pad}"), (2, f"{pad} {item.lower()} {pad}"), (3, f"{pad} {item.title()} {pad}"),
