@@ -9,9 +9,9 @@ more long, outside base spans, that a character Markov model of random strings
 explains better than one of ordinary identifiers. The log-likelihood ratio must
 reach ``min_ratio``, and ``min_mean`` per character pair. Both models are first-order chains
 over ``ALPHABET``, counted from labelled samples: the secret values that the base
-kinds find, and ordinary words. They are trained on a bounded sample of
-documents (``train_docs``, by a hash of the doc_id); without samples of both
-classes no span is added.
+kinds find, and ordinary words, both over all documents. Only counts of
+character pairs are shuffled for it; without samples of both classes no span is
+added.
 
 Positions follow from lengths: the text between matches (``split``) and the
 matches (``regexp_extract_all``) of one expression alternate, so running sums of
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from cohortlab.llm.common import Scratch
 
-TRAIN_DOCS = 5_000
 MIN_LENGTH = 20
 MIN_RATIO = 8.0
 MIN_MEAN = 0.25
@@ -107,18 +106,13 @@ def train(found: DataFrame, rows: DataFrame, smoothing: float = SMOOTHING) -> Da
         .filter("nr > 0 AND no > 0").select("pair", "ratio")
 
 
-def scan(docs: DataFrame, train_docs: int = TRAIN_DOCS, min_ratio: float = MIN_RATIO,
-         min_mean: float = MIN_MEAN) -> DataFrame:
+def scan(docs: DataFrame, min_ratio: float = MIN_RATIO, min_mean: float = MIN_MEAN) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov`` per row of ``docs``."""
     sc = Scratch(docs.sparkSession, "secret-scan")
     raw = sc.put("raw", raw_matches(docs))
     found, ids = sc.put("found", placed(raw)), raw.select("row", "doc_id")
-    n = ids.count()
-    u = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit("secret")), 11) / F.lit(float(1 << 53))
-    chosen = ids.filter(u < F.lit(train_docs / max(n, 1))).select("row")
-    text = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")) \
-        .filter(u < F.lit(train_docs / max(n, 1)))
-    model = sc.put("model", train(found.join(chosen, "row", "left_semi"), text))
+    text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    model = sc.put("model", train(found, text))
 
     # a candidate run must lie clear of the base spans around it
     base_end = F.when(F.col("kind") < 3, F.col("end"))

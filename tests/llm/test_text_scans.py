@@ -77,6 +77,20 @@ def test_markov_spans_separate_random_strings_from_identifiers(spark):
     assert got[1002].spans == f"assign:0:{7 + len(new)}" and got[1002].n_markov == 0    # base spans stay
 
 
+def test_rare_secrets_train_the_model_in_a_large_table(spark):
+    import random
+    rnd = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rand = lambda n: "".join(rnd.choices(letters, k=n))
+    new = rand(30) + "7"
+    rows = [(0, " ".join(f"password={rand(24)}" for _ in range(200))), (1, f"see {new} here")]
+    plain = spark.range(2, 40_000).selectExpr("id AS doc_id", "'several regular identifiers' AS text")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").union(plain)
+    got = {r.doc_id: r for r in secret_scan.scan(docs).filter("doc_id < 3").collect()}
+    assert got[0].n_assign == 200 and got[2].spans == ""
+    assert got[1].spans == f"markov:4:{4 + len(new)}"
+
+
 def test_no_samples_no_markov_spans(spark):
     got = secret_scan.scan(frame(spark, [(1, "abc Zx9Qw8Er7Ty6Ui5Op4As3Df2")])).first()
     assert got.spans == "" and got.n_markov == 0
