@@ -5,7 +5,10 @@ fitting rule decides. Pages without a rule get their host's verdict: trust is
 personalised PageRank from hosts with allowed pages along host links, distrust
 is the same from hosts with blocked pages against the links (whoever links to a
 blocked host becomes suspect). A host is blocked when its distrust exceeds
-``ratio`` times its trust, so a host that neither reaches is allowed.
+``ratio`` times its trust, so a host that neither reaches is allowed. Rounds go
+on until no rank changes by more than ``TOLERANCE`` of itself and no further host
+is reached; ranks are compared as they are, by a share of themselves (``EQUAL``),
+so verdicts do not depend on the number of seeds.
 
 Links are ``href`` targets with a host; links inside one host carry nothing.
 They are counted per host pair before any shuffle of the pairs, and ranks are
@@ -27,6 +30,10 @@ from cohortlab.llm.common import BROADCAST_BYTES, Scratch
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 DAMPING, ROUNDS, RATIO = 0.85, 10, 2.0
+#: Ranks are settled below this relative change, looked at every so many rounds.
+TOLERANCE, LOOK = 1e-6, 6
+#: Ranks this near to each other, as a share, are equal.
+EQUAL = 1e-9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 HREF = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
@@ -59,8 +66,9 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def propagate(seeds: DataFrame, links: DataFrame, scratch: Scratch, damping: float = DAMPING,
-              rounds: int = ROUNDS) -> DataFrame:
-    """``host, kind, rank`` after ``rounds`` of personalised PageRank.
+              rounds: int | None = ROUNDS) -> DataFrame:
+    """``host, kind, rank`` after ``rounds`` of personalised PageRank, or with None
+    when all ranks have settled.
 
     ``seeds``: ``host, kind, seed`` (shares that sum to 1 per kind); trust walks
     along the links, distrust against them, both in one pass per round."""
@@ -73,17 +81,36 @@ def propagate(seeds: DataFrame, links: DataFrame, scratch: Scratch, damping: flo
     if walk.limit(1).count() == 0:
         return base.withColumnRenamed("part", "rank")
     rank = seeds.withColumnRenamed("seed", "rank")
-    for i in range(rounds):
+
+    def step(rank: DataFrame) -> DataFrame:
         moved = rank.join(walk, ["host", "kind"]).select(
             F.col("dst").alias("host"), "kind", (F.col("rank") * F.col("share") * damping).alias("part"))
-        rank = base.unionByName(moved).groupBy("host", "kind").agg(F.sum("part").alias("rank"))
+        return base.unionByName(moved)
+
+    total = F.sum("part").alias("rank")
+    for i in range(rounds or 0):
+        rank = step(rank).groupBy("host", "kind").agg(total)
         if i % 3 == 2:
             rank = scratch.put(f"rank-{i}", rank)
+    i, more = 0, rounds is None
+    while more:
+        for _ in range(LOOK - 1):
+            rank = step(rank).groupBy("host", "kind").agg(total)
+        rank = scratch.put(f"before-{i}", rank)
+        was = rank.select("host", "kind", F.lit(0.0).alias("part"), F.col("rank").alias("was"))
+        rank = scratch.put(f"rank-{i}", step(rank).withColumn("was", F.lit(0.0)).unionByName(was)
+                           .groupBy("host", "kind").agg(total, F.sum("was").alias("was")))
+        # below 1e-300 doubles lose their digits
+        moving = (F.abs(F.col("rank") - F.col("was")) > F.col("rank") * TOLERANCE) & (F.col("rank") > 1e-300)
+        more = rank.filter(moving).limit(1).count() > 0
+        rank = rank.drop("was")
+        scratch.drop(f"before-{i}", f"rank-{i - 1}")
+        i += 1
     return rank
 
 
 def judge(pages: DataFrame, rules=RULES, ratio: float = RATIO, damping: float = DAMPING,
-          rounds: int = ROUNDS) -> DataFrame:
+          rounds: int | None = None) -> DataFrame:
     """``page_id, host, path, rule, verdict`` for every page."""
     sc = Scratch(pages.sparkSession, "url-filter")
     host, path = host_of(F.col("url")), path_of(F.col("url"))
@@ -98,10 +125,10 @@ def judge(pages: DataFrame, rules=RULES, ratio: float = RATIO, damping: float =
     seeds = count.join(F.broadcast(total), "kind").select(
         "host", "kind", (F.col("n") / F.col("total")).alias("seed"))
     rank = propagate(seeds, links, sc, damping, rounds)
-    of = {k: F.round(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)), 12)
+    of = {k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0))
           for k in ("trust", "distrust")}
     blocked = sc.put("blocked", rank.groupBy("host").agg(of["trust"].alias("t"), of["distrust"].alias("d"))
-                     .filter(F.col("d") > F.lit(ratio) * F.col("t"))
+                     .filter(F.col("d") > F.lit(ratio * (1 + EQUAL)) * F.col("t"))
                      .select("host", F.lit("block").alias("_host_verdict")))
     size = blocked.agg(F.sum(F.octet_length("host") + 32)).first()[0] or 0
     return (judged.join(F.broadcast(blocked) if size <= BROADCAST_BYTES else blocked, "host", "left")

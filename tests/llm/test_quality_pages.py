@@ -102,6 +102,17 @@ def test_rules(spark):
         assert r.verdict == verdict or verdict is None and r.verdict in ("allow", "block")
 
 
+@pytest.mark.parametrize("hops, linkers", [(16, 1), (9, 30)])      # far from the seed; ranks below 1e-12
+def test_every_host_that_distrust_reaches_is_blocked(spark, hops, linkers):
+    rows = [(-1, "http://h0x0.net/de/1", None), (-2, "http://good.org/", None), (-3, "http://bad.com/de/1", None),
+            (-4, "http://h0x0.net/", '<a href="http://bad.com/">x</a>')]
+    rows += [(k * linkers + j, f"http://h{k}x{j}.net/", f'<a href="http://h{k - 1}x0.net/">x</a>')
+             for k in range(1, hops + 1) for j in range(linkers)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages).collect()}
+    assert got == {r[0]: "allow" if r[0] == -2 else "block" for r in rows}
+
+
 def test_distrust_walks_against_links(spark):
     link = lambda *hosts: "".join(f'<a href="http://{h}/x">x</a>' for h in hosts)
     rows = [(0, "http://bad.com/de/1", link("sink.net")), (1, "http://farm.net/1", link("bad.com", "BAD.com")),
