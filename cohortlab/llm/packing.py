@@ -10,10 +10,10 @@
     share is still cut by doc_id. Each shard builds a BM25 inverted index of its
     tails with the corpus-wide frequencies.
 4.  The longest unused tail is the seed of a window; the index ranks its unused
-    neighbours, which fill the window in that order while they fit. The best
-    neighbour left is cut to the room that remains and its rest goes back; with
-    no neighbour left, the next unused tail serves. So all windows of a shard
-    but the last are full.
+    neighbours in the shard by all tokens of the seed, and they fill the window
+    in that order while they fit. The best neighbour left is cut to the room that
+    remains and its rest goes back; with no neighbour left, the next unused tail
+    serves. So all windows of a shard but the last are full.
 
 Cut places are free and every id lies in exactly one piece. A null or empty text
 has the end id only. Repeated rows are packed as documents of their own; rows
@@ -37,7 +37,6 @@ from cohortlab.llm.encoding import VOCABULARY, encoder, slices
 
 SIZE = 1024
 SHARD_DOCS = 4000
-QUERY_TERMS = 12
 K1, B = 1.2, 0.75
 
 _ENCODED = ("doc_id bigint, doc_tokens bigint, heads array<bigint>, rare int, tail_start bigint, "
@@ -91,35 +90,43 @@ class Shard:
             tok.append(u.astype(np.int64))
             doc.append(np.full(len(u), i, dtype=np.int64))
             weight.append(w)
-            top = np.argsort(-w, kind="stable")[:QUERY_TERMS]
-            self.query.append(u[top].astype(np.int64))
+            self.query.append(tok[-1])
         token = np.concatenate(tok)
         order = np.argsort(token, kind="stable")
         self.doc, self.weight = np.concatenate(doc)[order], np.concatenate(weight)[order]
         self.first = np.searchsorted(token[order], np.arange(len(idf) + 1))
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused tails that share a query term with the seed, best first."""
-        score = np.zeros(self.n)
-        for t in self.query[seed]:
-            span = slice(self.first[t], self.first[t + 1])
-            score[self.doc[span]] += self.weight[span]
+        """Unused tails that share a token with the seed, best first."""
+        q = self.query[seed]
+        spans = [slice(a, z) for a, z in zip(self.first[q].tolist(), self.first[q + 1].tolist(), strict=True)]
+        doc, weight = (np.concatenate([x[k] for k in spans]) for x in (self.doc, self.weight))
+        score = np.bincount(doc, weight, minlength=self.n)
         score[used] = 0.0
         found = np.flatnonzero(score)
         return found[np.argsort(-score[found], kind="stable")]
 
+    def shrink(self, used: np.ndarray) -> None:
+        """Leave out the postings of used tails."""
+        keep = ~used[self.doc]
+        self.first = np.concatenate([[0], np.cumsum(keep)])[self.first]
+        self.doc, self.weight = self.doc[keep], self.weight[keep]
+
     def pack(self, size: int) -> list[list[tuple[int, int, int]]]:
         """Windows of pieces (tail, start in the tail, length)."""
         left = np.array([len(t) for t in self.tails])
         begin = np.zeros(self.n, dtype=np.int64)
         used = left == 0
         order = np.argsort(-left, kind="stable")
-        windows, at = [], 0
+        windows, at, held = [], 0, self.n
         while True:
             while at < self.n and used[order[at]]:
                 at += 1
             if at == self.n:
                 return windows
+            if 4 * np.count_nonzero(~used) <= 3 * held:
+                held = np.count_nonzero(~used)
+                self.shrink(used)
             seed = order[at]
             window, room = [], size
 
@@ -133,11 +140,10 @@ class Shard:
 
             place(seed, min(left[seed], room))
             near = self.neighbours(seed, used) if room else np.empty(0, dtype=np.int64)
-            for i in near:
-                if left[i] <= room:
-                    place(i, left[i])
-                    if not room:
-                        break
+            fits = near
+            while room and len(fits := fits[left[fits] <= room]):
+                place(fits[0], left[fits[0]])
+                fits = fits[1:]
             rest = iter(near)
             nxt = at
             while room:                    # cut the best one left, or the next in line

@@ -172,3 +172,16 @@ def test_shard_index_prefers_lexical_neighbours():
     assert all(sum(n for _, _, n in w) == 240 for w in windows)
     pure = sum(len({i // 20 for i, _, _ in w}) == 1 for w in windows)
     assert pure >= 0.8 * len(windows)
+
+
+def test_every_token_of_the_seed_counts():
+    common = np.arange(100, 120)                               # 20 tokens of every seed are heavier than the last
+    tails = [np.append(common, [7]), np.array([7, 8, 9]), np.append(common, [10])]
+    tails = [t.astype(np.uint16) for t in tails]
+    idf = np.full(130, 5.0)
+    idf[7] = 1.0
+    used = np.array([True, False, False])
+    shard = packing.Shard(tails, idf, 15.0)
+    assert shard.neighbours(0, used).tolist() == [2, 1]
+    shard.shrink(np.array([False, False, True]))
+    assert shard.neighbours(0, used).tolist() == [1]
