@@ -10,8 +10,9 @@ explains better than one of ordinary identifiers. The log-likelihood ratio must
 reach ``min_ratio``, and ``min_mean`` per character pair. Both models are first-order chains
 over ``ALPHABET``, counted from labelled samples: the secret values that the base
 kinds find, and ordinary words, both over all documents. Only counts of
-character pairs are shuffled for it; without samples of both classes no span is
-added.
+character pairs are shuffled for it. Counts of a class beyond ``PAIRS`` are scaled
+down to it, so that an unseen pair weighs alike in a large table and a huge one;
+without samples of both classes no span is added.
 
 Positions follow from lengths: the text between matches (``split``) and the
 matches (``regexp_extract_all``) of one expression alternate, so running sums of
@@ -32,6 +33,7 @@ MIN_LENGTH = 20
 MIN_RATIO = 8.0
 MIN_MEAN = 0.25
 SMOOTHING = 0.5
+PAIRS = 5_000_000
 
 # The base expressions, and the letters of the models.
 NAMES = r"(?i:password|passwd|secret|token|api_?key)"
@@ -84,7 +86,7 @@ def _pairs(value: Column) -> Column:
         .otherwise(F.array().cast("array<string>"))
 
 
-def train(found: DataFrame, rows: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
+def train(found: DataFrame, rows: DataFrame, smoothing: float = SMOOTHING, pairs: int = PAIRS) -> DataFrame:
     """``pair, ratio``: log P(second | first) among random strings less that among
     ordinary words, for every pair of the alphabet (a table of fixed size)."""
     rand = found.filter("kind < 3").select(F.lit(1).alias("rand"), F.explode(_pairs(F.col("value"))).alias("pair"))
@@ -97,13 +99,13 @@ def train(found: DataFrame, rows: DataFrame, smoothing: float = SMOOTHING) -> Da
         .select("a", F.concat("a", "b").alias("pair"))
     cell = grid.join(counts, "pair", "left").select(
         "a", "pair", F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("o", F.lit(0)).alias("o"))
+    trained = Window.partitionBy(F.lit(1))         # one window over the fixed grid
+    cell = cell.withColumns({"nr": F.sum("r").over(trained), "no": F.sum("o").over(trained)}).filter("nr > 0 AND no > 0")
+    cell = cell.withColumns({c: F.col(c) * F.least(F.lit(1.0), F.lit(float(pairs)) / F.col(f"n{c}")) for c in ("r", "o")})
     by_first = Window.partitionBy("a")
     logp = {c: F.log((F.col(c) + F.lit(smoothing))
                      / (F.sum(c).over(by_first) + F.lit(smoothing * len(ALPHABET)))) for c in ("r", "o")}
-    trained = Window.partitionBy(F.lit(1))         # one window over the fixed grid
-    return cell.select("pair", (logp["r"] - logp["o"]).alias("ratio"),
-                       F.sum("r").over(trained).alias("nr"), F.sum("o").over(trained).alias("no")) \
-        .filter("nr > 0 AND no > 0").select("pair", "ratio")
+    return cell.select("pair", (logp["r"] - logp["o"]).alias("ratio"))
 
 
 def scan(docs: DataFrame, min_ratio: float = MIN_RATIO, min_mean: float = MIN_MEAN) -> DataFrame:

@@ -91,6 +91,15 @@ def test_rare_secrets_train_the_model_in_a_large_table(spark):
     assert got[1].spans == f"markov:4:{4 + len(new)}"
 
 
+def test_an_unseen_pair_weighs_alike_in_any_large_table(spark):
+    def model(copies):
+        found = spark.createDataFrame([(0, "Zx9Qw8Er7Ty6Ui5Op4")] * copies, "kind int, value string")
+        rows = spark.createDataFrame([("several regular identifiers",)] * copies, "text string")
+        return {r.pair: r.ratio for r in secret_scan.train(found, rows, pairs=10).collect()}
+    one, many = model(1), model(50)
+    assert one.keys() == many.keys() and all(abs(one[k] - many[k]) < 1e-9 for k in one)
+
+
 def test_no_samples_no_markov_spans(spark):
     got = secret_scan.scan(frame(spark, [(1, "abc Zx9Qw8Er7Ty6Ui5Op4As3Df2")])).first()
     assert got.spans == "" and got.n_markov == 0
