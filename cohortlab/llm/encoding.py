@@ -43,10 +43,11 @@ def tokenizer_path(vocabulary: str) -> str:
 class BatchEncoder:
     """ids of many texts as little-endian bytes (2 a token, 4 for large vocabularies)."""
 
-    def __init__(self, vocabulary: str = VOCABULARY, cache_chunks: int = CACHE_CHUNKS):
+    def __init__(self, vocabulary: str = VOCABULARY, cache_chunks: int = CACHE_CHUNKS, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(tokenizer_path(vocabulary))
+        self.tok.encode_special_tokens = plain       # their strings are then ordinary text
         size = max(self.tok.get_vocab(with_added_tokens=True).values()) + 1
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.id_bytes = [i.to_bytes(self.dtype.itemsize, "little") for i in range(size)]
@@ -129,14 +130,14 @@ class _Cache(dict):
         self.clear()
 
 
-_ENCODERS: dict[str, BatchEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], BatchEncoder] = {}
 
 
-def encoder(vocabulary: str = VOCABULARY) -> BatchEncoder:
+def encoder(vocabulary: str = VOCABULARY, plain: bool = False) -> BatchEncoder:
     """The worker's encoder of a vocabulary; its cache serves the worker's later tasks."""
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = BatchEncoder(vocabulary)
-    return _ENCODERS[vocabulary]
+    if (vocabulary, plain) not in _ENCODERS:
+        _ENCODERS[vocabulary, plain] = BatchEncoder(vocabulary, plain=plain)
+    return _ENCODERS[vocabulary, plain]
 
 
 def slices(pdf, rows: int = 2048, chars: int = 8_000_000):

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlab.llm import (decontaminate, html_text, license_scan, packing, quality, secret_scan,
-                            token_orc, url_filter)
+from cohortlab.llm import (decontaminate, html_text, license_scan, mask_search, packing, quality, secret_scan,
+                            token_align, token_orc, url_filter, vector_search)
 from cohortlab.llm.common import table
 from cohortlab.llm.exact_dedup import exact_duplicates
 from cohortlab.llm.near_dup import near_duplicates
@@ -56,8 +56,21 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(table(spark, sf_dir, "documents"))
+
+
+def op12_mask_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
 for _f in (op1_quality, op2_near_dup, op3_url_filter, op4_html_text, op5_token_orc, op6_secret_scan,
-           op7_decontaminate, op8_packing, op9_license_scan, op10_exact_dedup):
+           op7_decontaminate, op8_packing, op9_license_scan, op10_exact_dedup, op11_token_align,
+           op12_mask_search, op13_vector_search):
     REGISTRY[_f.__name__] = _f
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -99,3 +112,5 @@ FROM t"""
 
 ORACLE["op3_url_filter"] = url_filter.oracle_sql()
 ORACLE["op9_license_scan"] = license_scan.oracle_sql()
+ORACLE["op12_mask_search"] = mask_search.oracle_sql()
+ORACLE["op13_vector_search"] = vector_search.oracle_sql()
