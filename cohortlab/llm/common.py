@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,21 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_HELD: list[list["Scratch"]] = []
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Drop the intermediates that are opened inside once the block ends; for a
+    caller that has written the block's result by then."""
+    _HELD.append([])
+    try:
+        yield
+    finally:
+        for sc in _HELD.pop():
+            sc.drop(*list(sc.paths))
+
+
 class Scratch:
     """Intermediate tables as Parquet in the shared folder.
 
@@ -33,6 +51,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.base = spark, shared_dir(spark, label)
         self.paths: dict[str, str] = {}
+        if _HELD:
+            _HELD[-1].append(self)
 
     def path(self, name: str) -> str:
         return self.paths.setdefault(name, f"{self.base}/{name}")
@@ -58,7 +78,7 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str, n_small: int,
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id is not among ``dropped`` (doc_id); all columns stay.
 
-    The ids to drop are counted first: they are broadcast while they fit, and
-    shuffled with the documents beyond that."""
-    ids = dropped.select("doc_id").distinct()
+    The ids to drop are written once and counted: they are broadcast while they
+    fit, and shuffled with the documents beyond that."""
+    ids = Scratch(docs.sparkSession, "without").put("ids", dropped.select("doc_id").distinct())
     return join_small(docs, ids, "doc_id", "left_anti", ids.count(), 16)

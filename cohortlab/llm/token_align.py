@@ -33,15 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.llm.common import Scratch
-from cohortlab.llm.encoding import VOCABULARY, byte_letters, encoder, slices, tokenizer_path
+from cohortlab.llm.encoding import (VOCABULARY, ChunkTable, byte_letters, chunked, encoder, parts, runs,
+                                     slices, tokenizer_path)
 
 PIECES = "piece_bpe_32k.model"
 #: Irregular pairs whose counts are broadcast (16 bytes each); the rest is joined.
 HOT_PAIRS = 1 << 21
 #: Groups with more links than this are expanded by distinct ids instead of tokens.
 WIDE_GROUP = 1 << 12
-#: Texts longer than this are cut at single spaces before the piece model sees them.
-PART_CHARS = 200_000
 
 _DOC = ("row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, "
         "groups_sha256 string, pairs binary, times binary")
@@ -69,8 +68,8 @@ class Aligner:
         self.bytes_b = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i in range(self.b.get_piece_size()) for p in [self.b.id_to_piece(i)]]
         self.len_a, self.len_b = (np.array(list(map(len, x)), dtype=np.int64) for x in (self.bytes_a, self.bytes_b))
-        # a piece never holds a space behind another character, so texts can be cut there
-        self.cuts = not any(" " in p.lstrip(b" ").decode(errors="replace") for p in self.bytes_b)
+        # no piece holds a space behind another character: a text's chunks are encoded apart
+        self.whole_words = not any(b" " in p.lstrip(b" ") for p in self.bytes_b)
         first: dict[bytes, int] = {}
         for i, p in enumerate(self.bytes_b):
             first.setdefault(p, i)
@@ -80,70 +79,133 @@ class Aligner:
         self.text_a, self.text_b = _labels(len(self.bytes_a), ",", "|"), _labels(len(self.bytes_b), ",", ";")
         width = max(self.text_a.dtype.itemsize, self.text_b.dtype.itemsize)
         self.label = np.dtype(f"S{width}")
-
-    def _parts(self, text: str) -> list[str]:
-        """``text`` cut at single spaces between other characters, if it is long."""
-        out, at = [], 0
-        while self.cuts and len(text) - at > PART_CHARS:
-            cut = text.find(" ", at + PART_CHARS)
-            while cut >= 0 and (text[cut - 1].isspace() or text[cut + 1:cut + 2].isspace()):
-                cut = text.find(" ", cut + 1)
-            if cut < 0 or cut + 1 >= len(text):
-                break
-            out.append(text[at:cut])
-            at = cut + 1
-        return [*out, text[at:]]
-
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids of A and B for each text; both empty where the text has no tokens."""
-        none = np.empty(0, dtype=np.int64)
-        spaced = [" " + t if t else None for t in texts]
-        for raw, t in zip(self.a.encode(spaced), spaced, strict=True):
-            if t is None:
-                yield none, none
-                continue
-            ids = [i for part in self.b.encode(self._parts(t[1:]), num_threads=1) for i in part]
-            a, want = np.frombuffer(raw, dtype=self.a.dtype), t.encode()
-            if (b"".join(map(self.bytes_b.__getitem__, ids)) != want
-                    or b"".join(map(self.bytes_a.__getitem__, a.tolist())) != want):
-                yield none, none
-            else:
-                yield a.astype(np.int64), np.array(ids, dtype=np.int64)
-
-    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[int, int, bytes, np.ndarray, np.ndarray]:
-        """Groups, links, the text of the groups, and the distinct pairs (a << 32 | b)
-        with their multiplicity."""
+        #: chunk -> its sizes, its groups in writing, its links
+        self.table = ChunkTable(self.learn)
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of A and B for a text; none where their bytes differ from it."""
+        want = " " + text
+        a = self.a.ids(want).astype(np.int64)
+        b = [i for p in (parts(want) if self.whole_words else [want]) for i in self.b.encode(p[1:], num_threads=1)]
+        want = want.encode()
+        if (b"".join(map(self.bytes_b.__getitem__, b)) != want
+                or b"".join(map(self.bytes_a.__getitem__, a.tolist())) != want):
+            return None
+        return a, np.array(b, dtype=np.int64)
+
+    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Ends of the groups; group and writing place of the tokens; links and
+        their groups. The ids are those of one text or of chunks behind each other."""
         end_a, end_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
         ends = np.intersect1d(end_a, end_b, assume_unique=True)
         ga, gb = np.searchsorted(ends, end_a), np.searchsorted(ends, end_b)
         na, nb = np.bincount(ga, minlength=len(ends)), np.bincount(gb, minlength=len(ends))
         from_a, from_b = np.cumsum(na) - na, np.cumsum(nb) - nb
-        # groups in writing: A tokens, then B tokens of each group
+        # in writing, the A tokens of a group stand before its B tokens
         out = np.empty(len(a) + len(b), dtype=self.label)
         out[np.arange(len(a)) + from_b[ga]] = self.text_a[2 * a + (end_a == ends[ga])]
         out[np.arange(len(b)) + (from_a + na)[gb]] = self.text_b[2 * b + (end_b == ends[gb])]
-        text = out.tobytes().translate(None, b"\0")[:-1]
-        links = na * nb
-        # one-to-one groups: the identity map in most cases; then the irregular ones
-        single = (na == 1) & (nb == 1)
-        keys = [a[single[ga]] << 32 | b[single[gb]]]
-        times = [np.ones(len(keys[0]), dtype=np.int64)]
-        few = ~single & (links <= WIDE_GROUP)
-        ia = np.flatnonzero(few[ga])
+        # one-to-one groups (the identity map in most cases), then the irregular ones
+        n = na * nb
+        one = np.flatnonzero(n == 1)
+        pair, group = [a[from_a[one]] << 32 | b[from_b[one]]], [one]
+        ia = np.flatnonzero(((n > 1) & (n <= WIDE_GROUP))[ga])
         per = nb[ga[ia]]
         left = np.repeat(ia, per)
         step = np.arange(len(left)) - np.repeat(np.cumsum(per) - per, per)
-        keys.append(a[left] << 32 | b[from_b[ga[left]] + step])
-        times.append(np.ones(len(left), dtype=np.int64))
-        for g in np.flatnonzero(links > WIDE_GROUP):
+        pair.append(a[left] << 32 | b[from_b[ga[left]] + step])
+        group.append(ga[left])
+        times = [np.ones(len(one) + len(left), dtype=np.int64)]
+        for g in np.flatnonzero(n > WIDE_GROUP):              # by distinct ids
             ua, ca = np.unique(a[from_a[g]:from_a[g] + na[g]], return_counts=True)
             ub, cb = np.unique(b[from_b[g]:from_b[g] + nb[g]], return_counts=True)
-            keys.append((ua[:, None] << 32 | ub[None, :]).ravel())
+            pair.append((ua[:, None] << 32 | ub[None, :]).ravel())
             times.append((ca[:, None] * cb[None, :]).ravel())
-        key, at = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.zeros(len(key), dtype=np.int64)
-        np.add.at(n, at, np.concatenate(times))
-        return len(ends), int(links.sum()), text, key, n
+            group.append(np.full(len(pair[-1]), g))
+        return (ends, na, nb, n, out,
+                np.stack([np.concatenate(pair), np.concatenate(times)], axis=1), np.concatenate(group))
+
+    def learn(self, here: list[str]) -> Iterator[tuple[str, object, int]]:
+        """Align new chunks, each with a space before it, as one text."""
+        got = self.encode(" ".join(here))
+        if got is None:                          # find the chunks that their tokens do not give back
+            if len(here) == 1:
+                yield here[0], False, 0
+            else:
+                yield from self.learn(here[:len(here) // 2])
+                yield from self.learn(here[len(here) // 2:])
+            return
+        ends, na, nb, n, out, links, group = self.align(*got)
+        chunk = np.searchsorted(np.cumsum([len(c.encode()) + 1 for c in here]), ends)     # of each group
+        sizes = np.stack([np.bincount(chunk, w, minlength=len(here)) for w in (na, nb, np.ones(len(n)), n)], axis=1)
+        sizes = sizes.astype("<i8")
+        cuts = [0, *np.cumsum(sizes[:, 0] + sizes[:, 1]).tolist()]
+        owner = chunk[group]
+        links = links[np.argsort(owner, kind="stable")].astype("<i8")
+        ends = [0, *np.cumsum(np.bincount(owner, minlength=len(here))).tolist()]
+        for i, c in enumerate(here):
+            value = (sizes[i].tobytes(), out[cuts[i]:cuts[i + 1]].tobytes().translate(None, b"\0")[:-1],
+                     links[ends[i]:ends[i + 1]].tobytes())
+            yield c, value, sum(map(len, value)) + 150
+
+    def _whole(self, text: str) -> Document | None:
+        got = self.encode(text)
+        if got is None:
+            return None
+        ends, na, nb, n, out, links, _ = self.align(*got)
+        doc = Document()
+        doc.add(np.array([[na.sum(), nb.sum(), len(n), n.sum()]]), out.tobytes().translate(None, b"\0")[:-1], links)
+        return doc
+
+    def documents(self, texts: list[str | None]) -> list[Document | None]:
+        """What each text links; none where it has no tokens."""
+        out: list[Document | None] = [Document() if t else None for t in texts]
+        queue, owner, odd = [], [], set()
+        for i, t in enumerate(texts):
+            if t and self.whole_words and self.a.chunked:
+                for p in parts(" " + t):
+                    queue.append(p)
+                    owner.append(i)
+            elif t:
+                odd.add(i)
+        for run in runs(queue):
+            words = [chunked(queue[i]) for i in run]
+            for w in words:
+                if w:
+                    w.pop(0)                     # before the first space: empty
+            for i, got in zip(run, self.table.values_of(words), strict=True):
+                if got is None or False in got:
+                    odd.add(owner[i])
+                elif owner[i] not in odd:
+                    sizes, written, links = zip(*got)
+                    out[owner[i]].add(np.frombuffer(b"".join(sizes), dtype="<i8").reshape(-1, 4), b";".join(written),
+                                      np.frombuffer(b"".join(links), dtype="<i8").reshape(-1, 2))
+        for i in odd:
+            out[i] = self._whole(texts[i])
+        return out
+
+
+class Document:
+    """Sizes, digest and links of a text, added up part by part."""
+
+    def __init__(self):
+        self.sizes, self.digest, self.links = np.zeros(4, dtype=np.int64), None, []
+
+    def add(self, sizes: np.ndarray, written: bytes, links: np.ndarray) -> None:
+        self.sizes += sizes.sum(axis=0)
+        if self.digest is None:
+            self.digest = hashlib.sha256(written)
+        else:
+            self.digest.update(b";" + written)
+        self.links.append(links)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct linked pairs (A id << 32 | B id), ascending, and their multiplicity."""
+        pair, times = np.concatenate(self.links).T
+        order = np.argsort(pair)
+        pair = pair[order]
+        first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        return pair[first], np.add.reduceat(times[order], first)
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -162,14 +224,14 @@ def _align(batches: Iterator[pd.DataFrame], vocabulary: str, pieces: str) -> Ite
     for batch in batches:
         for pdf in slices(batch, rows=512, chars=2_000_000):
             rows = []
-            for doc_id, (a, b) in zip(pdf["doc_id"], al.encode(pdf["text"].tolist()), strict=True):
+            for doc_id, doc in zip(pdf["doc_id"], al.documents(pdf["text"].tolist()), strict=True):
                 row += 1
-                if not len(a):
+                if doc is None:
                     rows.append((row, doc_id, 0, 0, 0, 0, "", b"", b""))
                     continue
-                groups, links, text, key, n = al.align(a, b)
-                rows.append((row, doc_id, len(a), len(b), groups, links, hashlib.sha256(text).hexdigest(),
-                             _packed(key), n.astype("<u8" if n.max() >= 1 << 32 else "<u4").tobytes()))
+                key, n = doc.pairs()
+                rows.append((row, doc_id, *doc.sizes.tolist(), doc.digest.hexdigest(), _packed(key),
+                             n.astype("<u8" if n.max() >= 1 << 32 else "<u4").tobytes()))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _DOC.split(", ")])
 
 

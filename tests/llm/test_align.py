@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from cohortlab.llm import token_align
-from cohortlab.llm.encoding import byte_letters, tokenizer_path
+from cohortlab.llm.encoding import byte_letters, parts, runs, tokenizer_path
 from tests.llm.cases import empty, frame, odd_documents, prose
 
 ODD = [(400, "<|endoftext|> and <s> </s> <unk> <0x41>"), (401, "two  spaces\nand lines \n"), (402, " lead"),
@@ -76,20 +76,20 @@ def test_alignment_equals_plain_version(spark, hot):
     assert _got(frame(spark, rows), hot_pairs=hot) == _plain(rows)
 
 
-def test_wide_groups_and_cut_texts(spark, monkeypatch):
-    rows = [*odd_documents()[:8], *ODD, (500, prose(4, 3000))]
-    al = token_align.aligner()
+def test_wide_groups_cut_texts_and_small_table(spark, monkeypatch):
+    rows = [*odd_documents()[:8], *ODD, (500, prose(4, 3000)), (501, "z" * 3000 + " " + "日本" * 500 + " end")]
+    al = token_align.Aligner()
     monkeypatch.setattr(token_align, "WIDE_GROUP", 2)
-    monkeypatch.setattr(token_align, "PART_CHARS", 50)
-    texts = [t for _, t in rows]
-    for (a, b), (doc_id, text) in zip(al.encode(texts), rows, strict=True):
+    al.table.limit = 1000
+    monkeypatch.setattr(token_align, "parts", lambda t: parts(t, 50))
+    monkeypatch.setattr(token_align, "runs", lambda t: runs(t, 200))
+    for doc, (doc_id, text) in zip(al.documents([t for _, t in rows]), rows, strict=True):
         want = _plain([(doc_id, text)])[0]
-        if not len(a):
+        if doc is None:
             assert want[1] == 0
-            continue
-        groups, links, written, key, n = al.align(a, b)
-        assert (len(a), len(b), groups, links) == want[1:5] and n.sum() == links
-        assert hashlib.sha256(written).hexdigest() == want[7]
+        else:
+            assert tuple(doc.sizes) == want[1:5] and doc.digest.hexdigest() == want[7]
+            assert doc.pairs()[1].sum() == want[4]
 
 
 def test_identity_map_and_empty_table(spark):

@@ -32,7 +32,7 @@ def test_chunked_ids_equal_the_library(library):
     rnd = random.Random(3)
     parts = [" ", "  ", "\n", "\t", "a", "Bc", "'s", "'", "12", ".", "!!", "é", "ß", "日本", "\x0b", "<|endoftext|>",
              "İ", "-", "x", "\r", "\x1c", "\x85", "ŉ", "ǅ", "\u3000", "word,", "Straße..", "²", "_"]
-    enc = BatchEncoder(cache_chunks=40)                  # the cache turns over many times
+    enc = BatchEncoder(table_bytes=20_000)               # the table turns over many times
     for _ in range(150):
         texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 14))) for _ in range(40)]
         for t, b in zip(texts, enc.encode(texts)):
