@@ -8,10 +8,11 @@ aggregates cast to BIGINT; no division by a possibly zero divisor
 
 from __future__ import annotations
 
-from cohortlab.operators.models import MODEL_NAMES
+from cohortlab.operators.models import MANY_ROUNDS, MODEL_NAMES, ONE_ROUND
 from cohortlab.plans.catalog import LI_FEATURES, LI_KEYS
-from cohortlab.plans.queries import (BASELINE_CLASS, LI_FAMILIES, PCA_COLS, POSITIVE_CLASS,
-                                     PRICE_RULE, RULES, SALT)
+from cohortlab.plans.model_data import TEXT_FEATURES
+from cohortlab.plans.queries import (BASELINE_CLASS, CUT_RULE, LI_FAMILIES, PCA_COLS, POSITIVE_CLASS,
+                                     PRICE_RULE, RULES, SALT, TREE_DEPTH, TREE_FEATURES)
 
 D = 6
 KEYS = ", ".join(LI_KEYS)
@@ -326,3 +327,90 @@ def build() -> dict[str, str]:
 
 
 ORACLE = build()
+
+
+# ------------------------------------------------------------------ tree audits
+
+def _tree_ctes(levels: int, gain: str, allowed: str, best_first: bool) -> str:
+    """A tree grown in SQL over the distinct values of TREE_FEATURES: level by level, or one
+    split at a time, the best of all leaves. ``s<d>`` holds the splits of step d. In ``gain``
+    and ``allowed``, nl/pl, nr/pr and nt/pt are rows and positives left, right and in all."""
+    k = len(TREE_FEATURES)
+    xs = ", ".join(f"x{i}" for i in range(k))
+    out = [f"""r0 AS MATERIALIZED (SELECT {", ".join(f"CAST({c} AS DOUBLE) AS x{i}" for i, c in enumerate(TREE_FEATURES))},
+  CAST(l_quantity * (l_discount + l_tax) > {CUT_RULE}::DOUBLE AS INTEGER) AS y, CAST(1 AS BIGINT) AS path FROM lineitem)""",
+           f"""vals AS MATERIALIZED (SELECT f, v, (v + lead(v) OVER (PARTITION BY f ORDER BY v)) / 2 AS cut FROM (
+  SELECT DISTINCT unnest(range({k})) AS f, unnest([{xs}]) AS v FROM r0))"""]
+    order = "ORDER BY gain DESC, f, v"
+    for d in range(levels):
+        pick = (f"SELECT * FROM c{d} WHERE gain > 0 ORDER BY gain DESC, path, f, v LIMIT 1" if best_first else
+                f"SELECT * FROM c{d} WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY path {order}) = 1")
+        stay = "r.path" if best_first else "NULL"
+        out += [f"""u{d} AS MATERIALIZED (SELECT path, f, v, count(*) AS n, sum(y) AS p FROM (
+  SELECT path, y, unnest(range({k})) AS f, unnest([{xs}]) AS v FROM r{d} WHERE path IS NOT NULL) GROUP BY path, f, v)""",
+                f"""w{d} AS MATERIALIZED (SELECT u.path, u.f, u.v, cut, CAST(sum(n) OVER a AS DOUBLE) AS nl, CAST(sum(p) OVER a AS DOUBLE) AS pl,
+  CAST(sum(n) OVER b AS DOUBLE) AS nt, CAST(sum(p) OVER b AS DOUBLE) AS pt
+  FROM u{d} u JOIN vals ON vals.f = u.f AND vals.v = u.v
+  WINDOW a AS (PARTITION BY u.path, u.f ORDER BY u.v), b AS (PARTITION BY u.path, u.f))""",
+                f"""c{d} AS MATERIALIZED (SELECT *, {gain} AS gain FROM (SELECT *, nt - nl AS nr, pt - pl AS pr FROM w{d})
+  WHERE cut IS NOT NULL AND nl > 0 AND nr > 0 AND {allowed})""",
+                f"s{d} AS MATERIALIZED ({pick})",
+                f"""r{d + 1} AS MATERIALIZED (SELECT {", ".join(f"r.x{i}" for i in range(k))}, r.y, CASE WHEN s.path IS NULL THEN {stay}
+  ELSE 2 * r.path + CAST(list_extract([{", ".join(f"r.x{i}" for i in range(k))}], s.f + 1) >= s.cut AS BIGINT) END AS path
+  FROM r{d} r LEFT JOIN s{d} s ON s.path = r.path)"""]
+    return "WITH " + ",\n".join(out)
+
+
+def _newton(l2: float) -> str:
+    """Gain at p = 1/2: the gradient of n rows with p positives is n/2 - p, the hessian n/4."""
+    def part(n: str, p: str) -> str:
+        return f"(0.5::DOUBLE * {n} - {p}) * (0.5::DOUBLE * {n} - {p}) / (0.25::DOUBLE * {n} + {l2}::DOUBLE)"
+    return f"{part('nl', 'pl')} + {part('nr', 'pr')} - {part('nt', 'pt')}"
+
+
+def _gini(n: str, p: str) -> str:
+    return f"(1 - ({p} / {n}) * ({p} / {n}) - (({n} - {p}) / {n}) * (({n} - {p}) / {n}))"
+
+
+def _split_rows(tables: list[str], where: str = "") -> str:
+    names = ", ".join(f"'{c}'" for c in TREE_FEATURES)
+    rows = "\nUNION ALL ".join(f"SELECT path, f, cut, nt, gain FROM {t}" for t in tables)
+    return f"""SELECT path, list_extract([{names}], f + 1) AS feature, round(cut, {D}) AS cut, CAST(nt AS BIGINT) AS n,
+  round(gain, {D}) AS gain FROM ({rows}) {where}"""
+
+
+_ONE = ONE_ROUND["depth"]
+ORACLE["boost_leaves"] = f"""{_tree_ctes(_ONE, _newton(ONE_ROUND["l2"]), "nl / 4 >= 1 AND nr / 4 >= 1", False)},
+leaf AS ({" UNION ALL ".join(f"SELECT r.path, r.y FROM r{d} r LEFT JOIN s{d} s ON s.path = r.path WHERE r.path IS NOT NULL AND s.path IS NULL"
+                             for d in range(_ONE))} UNION ALL SELECT path, y FROM r{_ONE} WHERE path IS NOT NULL),
+g AS (SELECT path, count(*) AS n, sum(0.5::DOUBLE - y) AS g, 0.25::DOUBLE * count(*) AS h FROM leaf GROUP BY path)
+SELECT path, n, round(g, {D}) AS g, round(h, {D}) AS h,
+  round(-{ONE_ROUND["step"]}::DOUBLE * g / (h + {ONE_ROUND["l2"]}::DOUBLE), {D}) AS weight FROM g"""
+
+_ROWS = MANY_ROUNDS["min_rows"]
+ORACLE["boost_splits"] = (_tree_ctes(7, _newton(0.0), f"nl >= {_ROWS} AND nr >= {_ROWS}", True) + "\n"
+                          + _split_rows([f"s{d}" for d in range(7)]))
+
+
+def _forest_sql() -> str:
+    """The Gini tree with the fit's pruning: a node whose children are both leaves of one
+    prediction is a leaf."""
+    gain = f"{_gini('nt', 'pt')} - nl / nt * {_gini('nl', 'pl')} - nr / nt * {_gini('nr', 'pr')}"
+    out = [_tree_ctes(TREE_DEPTH, gain, "TRUE", False)]
+    for d in range(TREE_DEPTH, -1, -1):        # k<d>: prediction of each node of a level, and whether it stays split
+        node = f"SELECT path, sum(y) * 2 > count(*) AS pred FROM r{d} WHERE path IS NOT NULL GROUP BY path"
+        if d == TREE_DEPTH:
+            out.append(f"k{d} AS MATERIALIZED (SELECT path, pred, FALSE AS split FROM ({node}))")
+        else:
+            out.append(f"""k{d} AS MATERIALIZED (SELECT n.path, n.pred, s.path IS NOT NULL AND (a.split OR b.split OR a.pred <> b.pred) AS split
+  FROM ({node}) n LEFT JOIN s{d} s ON s.path = n.path
+  LEFT JOIN k{d + 1} a ON a.path = 2 * n.path LEFT JOIN k{d + 1} b ON b.path = 2 * n.path + 1)""")
+    kept = " UNION ALL ".join(f"SELECT path FROM k{d} WHERE split" for d in range(TREE_DEPTH))
+    return ",\n".join(out) + "\n" + _split_rows([f"s{d}" for d in range(TREE_DEPTH)], f"WHERE path IN ({kept})")
+
+
+ORACLE["forest_splits"] = _forest_sql()
+
+ORACLE["svc_optimum"] = f"""
+WITH t AS (SELECT count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE {_split3("doc_id")} = 'train')
+SELECT unnest([{", ".join(f"'{c}'" for c in (*TEXT_FEATURES, "intercept"))}]) AS term, n, TRUE AS holds_zero FROM t"""

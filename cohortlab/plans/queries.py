@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from cohortlab.functions.columns import contains, encode_binary, negate
-from cohortlab.operators import align, features, metrics, models, profile, split
+from cohortlab.operators import align, features, metrics, models, profile, split, trees
 from cohortlab.plans import model_data
 from cohortlab.plans.catalog import (LI_CLASSES, LI_FEATURES, LI_KEYS, LI_LABEL, table)
 from cohortlab.sources import csv as csv_src
@@ -547,3 +547,58 @@ def q_logistic_optimum(spark, sf):
 def q_clf_leaderboard(spark, sf):
     return rounded(metrics.leaderboard(_all_scores(spark, sf), "model", "prediction", "label",
                                        "split", "test", order=models.MODEL_NAMES))
+
+
+# ------------------------------------------------------------------ tree audits
+
+TREE_FEATURES = ("l_quantity", "l_discount", "l_tax", "l_linenumber")
+TREE_DEPTH = 4
+CUT_RULE = 2.0
+
+
+def _tree_rows(spark, sf) -> DataFrame:
+    """Measures of few values (each its own bin) and a label that depends on three of them."""
+    cut = F.col("l_quantity") * (F.col("l_discount") + F.col("l_tax"))
+    li = lineitem(spark, sf).withColumn("label", (cut > CUT_RULE).cast("double"))
+    return features.assemble(li, TREE_FEATURES).select("label", "features")
+
+
+def _splits(nodes: DataFrame) -> DataFrame:
+    name = F.element_at(F.array(*[F.lit(c) for c in TREE_FEATURES]), F.col("feature") + 1)
+    return rounded(nodes.filter("feature >= 0").select(
+        "path", name.alias("feature"), "cut", "n", "gain"))
+
+
+@query("boost_leaves")
+def q_boost_leaves(spark, sf):
+    """The leaves of the one-round booster: rows, gradient, hessian and weight of each."""
+    m = models.estimator("boosted_one_round", features_col="features").fit(_tree_rows(spark, sf))
+    return rounded(m.nodes(spark).filter("feature < 0").select("path", "n", "g", "h", F.col("value").alias("weight")))
+
+
+@query("boost_splits")
+def q_boost_splits(spark, sf):
+    """The splits of the first tree of the many-round booster, grown best leaf first."""
+    m = models.estimator("boosted_many_rounds", features_col="features", rounds=1, leaves=8, from_mean=False)
+    return _splits(m.fit(_tree_rows(spark, sf)).nodes(spark))
+
+
+@query("forest_splits")
+def q_forest_splits(spark, sf):
+    """The splits of a random-forest tree fitted on all rows and all features, whose rows
+    are routed through it again: rows and Gini gain of each node."""
+    rows = _tree_rows(spark, sf)
+    m = models.estimator("random_forest", features_col="features", numTrees=1, bootstrap=False,
+                         featureSubsetStrategy="all", maxDepth=TREE_DEPTH, maxBins=64).fit(rows)
+    return _splits(trees.audit(rows, m.trees[0], "features", "label"))
+
+
+@query("svc_optimum")
+def q_svc_optimum(spark, sf):
+    """Per scaled feature and the intercept: training rows, and whether the hinge
+    subgradient interval of the fitted SVC holds zero."""
+    train = model_data.prepared(spark, sf).filter(F.col("split") == "train")
+    m = model_data.fitted(spark, sf, "linear_svc")
+    got = models.hinge_interval(train, m.coefficients.toArray().tolist(), m.intercept, "scaledFeatures", "label",
+                                model_data.TEXT_FEATURES)
+    return got.select("term", "n", ((F.col("low") <= 0) & (F.col("high") >= 0)).alias("holds_zero"))

@@ -30,23 +30,27 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 
 
 ROWS_PER_PARTITION = 1_000_000
+#: A partition with fewer rows costs an iterative fit more in tasks than it saves.
+FEWEST_ROWS = 20_000
 
 
-def rebalance(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+def rebalance(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION,
+              fewest_rows: int = FEWEST_ROWS) -> DataFrame:
     """Checkpoint ``df`` and size its partitions by row count.
 
     For narrow rows made from wide ones (a few features computed from a long
     text), the input layout leaves many tiny partitions; every iteration of a
     model fit would pay one task per partition. The checkpoint keeps the small
     rows (the wide input is not read again), then they are coalesced (or
-    spread, if too few) to about ``rows_per_partition`` rows each, but not below
-    the session's parallelism, so that a fit always runs on several partitions.
+    spread, if too few) to about ``rows_per_partition`` rows each. Up to the
+    session's parallelism there are more partitions than that, as long as each
+    holds ``fewest_rows`` rows.
     """
     df = cut_lineage(df)
     n = df.count()
-    want = max(1, -(-n // rows_per_partition))
     have = df.rdd.getNumPartitions()
-    want = max(want, min(have, df.sparkSession.sparkContext.defaultParallelism))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    want = max(1, -(-n // rows_per_partition), min(cores, n // max(1, min(fewest_rows, rows_per_partition))))
     if want < have:
         return df.coalesce(want)
     if want > have:

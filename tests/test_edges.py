@@ -305,13 +305,21 @@ def test_lookup_equals_semi_join_for_every_key_type_and_size(spark):
         spark.conf.set("spark.sql.session.timeZone", old)
 
 
-def test_one_round_score_uses_its_step(spark):
+def test_one_round_score_is_the_step_of_its_leaf(spark):
+    import math
+
+    from cohortlab.operators import models
     from cohortlab.plans import model_data
     from tests.conftest import SF001
     m = model_data.fitted(spark, SF001, "boosted_one_round")
-    assert list(m.treeWeights) == [1.0]
+    assert len(m.trees) == 1 and m.base == 0.0
+    s = m.settings
+    for n in m.trees[0]:
+        assert n.value == (0.0 if n.feature >= 0 else -s.step * n.g / (n.h + s.l2))
     rows = model_data.prepared(spark, SF001).limit(50)
-    raw = {r.doc_id: r.rawPrediction[1] for r in m.transform(rows).collect()}
+    margin = {r.doc_id: r.margin for r in m.transform(rows).collect()}
     got = models.score_splits({"boosted_one_round": m}, rows, ["doc_id"]).collect()
-    import math
-    assert all(math.isclose(r.score, 1 / (1 + math.exp(-0.6 * raw[r.doc_id])), abs_tol=1e-12) for r in got)
+    assert len(got) == 50
+    for r in got:
+        assert math.isclose(r.score, 1 / (1 + math.exp(-margin[r.doc_id])), abs_tol=1e-12)
+        assert r.prediction == float(margin[r.doc_id] > 0)

@@ -44,5 +44,8 @@ def test_persist_and_cut_lineage(spark):
 
 def test_rebalance_by_rows(spark):
     df = spark.range(0, 1000, numPartitions=50)
-    out = rebalance(df, rows_per_partition=300)
-    assert out.rdd.getNumPartitions() == 4 and out.count() == 1000
+    cores = spark.sparkContext.defaultParallelism
+    for per, fewest, want in ((300, 300, max(4, min(cores, 3))), (100, 50, max(10, min(cores, 20))),
+                              (1_000_000, 20_000, 1), (1_000_000, 100, min(cores, 10))):
+        out = rebalance(df, rows_per_partition=per, fewest_rows=fewest)
+        assert out.rdd.getNumPartitions() == want and out.count() == 1000, (per, fewest)
