@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortlab.llm import decontaminate, packing, quality
-from cohortlab.llm.common import Scratch, table, without
+from cohortlab.llm.common import Scratch, released, table, without
 from cohortlab.llm.exact_dedup import exact_duplicates
 from cohortlab.llm.near_dup import near_duplicates
 
@@ -58,7 +58,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs, sc = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
-        docs = sc.put(f"stage-{i}", stage(spark, docs, sf_dir))
+        with released():                 # what the stage wrote beside its output
+            docs = sc.put(f"stage-{i}", stage(spark, docs, sf_dir))
         if i:
             sc.drop(f"stage-{i - 1}")
     return docs
