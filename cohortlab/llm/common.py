@@ -13,8 +13,15 @@ from cohortlab.session import shared_dir
 #: A side is broadcast only when its measured size stays below this.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
+#: Bytes of an Arrow batch of a Python stage, unless the session names its own: long texts
+#: would otherwise make batches of ten thousand rows large.
+ARROW_BYTES = 4 * 1024 * 1024
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get(_ARROW, None) is None:
+        spark.conf.set(_ARROW, str(ARROW_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

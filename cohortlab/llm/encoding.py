@@ -17,11 +17,13 @@ import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes that a worker's table of chunks may take, both generations together.
-TABLE_BYTES = 128 * 1024 * 1024
+TABLE_BYTES = 64 * 1024 * 1024
 #: What an entry takes beside its characters and value (dict slot, str and bytes objects).
 ENTRY_BYTES = 220
 #: Longer texts are cut at spaces between other characters; texts are encoded in runs of this size.
 PART_CHARS, RUN_CHARS = 200_000, 1_000_000
+#: Characters of new chunks in one call of the library, whose result takes some hundred bytes a token.
+LEARN_CHARS = 100_000
 
 
 def byte_letters() -> list[str]:
@@ -111,7 +113,7 @@ class ChunkTable(dict):
         new, self.unknown = list(self.unknown), set()
         self.update((c, False) for c in new if c[-1:].isspace())
         todo = [c for c in new if not c[-1:].isspace()]
-        for run in runs(todo):
+        for run in runs(todo, LEARN_CHARS):
             for chunk, value, size in self.learn([todo[i] for i in run]):
                 self[chunk] = value
                 self.held += ENTRY_BYTES + len(chunk) + size
