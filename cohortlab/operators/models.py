@@ -15,8 +15,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.sql import DataFrame
+from pyspark.ml.classification import (LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel,
+                                       RandomForestClassificationModel, RandomForestClassifier)
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.functions.columns import match_flag
@@ -67,6 +68,10 @@ ESTIMATORS: dict[str, Callable] = {
 }
 
 
+LOADERS = {"random_forest": RandomForestClassificationModel, "linear_svc": LinearSVCModel,
+           "logistic": LogisticRegressionModel}
+
+
 def estimator(name: str, label_col: str = "label", features_col: str = "scaledFeatures",
               seed: int = SEED, **kw):
     if name not in ESTIMATORS:
@@ -86,6 +91,23 @@ def fit_models(train: DataFrame, names: Sequence[str] = MODEL_NAMES, label_col:
             for n in names}
 
 
+def save_model(model, path: str) -> None:
+    """Write a fitted model of ``fit_models``."""
+    if isinstance(model, BoostedTreesModel):
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame([(model.to_json(),)], "value string").coalesce(1).write.text(path)
+    else:
+        model.write().save(path)
+
+
+def load_model(name: str, path: str):
+    """Read a model that ``save_model`` wrote."""
+    if name in LOADERS:
+        return LOADERS[name].load(path)
+    text = SparkSession.getActiveSession().read.text(path, wholetext=True).first()[0]
+    return BoostedTreesModel.from_json(text)
+
+
 def _scored(model, df: DataFrame, pred: str, score: str, tag: str) -> DataFrame:
     """``df`` with a model's hard prediction and positive-class score."""
     if isinstance(model, BoostedTreesModel):

@@ -5,19 +5,24 @@ still in the scan stage, so only the doc id and a few doubles reach the join
 (the text itself is never shuffled). Label = ``quality``. The split is the hash
 split on ``doc_id``; the assembler and scaler are fitted on the training part
 only, and the prepared rows are persisted because every model fit iterates
-over them. Before that the feature rows are checkpointed and re-partitioned
+over them. Fits are kept in the shared folder (``sources/fits.py``), so another session
+reads them. Before that the feature rows are checkpointed and re-partitioned
 by row count: the text layout would leave many tiny partitions.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.operators import features, models, split
 from cohortlab.operators.broadcast import bounded_broadcast, fits_broadcast
 from cohortlab.plans.catalog import table
+from cohortlab.sources import fits
 from cohortlab.sources.cache import ROWS_PER_PARTITION, rebalance
 
 TEXT_FEATURES = ("n_chars", "n_words", "n_distinct", "type_token_ratio", "digit_share",
@@ -83,8 +88,18 @@ def _key(spark: SparkSession, sf: str) -> tuple:
     return table_state(spark, sf, ("documents", "labels"))
 
 
+def _fit_state(spark: SparkSession, sf: str, *settings) -> tuple:
+    """What a kept fit depends on: the tables, not the session."""
+    return (*table_state(spark, sf, ("documents", "labels"))[1:], TEXT_FEATURES, SALT, *settings)
+
+
+def _slot(sf: str, name: str) -> str:
+    return f"{hashlib.sha256(sf.encode()).hexdigest()[:12]}/{name}"
+
+
 def clear() -> None:
-    """Release the prepared rows and forget the fits."""
+    """Release the prepared rows and forget the handles of the fits; the fits in the shared
+    folder stay."""
     for df in _PREPARED.values():
         try:
             df.unpersist()
@@ -99,7 +114,9 @@ def prepared(spark: SparkSession, sf: str, rows_per_partition: int = ROWS_PER_PA
     k = _key(spark, sf)
     if k not in _PREPARED:
         d = split.three_way_split(rebalance(labelled(spark, sf), rows_per_partition), ["doc_id"], salt=SALT)
-        pm = features.fit_pipeline(d.filter(F.col("split") == "train"), TEXT_FEATURES)
+        pm = fits.kept(spark, _slot(sf, "pipeline"), _fit_state(spark, sf),
+                       lambda: features.fit_pipeline(d.filter(F.col("split") == "train"), TEXT_FEATURES),
+                       lambda m, path: m.write().save(path), PipelineModel.load)
         _PIPELINES[k] = pm
         _PREPARED[k] = (pm.transform(d).select("doc_id", "split", "label", *TEXT_FEATURES, "scaledFeatures")
                         .persist(StorageLevel.MEMORY_AND_DISK))
@@ -115,6 +132,11 @@ def feature_model(spark: SparkSession, sf: str):
 def fitted(spark: SparkSession, sf: str, name: str):
     k = (*_key(spark, sf), name)
     if k not in _FITTED:
-        train = prepared(spark, sf).filter(F.col("split") == "train")
-        _FITTED[k] = models.fit_models(train, [name])[name]
+        est = models.estimator(name)
+        settings = est.settings if hasattr(est, "settings") else sorted(
+            (p.name, v) for p, v in est.extractParamMap().items())
+        _FITTED[k] = fits.kept(
+            spark, _slot(sf, name), _fit_state(spark, sf, str(settings)),
+            lambda: models.fit_models(prepared(spark, sf).filter(F.col("split") == "train"), [name])[name],
+            models.save_model, lambda path: models.load_model(name, path))
     return _FITTED[k]
