@@ -15,10 +15,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.functions.columns import split_bucket, split_digest
+from cohortlab.operators.broadcast import bounded_broadcast
 
 HEX_WIDTH = 8
 
@@ -73,6 +74,53 @@ def three_way_split(df: DataFrame, key_cols: Sequence[str],
             .drop(h))
 
 
+#: Hex digits by which ``exact_split`` narrows a class's bound in each round.
+DIGITS = 3
+
+
+def exact_split(df: DataFrame, key_cols: Sequence[str], class_col: str, share: float = WEIGHTS[0],
+                salt: str = SEED, names: Sequence[str] = ("train", "test"), out: str = "split") -> DataFrame:
+    """Split with exactly ``floor(share * n)`` rows of every class in the first part.
+
+    A class's first part holds its rows of smallest digest. The bound is found without
+    sorting a class: a round counts the class's rows by the next three hex digits, at most
+    4096 counts a class, keeps the prefix in which the bound lies and goes on inside it;
+    a class is done once its prefix ends on a row bound. So a class with a third of all
+    rows costs partial counts, as any other. Rows of one key share a digest and stay
+    together; with repeated keys a class may therefore fall short of its share by those.
+    A null class is a class of its own."""
+    h, prefix = "_split_md5", "_split_prefix"
+    cls = F.struct(F.col(class_col)).alias("_class")        # a null class meets itself in the joins
+    rows = df.select(F.to_json(cls).alias("_class"), split_digest(key_cols, salt).alias(h))
+    state = (rows.groupBy("_class").agg(F.floor(F.count(F.lit(1)) * F.lit(share)).cast("long").alias("_need"))
+             .select("_class", F.lit("").alias(prefix), "_need", (F.col("_need") == 0).alias("_done")))
+    for r in range(1, -(-32 // DIGITS) + 1):
+        state = bounded_broadcast(state)
+        if not state.filter(~F.col("_done")).head(1):
+            break
+        last = r * DIGITS >= 32
+        open_ = state.filter(~F.col("_done"))
+        here = (rows.join(open_, "_class").filter(F.col(h).startswith(F.col(prefix)))
+                .groupBy("_class", "_need", F.substring(h, 1, r * DIGITS).alias(prefix))
+                .agg(F.count(F.lit(1)).alias("n")))
+        order = Window.partitionBy("_class").orderBy(prefix)       # at most 4096 counts a class
+        cum = here.withColumn("_upto", F.sum("n").over(order))
+        reached = cum.filter((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("n") < F.col("_need")))
+        left = F.col("_need") - (F.col("_upto") - F.col("n"))
+        whole = left == F.col("n")
+        # rows of one digest cannot be parted: the bound then lies before them
+        found = reached.select("_class", F.when(whole | F.lit(not last), F.col(prefix)).otherwise(
+            F.concat(F.expr(f"substring({prefix}, 1, 31)"), F.lit(" "))).alias(prefix),
+            left.alias("_need"), (whole | F.lit(last)).alias("_done"))
+        state = state.filter("_done").unionByName(found)
+    bound = state.select("_class", F.col(prefix).alias("_bound"))
+    first = (F.col("_bound") != "") & (F.substring(F.col(h), F.lit(1), F.length("_bound")) <= F.col("_bound"))
+    return (df.withColumn("_class", F.to_json(cls)).withColumn(h, split_digest(key_cols, salt))
+            .join(bounded_broadcast(bound), "_class", "left")
+            .withColumn(out, F.when(first, F.lit(names[0])).otherwise(F.lit(names[1])))
+            .select(*[F.col(c) for c in df.columns if c != out], out))
+
+
 def split_frames(df: DataFrame, col: str = "split", names: Sequence[str] | None = None,
                  drop: bool = True) -> dict[str, DataFrame]:
     """One lazy filtered frame per part (each filter is pushed to the scan)."""

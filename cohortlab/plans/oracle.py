@@ -414,3 +414,9 @@ ORACLE["forest_splits"] = _forest_sql()
 ORACLE["svc_optimum"] = f"""
 WITH t AS (SELECT count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE {_split3("doc_id")} = 'train')
 SELECT unnest([{", ".join(f"'{c}'" for c in (*TEXT_FEATURES, "intercept"))}]) AS term, n, TRUE AS holds_zero FROM t"""
+
+ORACLE["split_exact"] = f"""
+SELECT o_orderkey, o_orderpriority, CASE WHEN row_number() OVER (PARTITION BY o_orderpriority
+  ORDER BY md5(concat_ws(':', '{SALT}', o_orderkey))) <= floor(0.8 * count(*) OVER (PARTITION BY o_orderpriority))
+  THEN 'train' ELSE 'test' END AS split FROM orders"""
+ORACLE["pca_wide"] = ORACLE["pca_explained"]

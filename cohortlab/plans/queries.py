@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from cohortlab.functions.columns import contains, encode_binary, negate
-from cohortlab.operators import align, features, metrics, models, profile, split, trees
+from cohortlab.operators import align, features, metrics, models, profile, split, trees, wide_pca
 from cohortlab.plans import model_data
 from cohortlab.plans.catalog import (LI_CLASSES, LI_FEATURES, LI_KEYS, LI_LABEL, table)
 from cohortlab.sources import csv as csv_src
@@ -298,6 +298,25 @@ def q_positional_join(spark, sf):
 
 # ------------------------------------------------------------------ splits
 
+@query("split_exact")
+def q_split_exact(spark, sf):
+    """Exactly four fifths of the orders of every priority."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    return split.exact_split(o, ["o_orderkey"], "o_orderpriority")
+
+
+@query("pca_wide")
+def q_pca_wide(spark, sf):
+    """Explained variance by randomised subspace iteration, on the rows of ``pca_explained``."""
+    scaled, _ = _pca_fitted(spark, sf)
+    m = wide_pca.fit_wide_pca(scaled.filter(F.col("split") == "train"), 2, "scaledFeatures")
+    total, rows = 0.0, []
+    for i, v in enumerate(m.explained.tolist()):
+        total += v
+        rows.append((i + 1, v, total))
+    return rounded(spark.createDataFrame(rows, "component int, explained_variance double, cumulative double"))
+
+
 @query("split_train_test")
 def q_split_train_test(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey")
