@@ -120,7 +120,14 @@ def auroc_exact(df: DataFrame, score_col: str, label_col: str = "label",
     g = score_counts(df, score_col, label_col, group_cols, positive)
     if materialize and not df.isStreaming:
         g = cut_lineage(g)
-    g = exclusive_prefix(g, [score_col], "_n", "_neg_before", group_cols, ranges)
+    return auroc_from_counts(g, score_col, group_cols, ranges)
+
+
+def auroc_from_counts(counts: DataFrame, score_col: str, group_cols: Sequence[str] = (),
+                      ranges: int | None = None) -> DataFrame:
+    """A9 from a table of ``score_counts``: one row per (group, score) with its positives
+    and negatives, whether counted in one pass or kept up by a stream."""
+    g = exclusive_prefix(counts, [score_col], "_n", "_neg_before", group_cols, ranges)
     return (g.groupBy(*group_cols)
             .agg(F.sum(F.col("_p") * (F.col("_neg_before") + F.col("_n") / F.lit(2.0)))
                  .alias("_num"),

@@ -146,7 +146,7 @@ def point_lookup(df: DataFrame, id_cols, keys, cols: Sequence[str] | None = None
 # ---------------------------------------------------------------- A1
 
 def describe_columns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """count, mean, sample stddev, min and max of every column, one scan (A1).
+    """count, mean, sample stddev, min and max of every column, each read once (A1).
 
     As in the reference's summary, strings have a count, a least and a greatest
     value and no mean or deviation. Output: ``attribute string, n long, mean,
@@ -155,12 +155,19 @@ def describe_columns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
     """
     cols = list(cols) if cols is not None else list(df.columns)
     number = set(numeric_columns(df))
+    # text bounds make Spark sort for the whole aggregate: numbers keep their hash aggregate
+    # in one of their own, and each of the two reads its columns only
+    kinds = [[c for c in cols if (c in number) == n] for n in (True, False)]
+    parts = [_described(df, k, k is kinds[0]) for k in kinds if k]
+    return parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])
+
+
+def _described(df: DataFrame, cols: Sequence[str], is_number: bool) -> DataFrame:
     aggs, rows = [], []
     none, nothing = F.lit(None).cast("double"), F.lit(None).cast("string")
     for i, c in enumerate(cols):
         x = qcol(c)
         aggs += [F.count(x).alias(f"_n{i}"), F.min(x).alias(f"_lo{i}"), F.max(x).alias(f"_hi{i}")]
-        is_number = c in number
         if is_number:
             aggs += [F.avg(x.cast("double")).alias(f"_a{i}"), F.stddev_samp(x.cast("double")).alias(f"_s{i}")]
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")

@@ -7,8 +7,12 @@ micro-batches, and the counts and class statistics are stateful streaming
 aggregations (``complete`` mode; ``update`` for the counts). Query state and progress go to a checkpoint location under the
 cluster's shared folder, so a restarted query resumes instead of recounting.
 
-Not available on a stream: ``auroc_exact`` and ``row_index`` (they need an
-ordered pass over the whole input).
+Exact AUROC (A9) needs an order over all rows, but only through the counts of positives
+and negatives per score. Those are kept as streaming state (``keep_score_counts``), written
+as a table after every micro-batch, and the area is a prefix sum over the newest table
+(``auroc_now``), so it equals the batch result over the rows seen so far.
+
+Not available on a stream: ``row_index`` (it needs an ordered pass over the whole input).
 """
 
 from __future__ import annotations
@@ -44,6 +48,51 @@ def running_confusion(scored: DataFrame, pred_col: str = "prediction", label_col
     return metrics.confusion_matrix(scored, pred_col, label_col, group_cols)
 
 
+def keep_score_counts(scored: DataFrame, path: str, score_col: str = "score", label_col: str = "label",
+                      group_cols: Sequence[str] = (), checkpoint: str | None = None,
+                      trigger_once: bool = False) -> StreamingQuery:
+    """Keep positives and negatives per (group, score) of a stream as a table under ``path``.
+
+    A micro-batch writes the counts so far into a folder of its own number, so a batch that
+    is repeated after a failure writes the same folder again; the two newest folders stay.
+    With the same ``checkpoint`` a restarted query goes on from its state."""
+    spark = scored.sparkSession
+    counts = metrics.score_counts(scored, score_col, label_col, group_cols)
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        for old, _ in _batches(batch.sparkSession, path)[:-2]:
+            where, fs = _folder(batch.sparkSession, f"{path}/batch={old}")
+            fs.delete(where, True)
+    w = (counts.writeStream.outputMode("complete").foreachBatch(put)
+         .option("checkpointLocation", checkpoint or shared_dir(spark, "stream", "score-counts")))
+    return (w.trigger(availableNow=True) if trigger_once else w).start()
+
+
+def auroc_now(spark: SparkSession, path: str, score_col: str = "score", group_cols: Sequence[str] = ()) -> DataFrame:
+    """Exact AUROC per group over the rows that ``keep_score_counts`` has seen."""
+    done = [n for n, complete in _batches(spark, path) if complete]
+    if not done:
+        raise ValueError(f"no micro-batch has been written under {path}")
+    counts = spark.read.parquet(f"{path}/batch={done[-1]}")
+    return metrics.auroc_from_counts(counts, score_col, group_cols)
+
+
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _batches(spark: SparkSession, path: str) -> list[tuple[int, bool]]:
+    """Numbers of the written micro-batches, ascending, and whether each is complete."""
+    where, fs = _folder(spark, path)
+    if not fs.exists(where):
+        return []
+    names = [s.getPath() for s in fs.listStatus(where) if s.getPath().getName().startswith("batch=")]
+    return sorted((int(p.getName().split("=")[1]), fs.exists(_folder(spark, f"{p.toString()}/_SUCCESS")[0]))
+                  for p in names)
+
+
 def start(df: DataFrame, name: str, sink: str, output_mode: str = "complete",
           path: str | None = None, checkpoint: str | None = None,
           trigger_once: bool = False) -> StreamingQuery:

@@ -75,3 +75,19 @@ def test_score_stream_equals_batch_scores(spark):
     want = sorted(tuple(r) for r in batch.select("model", "split", "doc_id", "prediction",
                                                  "equal").collect())
     assert got == want and len(got) > 0
+
+
+def test_streaming_auroc_equals_batch_after_every_part(spark, tmp_path):
+    from cohortlab.streaming import auroc_now, keep_score_counts
+    rows = _prepare(spark.read.parquet(f"{SF001}/lineitem.parquet")).select(
+        "split", F.col("label").cast("double").alias("label"), F.round("l_extendedprice", -2).alias("score"))
+    parts = rows.randomSplit([1.0, 1.0, 1.0], 5)
+    src, out, ckpt = (f"{tmp_path}/{n}" for n in ("in", "out", "ckpt"))
+    for i, p in enumerate(parts):                         # every part by a new query on the old state
+        p.coalesce(2).write.mode("append").parquet(src)
+        stream = read_parquet_stream(spark, src, rows.schema, max_files_per_trigger=1)
+        q = keep_score_counts(stream, out, group_cols=["split"], checkpoint=ckpt, trigger_once=True)
+        assert q.awaitTermination(120)
+        got = {r.split: r.auroc for r in auroc_now(spark, out, group_cols=["split"]).collect()}
+        want = {r.split: r.auroc for r in metrics.auroc_exact(spark.read.parquet(src), "score", group_cols=["split"]).collect()}
+        assert got == want and len(got) == 3
