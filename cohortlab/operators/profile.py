@@ -11,14 +11,16 @@ task ships at most one row per class, whatever the skew between classes.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.functions.columns import (contains, encode_binary, min_max_scale,
                                          null_count, null_heavy, qcol)
-from cohortlab.operators.broadcast import bounded_broadcast, fits_broadcast, measured
+from cohortlab.operators.broadcast import DEFAULT_MAX_ROWS, bounded_broadcast, fits_broadcast, measured
 from cohortlab.operators.keys import join_null_safe
+from cohortlab.session import shared_dir
 from cohortlab.sources.cache import cut_lineage
 
 # The attribute order of the reference's radar charts (one family
@@ -100,23 +102,46 @@ def _within_keys(df: DataFrame, keys: DataFrame, ids: Sequence[str]) -> DataFram
     return df
 
 
+def _filtered_lookup(df: DataFrame, keys: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """``point_lookup`` for distinct keys that no broadcast holds.
+
+    The keys are kept as Parquet, so their size is known to the planner, and joined by plain
+    equality: Spark then builds a Bloom filter of them (``session.lookup_settings``) and
+    drops most rows without a key before the shuffle; the semi join after it is exact. Keys with
+    a null part, which no equality finds, are joined null-safe with the rows that have one.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, "lookup-keys")
+    keys.write.parquet(path)
+    keys = spark.read.schema(keys.schema).parquet(path)
+    has_null = reduce(lambda a, b: a | b, [qcol(c).isNull() for c in ids])
+    known = keys.filter(~has_null)
+    out = _within_keys(df, known, ids).join(known, list(ids), "left_semi")
+    if keys.filter(has_null).limit(1).count():
+        out = out.unionByName(join_null_safe(df.filter(has_null), keys.filter(has_null), ids, how="left_semi"))
+    return out
+
+
 def point_lookup(df: DataFrame, id_cols, keys, cols: Sequence[str] | None = None,
-                 expect_one: bool = False) -> DataFrame:
+                 expect_one: bool = False, max_broadcast_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
     """Rows whose key is one of ``keys``.
 
     ``id_cols`` is one column name or a list (composite key). ``keys`` is a
     scalar or list of scalars for a one-column key (pushed to the scan as an
     ``IN`` filter), or a DataFrame holding the key columns (left-semi join at
     every size, null-safe as in the per-class lookups of ``record_profile``; the
-    key table is broadcast only after its size is checked, and the span of
-    integer, date and string keys is pushed to the scan). Returns 0..n rows
-    per key; ``expect_one=True`` raises unless every key matches exactly one row.
+    key table is broadcast only after its size is checked and up to
+    ``max_broadcast_rows``, beyond that a Bloom filter of the keys thins the rows
+    before the shuffle; the span of integer, date and string keys is pushed to
+    the scan). Returns 0..n rows per key; ``expect_one=True`` raises unless every key matches exactly one row.
     """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     if isinstance(keys, DataFrame):
         k, n, size = measured(keys.select(*ids).distinct())
-        out = join_null_safe(_within_keys(df, k, ids), F.broadcast(k) if fits_broadcast(k, n, n_bytes=size) else k,
-                             ids, how="left_semi")
+        if fits_broadcast(k, n, max_broadcast_rows, size):
+            out = join_null_safe(_within_keys(df, k, ids), F.broadcast(k), ids, how="left_semi")
+        else:
+            out = _filtered_lookup(df, k, ids)
     else:
         if len(ids) != 1:
             raise ValueError("scalar keys need a one-column key; pass a DataFrame of keys")

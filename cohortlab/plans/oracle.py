@@ -163,6 +163,8 @@ def build() -> dict[str, str]:
                          "GROUP BY o_orderpriority)")
     q["point_lookup_ntz"] = ("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderdate IN "
                              "(SELECT min(o_orderdate) FROM orders GROUP BY o_orderpriority)")
+    q["point_lookup_many"] = ("SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_orderkey IN "
+                              "(SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')")
     q["select_columns"] = (f"SELECT l_orderkey, {_r('l_quantity', 'l_quantity')}, l_returnflag "
                            "FROM lineitem")
     q["drop_column"] = (f"SELECT {_li_select([c for c in LI_COLS if c != 'l_linestatus'])} "
@@ -227,6 +229,7 @@ def build() -> dict[str, str]:
                       "FROM orders")
     q["positional_join"] = (f"SELECT o_orderkey, o_custkey, {_r('o_totalprice', 'o_totalprice')}, "
                             "o_orderpriority FROM orders")
+    q["ranked_join"] = q["positional_join"]
     q["split_train_test"] = f"SELECT o_orderkey, {_split2('o_orderkey')} AS split FROM orders"
     q["split_train_val"] = f"SELECT o_orderkey, {_split3('o_orderkey')} AS split FROM orders"
 

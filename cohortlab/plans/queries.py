@@ -196,6 +196,15 @@ def q_point_lookup_ntz(spark, sf):
     return out.select("o_orderkey", "o_orderpriority")
 
 
+@query("point_lookup_many")
+def q_point_lookup_many(spark, sf):
+    """Line items of the urgent orders, by a key table that is not broadcast."""
+    keys = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(
+        F.col("o_orderkey").alias("l_orderkey"))
+    return profile.point_lookup(table(spark, sf, "lineitem"), "l_orderkey", keys,
+                                cols=["l_linenumber", "l_returnflag"], max_broadcast_rows=0)
+
+
 @query("select_columns")
 def q_select_columns(spark, sf):
     return rounded(align.select_columns(lineitem(spark, sf), "l_orderkey", "l_quantity",
@@ -296,6 +305,14 @@ def q_positional_join(spark, sf):
     return rounded(align.positional_join(left, right, "index"))
 
 
+@query("ranked_join")
+def q_ranked_join(spark, sf):
+    """The rows of ``positional_join``, from two tables cut at the same ranks."""
+    left = _orders_indexed(spark, sf, ["o_custkey"])
+    right = _orders_indexed(spark, sf, ["o_totalprice", "o_orderpriority"]).drop("o_orderkey")
+    return rounded(align.ranked_join(*align.ranked_tables([left, right])))
+
+
 # ------------------------------------------------------------------ splits
 
 @query("split_exact")

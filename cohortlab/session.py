@@ -38,6 +38,23 @@ def cluster_settings(input_bytes: int, total_cores: int,
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
         "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.requireAllClusterKeysForCoPartition": "false",  # joins of ``align.ranked_tables``
+        **lookup_settings(),
+    }
+
+
+def lookup_settings(n_keys: int = 16_000_000, key_bytes: int = 1024 ** 3) -> dict[str, str]:
+    """Spark's runtime Bloom filter for lookups of more keys than a broadcast holds: built from
+    up to ``key_bytes`` of keys, with eight bits for each of ``n_keys`` (two in a hundred other rows
+    pass; 16 MB by default, which also bounds it). More keys let more rows pass, none is lost."""
+    name = "spark.sql.optimizer.runtime.bloomFilter"
+    return {
+        f"{name}.enabled": "true",
+        f"{name}.creationSideThreshold": str(key_bytes),
+        f"{name}.expectedNumItems": str(n_keys),
+        f"{name}.maxNumItems": str(n_keys),
+        f"{name}.numBits": str(8 * n_keys),
+        f"{name}.maxNumBits": str(8 * n_keys),
     }
 
 
