@@ -12,7 +12,8 @@ becomes one space (a null text is empty). The pseudo-key of a text is the
     stream sorted rows and hold one chain at a time.
 *   Every scan task first chains equal texts among its own rows, so a text held
     by a third of all rows leaves each task once.
-*   Rows go to owner tasks by contiguous bucket ranges. An owner walks its
+*   Rows go to owner tasks by contiguous bucket ranges, cut so that the counted
+    bytes of the distinct texts are shared out evenly; a task has one owner. An owner walks its
     rows in key order; rows of one pseudo-key form a chain whose texts are
     compared byte by byte, so two texts with the same key stay apart.
 *   Owners write the index to the shared folder; every document then reads its
@@ -86,7 +87,18 @@ class Directory:
         return self.bucket_of_slot[slot.astype(np.int64)]
 
 
-def _chain(batches: Iterator[pd.DataFrame], directory: Directory, per_owner: int,
+def owners(directory: Directory, sizes: np.ndarray, n: int) -> np.ndarray:
+    """Bucket -> owner: ``n`` runs of buckets with about equal shares of ``sizes``, the bytes per
+    prefix. A bucket belongs to the share that its middle byte lies in."""
+    prefix = np.arange(sizes.size)
+    bits = int(sizes.size).bit_length() - 1
+    bucket = directory.bucket_of_slot[prefix >> (bits - directory.depth)]
+    per = np.bincount(bucket, weights=sizes, minlength=directory.n_buckets)
+    middle = np.cumsum(per) - per / 2
+    return np.minimum(middle * n // max(per.sum(), 1), n - 1).astype(np.int64)
+
+
+def _chain(batches: Iterator[pd.DataFrame], directory: Directory, owner: np.ndarray,
            flush: int) -> Iterator[pd.DataFrame]:
     """Equal texts of a task's own rows become one entry each."""
     chains: dict[int, list[list]] = {}
@@ -96,7 +108,7 @@ def _chain(batches: Iterator[pd.DataFrame], directory: Directory, per_owner: int
         rows = [(k, *e) for k, c in chains.items() for e in c]
         pdf = pd.DataFrame(rows, columns=["key", "norm", "text_sha256", "keep_id", "n"])
         pdf["bucket"] = directory.bucket(pdf["key"].to_numpy(dtype=np.int64))
-        pdf["owner"] = pdf["bucket"] // per_owner
+        pdf["owner"] = owner[pdf["bucket"].to_numpy(dtype=np.int64)]
         return pdf[["owner", "bucket", "key", "text_sha256", "norm", "keep_id", "n"]]
 
     for pdf in batches:
@@ -149,18 +161,21 @@ def build_index(docs: DataFrame, scratch: Scratch, capacity: int = BUCKET_KEYS,
         F.col("doc_id").cast("bigint").alias("doc_id"),
         normalised(F.col("text").cast("string")).alias("norm"))
     entries = scratch.put("entries", rows.select(
-        "doc_id", F.xxhash64("norm").alias("key"), F.sha2("norm", 256).alias("text_sha256")))
+        "doc_id", F.xxhash64("norm").alias("key"), F.sha2("norm", 256).alias("text_sha256"),
+        F.octet_length("norm").alias("size")))
     prefix = F.shiftrightunsigned("key", 64 - PREFIX_BITS).cast("int")
     counts = np.zeros(1 << PREFIX_BITS, dtype=np.int64)
-    for p, n in (entries.select("key").distinct().groupBy(prefix.alias("p")).count().collect()):
-        counts[p] = n                      # at most 2**PREFIX_BITS rows
+    sizes = np.zeros(1 << PREFIX_BITS)
+    per_key = entries.groupBy("key").agg(F.max("size").cast("double").alias("size"))
+    for p, n, b in per_key.groupBy(prefix.alias("p")).agg(F.count("key"), F.sum("size")).collect():
+        counts[p], sizes[p] = n, b         # at most 2**PREFIX_BITS rows
     directory = Directory(counts, capacity)
     n_owners = min(directory.n_buckets, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    per_owner = -(-directory.n_buckets // n_owners)
+    owner = owners(directory, sizes, n_owners)
     keyed = rows.select("doc_id", "norm", F.xxhash64("norm").alias("key"),
                         F.sha2("norm", 256).alias("text_sha256"))
-    local = keyed.mapInPandas(lambda it: _chain(it, directory, per_owner, local_bytes), _ENTRY)
-    index = scratch.put("index", local.repartition(n_owners, "owner")
+    local = keyed.mapInPandas(lambda it: _chain(it, directory, owner, local_bytes), _ENTRY)
+    index = scratch.put("index", local.repartitionById(n_owners, "owner")
                         .sortWithinPartitions("key", "keep_id").drop("owner")
                         .mapInPandas(_own, _INDEX))
     return entries, index, directory

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlab.llm import exact_dedup, near_dup
 from cohortlab.llm.shingles import OnePermutation, band_keys, shingle_set
@@ -64,13 +65,13 @@ def test_colliding_keys_are_compared_by_bytes():
     d = exact_dedup.Directory(np.array([2, 0, 0, 0]), 10)
     rows = pd.DataFrame({"doc_id": [5, 3, 9, 4], "key": [7, 7, 7, 7], "norm": ["a", "b", "a", "b"],
                          "text_sha256": ["ha", "hb", "ha", "hb"]})
-    local = pd.concat(exact_dedup._chain(iter([rows]), d, 1, 1 << 20))
+    local = pd.concat(exact_dedup._chain(iter([rows]), d, np.arange(d.n_buckets), 1 << 20))
     assert sorted(zip(local["norm"], local["keep_id"], local["n"])) == [("a", 5, 2), ("b", 3, 2)]
     twice = pd.concat([local, local.assign(keep_id=[1, 8])]).sort_values(["key", "keep_id"])
     out = pd.concat(exact_dedup._own(iter([twice.iloc[:2], twice.iloc[2:]])))
     assert sorted(zip(out["text_sha256"], out["keep_id"], out["group_size"])) == [("ha", 1, 4), ("hb", 3, 4)]
     # a full task buffer is sent on and begun anew
-    parts = list(exact_dedup._chain(iter([rows.iloc[:2], rows.iloc[2:]]), d, 1, 1))
+    parts = list(exact_dedup._chain(iter([rows.iloc[:2], rows.iloc[2:]]), d, np.arange(d.n_buckets), 1))
     assert sum(p["n"].sum() for p in parts) == 4 and len(parts) == 2
 
 
@@ -91,6 +92,25 @@ def test_directory_doubles_only_where_full():
     assert exact_dedup.Directory(full, 10).depth == 16
 
 
+def test_owners_are_key_ranges_of_like_bytes():
+    rng = np.random.default_rng(3)
+    sizes = rng.pareto(1.5, 1 << 16) * 1000
+    d = exact_dedup.Directory(np.full(1 << 16, 10, dtype=np.int64), 500)
+    own = exact_dedup.owners(d, sizes, 64)
+    assert (np.diff(own) >= 0).all() and own[0] == 0 and own[-1] == 63
+    keys = (np.arange(1 << 16, dtype=np.uint64) << np.uint64(48)).view(np.int64)
+    per = np.bincount(own[d.bucket(keys)], weights=sizes, minlength=64)
+    assert per.max() <= 2 * per.mean()
+    one = exact_dedup.Directory(np.zeros(1 << 16, dtype=np.int64), 5)
+    assert exact_dedup.owners(one, np.zeros(1 << 16), 1).tolist() == [0]
+
+
+def test_each_owner_has_its_own_task(spark):
+    df = spark.range(64).select(F.col("id").cast("int").alias("owner")).repartition(5)
+    got = df.repartitionById(64, "owner").select("owner", F.spark_partition_id().alias("p")).collect()
+    assert len({r.p for r in got}) == 64 and all(r.p == r.owner for r in got)
+
+
 def test_small_buckets_give_the_same_result(spark):
     df = frame(spark, odd_documents())
     a = sorted(exact_dedup.exact_duplicates(df).collect())
