@@ -7,9 +7,15 @@
     and containers whose class or id names an advert, notice, sidebar or reader
     comment hold no content.
 2.  A page votes for the tag-class path of its best container (digits dropped).
-    Votes are counted per host in Spark; a host's paths are ranked by votes.
-3.  Each page is extracted again with its host's paths: the containers on the
-    highest ranked path that the page has; else its own best container.
+    Votes are counted per host and path in Spark. Pages of a host with the same
+    container paths share a template; of each template's paths the one with the most
+    votes on the host wins (then the shortest, then the first in the alphabet).
+3.  Each page is extracted again by its template's winning path: the containers on
+    that path; else, where nothing on the host has a vote, its own best container.
+
+Votes, templates and their paths are rows, so a host may have any number of them:
+nothing is capped, and no group of a host meets in one task. Pages are joined by
+host and template; the winning paths are broadcast while they measure small.
 
 Character references are decoded, white space in a block becomes one space,
 blocks are trimmed and joined by a newline in page order; empty blocks fall away.
@@ -21,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import sha1
 from html import unescape
 
 import pandas as pd
@@ -30,9 +37,6 @@ from pyspark.sql import functions as F
 from cohortlab.llm.common import BROADCAST_BYTES, Scratch
 from cohortlab.llm.url_filter import host_of
 
-#: Ranked paths kept per host; a page with none of them falls back on its own best container.
-RANKED = 8
-
 # Element names and class words.
 RAW = frozenset("script style noscript template iframe svg math textarea title select object canvas audio video".split())
 BOILER = frozenset("head nav header footer aside form button menu dialog".split())
@@ -165,14 +169,14 @@ class Page:
                     top, found = s, i
         return found
 
-    def text(self, paths: list[str]) -> str:
-        """Text of the containers on the first of ``paths`` that the page has."""
-        have = {}
-        for i, x in enumerate(self.nodes):
-            if not x[3]:
-                have.setdefault(x[1], set()).add(i)
-        roots = next((have[p] for p in paths if p in have), None)
-        if roots is None:
+    def paths(self) -> list[str]:
+        """The distinct paths of the page's containers, sorted: what it may be extracted by."""
+        return sorted({x[1] for i, x in enumerate(self.nodes) if not x[3] and (x[4] in CONTAINER or i == 0)})
+
+    def text(self, path: str | None) -> str:
+        """Text of the containers on ``path``; without one, of the best container."""
+        roots = {i for i, x in enumerate(self.nodes) if not x[3] and x[1] == path}
+        if not roots:
             best = self.best()
             if best < 0:
                 return ""
@@ -183,43 +187,64 @@ class Page:
         return "\n".join(t for at, t in self.blocks if inside[at])
 
 
+def template(paths: list[str]) -> str:
+    """Name of a template: the digest of its container paths."""
+    return sha1("\n".join(paths).encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        got: dict[tuple[str, str], int] = {}
+        got: dict[tuple[str, str, str], int] = {}
+        paths: dict[str, list[str]] = {}
         for host, html in zip(pdf["host"], pdf["html"], strict=True):
             page = Page(html)
             i = page.best()
             if i >= 0:
-                k = (host, page.nodes[i][1])
+                own = page.paths()
+                t = template(own)
+                paths[t] = own
+                k = (host, t, page.nodes[i][1])
                 got[k] = got.get(k, 0) + 1
-        yield pd.DataFrame([(*k, n) for k, n in got.items()], columns=["host", "path", "votes"])
+        yield pd.DataFrame([(*k, paths[k[1]], n) for k, n in got.items()],
+                           columns=["host", "template", "path", "paths", "votes"])
+
+
+def _templates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf.assign(template=[template(Page(h).paths()) for h in pdf["html"]])
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        text = [Page(h).text([] if p is None else list(p)) for h, p in zip(pdf["html"], pdf["paths"], strict=True)]
+        text = [Page(h).text(p) for h, p in zip(pdf["html"], pdf["path"], strict=True)]
         yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text,
                             "n_chars": [len(t) for t in text]})
 
 
-def host_paths(pages: DataFrame, ranked: int = RANKED) -> DataFrame:
-    """``host, paths array<string>``: each host's paths by votes."""
+def host_paths(pages: DataFrame, sc: Scratch) -> DataFrame:
+    """``host, template, path``: the path that wins the vote for each template of a host."""
     src = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    votes = (src.mapInPandas(_votes, "host string, path string, votes bigint")
-             .groupBy("host", "path").agg(F.sum("votes").alias("votes")))
-    rank = F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("v"), F.length("path").alias("n"), "path")))
-    return votes.groupBy("host").agg(F.slice(rank, 1, ranked).alias("r")).select(
-        "host", F.transform("r", lambda x: x["path"]).alias("paths"))
+    seen = sc.put("seen", src.mapInPandas(
+        _votes, "host string, template string, path string, paths array<string>, votes bigint")
+        .groupBy("host", "template", "path").agg(F.sum("votes").alias("votes"), F.first("paths").alias("paths")))
+    votes = seen.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    own = seen.groupBy("host", "template").agg(F.first("paths").alias("paths")) \
+        .select("host", "template", F.explode("paths").alias("path"))
+    order = F.struct((-F.col("votes")).alias("v"), F.length("path").alias("n"), "path")
+    return own.join(votes, ["host", "path"]).groupBy("host", "template").agg(F.min(order)["path"].alias("path"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for every page."""
     sc = Scratch(pages.sparkSession, "html-text")
-    paths = sc.put("paths", host_paths(pages))
-    size = paths.agg(F.sum(F.octet_length(F.concat_ws("", "paths")) + 64)).first()[0] or 0
+    paths = sc.put("paths", host_paths(pages, sc))
+    sc.drop("seen")
+    size = paths.agg(F.sum(F.octet_length(F.concat("host", "template", "path")) + 64)).first()[0] or 0
     src = pages.select("page_id", "url", F.col("html").cast("string").alias("html"),
                        host_of(F.col("url")).alias("host"))
-    joined = src.join(F.broadcast(paths) if size <= BROADCAST_BYTES else paths, "host", "left")
     id_type, url_type = (dict(src.dtypes)[c] for c in ("page_id", "url"))
-    return joined.select("page_id", "url", "html", "paths").mapInPandas(
-        _extract, f"page_id {id_type}, url {url_type}, text string, n_chars bigint")
+    row = f"page_id {id_type}, url {url_type}"
+    named = src.mapInPandas(_templates, f"{row}, html string, host string, template string")
+    joined = named.join(F.broadcast(paths) if size <= BROADCAST_BYTES else paths, ["host", "template"], "left")
+    return joined.select("page_id", "url", "html", "path").mapInPandas(
+        _extract, f"{row}, text string, n_chars bigint")
