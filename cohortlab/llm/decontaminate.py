@@ -43,7 +43,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.llm.common import BROADCAST_BYTES, Scratch
@@ -239,32 +239,61 @@ def _texts(df: DataFrame, id_col: str) -> DataFrame:
         F.col(id_col).cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
 
 
+def rare_windows(bench: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """``h, item_id, plain``: of each item's ``of`` windows the ``of - need + 1`` that fewest items hold.
+
+    A hit holds at least ``need`` (``coverage`` of ``of``, rounded up) of an item's windows, so it holds one
+    of these, whichever they are: they name every hit. A prompt line that many items
+    share names no pair of a document and an item whose own words the document lacks.
+    """
+    held = bench.groupBy("h").agg(F.countDistinct("id").alias("held"))
+    of = bench.groupBy("id", "plain").agg(F.countDistinct("pos").alias("of"))
+    by_rarity = Window.partitionBy("id", "plain").orderBy("held", "h", "pos")
+    need = F.greatest(F.ceil(F.lit(coverage) * F.col("of")), F.lit(1))
+    return (bench.select("h", "id", "plain", "pos").join(held, "h")
+            .withColumn("at", F.row_number().over(by_rarity)).join(of, ["id", "plain"])
+            .filter(F.col("at") <= F.col("of") - need + 1)
+            .select("h", F.col("id").alias("item_id"), "plain").distinct())
+
+
+def candidates(found: DataFrame, rare: DataFrame) -> DataFrame:
+    """``doc_id, item_id, plain``: pairs named by a rare window of the item."""
+    return (found.select(F.col("id").alias("doc_id"), "h").distinct().join(rare, "h")
+            .select("doc_id", "item_id", "plain").distinct())
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                  coverage: float = COVERAGE) -> DataFrame:
     """``doc_id, item_id, windows, covered``: the best consistent alignment of every hit."""
     sc = Scratch(docs.sparkSession, "decontaminate")
     bench = sc.put("bench", _texts(benchmark, "item_id").dropDuplicates(["id"])
                    .mapInPandas(lambda it: _benchmark(it, window), _WINDOW))
-    n_hashes = bench.select("h").distinct().count()
+    hashes = bench.select("h").distinct()
+    n_windows, n_hashes = bench.agg(F.count("h"), F.countDistinct("h")).first()
     sizes = [r[0] for r in bench.select("size").distinct().orderBy("size").collect()]  # at most `window`
-    fits = n_hashes * 8 <= BROADCAST_BYTES
     known = None
-    if fits:
-        known = np.sort(np.array([r[0] for r in bench.select("h").distinct().collect()],
-                                 dtype=np.int64).view(np.uint64))
+    if n_hashes * 8 <= BROADCAST_BYTES:
+        known = np.sort(hashes.toArrow()["h"].to_numpy().view(np.uint64))
     if not n_hashes:
         found = docs.sparkSession.createDataFrame([], _WINDOW)
     else:
         found = _texts(docs, "doc_id").mapInPandas(lambda it: _documents(it, sizes, known), _WINDOW)
-    b = bench.select("h", F.col("id").alias("item_id"), F.col("pos").alias("ipos"),
+        if known is None:
+            found = found.join(hashes, "h", "left_semi").select(*_COLUMNS)
+    found = sc.put("found", found)
+    small = n_windows * 400 <= BROADCAST_BYTES
+    hint = F.broadcast if small else lambda df: df
+    # every window of a pair that a rare one has named; the hash tells the two templates apart
+    b = bench.select("h", F.col("id").alias("item_id"), "plain", F.col("pos").alias("ipos"),
                      F.col("slots").alias("islots"))
-    # the hash tells the two templates apart
-    pairs = found.join(F.broadcast(b) if n_hashes * 400 <= BROADCAST_BYTES else b, "h")
+    named = candidates(found, hint(sc.put("rare", rare_windows(bench, coverage))))
+    pairs = (named.join(hint(b), ["item_id", "plain"])
+             .join(found.select(F.col("id").alias("doc_id"), "h", "pos", "slots"), ["doc_id", "h"]))
     total = bench.groupBy(F.col("id").alias("item_id"), "plain").agg(F.countDistinct("pos").alias("of"))
     # slots of a window pair stand side by side: the templates are equal
     both = F.transform(F.arrays_zip("islots", "slots"), lambda x: F.struct(
         x["islots"]["at"].alias("at"), x["islots"]["v"].alias("i"), x["slots"]["v"].alias("d")))
-    lines = (pairs.groupBy(F.col("id").alias("doc_id"), "item_id", "plain").agg(
+    lines = (pairs.groupBy("doc_id", "item_id", "plain").agg(
         F.countDistinct("ipos").alias("matched"),
         F.collect_set(F.struct("pos", "ipos", both.alias("m"))).alias("w"))
         .join(total, ["item_id", "plain"]).filter(F.col("matched") >= F.lit(coverage) * F.col("of"))

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cohortlab.llm.common import Scratch
 from cohortlab.llm import decontaminate, html_text, quality, url_filter
 from tests.conftest import SF001, SF01
 from tests.llm.cases import empty, frame, odd_documents, prose
@@ -191,8 +192,28 @@ def test_host_paths_win_over_a_page_of_its_own_kind(spark):
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
     assert got[9] == "brief" and got[0] == ("story words " * 20).strip()
-    paths = html_text.host_paths(pages).first()
-    assert paths.host == "h.net" and paths.paths[0] == ">body>div.story"
+    paths = html_text.host_paths(pages, Scratch(spark, "test-html")).collect()
+    assert [(p.host, p.path) for p in paths] == [("h.net", ">body>div.story")]
+
+
+def test_a_host_with_many_templates_keeps_every_vote(spark):
+    # forty templates on one host: on a page of each the advert is longer than the story
+    names = [a + b for a in "abcdefgh" for b in "klmno"]
+    usual = "<body><div class='story{}'><p>{}</p></div><div class='box{}'><p>{}</p></div></body>"
+    rows = [(i, "http://h.net/", usual.format(n, f"story words of {n} " * 20, n, "box"))
+            for i in range(3) for n in names]
+    rows += [(100 + k, "http://h.net/", usual.format(n, f"brief {n}", n, "more words than usual " * 50))
+             for k, n in enumerate(names)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in html_text.extract(pages).filter("page_id >= 100").collect()}
+    assert got == {100 + k: f"brief {n}" for k, n in enumerate(names)}
+    # the join beyond the broadcast bound gives the same rows
+    want = sorted(html_text.extract(pages).collect())
+    bound, html_text.BROADCAST_BYTES = html_text.BROADCAST_BYTES, 0
+    try:
+        assert sorted(html_text.extract(pages).collect()) == want
+    finally:
+        html_text.BROADCAST_BYTES = bound
 
 
 def test_extraction_on_the_table_equals_a_plain_parse(spark):
@@ -210,7 +231,7 @@ def test_scan_survives_broken_markup():
     for s in ("<", "<a", "</", "<p class='x", "<script>", "<!-- ", "<div" + " a" * 20000, "<>" * 1000, "&#xFFFFFFFF;",
               "<p>" * 5000, "<div>" * 3000 + "deep"):
         page = html_text.Page(s)
-        page.text([])
+        page.text(None)
 
 
 # ------------------------------------------------------------------ decontamination
@@ -224,6 +245,26 @@ def _hits(spark, docs, items):
     return {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, b).collect()}
 
 
+def test_a_shared_prompt_line_names_no_pairs(spark):
+    prompt = "Please read the following question with great care and then answer it in one short sentence"
+    words = [f"{a}{b}ly" for a in "bcdfghjklmnprstvwz" for b in ("ara", "emo", "idu", "ona", "upe")]
+    rng = np.random.default_rng(5)
+    own = [" ".join(rng.choice(words, 40)) for _ in range(30)]
+    items = [(i, f"{prompt} {t}") for i, t in enumerate(own)]
+    docs = [(i, f"{prompt} and nothing else of note") for i in range(50)]
+    docs += [(100, f"a page that holds {prompt} {own[7]} whole"), (101, f"{prompt} " + " ".join(own[3].split()[:30]))]
+    bench = decontaminate._texts(spark.createDataFrame(items, "item_id bigint, text string"), "item_id") \
+        .mapInPandas(lambda it: decontaminate._benchmark(it, decontaminate.WINDOW), decontaminate._WINDOW)
+    sizes = sorted(r[0] for r in bench.select("size").distinct().collect())
+    found = decontaminate._texts(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id") \
+        .mapInPandas(lambda it: decontaminate._documents(it, sizes, None), decontaminate._WINDOW)
+    pairs = decontaminate.candidates(found, decontaminate.rare_windows(bench)).select("doc_id", "item_id").distinct()
+    assert {tuple(r) for r in pairs.collect()} == {(100, 7), (101, 3)}
+    assert _hits(spark, docs, items) == {(100, 7), (101, 3)}
+    # items made of the shared line alone are found by it
+    assert _hits(spark, docs[:3], [(1, prompt), (2, prompt)]) == {(d, i) for d in range(3) for i in (1, 2)}
+
+
 def test_templates_and_slot_consistency(spark):
     pad = prose(3, 40)
     docs = [(1, f"{pad} {ITEM} {pad}"),
