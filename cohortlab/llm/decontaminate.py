@@ -54,7 +54,7 @@ WINDOW = 8
 MIN_LITERALS = 3
 COVERAGE = 0.5
 GAP = 8
-_CACHE = 300_000
+_CACHE = 100_000
 
 # Unit words.
 UNITS = frozenset(
@@ -167,7 +167,7 @@ def _documents(batches: Iterator[pd.DataFrame], sizes: list[int],
                known: np.ndarray | None) -> Iterator[pd.DataFrame]:
     codes = _Codes()
     for batch in batches:
-        for pdf in slices(batch, chars=1_000_000):
+        for pdf in slices(batch, chars=500_000):
             ids, rows = pdf["id"].tolist(), []
             for t in templates(pdf["text"].tolist(), codes):
                 for size in sizes:

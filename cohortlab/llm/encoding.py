@@ -17,7 +17,7 @@ import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes that a worker's table of chunks may take, both generations together.
-TABLE_BYTES = 64 * 1024 * 1024
+TABLE_BYTES = 32 * 1024 * 1024
 #: What an entry takes beside its characters and value (dict slot, str and bytes objects).
 ENTRY_BYTES = 220
 #: Longer texts are cut at spaces between other characters; texts are encoded in runs of this size.
