@@ -4,15 +4,20 @@ Base kinds (leftmost, non-overlapping per kind):
 *   ``assign``: a secret's name, ``:`` or ``=``, and a value of 12 or more characters;
 *   ``access``: ``AKIA`` and capitals or digits, 18 or more characters;
 *   ``hex``: 16 or more of ``0-9a-f``.
-The method adds ``markov`` spans: runs of token characters with a digit, 20 or
+The method adds ``markov`` spans: runs of token characters that hold a letter, 12 or
 more long, outside base spans, that a character Markov model of random strings
-explains better than one of ordinary identifiers. The log-likelihood ratio must
+explains better than one of ordinary identifiers. (A run without a letter is a number.)
+The log-likelihood ratio must
 reach ``min_ratio``, and ``min_mean`` per character pair. Both models are first-order chains
-over ``ALPHABET``, counted from labelled samples: the secret values that the base
-kinds find, and ordinary words, both over all documents. Only counts of
-character pairs are shuffled for it. Counts of a class beyond ``PAIRS`` are scaled
-down to it, so that an unseen pair weighs alike in a large table and a huge one;
-without samples of both classes no span is added.
+over ``ALPHABET``, counted from labelled samples over all documents: the secret values that
+the base kinds find, and ordinary identifiers, that is words, numbers, dates, paths and the
+like: up to 16 parts of letters only or digits only between single ``-``, ``_`` or ``/``, 4 to
+64 characters together. Only counts of character pairs are shuffled for it. A pair's
+probability is its share after its first character, drawn towards the second character's
+share in the class, and that towards an even share; both by fixed shares of the class, so the
+model does not depend on how often a table holds the same samples. Without samples of both
+classes no span is added. ``held_out`` gives the scores of labelled samples that the models
+have not seen.
 
 Positions follow from lengths: the text between matches (``split``) and the
 matches (``regexp_extract_all``) of one expression alternate, so running sums of
@@ -29,19 +34,23 @@ from pyspark.sql import functions as F
 
 from cohortlab.llm.common import Scratch
 
-MIN_LENGTH = 20
+MIN_LENGTH = 12
 MIN_RATIO = 8.0
 MIN_MEAN = 0.25
-SMOOTHING = 0.5
-PAIRS = 5_000_000
+#: Weight of the second character's share against the mean weight of a first character,
+#: and of the even share against the class.
+BACKOFF, EVEN = 1.0, 0.05
 
 # The base expressions, and the letters of the models.
 NAMES = r"(?i:password|passwd|secret|token|api_?key)"
 ASSIGN = rf"""({NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z+/_=-]*+[0-9][A-Za-z0-9+/_=-]*+"
-ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z_-]{5,}(?![A-Za-z0-9+/_=-])"
+EDGE = r"(?<![\p{L}\p{N}+/_=-])"
+RUN = EDGE + r"(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{12,}+(?![\p{L}\p{N}])"
+RUN_SCREEN = "[A-Za-z0-9+/_=-]{12}"
+PART = r"(?:v?[0-9]++|[A-Za-z]++)"
+ORDINARY = EDGE + rf"{PART}(?:[-_/]{PART}){{0,15}}+(?![\p{{L}}\p{{N}}+/_=-])"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 KINDS = ("assign", "access", "hex", "markov")
 
@@ -67,7 +76,7 @@ def raw_matches(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.concat(
         _found(0, t, ASSIGN, NAMES, 2, 12), _found(1, t, ACCESS, ACCESS, 0, 0),
-        _found(2, t, HEX, HEX, 0, 0), _found(3, t, RUN, "[0-9]", 0, min_length)).alias("m"))
+        _found(2, t, HEX, HEX, 0, 0), _found(3, t, RUN, RUN_SCREEN, 0, min_length)).alias("m"))
 
 
 def placed(raw: DataFrame) -> DataFrame:
@@ -81,31 +90,68 @@ def placed(raw: DataFrame) -> DataFrame:
 
 def _pairs(value: Column) -> Column:
     """Neighbouring characters of a string."""
-    return F.when(F.char_length(value) > 1, F.transform(
-        F.sequence(F.lit(1), F.char_length(value) - 1), lambda i: value.substr(i, F.lit(2)))) \
+    chars, n = F.split(value, ""), F.char_length(value) - 1
+    return F.when(n > 0, F.zip_with(F.slice(chars, F.lit(1), n), F.slice(chars, F.lit(2), n), lambda a, b: F.concat(a, b))) \
         .otherwise(F.array().cast("array<string>"))
 
 
-def train(found: DataFrame, rows: DataFrame, smoothing: float = SMOOTHING, pairs: int = PAIRS) -> DataFrame:
+def ordinary(rows: DataFrame) -> DataFrame:
+    """``value``: the ordinary identifiers in ``text``, with repeats."""
+    n = F.char_length("value")
+    return rows.select(F.explode(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))).alias("value")) \
+        .filter((n >= 4) & (n <= 64))
+
+
+def train(found: DataFrame, rows: DataFrame, backoff: float = BACKOFF, even: float = EVEN) -> DataFrame:
     """``pair, ratio``: log P(second | first) among random strings less that among
-    ordinary words, for every pair of the alphabet (a table of fixed size)."""
+    ordinary identifiers, for every pair of the alphabet (a table of fixed size)."""
     rand = found.filter("kind < 3").select(F.lit(1).alias("rand"), F.explode(_pairs(F.col("value"))).alias("pair"))
-    word = rows.select(F.explode(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))).alias("w")) \
-        .select(F.lit(0).alias("rand"), F.explode(_pairs(F.col("w"))).alias("pair"))
+    word = ordinary(rows).select(F.lit(0).alias("rand"), F.explode(_pairs(F.col("value"))).alias("pair"))
     counts = rand.union(word).groupBy("pair").agg(
         F.sum("rand").alias("r"), F.sum(1 - F.col("rand")).alias("o"))
     letters = rows.sparkSession.range(1).select(F.explode(F.split(F.lit(ALPHABET), "")).alias("a"))
     grid = letters.select("a", F.explode(F.split(F.lit(ALPHABET), "")).alias("b")) \
-        .select("a", F.concat("a", "b").alias("pair"))
+        .select("a", "b", F.concat("a", "b").alias("pair"))
     cell = grid.join(counts, "pair", "left").select(
-        "a", "pair", F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("o", F.lit(0)).alias("o"))
+        "a", "b", "pair", F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("o", F.lit(0)).alias("o"))
     trained = Window.partitionBy(F.lit(1))         # one window over the fixed grid
     cell = cell.withColumns({"nr": F.sum("r").over(trained), "no": F.sum("o").over(trained)}).filter("nr > 0 AND no > 0")
-    cell = cell.withColumns({c: F.col(c) * F.least(F.lit(1.0), F.lit(float(pairs)) / F.col(f"n{c}")) for c in ("r", "o")})
-    by_first = Window.partitionBy("a")
-    logp = {c: F.log((F.col(c) + F.lit(smoothing))
-                     / (F.sum(c).over(by_first) + F.lit(smoothing * len(ALPHABET)))) for c in ("r", "o")}
-    return cell.select("pair", (logp["r"] - logp["o"]).alias("ratio"))
+    first, second, k = Window.partitionBy("a"), Window.partitionBy("b"), float(len(ALPHABET))
+
+    def logp(c: str) -> Column:
+        n = F.col(f"n{c}")
+        share = (F.sum(c).over(second) / n + even / k) / (1 + even)
+        weight = n * (backoff / k)
+        return F.log((F.col(c) + weight * share) / (F.sum(c).over(first) + weight))
+
+    return cell.select("pair", (logp("r") - logp("o")).alias("ratio"))
+
+
+def score(values: DataFrame, model: DataFrame) -> DataFrame:
+    """The columns of ``values`` but ``value``, with ``s`` and ``m``: the log-likelihood
+    ratio of the value and its mean over the pairs. Rows are told apart by those columns."""
+    keys = [c for c in values.columns if c != "value"]
+    return (values.select(*keys, F.explode(_pairs(F.col("value"))).alias("pair"))
+            .join(F.broadcast(model), "pair")          # len(ALPHABET)**2 rows at most
+            .groupBy(*keys).agg(F.sum("ratio").alias("s"), F.avg("ratio").alias("m")))
+
+
+def judged_random(min_ratio: float = MIN_RATIO, min_mean: float = MIN_MEAN) -> Column:
+    return (F.round("s", 6) >= min_ratio) & (F.round("m", 6) >= min_mean)
+
+
+def held_out(docs: DataFrame) -> DataFrame:
+    """``rand, value_id, n, s, m``: scores of the labelled samples with a letter and 12 or more
+    characters whose values fall into a quarter by hash; the models see the other values."""
+    sc = Scratch(docs.sparkSession, "secret-held-out")
+    found = sc.put("found", placed(sc.put("raw", raw_matches(docs)))).filter("kind < 3").select("kind", "value")
+    words = ordinary(docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    out = F.pmod(F.xxhash64("value"), F.lit(4)) == 0
+    model = sc.put("model", train(found.filter(~out), words.filter(~out).withColumnRenamed("value", "text")))
+    both = found.select(F.lit(1).alias("rand"), "value").union(words.select(F.lit(0), "value"))
+    seen = both.filter(out & F.col("value").rlike(RUN)).groupBy("rand", "value").agg(F.count(F.lit(1)).alias("n"))
+    seen = sc.put("samples", seen.withColumn("value_id", F.xxhash64("value")))
+    return score(seen.select("rand", "value_id", "n", "value"), model)
 
 
 def scan(docs: DataFrame, min_ratio: float = MIN_RATIO, min_mean: float = MIN_MEAN) -> DataFrame:
@@ -124,10 +170,7 @@ def scan(docs: DataFrame, min_ratio: float = MIN_RATIO, min_mean: float = MIN_ME
         "before": F.max(base_end).over(at.rangeBetween(Window.unboundedPreceding, 0)),
         "after": F.min(base_start).over(at.rangeBetween(0, Window.unboundedFollowing))})
     runs = near.filter("kind = 3 AND coalesce(before <= start, true) AND coalesce(after >= end, true)")
-    scored = (runs.select("row", "start", "end", F.explode(_pairs(F.col("value"))).alias("pair"))
-              .join(F.broadcast(model), "pair")          # len(ALPHABET)**2 rows at most
-              .groupBy("row", "start", "end").agg(F.sum("ratio").alias("s"), F.avg("ratio").alias("m"))
-              .filter((F.round("s", 6) >= min_ratio) & (F.round("m", 6) >= min_mean)))
+    scored = score(runs.select("row", "start", "end", "value"), model).filter(judged_random(min_ratio, min_mean))
     spans = found.filter("kind < 3").select("row", "kind", "start", "end").unionByName(
         scored.select("row", F.lit(3).alias("kind"), "start", "end"))
     one = F.struct("start", "kind", "end")
