@@ -11,8 +11,8 @@ The log-likelihood ratio must
 reach ``min_ratio``, and ``min_mean`` per character pair. Both models are first-order chains
 over ``ALPHABET``, counted from labelled samples over all documents: the secret values that
 the base kinds find, and ordinary identifiers, that is words, numbers, dates, paths and the
-like: up to 16 parts of letters only or digits only between single ``-``, ``_`` or ``/``, 4 to
-64 characters together. Only counts of character pairs are shuffled for it. A pair's
+like: up to 16 parts of letters only or digits only between single ``-``, ``_`` or ``/``, 6 to
+64 characters together. Only counted samples and counts of character pairs are shuffled for it. A pair's
 probability is its share after its first character, drawn towards the second character's
 share in the class, and that towards an even share; both by fixed shares of the class, so the
 model does not depend on how often a table holds the same samples. Without samples of both
@@ -46,11 +46,11 @@ NAMES = r"(?i:password|passwd|secret|token|api_?key)"
 ASSIGN = rf"""({NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-EDGE = r"(?<![\p{L}\p{N}+/_=-])"
-RUN = EDGE + r"(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{12,}+(?![\p{L}\p{N}])"
+EDGE = "(?<![A-Za-z0-9+/_=-])"
+RUN = EDGE + "(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{12,}+"
 RUN_SCREEN = "[A-Za-z0-9+/_=-]{12}"
 PART = r"(?:v?[0-9]++|[A-Za-z]++)"
-ORDINARY = EDGE + rf"{PART}(?:[-_/]{PART}){{0,15}}+(?![\p{{L}}\p{{N}}+/_=-])"
+ORDINARY = EDGE + rf"{PART}(?:[-_/]{PART}){{0,15}}+(?![A-Za-z0-9+/_=-])"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 KINDS = ("assign", "access", "hex", "markov")
 
@@ -99,16 +99,19 @@ def ordinary(rows: DataFrame) -> DataFrame:
     """``value``: the ordinary identifiers in ``text``, with repeats."""
     n = F.char_length("value")
     return rows.select(F.explode(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))).alias("value")) \
-        .filter((n >= 4) & (n <= 64))
+        .filter((n >= 6) & (n <= 64))
 
 
 def train(found: DataFrame, rows: DataFrame, backoff: float = BACKOFF, even: float = EVEN) -> DataFrame:
     """``pair, ratio``: log P(second | first) among random strings less that among
     ordinary identifiers, for every pair of the alphabet (a table of fixed size)."""
-    rand = found.filter("kind < 3").select(F.lit(1).alias("rand"), F.explode(_pairs(F.col("value"))).alias("pair"))
-    word = ordinary(rows).select(F.lit(0).alias("rand"), F.explode(_pairs(F.col("value"))).alias("pair"))
-    counts = rand.union(word).groupBy("pair").agg(
-        F.sum("rand").alias("r"), F.sum(1 - F.col("rand")).alias("o"))
+    both = found.filter("kind < 3").select(F.lit(1).alias("rand"), "value").union(
+        ordinary(rows).select(F.lit(0).alias("rand"), "value"))
+    # equal samples first: their pairs are cut once
+    counts = (both.groupBy("rand", "value").agg(F.count(F.lit(1)).alias("n"))
+              .select("rand", "n", F.explode(_pairs(F.col("value"))).alias("pair"))
+              .groupBy("pair").agg(F.sum(F.col("rand") * F.col("n")).alias("r"),
+                                   F.sum((1 - F.col("rand")) * F.col("n")).alias("o")))
     letters = rows.sparkSession.range(1).select(F.explode(F.split(F.lit(ALPHABET), "")).alias("a"))
     grid = letters.select("a", F.explode(F.split(F.lit(ALPHABET), "")).alias("b")) \
         .select("a", "b", F.concat("a", "b").alias("pair"))
@@ -165,10 +168,9 @@ def scan(docs: DataFrame, min_ratio: float = MIN_RATIO, min_mean: float = MIN_ME
     # a candidate run must lie clear of the base spans around it
     base_end = F.when(F.col("kind") < 3, F.col("end"))
     base_start = F.when(F.col("kind") < 3, F.col("start"))
-    at = Window.partitionBy("row").orderBy("start")
-    near = found.withColumns({
-        "before": F.max(base_end).over(at.rangeBetween(Window.unboundedPreceding, 0)),
-        "after": F.min(base_start).over(at.rangeBetween(0, Window.unboundedFollowing))})
+    up, down = (Window.partitionBy("row").orderBy(o("start")).rangeBetween(Window.unboundedPreceding, 0)
+                for o in (F.asc, F.desc))
+    near = found.withColumns({"before": F.max(base_end).over(up), "after": F.min(base_start).over(down)})
     runs = near.filter("kind = 3 AND coalesce(before <= start, true) AND coalesce(after >= end, true)")
     scored = score(runs.select("row", "start", "end", "value"), model).filter(judged_random(min_ratio, min_mean))
     spans = found.filter("kind < 3").select("row", "kind", "start", "end").unionByName(

@@ -124,7 +124,7 @@ def test_markov_spans_equal_a_plain_model(spark):
     for i, t in rows:
         for s, k, e, _ in base[i]:
             c[0].update(pairs(ASSIGN.match(t, s)[2] if k == 0 else t[s:e]))
-        c[1].update(p for m in ordinary.finditer(t) if 4 <= len(m[0]) <= 64 for p in pairs(m[0]))
+        c[1].update(p for m in ordinary.finditer(t) if 6 <= len(m[0]) <= 64 for p in pairs(m[0]))
 
     def logp(c, p):
         n, k = sum(c.values()), len(A)
