@@ -12,17 +12,18 @@ How it runs on Spark:
     where they have few, else at quantiles of Spark's sketch. Rows become blocks of binned
     features, labels and margins, dealt over the cluster and persisted (memory, then disk).
 *   A round of splitting is one pass over the blocks that adds up histograms per (leaf,
-    feature, bin) in every task and merges them by a tree of reductions. It covers the
-    children of every leaf that may be split next, so a tree takes about as many passes as
-    it is deep, and still splits best leaf first. Only the smaller child of a leaf is added
-    up; its sibling is the parent's histogram less that. This is the one place of the
-    library outside ``llm`` that works on an RDD: a task adds to one array for all its
-    rows, which rows of (leaf, feature, bin) through a shuffle took ten times as long.
-*   Only histograms reach the driver, leaves x features x bins of them; above
-    ``HISTOGRAM_BYTES`` the features are taken block by block and only the best split of a
-    block is kept (both children are then added up). No row does.
+    feature, bin) in every task; those of a feature meet in one task, which adds them up
+    and looks for the feature's best split of each leaf. A pass covers the children of
+    every leaf that may be split next, so a tree takes about as many passes as it is deep,
+    and still splits best leaf first. This is the one place of the library outside ``llm``
+    that works on an RDD: a task adds to one array for all its rows, which rows of (leaf,
+    feature, bin) through a shuffle took ten times as long.
+*   No row and no histogram reaches the driver: it gets one split and one sum per leaf and
+    feature, whatever the rows, tasks and bins. Above ``HISTOGRAM_BYTES`` a task takes the
+    features block by block.
 *   Few rows lie in one partition (``sources.cache.rebalance``); its task then runs all
-    rounds by the same functions, without a job for each.
+    rounds by the same functions, without a job for each. It keeps the histograms, so only
+    the smaller child of a leaf is added up; its sibling is the parent's less that.
 *   Margins are kept with the blocks; every ``CUT_ROUNDS`` rounds the blocks are written
     as a reliable checkpoint, so a lost executor repeats a few rounds at most.
 
@@ -36,7 +37,7 @@ import json
 import math
 import operator
 import pickle
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -159,48 +160,90 @@ def _blocks(batches: Iterator[pd.DataFrame], dim: int, base: float) -> Iterator[
                         pdf["_y"].to_numpy(float), np.full(len(pdf), base))
 
 
-#: Runs a function from the blocks of a task to one array, and adds up the arrays of all tasks.
-AddUp = Callable[[Callable[[Iterator[Block]], Iterator[np.ndarray]]], np.ndarray]
+#: Sums (G, H, n) of a leaf and its best split.
+Judged = tuple[tuple[float, float, int], Split | None]
+
+
+def _better(a: Judged | None, b: Judged) -> Judged:
+    """Of one leaf over two blocks of features; at a tie the first."""
+    if a is None or b[1] is None or (a[1] is not None and a[1].gain >= b[1].gain):
+        return a or b
+    return a[0], b[1]
+
+
+def _judge(hist: np.ndarray, s: Settings, first_feature: int) -> Judged:
+    g, h, n = hist[0].sum(axis=0)
+    return (float(g), float(h), int(n)), best_split(hist, s, first_feature)
 
 
 class _Histograms:
-    """Histograms of one round's blocks."""
+    """Splits of leaves by the histograms of one round's blocks, by blocks of features."""
 
-    def __init__(self, add_up: AddUp, sizes: Sequence[int], s: Settings):
-        self.add_up, self.sizes, self.s = add_up, sizes, s
+    def __init__(self, sizes: Sequence[int], s: Settings):
+        self.sizes, self.s = sizes, s
         leaf_bytes = 24 * max(sizes) * len(sizes)
         most = s.leaves or 2 ** min(s.depth or 6, 20)
         self.keep = leaf_bytes * 2 * most <= HISTOGRAM_BYTES
         self.block = len(sizes) if self.keep else max(1, HISTOGRAM_BYTES // (48 * max(sizes) * most))
 
-    def of(self, nodes: list[Node], wanted: list[int]) -> list[tuple[int, dict[int, np.ndarray]]]:
-        """(first feature, leaf -> histogram), by blocks of features."""
-        out = []
+    def features(self) -> Iterator[range]:
         for a in range(0, len(self.sizes), self.block):
-            fs = range(a, min(a + self.block, len(self.sizes)))
-            size = max(self.sizes[f] for f in fs)
-
-            def add(blocks: Iterator[Block], fs=fs, size=size) -> Iterator[np.ndarray]:
-                total = np.zeros((len(wanted), len(fs), size, 3))
-                for b in blocks:
-                    total += b.histogram(nodes, wanted, fs, size)
-                yield total
-            out.append((a, dict(zip(wanted, self.add_up(add)))))
-        return out
-
-    def splits(self, nodes: list[Node], wanted: list[int], siblings: dict[int, tuple[int, np.ndarray]],
-               keep: dict[int, np.ndarray]) -> dict[int, Split | None]:
-        """Best split of each leaf; of ``siblings`` (leaf -> its sibling, their parent's
-        histogram) by subtraction."""
-        best: dict[int, Split | None] = {}
-        for a, hist in self.of(nodes, wanted):
-            for k, (small, parent) in siblings.items():
-                hist[k] = parent - hist[small]
+            yield range(a, min(a + self.block, len(self.sizes)))
+
+    def add(self, blocks: Iterator[Block], nodes: list[Node], wanted: list[int], fs: range) -> np.ndarray:
+        """Sums (wanted leaf, feature, bin, (G, H, n)) over blocks."""
+        size = max(self.sizes[f] for f in fs)
+        total = np.zeros((len(wanted), len(fs), size, 3))
+        for b in blocks:
+            total += b.histogram(nodes, wanted, fs, size)
+        return total
+
+
+class _InATask(_Histograms):
+    """All rows are at hand. Histograms are kept while they are small, for their children."""
+
+    def __init__(self, blocks: list[Block], sizes: Sequence[int], s: Settings):
+        super().__init__(sizes, s)
+        self.blocks, self.kept = blocks, {}
+
+    def judge(self, nodes: list[Node], wanted: list[int], siblings: dict[int, tuple[int, int]]) -> dict[int, Judged]:
+        """Of each leaf of ``wanted``, and of ``siblings`` (leaf -> its sibling, their parent)
+        by subtraction."""
+        best: dict[int, Judged] = {}
+        parents = {k: self.kept.pop(parent) for k, (_, parent) in siblings.items()}
+        for fs in self.features():
+            hist = dict(zip(wanted, self.add(iter(self.blocks), nodes, wanted, fs)))
+            for k, (small, _) in siblings.items():
+                hist[k] = parents[k] - hist[small]
             for k, h in hist.items():
-                got, was = best_split(h, self.s, a), best.get(k)
-                best[k] = was if got is None or (was is not None and was.gain >= got.gain) else got
+                best[k] = _better(best.get(k), _judge(h, self.s, fs[0]))
             if self.keep:
-                keep.update(hist)
+                self.kept.update(hist)
+        return best
+
+
+class _OverTasks(_Histograms):
+    """The rows lie in many tasks; a feature's histograms are added up and judged in one."""
+
+    def __init__(self, blocks: RDD, sizes: Sequence[int], s: Settings):
+        super().__init__(sizes, s)
+        self.blocks, self.keep = blocks, False
+
+    def judge(self, nodes: list[Node], wanted: list[int], siblings: dict[int, tuple[int, int]]) -> dict[int, Judged]:
+        best: dict[int, Judged] = {}
+        plain, s = _Histograms(self.sizes, self.s), self.s          # goes to the tasks, without the RDD
+        for fs in self.features():
+            def added(blocks: Iterator[Block], fs=fs) -> Iterator[tuple[int, np.ndarray]]:
+                total = plain.add(blocks, nodes, wanted, fs)
+                yield from ((f, total[:, i, :plain.sizes[f]]) for i, f in enumerate(fs))
+
+            def judged(of: tuple[int, np.ndarray]) -> tuple[int, list[Judged]]:
+                return of[0], [_judge(h[None], s, of[0]) for h in of[1]]
+            got = (self.blocks.mapPartitions(added)
+                   .reduceByKey(operator.add, min(len(fs), self.blocks.getNumPartitions())).map(judged).collect())
+            for _, leaves in sorted(got, key=lambda x: x[0]):
+                for k, j in zip(wanted, leaves, strict=True):
+                    best[k] = _better(best.get(k), j)
         return best
 
 
@@ -212,19 +255,11 @@ def _case(nodes: list[Node], at: int = 0) -> str:
     return f"CASE WHEN _x[{n.feature}] < {n.cut!r}D THEN {_case(nodes, n.left)} ELSE {_case(nodes, n.right)} END"
 
 
-def grow(add_up: AddUp, cuts: list[list[float]], s: Settings) -> list[Node]:
-    """One tree over the blocks that ``add_up`` reaches."""
-    work, kept = _Histograms(add_up, [len(c) + 1 for c in cuts], s), {}
-    root = work.of([Node(0.0, 0.0, 0)], [0])
-    total = root[0][1][0][0].sum(axis=0)
-    nodes = [Node(float(total[0]), float(total[1]), int(total[2]))]
-    split: dict[int, Split | None] = {0: None}
-    for a, hist in root:
-        got = best_split(hist[0], s, a)
-        if got and (split[0] is None or got.gain > split[0].gain):
-            split[0] = got
-        if work.keep:
-            kept[0] = hist[0]
+def grow(work: _InATask | _OverTasks, cuts: list[list[float]], s: Settings) -> list[Node]:
+    """One tree over the blocks that ``work`` reaches."""
+    total, first = work.judge([Node(0.0, 0.0, 0)], [0], {})[0]
+    nodes = [Node(*total)]
+    split: dict[int, Split | None] = {0: first}
     ahead: dict[int, tuple[int, int]] = {}                # leaf -> its children, made before it is split
     limit = s.leaves or 1 << 30
     active = {0}                                          # leaves of the tree as it stands
@@ -236,7 +271,7 @@ def grow(add_up: AddUp, cuts: list[list[float]], s: Settings) -> list[Node]:
         # without a bound on the leaves all of them are split, in whatever order
         best = open_[0] if s.leaves else next((k for k in open_ if k in ahead), open_[0])
         if best not in ahead:
-            _look_ahead(work, nodes, split, kept, ahead, [k for k in open_ if k not in ahead][:limit - len(active)])
+            _look_ahead(work, nodes, split, ahead, [k for k in open_ if k not in ahead][:limit - len(active)])
         n, sp = nodes[best], split[best]
         n.left, n.right = ahead.pop(best)
         n.feature, n.bin, n.gain, n.cut = sp.feature, sp.bin, sp.gain, cuts[sp.feature][sp.bin]
@@ -244,9 +279,9 @@ def grow(add_up: AddUp, cuts: list[list[float]], s: Settings) -> list[Node]:
     return _compact(nodes, s)
 
 
-def _look_ahead(work: _Histograms, nodes: list[Node], split: dict, kept: dict, ahead: dict,
+def _look_ahead(work: _InATask | _OverTasks, nodes: list[Node], split: dict, ahead: dict,
                 leaves: list[int]) -> None:
-    """Histograms of the children of ``leaves`` by one aggregate."""
+    """Splits of the children of ``leaves`` by one aggregate."""
     trial = [Node(**vars(n)) for n in nodes]
     wanted, siblings = set(), {}
     for k in leaves:
@@ -259,10 +294,10 @@ def _look_ahead(work: _Histograms, nodes: list[Node], split: dict, kept: dict, a
         small, large = sorted(ahead[k], key=lambda c: nodes[c].n)
         wanted.add(small)
         if work.keep:
-            siblings[large] = (small, kept.pop(k))
+            siblings[large] = (small, k)
         else:
             wanted.add(large)
-    split.update(work.splits(trial, sorted(wanted), siblings, kept))
+    split.update((k, sp) for k, (_, sp) in work.judge(trial, sorted(wanted), siblings).items())
 
 
 def _compact(nodes: list[Node], s: Settings) -> list[Node]:
@@ -316,7 +351,7 @@ def _fit_over_tasks(blocks: RDD, cuts: list[list[float]], s: Settings) -> list[l
     blocks, before = blocks.persist(StorageLevel.MEMORY_AND_DISK), None
     for t in range(s.rounds):
         # the first pass of a tree makes the blocks with the margins of the one before
-        tree = grow(lambda add: blocks.mapPartitions(add).treeReduce(operator.add), cuts, s)
+        tree = grow(_OverTasks(blocks, [len(c) + 1 for c in cuts], s), cuts, s)
         if before is not None:
             before.unpersist()
         if tree[0].feature < 0:                           # nothing left to split
@@ -332,11 +367,11 @@ def _fit_over_tasks(blocks: RDD, cuts: list[list[float]], s: Settings) -> list[l
 
 
 def _fit_in_a_task(blocks: RDD, cuts: list[list[float]], s: Settings) -> list[list[Node]]:
-    """The same rounds where one task has all rows: its histograms are the sums already."""
+    """The same rounds where one task has all rows."""
     def fit(it: Iterator[Block]) -> Iterator[list[list[Node]]]:
         here, trees = list(it), []
         for _ in range(s.rounds):
-            tree = grow(lambda add: next(add(iter(here))), cuts, s)
+            tree = grow(_InATask(here, [len(c) + 1 for c in cuts], s), cuts, s)
             if tree[0].feature < 0:
                 break
             trees.append(tree)

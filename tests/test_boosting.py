@@ -1,9 +1,11 @@
 """Second-order boosting against a plain numpy version, and the audits of fitted trees."""
 
 import math
+import pickle
 
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.sql import functions as F
 
 from cohortlab.operators import boosting, features, models, trees
@@ -95,6 +97,19 @@ def test_blocks_of_features_give_the_same_trees(spark, monkeypatch):
     assert [[(n.feature, n.bin) for n in t] for t in whole.trees] == [[(n.feature, n.bin) for n in t] for t in parts.trees]
 
 
+def test_no_histogram_reaches_the_driver(spark, monkeypatch):
+    sent, collect = [], RDD.collect
+    monkeypatch.setattr(RDD, "collect", lambda self: sent.append(collect(self)) or sent[-1])
+    monkeypatch.setattr(boosting, "rebalance", lambda df: df.repartition(5))
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 3))
+    m = boosting.BoostedTreesClassifier("label", "features", rounds=2, leaves=8, min_rows=3).fit(
+        _frame(spark, x, (x[:, 1] * x[:, 2] > 0).astype(float), 2))
+    assert len(m.trees) == 2 and min(map(len, m.cuts)) > 200
+    # a histogram of one leaf takes 18 kB
+    assert sent and max(len(pickle.dumps(part)) for part in sent) < 10_000
+
+
 def test_odd_frames(spark):
     fit = lambda rows, **kw: boosting.BoostedTreesClassifier(
         "label", "features", **{"rounds": 3, "min_rows": 1, **kw}).fit(
