@@ -2,7 +2,7 @@
 
 Text statistics are computed with built-in string functions while the text is
 still in the scan stage, so only the doc id and a few doubles reach the join
-(the text itself is never shuffled). Label = ``quality``. The split is the hash
+(the text is shuffled only where a few scan tasks hold most rows, ``spread``). Label = ``quality``. The split is the hash
 split on ``doc_id``; the assembler and scaler are fitted on the training part
 only, and the prepared rows are persisted because every model fit iterates
 over them. Fits are kept in the shared folder (``sources/fits.py``), so another session
@@ -28,6 +28,8 @@ from cohortlab.sources.cache import ROWS_PER_PARTITION, rebalance
 TEXT_FEATURES = ("n_chars", "n_words", "n_distinct", "type_token_ratio", "digit_share",
                  "upper_share", "punct_share", "mean_word_len")
 SALT = split.SEED
+#: A scan task with fewer rows stays as it is; rows of the table behind a task once they are dealt.
+SPREAD_ROWS, SPREAD_MOST = 5_000, 50_000
 
 _PREPARED: dict[tuple, DataFrame] = {}
 _PIPELINES: dict[tuple, object] = {}
@@ -35,14 +37,16 @@ _FITTED: dict[tuple, object] = {}
 
 
 def text_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Per-document statistics of the whole text, JVM-side."""
+    """Per-document statistics of the whole text, JVM-side. Words are split once, in a
+    projection of their own."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    trimmed = F.trim(t)
-    n_chars = F.length(t)
-    n_words = F.when(F.length(trimmed) == 0, F.lit(0)).otherwise(
-        F.size(F.split(trimmed, r"\s+")))
-    n_distinct = F.when(F.length(trimmed) == 0, F.lit(0)).otherwise(
-        F.size(F.array_distinct(F.split(F.lower(trimmed), r"\s+"))))
+    # lower-casing neither makes nor takes white space
+    words = F.when(F.length(F.trim(t)) > 0, F.split(F.lower(F.trim(t)), r"\s+"))
+    d = docs.select("doc_id", t.alias("_t"), F.length(t).alias("_chars"), words.alias("_words"))
+    none = F.col("_words").isNull()
+    d = d.select("doc_id", "_t", "_chars", F.when(none, F.lit(0)).otherwise(F.size("_words")).alias("_n"),
+                 F.when(none, F.lit(0)).otherwise(F.size(F.array_distinct("_words"))).alias("_distinct"))
+    t, n_chars, n_words, n_distinct = (F.col(c) for c in ("_t", "_chars", "_n", "_distinct"))
 
     def share(pattern):
         return F.try_divide((n_chars - F.length(F.regexp_replace(t, pattern, ""))).cast("double"),
@@ -59,18 +63,30 @@ def text_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "mean_word_len": F.try_divide(
             F.length(F.regexp_replace(t, r"\s+", "")).cast("double"), n_words),
     }
-    return docs.select("doc_id", *[F.coalesce(e, F.lit(0.0)).alias(n) for n, e in cols.items()])
+    return d.select("doc_id", *[F.coalesce(e, F.lit(0.0)).alias(n) for n, e in cols.items()])
+
+
+def spread(docs: DataFrame, scan: DataFrame, fewest_rows: int = SPREAD_ROWS) -> DataFrame:
+    """``docs`` dealt over all cores by doc_id where few tasks read most of ``scan``, its table:
+    one task reads a row group, however large. Looks at the scan without its texts."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    r = (scan.select("doc_id").groupBy(F.spark_partition_id().alias("_part")).count()
+         .agg(F.max("count").alias("most"), F.sum("count").alias("n")).first())
+    most, n = r["most"] or 0, r["n"] or 0
+    if most <= max(fewest_rows, 2 * n // cores, 1):
+        return docs
+    return docs.filter(F.col("doc_id").isNotNull()).repartition(max(2 * cores, -(-n // SPREAD_MOST)), "doc_id")
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    scan = table(spark, sf, "documents")
     lab = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
-    ids = bounded_broadcast(lab.select("doc_id").distinct())
+    ids, docs = bounded_broadcast(lab.select("doc_id").distinct()), scan
     # only labelled documents reach the text work while their ids fit a broadcast;
-    # beyond that the text work runs in the scan and the narrow rows are joined
+    # beyond that the text work runs on all of them and the narrow rows are joined
     if fits_broadcast(ids, ids.count()):
         docs = docs.join(ids, "doc_id", "left_semi")
-    return text_features(docs).join(lab, on="doc_id", how="inner")
+    return text_features(spread(docs.select("doc_id", "text"), scan)).join(lab, on="doc_id", how="inner")
 
 
 def table_state(spark: SparkSession, sf: str, names) -> tuple:
