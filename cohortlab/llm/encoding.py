@@ -18,6 +18,8 @@ import numpy as np
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes that a worker's table of chunks may take, both generations together.
 TABLE_BYTES = 32 * 1024 * 1024
+#: The same for a query that has its workers to itself; the workers of the pipeline hold other tables too.
+ALONE_BYTES = 128 * 1024 * 1024
 #: What an entry takes beside its characters and value (dict slot, str and bytes objects).
 ENTRY_BYTES = 220
 #: Longer texts are cut at spaces between other characters; texts are encoded in runs of this size.
@@ -183,14 +185,15 @@ class BatchEncoder:
         return [x[0] if len(x) == 1 else b"".join(x) for x in out]
 
 
-_ENCODERS: dict[tuple[str, bool], BatchEncoder] = {}
+_ENCODERS: dict[tuple[str, bool, int], BatchEncoder] = {}
 
 
-def encoder(vocabulary: str = VOCABULARY, plain: bool = False) -> BatchEncoder:
+def encoder(vocabulary: str = VOCABULARY, plain: bool = False, table_bytes: int = TABLE_BYTES) -> BatchEncoder:
     """The worker's encoder of a vocabulary; its cache serves the worker's later tasks."""
-    if (vocabulary, plain) not in _ENCODERS:
-        _ENCODERS[vocabulary, plain] = BatchEncoder(vocabulary, plain=plain)
-    return _ENCODERS[vocabulary, plain]
+    key = vocabulary, plain, table_bytes
+    if key not in _ENCODERS:
+        _ENCODERS[key] = BatchEncoder(vocabulary, table_bytes, plain)
+    return _ENCODERS[key]
 
 
 def slices(pdf, rows: int = 2048, chars: int = 8_000_000):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlab.llm.common import Scratch
-from cohortlab.llm.encoding import VOCABULARY, encoder, slices
+from cohortlab.llm.encoding import ALONE_BYTES, VOCABULARY, encoder, slices
 
 SCHEMA = "part int, doc_id bigint, pos bigint, n_tokens int, ids array<int>"
 OPTIONS = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
@@ -35,7 +35,7 @@ OPTIONS = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.blo
 
 
 def _encode(batches: Iterator[pd.DataFrame], vocabulary: str, end_id: int) -> Iterator[pd.DataFrame]:
-    enc, part, pos = encoder(vocabulary), TaskContext.get().partitionId(), 0
+    enc, part, pos = encoder(vocabulary, table_bytes=ALONE_BYTES), TaskContext.get().partitionId(), 0
     for batch in batches:
         for pdf in slices(batch):
             ids = [np.append(np.frombuffer(b, dtype=enc.dtype).astype(np.int32), np.int32(end_id))
