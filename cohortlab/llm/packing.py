@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.llm.common import Scratch
-from cohortlab.llm.encoding import VOCABULARY, encoder, slices
+from cohortlab.llm.encoding import TABLE_BYTES, VOCABULARY, encoder, slices
 
 SIZE = 1024
 SHARD_DOCS = 4000
@@ -49,8 +49,9 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def _encode(batches: Iterator[pd.DataFrame], size: int, end_id: int, vocabulary: str) -> Iterator[pd.DataFrame]:
-    enc = encoder(vocabulary)
+def _encode(batches: Iterator[pd.DataFrame], size: int, end_id: int, vocabulary: str,
+            table_bytes: int) -> Iterator[pd.DataFrame]:
+    enc = encoder(vocabulary, table_bytes=table_bytes)
     end = np.array([end_id], dtype=enc.dtype)
     for batch in batches:
         for pdf in slices(batch):
@@ -176,7 +177,7 @@ def _pack(batches: Iterator[pd.DataFrame], size: int, idf: np.ndarray, mean: flo
 
 
 def pack(docs: DataFrame, size: int = SIZE, end_id: int = 0, vocabulary: str = VOCABULARY,
-         shard_docs: int = SHARD_DOCS) -> DataFrame:
+         shard_docs: int = SHARD_DOCS, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """Pieces ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     Odd sequence ids are packed windows, even ones full windows of one document."""
@@ -185,7 +186,7 @@ def pack(docs: DataFrame, size: int = SIZE, end_id: int = 0, vocabulary: str = V
     dtype = encoder(vocabulary).dtype.str
     src = docs.filter(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    enc = sc.put("encoded", src.mapInPandas(lambda it: _encode(it, size, end_id, vocabulary), _ENCODED),
+    enc = sc.put("encoded", src.mapInPandas(lambda it: _encode(it, size, end_id, vocabulary, table_bytes), _ENCODED),
                  compression="zstd")
     tails = enc.filter("rare >= 0").select("doc_id", "doc_tokens", "rare", "tail_start", "tail")
     n, mean = tails.agg(F.count(F.lit(1)), F.avg(F.octet_length("tail"))).first()

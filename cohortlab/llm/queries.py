@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cohortlab.llm import (decontaminate, html_text, license_scan, mask_search, packing, quality, secret_scan,
                             token_align, token_orc, url_filter, vector_search)
 from cohortlab.llm.common import table
+from cohortlab.llm.encoding import ALONE_BYTES
 from cohortlab.llm.exact_dedup import exact_duplicates
 from cohortlab.llm.near_dup import near_duplicates
 
@@ -45,7 +46,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), table_bytes=ALONE_BYTES)
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
