@@ -13,15 +13,17 @@ How it runs on Spark:
     features, labels and margins, dealt over the cluster and persisted (memory, then disk).
 *   A round of splitting is one pass over the blocks that adds up histograms per (leaf,
     feature, bin) in every task; those of a feature meet in one task, which adds them up
-    and looks for the feature's best split of each leaf. A pass covers the children of
+    and looks for each leaf's best split by the features it has (all of them while a pass's
+    histograms stay below ``ADDED_BYTES``). A pass covers the children of
     every leaf that may be split next, so a tree takes about as many passes as it is deep,
     and still splits best leaf first. This is the one place of the library outside ``llm``
     that works on an RDD: a task adds to one array for all its rows, which rows of (leaf,
     feature, bin) through a shuffle took ten times as long.
-*   No row and no histogram reaches the driver: it gets one split and one sum per leaf and
-    feature, whatever the rows, tasks and bins. Above ``HISTOGRAM_BYTES`` a task takes the
-    features block by block.
-*   Few rows lie in one partition (``sources.cache.rebalance``); its task then runs all
+*   No row and no histogram reaches the driver: it gets one split and one sum per leaf from
+    each task that adds up histograms, whatever the rows, features and bins. Above
+    ``HISTOGRAM_BYTES`` a task takes the features block by block.
+*   A task has at least ``FEWEST_CELLS`` of rows times features, as a pass has a fixed price a
+    task, in seconds and in results. Fewer rows lie in one partition; its task then runs all
     rounds by the same functions, without a job for each. It keeps the histograms, so only
     the smaller child of a leaf is added up; its sibling is the parent's less that.
 *   Margins are kept with the blocks; every ``CUT_ROUNDS`` rounds the blocks are written
@@ -39,6 +41,7 @@ import operator
 import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -48,9 +51,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.operators.features import vector_to_array
-from cohortlab.sources.cache import rebalance
+from cohortlab.sources import cache
 
 HISTOGRAM_BYTES = 256 * 1024 * 1024
+#: Histograms of a pass, from all its tasks, that one task adds up and judges.
+ADDED_BYTES = 32 * 1024 * 1024
+#: Rows times features of a task. A pass over 200,000 rows of 8 features takes a task some 0.05 s,
+#: the two stages of a pass more than 0.1 s whatever they hold.
+FEWEST_CELLS = 1_600_000
 CUT_ROUNDS = 25
 
 
@@ -237,11 +245,18 @@ class _OverTasks(_Histograms):
                 total = plain.add(blocks, nodes, wanted, fs)
                 yield from ((f, total[:, i, :plain.sizes[f]]) for i, f in enumerate(fs))
 
-            def judged(of: tuple[int, np.ndarray]) -> tuple[int, list[Judged]]:
-                return of[0], [_judge(h[None], s, of[0]) for h in of[1]]
+            # neighbouring features share a task, so the results come in order of features
+            held = 24 * max(self.sizes[f] for f in fs) * len(fs) * len(wanted) * self.blocks.getNumPartitions()
+            parts = min(len(fs), self.blocks.getNumPartitions(), -(-held // ADDED_BYTES))
+
+            def judged(hists: Iterator[tuple[int, np.ndarray]]) -> Iterator[list[Judged]]:
+                of = sorted(((f, [_judge(h[None], s, f) for h in leaves]) for f, leaves in hists), key=lambda x: x[0])
+                if of:
+                    yield [reduce(_better, leaf) for leaf in zip(*(leaves for _, leaves in of), strict=True)]
             got = (self.blocks.mapPartitions(added)
-                   .reduceByKey(operator.add, min(len(fs), self.blocks.getNumPartitions())).map(judged).collect())
-            for _, leaves in sorted(got, key=lambda x: x[0]):
+                   .reduceByKey(operator.add, parts, lambda f, fs=fs, parts=parts: (f - fs[0]) * parts // len(fs))
+                   .mapPartitions(judged).collect())
+            for leaves in got:
                 for k, j in zip(wanted, leaves, strict=True):
                     best[k] = _better(best.get(k), j)
         return best
@@ -339,6 +354,11 @@ def cut_points(df: DataFrame, cols: Sequence[str], bins: int) -> list[list[float
     return out
 
 
+def rebalance(binned: DataFrame) -> DataFrame:
+    """Binned rows (label, then the features) in tasks of no fewer than ``FEWEST_CELLS``."""
+    return cache.rebalance(binned, fewest_rows=max(cache.FEWEST_ROWS, FEWEST_CELLS // (len(binned.columns) - 1)))
+
+
 def _packed(binned: DataFrame, dim: int, base: float) -> RDD:
     """The rows as an RDD of blocks."""
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -110,6 +110,31 @@ def test_no_histogram_reaches_the_driver(spark, monkeypatch):
     assert sent and max(len(pickle.dumps(part)) for part in sent) < 10_000
 
 
+def test_a_pass_sends_one_split_a_leaf(spark, monkeypatch):
+    sent, collect = [], RDD.collect
+    monkeypatch.setattr(RDD, "collect", lambda self: sent.append(collect(self)) or sent[-1])
+    monkeypatch.setattr(boosting, "rebalance", lambda df: df.repartition(5))
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 6)).round(1)
+    df = _frame(spark, x, (x[:, 1] * x[:, 4] > 0).astype(float), 2)
+    fit = lambda: boosting.BoostedTreesClassifier("label", "features", rounds=2, leaves=8, min_rows=3).fit(df)
+    one = fit()
+    assert sent and max(map(len, sent)) == 1                   # from one task, over all features
+    sent.clear()
+    monkeypatch.setattr(boosting, "ADDED_BYTES", 1)
+    many = fit()
+    assert max(map(len, sent)) == 5                            # as many as the blocks have tasks
+    assert [[(n.feature, n.bin, n.n) for n in t] for t in one.trees] == [[(n.feature, n.bin, n.n) for n in t] for t in many.trees]
+
+
+def test_rows_of_a_short_pass_lie_in_one_task(spark):
+    rows = lambda n, dim: spark.range(n).select(F.lit(0.0).alias("_y"), *[F.lit(1).alias(f"_b{i}") for i in range(dim)])
+    parts = lambda n, dim: boosting.rebalance(rows(n, dim)).rdd.getNumPartitions()
+    assert parts(128_000, 8) == 1
+    cores = spark.sparkContext.defaultParallelism
+    assert parts(600_000, 8) == min(cores, 3) and parts(100_000, 40) == min(cores, 2)
+
+
 def test_odd_frames(spark):
     fit = lambda rows, **kw: boosting.BoostedTreesClassifier(
         "label", "features", **{"rounds": 3, "min_rows": 1, **kw}).fit(
